@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import connected_components, stage, unstage
 
-THRESHOLD, OVERLAP, TARGET, MOST, DEGREE, ALPHA, BEAM, SLACK = 0.93, 3, 1000, 2000, 24, 1.2, 48, 0.05
+THRESHOLD, OVERLAP, TARGET, MOST, DEGREE, ALPHA, NEAREST, BEAM, SLACK = 0.93, 3, 1000, 2000, 24, 1.2, 4, 48, 0.05
 SAMPLE, PIVOTS, AUDIT, RECALL = 20_000, 8_192, 64, 0.95
 
 
@@ -154,16 +154,22 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool:
         if len(both) > degree:
             v = x[both] @ x[i]
             order = np.argsort(-v, kind="stable")
-            pruned = robust_prune(v[order], x[i], both[order], x, degree, alpha)
-            both = np.union1d(pruned, both[order][:4])  # the nearest always stay
+            both = robust_prune(v[order], x[i], both[order], x, degree, alpha)
         out[i] = both
+    # Pruning leaves some nodes of dense groups without an edge that leads to them: each gets one from its nearest.
+    for i in range(n):
+        v = x[out[i]] @ x[i]
+        for j in out[i][np.argsort(-v, kind="stable")[:NEAREST]].tolist():
+            if i not in out[j]:
+                out[j] = np.append(out[j], i)
     return out
 
 
-def range_search(x: np.ndarray, adj: np.ndarray, q: np.ndarray, threshold: float, beam: int, slack: float = SLACK, wide: int = 8) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def range_search(x: np.ndarray, adj: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float, beam: int, slack: float = SLACK, wide: int = 8) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, nodes, cosines) at or above the threshold, query by query.
 
-    adj: padded with -1. Queries move together: in each step every open query expands its ``wide`` best open nodes; it
+    adj: padded with -1. own: each query's node in this graph (-1: none), a second place to start from beside the
+    medoid. Queries move together: in each step every open query expands its ``wide`` best open nodes; it
     is done when it has expanded ``beam`` nodes at least and its best open one is below the range.
     """
     n = len(x)
@@ -174,6 +180,8 @@ def range_search(x: np.ndarray, adj: np.ndarray, q: np.ndarray, threshold: float
         seen = np.full((m, n), -2.0, np.float32)  # similarity of what was reached
         open_ = np.full((m, n), -2.0, np.float32)  # of what was reached and not expanded
         seen[:, medoid] = open_[:, medoid] = part @ x[medoid]
+        inside = np.flatnonzero(own[s : s + m] >= 0)
+        seen[inside, own[s : s + m][inside]] = open_[inside, own[s : s + m][inside]] = 1.0
         done, expanded = np.zeros(m, bool), np.zeros(m, np.int64)
         k = min(wide, n)
         while True:
@@ -328,8 +336,10 @@ def near_links(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = OV
             sets = np.array([c + [-1 - i % 2] * (width - len(c)) for i, c in enumerate(clusters)], np.int64)
             out_node, out_n, out_to = [], [], []
             asks = np.flatnonzero(np.array(t.column("query")))
+            place = np.full(len(ids), -1)
+            place[base] = np.arange(len(base))
             group = np.arange(len(ids))  # what the links of this shard connect
-            for k, found, _ in range_search(x[base], adj, x[asks], threshold, beam):
+            for k, found, _ in range_search(x[base], adj, x[asks], place[asks], threshold, beam):
                 i, other = asks[k], base[found]
                 other = other[ids[other] != ids[i]]
                 if not len(other):
