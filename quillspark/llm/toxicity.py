@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import slices
 
-BITS, WIDTH, MOST_DOCS, MOST_WINDOWS, EPOCHS, THRESHOLD = 21, 32, 8_000, 24_000, 5, 0.7
+BITS, WIDTH, MOST_DOCS, MOST_WINDOWS, EPOCHS, THRESHOLD = 21, 32, 6_000, 20_000, 5, 0.7
 BEGINNINGS = (3, 4, 5, 6, 7)
 TOKEN = re.compile(r"\w+")
 N_FEATURES = 1 + len(BEGINNINGS)
@@ -174,12 +174,12 @@ def spans(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
-def _marking(docs: list[list[list[int]]], y: np.ndarray) -> np.ndarray:
+def _marking(docs: list[np.ndarray], of: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Features that mark toxic tokens: their documents are toxic far more often than the base rate (log odds of the
-    data under their own rate against the base rate of at least 11.5) and mostly."""
+    data under their own rate against the base rate of at least 11.5) and mostly. of: each word's features."""
     tox, all_ = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for ids, label in zip(docs, y, strict=True):
-        u = np.unique(np.array(ids, np.int64))
+        u = np.unique(of[np.unique(ids)])
         all_[u] += 1
         if label:
             tox[u] += 1
@@ -198,36 +198,33 @@ def fit(texts: list[str | None], labels: list[int]) -> Tagger:
     weights, trans = np.zeros(1 << BITS), np.zeros((2, 2))
     if not len(y) or y.min() == y.max():
         return Tagger(weights, 0.0, trans, None)
-    table: dict[str, list[int]] = {}
-    rows: list[list[list[int]]] = []
+    number: dict[str, int] = {}
+    feats, rows = [], []
     for t in texts:
         toks = TOKEN.findall(t.lower()) if t else []
-        row = []
-        for w in toks:
-            f = table.get(w)
-            if f is None:
-                f = features(w)
-                table[w] = f
-            row.append(f)
-        rows.append(np.array(row, np.int32).reshape(-1, N_FEATURES))
-    mark = _marking(rows, y)
+        new = [w for w in dict.fromkeys(toks) if w not in number]
+        number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+        feats.append(np.array([features(w) for w in new], np.int32).reshape(-1, N_FEATURES))
+        rows.append(np.fromiter(map(number.__getitem__, toks), np.int32, len(toks)))
+    number.clear()
+    of = np.concatenate(feats)
+    del feats
+    mark = _marking(rows, of, y)
+    toxic_word = mark[of].any(axis=1)
     with_, without = [], []
-    for d, (ids, label) in enumerate(zip(rows, y, strict=True)):
-        tag = mark[ids].any(axis=1) & bool(label)
+    for d, (ids, label) in enumerate(zip(rows, y.tolist(), strict=True)):
+        tag = toxic_word[ids] & bool(label)
         for s in range(0, len(ids), WIDTH):
-            part = (ids[s : s + WIDTH], tag[s : s + WIDTH])
-            (with_ if part[1].any() else without).append((zlib.crc32(b"%d %d" % (d, s)), *part))
-    without.sort(key=lambda x: x[0])
-    with_.sort(key=lambda x: x[0])
-    with_ = with_[: MOST_WINDOWS // 3]
-    chosen = with_ + without[: MOST_WINDOWS - len(with_)]
-    chosen.sort(key=lambda x: x[0])
+            (with_ if tag[s : s + WIDTH].any() else without).append((zlib.crc32(b"%d %d" % (d, s)), d, s))
+    with_ = sorted(with_)[: MOST_WINDOWS // 3]
+    chosen = sorted(with_ + sorted(without)[: MOST_WINDOWS - len(with_)])
     n = len(chosen)
     ids = np.zeros((n, WIDTH, N_FEATURES), np.int32)
     tag, real = np.zeros((n, WIDTH)), np.zeros((n, WIDTH), bool)
-    for i, (_, a, b) in enumerate(chosen):
-        ids[i, : len(a)], tag[i, : len(a)], real[i, : len(a)] = a, b, True
-    del with_, without, chosen
+    for i, (_, d, s) in enumerate(chosen):
+        w = rows[d][s : s + WIDTH]
+        ids[i, : len(w)], tag[i, : len(w)], real[i, : len(w)] = of[w], toxic_word[w] & bool(y[d]), True
+    del with_, without, chosen, rows, of
     common = np.bincount(ids.ravel(), minlength=1 << BITS) >= 3
     common[0] = False
     bias, square, square_b, square_t = -2.0, np.full(1 << BITS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
