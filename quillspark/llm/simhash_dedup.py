@@ -231,12 +231,15 @@ def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = DISTANCE) ->
     """docs with one document of each group: that of the smallest doc_id. A document with a null id stays only where
     no other is in its group. Of repeated rows of one id, one stays (the smallest text)."""
     found = simhash_components(docs, width, distance)
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = stage(kept, "kept")
-    once = docs.join(kept.where("_n = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    # Repeated ids are few: these rows only are grouped, by id and in whole.
-    again = kept.where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    kept = stage(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
+    one = kept.where("_n = 1 and doc_id is not null").select("doc_id")
+    # By one plan at every size: the texts are shuffled once, unsorted, beside the kept ids.
+    once = docs.join(one.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    again = stage(kept.where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "again")
+    if again.isEmpty():
+        return once
+    # Repeated ids: these rows only are grouped, by id and in whole.
     rest = docs.join(again, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     plain = [c for c in docs.columns if c not in ("doc_id",)]
     first = rest.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(c) for c in plain if c != "text"])).alias("_r"))
-    return once.select(docs.columns).unionByName(first.select("doc_id", *[F.col(f"_r.{c}") for c in plain]).select(docs.columns))
+    return once.unionByName(first.select("doc_id", *[F.col(f"_r.{c}") for c in plain]).select(docs.columns))
