@@ -1,0 +1,6 @@
+"""The query catalogue. Importing a module registers its queries."""
+
+from quillspark.plans import text  # noqa: F401
+from quillspark.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
