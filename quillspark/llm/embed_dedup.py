@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import connected_components, stage, unstage
 
-THRESHOLD, OVERLAP, TARGET, MOST, DEGREE, ALPHA, NEAREST, BEAM, SLACK = 0.93, 3, 1000, 2000, 24, 1.2, 4, 48, 0.05
+THRESHOLD, OVERLAP, TARGET, MOST, DEGREE, ALPHA, NEAREST, BEAM, SLACK = 0.93, 2, 250, 2000, 24, 1.2, 4, 48, 0.05
 SAMPLE, PIVOTS, AUDIT, RECALL = 20_000, 8_192, 64, 0.95
 
 
