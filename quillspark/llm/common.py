@@ -19,9 +19,21 @@ from pyspark.sql import functions as F
 #: Characters of text that one step of a Python operator holds as Python objects.
 SLICE_CHARS = 4_000_000
 
+#: Rows and bytes of an Arrow batch, at most: what a task holds twice on either side of the pipe to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
 _staged: list[tuple[SparkSession, str]] = []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key, "-1").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and returns the table read back."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))
@@ -66,6 +79,7 @@ def _clear() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
