@@ -29,6 +29,11 @@ def token_bin(token: Column, dims: int) -> Column:
 def hash_embed(text: Column, dims: int = 64) -> Column:
     """The default embedder: counts of tokens in hashed bins. Two texts' cosine is that of their counts."""
     bins = F.transform(tokens(text), lambda t: token_bin(t, dims))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bins, lambda b: b == i)).cast("float")
+    # As the one element of an array the bins are a lambda's variable: they are made once, not for every dimension.
+    counted = F.transform(
+        F.array(bins),
+        lambda bs: F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("float")
+        ),
     )
+    return F.element_at(counted, 1)

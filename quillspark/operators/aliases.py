@@ -32,7 +32,9 @@ def expand_queries(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     edge = r"[\p{L}\p{N}_]"
     pattern = F.concat(F.lit(f"(?<!{edge})\\Q"), "alias", F.lit(f"\\E(?!{edge})"))
-    hit = q.join(a, "word").where(F.regexp_like(pad(low), pattern)).select("qid", "alias", "canonical").distinct()
+    # An alias of one word is met by the join itself.
+    whole = F.when(F.col("alias") == F.col("word"), F.lit(True)).otherwise(F.contains(low, F.col("alias")) & F.regexp_like(pad(low), pattern))
+    hit = q.join(a, "word").where(whole).select("qid", "alias", "canonical").distinct()
     # Of aliases with one canonical name the longest counts; the order is by that length, then the alias.
     one = hit.groupBy("qid", F.lower("canonical").alias("c")).agg(
         F.min(F.struct((-F.length("alias")).alias("n"), "alias", "canonical")).alias("x")

@@ -13,7 +13,7 @@ from quillspark.functions.vectors import cosine, hash_embed
 
 
 def union_terms(contexts: Column, terms=T.content_terms) -> Column:
-    return F.array_distinct(F.flatten(F.transform(contexts, terms)))
+    return F.array_distinct(F.flatten(F.transform(contexts, lambda c: terms(c))))
 
 
 def faithfulness(answer: Column, contexts: Column) -> Column:
