@@ -15,14 +15,13 @@ from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.mixing import mix_sources
 from quillspark.llm.simhash_dedup import simhash_dedup
 from quillspark.llm.substring_dedup import substring_dedup
-from quillspark.llm.toxicity import THRESHOLD, score_toxicity, train
+from quillspark.llm.toxicity import reject_toxic, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger doesn't reject. It learns from the whole table's labels, like op7."""
     tagger = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs, tagger, out_score="_toxicity", out_spans=None)
-    return scored.where(scored["_toxicity"] < THRESHOLD).select(docs.columns)
+    return reject_toxic(docs, tagger)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python operator holds as Python objects.
@@ -29,7 +30,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller settings stay."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(key, "-1").rstrip("b"))
+        now = int(spark.conf.get(key).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
@@ -93,6 +94,20 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def guard(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column but those used under a name no operator uses, and what gives the names back.
+
+    So extra columns may have any name, also one that an operator makes for itself.
+    """
+    names = docs.columns
+    new = [c if c in used else f"_extra{i}" for i, c in enumerate(names)]
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(n) for n in new]).toDF(*names)
+
+    return docs.toDF(*new), back
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Runs of rows of at most ``most`` bytes of text (one row at least), with the texts as UTF-8, None for null."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
@@ -175,8 +190,6 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: st
     )
     totals = ranged.groupBy(group, block).agg(F.sum(value).alias(own))
     # A group's blocks are consecutive: few rows a group, one for each block it reaches.
-    from pyspark.sql import Window as W
-
     before = totals.select(
         F.col(group).alias("_g"),
         F.col(block).alias("_b"),

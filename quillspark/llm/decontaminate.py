@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from quillspark.llm.common import free_name, slices, stage
+from quillspark.llm.common import free_name, guard, slices, stage
 
 WINDOW, BLOCK_WINDOWS, BLOCK_BYTES = 13, 200_000, 4_000_000
 #: A-Z to lower case; all bytes but digits, letters and those of non-ASCII characters to a space.
@@ -166,7 +167,7 @@ def match(windows: Windows, n: np.ndarray, terms: np.ndarray, counts: np.ndarray
     return w, start
 
 
-def hits(index: DataFrame, windows: Windows, kept_schema: str, slop: int = 0) -> DataFrame:
+def hits(index: DataFrame, windows: Windows, kept: StructType, slop: int = 0) -> DataFrame:
     """Each document's kept columns with n_words, hit_words (positions of words inside an occurrence) and items."""
     shared = index.sparkSession.sparkContext.broadcast(windows)
 
@@ -174,7 +175,7 @@ def hits(index: DataFrame, windows: Windows, kept_schema: str, slop: int = 0) ->
         win = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                kept, n, terms, counts, positions = (batch.column(j)[i] for j in range(5))
+                held, n, terms, counts, positions = (batch.column(j)[i] for j in range(5))
                 n = np.array(n.as_py(), np.int64)
                 w, start = match(
                     win, n, np.array(terms.as_py(), np.int64), np.array(counts.as_py(), np.int64),
@@ -196,7 +197,7 @@ def hits(index: DataFrame, windows: Windows, kept_schema: str, slop: int = 0) ->
                 items_of: dict[int, set] = {}
                 for d, x in set(zip(doc.tolist(), w.tolist(), strict=True)):
                     items_of.setdefault(d, set()).update(win.items[x])
-                rows = pa.ipc.open_stream(kept.as_buffer()).read_next_batch()
+                rows = pa.ipc.open_stream(held.as_buffer()).read_next_batch()
                 more = [
                     pa.array(n),
                     pa.array([words_of.get(d, []) for d in range(len(n))], pa.list_(pa.int64())),
@@ -206,11 +207,9 @@ def hits(index: DataFrame, windows: Windows, kept_schema: str, slop: int = 0) ->
                     [*rows.columns, *more], names=[*rows.schema.names, "_n_words", "_hit", "_items"]
                 )
 
-    return index.mapInArrow(each, f"{kept_schema}, _n_words bigint, _hit array<bigint>, _items array<bigint>")
-
-
-def _schema(df: DataFrame, columns: list[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in columns)
+    longs = ArrayType(LongType())
+    more = [StructField("_n_words", LongType()), StructField("_hit", longs), StructField("_items", longs)]
+    return index.mapInArrow(each, StructType([*kept.fields, *more]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int = WINDOW, block_windows: int = BLOCK_WINDOWS, slop: int = 0) -> DataFrame:
@@ -258,7 +257,7 @@ def _searched(docs: DataFrame, windows: Windows, keep: list[str], slop: int) ->
         .collect()  # one row for each term of this block of windows, at most block_windows
     )
     windows.by_rarity({r[0]: r[1] for r in counts})
-    return hits(index, windows, _schema(docs, keep), slop)
+    return hits(index, windows, docs.select(*[F.col(f"`{c}`") for c in keep]).schema, slop)
 
 
 def item_digest(ids: list[int]) -> str:
@@ -267,5 +266,5 @@ def item_digest(ids: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs without the contaminated documents; whole rows travel with the index, so no join is needed."""
-    plain = [c for c in docs.columns if c not in ("_n_words", "_hit", "_items")]
-    return contamination(docs, items, plain, size).where("not _contaminated").select(*[F.col(f"`{c}`") for c in plain])
+    plain, back = guard(docs, ("text",))
+    return back(contamination(plain, items, plain.columns, size).where("not _contaminated"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, slices, stage, unstage
+from quillspark.llm.common import connected_components, guard, slices, stage, unstage
 
 SEED, DISTANCE, MOST = 42, 3, 2048
 
@@ -230,6 +230,7 @@ def simhash_components(docs: DataFrame, width: int = 3, distance: int = DISTANCE
 def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = DISTANCE) -> DataFrame:
     """docs with one document of each group: that of the smallest doc_id. A document with a null id stays only where
     no other is in its group. Of repeated rows of one id, one stays (the smallest text)."""
+    docs, back = guard(docs, ("doc_id", "text"))
     found = simhash_components(docs, width, distance)
     kept = stage(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
     one = kept.where("_n = 1 and doc_id is not null").select("doc_id")
@@ -237,9 +238,9 @@ def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = DISTANCE) ->
     once = docs.join(one.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     again = stage(kept.where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "again")
     if again.isEmpty():
-        return once
+        return back(once)
     # Repeated ids: these rows only are grouped, by id and in whole.
     rest = docs.join(again, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     plain = [c for c in docs.columns if c not in ("doc_id",)]
     first = rest.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(c) for c in plain if c != "text"])).alias("_r"))
-    return once.unionByName(first.select("doc_id", *[F.col(f"_r.{c}") for c in plain]).select(docs.columns))
+    return back(once.unionByName(first.select("doc_id", *[F.col(f"_r.{c}") for c in plain]).select(docs.columns)))

@@ -28,13 +28,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from quillspark.llm.common import free_name, slices, stage
+from quillspark.llm.common import guard, slices, stage
 
 MIN_WORDS, CERTAIN, RATE, LONGEST = 50, 16, 5, 32
 #: Words at a passage's start whose hash still sees what stands before it; a cut there may be this document's own.
 BLURRED = 3
 NO_ID = (1 << 63) - 1
+PASSAGES = ArrayType(
+    StructType(
+        [StructField("first_word", IntegerType()), StructField("end_word", IntegerType()), StructField("owner", LongType())]
+    )
+)
 SPACED = re.compile(rb"[^ \t-\r]+")
 
 
@@ -161,7 +167,7 @@ def cut_out(text: str, found: list[tuple[int, int, int | None]]) -> str:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, certain: int = CERTAIN, rate: int = RATE, longest: int = LONGEST, keep: tuple = ()) -> DataFrame:
     """docs' doc_id, text and the columns ``keep``, with _passages: an array of (first_word, end_word, owner)."""
     copies = copied_chunks(docs, rate, longest).withColumnRenamed("doc_id", "_id")
-    base = docs.select("doc_id", "text", *keep)
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep)
     joined = base.join(copies, F.coalesce(base["doc_id"].cast("long"), F.lit(NO_ID)) == copies["_id"], "left").drop("_id")
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("owner", pa.int64())]))
 
@@ -179,17 +185,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, certain: int
                     names=[*[part.schema.names[i] for i in rest], "_passages"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return joined.mapInArrow(each, f"{schema}, _passages array<struct<first_word: int, end_word: int, owner: bigint>>")
+    return joined.mapInArrow(each, StructType([*base.schema.fields, StructField("_passages", PASSAGES)]))
 
 
 def substring_dedup(docs: DataFrame, **how) -> DataFrame:
     """docs with repeated passages cut out of every text but their owner's; the columns stay. n_chars, if there, is
     the new text's length. A document of which nothing is left stays, with an empty text."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    mark = free_name(docs, "_passages")
-    assert mark == "_passages", "docs has a column _passages already"
-    found = repeated_passages(docs, keep=rest, **how)
+    plain, back = guard(docs, ("doc_id", "text", "n_chars"))
+    found = repeated_passages(plain, keep=tuple(c for c in plain.columns if c not in ("doc_id", "text")), **how)
     text_at = found.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +208,8 @@ def substring_dedup(docs: DataFrame, **how) -> DataFrame:
             cols = [texts if i == text_at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:-1])
-    out = found.mapInArrow(each, schema)
+    out = found.mapInArrow(each, StructType(found.schema.fields[:-1]))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(docs.columns)
+    return back(out)

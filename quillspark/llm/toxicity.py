@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from quillspark.llm.common import slices
+from quillspark.llm.common import guard, slices
 
 BITS, WIDTH, MOST_DOCS, MOST_WINDOWS, EPOCHS, THRESHOLD = 21, 32, 6_000, 20_000, 5, 0.7
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -349,7 +350,14 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, out_score: str = "score", ou
                     names.append(out_spans)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{out_score}` double"
+    fields = [*docs.schema.fields, StructField(out_score, DoubleType())]
     if out_spans:
-        schema += f", `{out_spans}` array<struct<start: int, end: int, marginal: double>>"
-    return docs.mapInArrow(each, schema)
+        span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("marginal", DoubleType())])
+        fields.append(StructField(out_spans, ArrayType(span)))
+    return docs.mapInArrow(each, StructType(fields))
+
+
+def reject_toxic(docs: DataFrame, tagger: Tagger, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the documents whose score reaches the threshold; their columns may have any name."""
+    plain, back = guard(docs, ("text",))
+    return back(score_toxicity(plain, tagger, "_score", None).where(F.col("_score") < threshold))
