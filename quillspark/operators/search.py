@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark import constants as C
 
@@ -54,6 +55,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
     out = None
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     qkind = queries.schema["qid"].dataType.simpleString()
+    qtype = to_arrow_type(queries.schema["qid"].dataType)
     schema = f"qid {qkind}, id {kinds['id']}, " + "".join(f"`{c}` {kinds[c]}, " for c in per) + "score double"
     base = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), *per)
     for ids, matrix in _blocks(queries):
@@ -83,7 +85,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
                         r, c = np.nonzero(value >= floor) if floor is not None else np.nonzero(value > -2)
                         rows = own.slice(s, 4096).take(pa.array(best[r, c]))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(names[r].tolist()), rows.column(0), *[rows.column(2 + i) for i in range(len(per))], pa.array(value[r, c])],
+                            [pa.array(names[r].tolist(), qtype), rows.column(0), *[rows.column(2 + i) for i in range(len(per))], pa.array(value[r, c])],
                             names=["qid", "id", *per, "score"],
                         )
 
