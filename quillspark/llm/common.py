@@ -18,10 +18,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python operator holds as Python objects.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 #: Rows and bytes of an Arrow batch, at most: what a task holds twice on either side of the pipe to Python.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
 

@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quillspark.llm.common import free_name, guard, slices, stage
 
-WINDOW, BLOCK_WINDOWS, BLOCK_BYTES = 13, 200_000, 4_000_000
+WINDOW, BLOCK_WINDOWS, BLOCK_BYTES = 13, 200_000, 1_500_000
 #: A-Z to lower case; all bytes but digits, letters and those of non-ASCII characters to a space.
 TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)

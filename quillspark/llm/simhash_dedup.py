@@ -105,10 +105,10 @@ def _deeper(key: np.ndarray, fp: np.ndarray, rest: np.ndarray, bits: np.ndarray)
 
 def forest(fp: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """For distinct fingerprints of one bucket: the index of each one's component within it."""
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance
-    label = np.arange(len(fp))
+    rows = [np.bitwise_count(fp[a : a + 256, None] ^ fp[None, :]) <= distance for a in range(0, len(fp), 256)]
+    label = np.arange(len(fp), dtype=np.int32)
     while True:
-        new = np.where(near, label[None, :], len(fp)).min(axis=1)
+        new = np.concatenate([np.where(near, label[None, :], len(fp)).min(axis=1) for near in rows]).astype(np.int32)
         new = new[new]
         if (new == label).all():
             return label
@@ -228,19 +228,19 @@ def simhash_components(docs: DataFrame, width: int = 3, distance: int = DISTANCE
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id. A document with a null id stays only where
-    no other is in its group. Of repeated rows of one id, one stays (the smallest text)."""
+    """docs with one document of each group: that of the smallest doc_id. Rows with a null id can't be told apart by it
+    and stay. Of repeated rows of one id, one stays (the smallest text)."""
     docs, back = guard(docs, ("doc_id", "text"))
     found = simhash_components(docs, width, distance)
-    kept = stage(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
-    one = kept.where("_n = 1 and doc_id is not null").select("doc_id")
+    kept = stage(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
     # By one plan at every size: the texts are shuffled once, unsorted, beside the kept ids.
-    once = docs.join(one.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    again = stage(kept.where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "again")
+    once = docs.join(kept.where("_n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    once = once.union(docs.where("doc_id is null"))
+    again = stage(kept.where("_n > 1").select("doc_id"), "again")
     if again.isEmpty():
         return back(once)
     # Repeated ids: these rows only are grouped, by id and in whole.
-    rest = docs.join(again, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    rest = docs.join(again, "doc_id", "left_semi").select(docs.columns)
     plain = [c for c in docs.columns if c not in ("doc_id",)]
     first = rest.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(c) for c in plain if c != "text"])).alias("_r"))
     return back(once.unionByName(first.select("doc_id", *[F.col(f"_r.{c}") for c in plain]).select(docs.columns)))

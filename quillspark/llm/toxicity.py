@@ -62,7 +62,7 @@ class Tagger:
             self._dense = np.zeros(1 << BITS, np.float32)
             self._dense[self.at] = self.values
         seen = self._seen
-        if len(seen) > 300_000:
+        if len(seen) > 100_000:
             seen.clear()
         new = [t for t in set(tokens) if t not in seen]
         if new:
@@ -337,7 +337,7 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, out_score: str = "score", ou
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part, texts in slices(batch, "text", 1_500_000):
+            for part, texts in slices(batch, "text", 500_000):
                 strs = [t.decode("utf-8", "replace") if t is not None else None for t in texts]
                 summary, hot = summaries(model, strs)
                 columns = [*part.columns, pa.array(model.score(summary))]
