@@ -5,9 +5,10 @@ each word's end; one in ``RATE`` ends is a cut, so cuts depend on what stands ju
 only the cuts beside it. A chunk (of at most ``LONGEST`` words) is known by a 64-bit digest. The document with the
 smallest id that has a chunk owns it; elsewhere, and where it comes again in its own document, it is a copy.
 
-A run of neighbouring copies is a repeated passage when it may have ``MIN_WORDS`` words: its chunks have at least
-``CERTAIN`` of them, and with the chunks that it cuts at both ends (and ``BLURRED`` words) it reaches ``MIN_WORDS``. What is removed is the
-run's chunks; the words of the passage that stand in the cut chunks at its ends stay.
+A run of neighbouring copies that, with the chunks it cuts at both ends, may reach ``MIN_WORDS`` words is a candidate.
+It is then extended word by word into the cut chunks as far as the owner's words beside its own copy agree (hashes of
+up to ``BESIDE`` words travel with each owned shared chunk), and is a repeated passage when it has ``MIN_WORDS`` words
+then. So passages are exact: what is cut is what is repeated.
 
 Volume: a row (digest, doc_id) for each distinct chunk of a document. The owner of a digest is a minimum, combined
 before the shuffle; copies are found by a join that adaptive execution splits, so a chunk that a third of all
@@ -21,26 +22,32 @@ Extra columns pass through unchanged.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillspark.llm.common import guard, slices, stage
 
-MIN_WORDS, CERTAIN, RATE, LONGEST = 50, 16, 5, 32
+MIN_WORDS, CERTAIN, RATE, LONGEST, BESIDE = 50, 8, 5, 32, 40
 #: Words at a passage's start whose hash still sees what stands before it; a cut there may be this document's own.
-BLURRED = 3
+BLURRED = 6
 NO_ID = (1 << 63) - 1
-PASSAGES = ArrayType(
-    StructType(
-        [StructField("first_word", IntegerType()), StructField("end_word", IntegerType()), StructField("owner", LongType())]
-    )
-)
+_WORDS = pa.list_(pa.int32())
+#: What a document tells of its runs of copies, and of the chunks it owns.
+RUNS = pa.schema(
+    [
+        ("_id", pa.int64()), ("_key", pa.int64()),
+        ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("owner", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("before", _WORDS), ("after", _WORDS)]))),
+        ("beside", pa.list_(pa.struct([("digest", pa.int64()), ("before", _WORDS), ("after", _WORDS)]))),
+    ]
+)
 SPACED = re.compile(rb"[^ \t-\r]+")
 
 
@@ -123,92 +130,151 @@ def chunk_table(docs: DataFrame, rate: int = RATE, longest: int = LONGEST) -> Da
     return keyed.mapInArrow(each, "digest long, doc_id long")
 
 
-def copied_chunks(docs: DataFrame, rate: int = RATE, longest: int = LONGEST) -> DataFrame:
-    """(doc_id, copies): for documents with chunks that another owns, an array of (digest, owner)."""
+def shared_chunks(docs: DataFrame, rate: int = RATE, longest: int = LONGEST) -> DataFrame:
+    """(_id, shared): for documents with chunks that several have, an array of (digest, owner)."""
     table = chunk_table(docs, rate, longest)
     owned = table.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"))
-    shared = stage(owned.where("owner < other").select("digest", "owner"), "owners")
-    found = table.join(shared, "digest").where("doc_id > owner")
-    return found.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "owner")).alias("copies"))
+    several = stage(owned.where("owner < other").select("digest", "owner"), "owners")
+    found = table.join(several, "digest")
+    return found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("digest", "owner")).alias("shared"))
 
 
-def passages(text: bytes | None, copies: dict[int, int], rate: int, longest: int, min_words: int, certain: int) -> list[tuple[int, int, int | None]]:
-    """(first word, end word, owner) of each repeated passage of one text; owner None: this document itself."""
+def candidates(own: int, text: bytes | None, owners: dict[int, int], rate: int, longest: int, min_words: int, certain: int) -> tuple[list[dict], list[dict]]:
+    """(runs, beside) of one document: runs of copies that may be a passage, and what stands beside its owned chunks."""
     doc, size, digest = chunks([text], rate, longest)
     if not len(doc):
-        return []
+        return [], []
+    words = (text or b"").split()
     again = _again(doc, digest)
-    owners = [copies.get(d) for d in digest.view(np.int64).tolist()]
-    copy = again | np.array([o is not None for o in owners])
+    ids = digest.view(np.int64).tolist()
+    owner = [owners.get(d) for d in ids]
+    ends = np.cumsum(size).tolist()
+    copy = again | np.array([o is not None and o != own for o in owner])
+
+    def near(at: int, step: int) -> list[int]:
+        part = words[max(0, at - BESIDE) : at][::-1] if step < 0 else words[at : at + BESIDE]
+        return [zlib.crc32(w) - (1 << 31) for w in part]
+
+    beside = [
+        {"digest": d, "before": near(e - n, -1), "after": near(e, 1)}
+        for d, o, x, e, n in zip(ids, owner, again.tolist(), ends, size.tolist(), strict=True)
+        if o == own and not x
+    ]
+    runs = []
     edge = np.flatnonzero(np.diff(np.concatenate(([0], copy.astype(np.int8), [0]))))
-    ends = np.cumsum(size)
-    out = []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         n = int(size[a:b].sum())
         reach = n + (int(size[a - 1]) - 1 if a else 0) + (int(size[b]) - 1 if b < len(size) else 0)
-        if n >= certain and reach + BLURRED >= min_words:
-            named = [o for o in owners[a:b] if o is not None]
-            out.append((int(ends[a] - size[a]), int(ends[b - 1]), min(named) if named else None))
-    return out
+        if n < certain or reach + BLURRED < min_words:
+            continue
+        start, end = ends[a] - int(size[a]), ends[b - 1]
+        named = [o for o in owner[a:b] if o is not None and o != own]
+        runs.append(
+            {"start": start, "end": end, "owner": min(named) if named else None, "first": ids[a], "last": ids[b - 1], "before": near(start, -1), "after": near(end, 1)}
+        )
+    return runs, beside
+
+
+def agreement(x: Column, y: Column) -> Column:
+    """How many leading words two lists have in common; 0 where one is null."""
+    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+    stop = F.array_position(same, F.lit(False)).cast("int")
+    return F.coalesce(F.when(stop == 0, F.size(same)).otherwise(stop - 1), F.lit(0))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id (its id, ``NO_ID`` for null) and _key, which tells texts of one id apart."""
+    return docs.withColumns(
+        {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": F.xxhash64(F.col("text").cast("string"))}
+    )
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, certain: int = CERTAIN, rate: int = RATE, longest: int = LONGEST) -> DataFrame:
+    """(_id, _key, _passages): of documents with any, an array of (first_word, end_word, owner_doc_id) in order.
 
+    owner_doc_id is null where a document repeats itself (or the owner has no id).
+    """
+    shared = shared_chunks(docs, rate, longest)
+    base = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("_id", "_key", "text")
+    joined = base.join(shared.hint("shuffle_hash"), "_id", "left")
 
-def cut_out(text: str, found: list[tuple[int, int, int | None]]) -> str:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                out = []
+                for own, key, t, c in zip(part.column("_id").to_pylist(), part.column("_key").to_pylist(), texts, part.column("shared").to_pylist(), strict=True):
+                    runs, beside = candidates(own, t, {x["digest"]: x["owner"] for x in c or ()}, rate, longest, min_words, certain)
+                    if runs or beside:
+                        out.append({"_id": own, "_key": key, "runs": runs, "beside": beside})
+                yield pa.RecordBatch.from_pylist(out, RUNS)
+
+    found = stage(joined.select("_id", "_key", "text", "shared").mapInArrow(each, from_arrow_schema(RUNS)), "runs")
+    beside = found.select(F.explode("beside").alias("b")).select("b.*").dropDuplicates(["digest"])
+    left = beside.select(F.col("digest").alias("first"), F.col("before").alias("_before"))
+    right = beside.select(F.col("digest").alias("last"), F.col("after").alias("_after"))
+    runs = found.select("_id", "_key", F.explode("runs").alias("r")).select("_id", "_key", "r.*")
+    full = runs.join(left, "first", "left").join(right, "last", "left").select(
+        "_id", "_key",
+        (F.col("start") - agreement(F.col("before"), F.col("_before"))).alias("first_word"),
+        (F.col("end") + agreement(F.col("after"), F.col("_after"))).alias("end_word"),
+        F.when(F.col("owner") != NO_ID, F.col("owner")).alias("owner_doc_id"),
+    )
+    full = full.where(F.col("end_word") - F.col("first_word") >= min_words)
+    listed = full.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct("first_word", "end_word", "owner_doc_id"))).alias("p"))
+    return listed.select("_id", "_key", _merged(F.col("p")).alias("_passages"))
+
+
+def _merged(passages: Column) -> Column:
+    """Passages in order, those that overlap as one (with the smaller owner)."""
+    kind = "array<struct<first_word: int, end_word: int, owner_doc_id: bigint>>"
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(
+            last["first_word"].alias("first_word"), F.greatest(last["end_word"], x["end_word"]).alias("end_word"),
+            F.least(last["owner_doc_id"], x["owner_doc_id"]).alias("owner_doc_id"),
+        )
+        meets = (F.size(done) > 0) & (last["end_word"] > x["first_word"])
+        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x))).cast(kind)
+
+    return F.aggregate(passages.cast(kind), F.array().cast(kind), add)
+
+
+def cut_out(text: str, found: list[tuple[int, int]]) -> str:
     """text without these runs of words, and without the white space before each."""
     data = text.encode()
     spans = [m.span() for m in SPACED.finditer(data)]
     out, at = [], 0
-    for a, b, _ in found:
+    for a, b in found:
         out.append(data[at : spans[a - 1][1] if a else 0])
         at = spans[b - 1][1]
     out.append(data[at:])
     return b"".join(out).decode()
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, certain: int = CERTAIN, rate: int = RATE, longest: int = LONGEST, keep: tuple = ()) -> DataFrame:
-    """docs' doc_id, text and the columns ``keep``, with _passages: an array of (first_word, end_word, owner)."""
-    copies = copied_chunks(docs, rate, longest).withColumnRenamed("doc_id", "_id")
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep)
-    joined = base.join(copies, F.coalesce(base["doc_id"].cast("long"), F.lit(NO_ID)) == copies["_id"], "left").drop("_id")
-    kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("owner", pa.int64())]))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("copies")
-            rest = [i for i in range(batch.num_columns) if i != at]
-            for part, texts in slices(batch, "text"):
-                rows = []
-                for t, c in zip(texts, part.column(at).to_pylist(), strict=True):
-                    found = passages(t, {x["digest"]: x["owner"] for x in c or ()}, rate, longest, min_words, certain)
-                    rows.append([dict(zip(("first_word", "end_word", "owner"), f, strict=True)) for f in found])
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in rest], pa.array(rows, kind)],
-                    names=[*[part.schema.names[i] for i in rest], "_passages"],
-                )
-
-    return joined.mapInArrow(each, StructType([*base.schema.fields, StructField("_passages", PASSAGES)]))
-
-
 def substring_dedup(docs: DataFrame, **how) -> DataFrame:
     """docs with repeated passages cut out of every text but their owner's; the columns stay. n_chars, if there, is
     the new text's length. A document of which nothing is left stays, with an empty text."""
     plain, back = guard(docs, ("doc_id", "text", "n_chars"))
-    found = repeated_passages(plain, keep=tuple(c for c in plain.columns if c not in ("doc_id", "text")), **how)
-    text_at = found.columns.index("text")
+    found = stage(repeated_passages(plain, **how), "passages")
+    full = keyed(plain).join(found.hint("shuffle_hash"), ["_id", "_key"], "left").drop("_id", "_key")
+    text_at, at = full.columns.index("text"), full.columns.index("_passages")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch.column(batch.num_columns - 1).to_pylist()
-            texts = batch.column(text_at)
-            if any(hits):
+            hits, texts = batch.column(at), batch.column(text_at)
+            if hits.null_count < len(hits):
                 new = [
-                    cut_out(t, [(h["first_word"], h["end_word"], None) for h in f]) if f else t
-                    for t, f in zip(texts.to_pylist(), hits, strict=True)
+                    cut_out(t, [(h["first_word"], h["end_word"]) for h in f]) if f else t
+                    for t, f in zip(texts.to_pylist(), hits.to_pylist(), strict=True)
                 ]
                 texts = pa.array(new, pa.string())
-            cols = [texts if i == text_at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+            keep = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays(
+                [texts if i == text_at else batch.column(i) for i in keep], names=[batch.schema.names[i] for i in keep]
+            )
 
-    out = found.mapInArrow(each, StructType(found.schema.fields[:-1]))
+    out = full.mapInArrow(each, StructType([f for f in full.schema.fields if f.name != "_passages"]))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))

@@ -49,9 +49,10 @@ def corpus():
 def test_passages_are_found_and_cut_but_once(spark):
     rows, shared = corpus()
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, copies int, _id int")
-    found = {r.doc_id: r._passages for r in S.repeated_passages(docs.select("doc_id", "text")).collect()}
-    assert {d for d, p in found.items() if p} == {50, 51, 52, 60, 61, 62}
-    assert all(p[0].owner == d % 10 + 40 for d, p in found.items() if p)
+    found = {r._id: r._passages for r in S.repeated_passages(docs.select("doc_id", "text")).collect()}
+    assert set(found) == {50, 51, 52, 60, 61, 62}
+    for d, p in found.items():
+        assert [(x.first_word, x.end_word, x.owner_doc_id) for x in p] == [(50, 50 + len(shared[d % 10]), d % 10 + 40)]
     out = S.substring_dedup(docs)
     assert out.columns == docs.columns
     text = {r.doc_id: r.text for r in out.collect()}
@@ -61,8 +62,21 @@ def test_passages_are_found_and_cut_but_once(spark):
     for k, passage in enumerate(shared):
         holds = [d for d in (40 + k, 50 + k, 60 + k) if " ".join(passage) in text[d]]
         assert holds == [40 + k]
-        left = text[50 + k].split()
-        assert len(left) <= 120 + 30 and left[:40] == dict(rows)[50 + k].split()[:40]
+        old = dict(rows)[50 + k].split()
+        assert text[50 + k].split() == old[:50] + old[50 + len(passage) :]
+
+
+def test_the_threshold_is_exact(spark):
+    rows, want = [], set()
+    for i, n in enumerate([20, 30, 40, 45, 48, 49, 50, 51, 55] * 8):
+        p = say(n)
+        rows += [(2 * i, " ".join(say(39) + ["ax"] + p + ["bx"] + say(39))), (2 * i + 1, " ".join(say(24) + ["ay"] + p + ["by"] + say(29)))]
+        if n >= 50:
+            want.add((2 * i + 1, 25, 25 + n))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r._id, x.first_word, x.end_word) for r in S.repeated_passages(docs).collect() for x in r._passages}
+    assert not got - want, sorted(got - want)[:3]
+    assert len(want - got) <= 1, want - got
 
 
 def test_edges(spark):
