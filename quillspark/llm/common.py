@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.shipping import ship
+
 #: Characters of text that one step of a Python operator holds as Python objects.
 SLICE_CHARS = 1_000_000
 
@@ -26,13 +28,14 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _staged: list[tuple[SparkSession, str]] = []
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller settings stay."""
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the executors and lowers the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller settings stay."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         now = int(spark.conf.get(key).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and returns the table read back."""
     spark = df.sparkSession
-    bound_batches(spark)
+    prepare(spark)
     path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))
@@ -80,7 +83,7 @@ def _clear() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,8 +6,8 @@ only the cuts beside it. A chunk (of at most ``LONGEST`` words) is known by a 64
 smallest id that has a chunk owns it; elsewhere, and where it comes again in its own document, it is a copy.
 
 A run of neighbouring copies that, with the chunks it cuts at both ends, may reach ``MIN_WORDS`` words is a candidate.
-It is then extended word by word into the cut chunks as far as the owner's words beside its own copy agree (hashes of
-up to ``BESIDE`` words travel with each owned shared chunk), and is a repeated passage when it has ``MIN_WORDS`` words
+From the first and last chunk that each owner in it has, it is then extended word by word as far as the owner's words
+beside its own copy agree (hashes of up to ``BESIDE`` words travel with each owned shared chunk), and is a repeated passage when it has ``MIN_WORDS`` words
 then. So passages are exact: what is cut is what is repeated.
 
 Volume: a row (digest, doc_id) for each distinct chunk of a document. The owner of a digest is a minimum, combined
@@ -167,11 +167,15 @@ def candidates(own: int, text: bytes | None, owners: dict[int, int], rate: int,
         reach = n + (int(size[a - 1]) - 1 if a else 0) + (int(size[b]) - 1 if b < len(size) else 0)
         if n < certain or reach + BLURRED < min_words:
             continue
-        start, end = ends[a] - int(size[a]), ends[b - 1]
-        named = [o for o in owner[a:b] if o is not None and o != own]
-        runs.append(
-            {"start": start, "end": end, "owner": min(named) if named else None, "first": ids[a], "last": ids[b - 1], "before": near(start, -1), "after": near(end, 1)}
-        )
+        # A part of the passage may be another document's too, with a smaller id: each owner in the run is a witness.
+        by: dict[int | None, list[int]] = {}
+        for i in range(a, b):
+            by.setdefault(None if owner[i] == own else owner[i], []).append(i)
+        for o, at in by.items():
+            start, end = ends[at[0]] - int(size[at[0]]), ends[at[-1]]
+            runs.append(
+                {"start": start, "end": end, "owner": o, "first": ids[at[0]], "last": ids[at[-1]], "before": near(start, -1), "after": near(end, 1)}
+            )
     return runs, beside
 
 
