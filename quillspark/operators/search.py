@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark import constants as C
+from quillspark.shipping import ship
 
 #: Queries of one block, times dimensions: 64 MB of doubles at most.
 BLOCK_VALUES = 8_000_000
@@ -52,6 +53,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
     """
     per = list(per)
     spark = vectors.sparkSession
+    ship(spark)
     out = None
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     qkind = queries.schema["qid"].dataType.simpleString()
