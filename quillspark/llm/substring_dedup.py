@@ -139,34 +139,43 @@ def shared_chunks(docs: DataFrame, rate: int = RATE, longest: int = LONGEST) ->
     return found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("digest", "owner")).alias("shared"))
 
 
-def candidates(own: int, text: bytes | None, owners: dict[int, int], rate: int, longest: int, min_words: int, certain: int) -> tuple[list[dict], list[dict]]:
-    """(runs, beside) of one document: runs of copies that may be a passage, and what stands beside its owned chunks."""
-    doc, size, digest = chunks([text], rate, longest)
-    if not len(doc):
-        return [], []
-    words = (text or b"").split()
-    again = _again(doc, digest)
+def _runs(flag: np.ndarray, size: np.ndarray, min_words: int, certain: int) -> list[tuple[int, int]]:
+    """Runs of marked chunks that may be of a passage: they have ``certain`` words and, with what their cut neighbours
+    may add, ``min_words``."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], flag.astype(np.int8), [0]))))
+    out = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        n = int(size[a:b].sum())
+        reach = n + (int(size[a - 1]) - 1 if a else 0) + (int(size[b]) - 1 if b < len(size) else 0)
+        if n >= certain and reach + BLURRED >= min_words:
+            out.append((a, b))
+    return out
+
+
+def candidates(own: int, text: bytes, size: np.ndarray, digest: np.ndarray, again: np.ndarray, owners: dict[int, int], min_words: int, certain: int) -> tuple[list[dict], list[dict]]:
+    """(runs, beside) of one document: runs of copies that may be a passage, and what stands beside the chunks that it
+    owns where a passage may be (a copy's run has its owner's chunks in such a run too)."""
     ids = digest.view(np.int64).tolist()
     owner = [owners.get(d) for d in ids]
-    ends = np.cumsum(size).tolist()
+    shared = np.array([o is not None for o in owner])
     copy = again | np.array([o is not None and o != own for o in owner])
+    found, places = _runs(copy, size, min_words, certain), _runs(shared, size, min_words, certain)
+    if not found and not places:
+        return [], []
+    ends, words = np.cumsum(size).tolist(), text.split()
 
     def near(at: int, step: int) -> list[int]:
         part = words[max(0, at - BESIDE) : at][::-1] if step < 0 else words[at : at + BESIDE]
         return [zlib.crc32(w) - (1 << 31) for w in part]
 
     beside = [
-        {"digest": d, "before": near(e - n, -1), "after": near(e, 1)}
-        for d, o, x, e, n in zip(ids, owner, again.tolist(), ends, size.tolist(), strict=True)
-        if o == own and not x
+        {"digest": ids[i], "before": near(ends[i] - int(size[i]), -1), "after": near(ends[i], 1)}
+        for a, b in places
+        for i in range(a, b)
+        if owner[i] == own and not again[i]
     ]
     runs = []
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], copy.astype(np.int8), [0]))))
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        n = int(size[a:b].sum())
-        reach = n + (int(size[a - 1]) - 1 if a else 0) + (int(size[b]) - 1 if b < len(size) else 0)
-        if n < certain or reach + BLURRED < min_words:
-            continue
+    for a, b in found:
         # A part of the passage may be another document's too, with a smaller id: each owner in the run is a witness.
         by: dict[int | None, list[int]] = {}
         for i in range(a, b):
@@ -198,16 +207,25 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, certain: int
 
     owner_doc_id is null where a document repeats itself (or the owner has no id).
     """
-    shared = shared_chunks(docs, rate, longest)
+    several = shared_chunks(docs, rate, longest)
     base = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("_id", "_key", "text")
-    joined = base.join(shared.hint("shuffle_hash"), "_id", "left")
+    joined = base.join(several.hint("shuffle_hash"), "_id", "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 out = []
-                for own, key, t, c in zip(part.column("_id").to_pylist(), part.column("_key").to_pylist(), texts, part.column("shared").to_pylist(), strict=True):
-                    runs, beside = candidates(own, t, {x["digest"]: x["owner"] for x in c or ()}, rate, longest, min_words, certain)
+                doc, size, digest = chunks(texts, rate, longest)
+                again = _again(doc, digest)
+                at = np.searchsorted(doc, np.arange(len(texts) + 1))
+                repeats = np.add.reduceat(np.append(again, False), np.minimum(at[:-1], len(again))) if len(texts) else again
+                shared = part.column("shared")
+                for i, (own, key) in enumerate(zip(part.column("_id").to_pylist(), part.column("_key").to_pylist(), strict=True)):
+                    a, b = int(at[i]), int(at[i + 1])
+                    if a == b or not (shared[i].is_valid or repeats[i]):
+                        continue
+                    owners = {x["digest"]: x["owner"] for x in shared[i].as_py() or ()}
+                    runs, beside = candidates(own, texts[i], size[a:b], digest[a:b], again[a:b], owners, min_words, certain)
                     if runs or beside:
                         out.append({"_id": own, "_key": key, "runs": runs, "beside": beside})
                 yield pa.RecordBatch.from_pylist(out, RUNS)
