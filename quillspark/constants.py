@@ -16,6 +16,23 @@ PROMPT_CHARS = 16384
 EXTRACTION_CHARS = 32000
 SYNTHESIS_CONTEXTS, SYNTHESIS_CONTEXT_CHARS = 4, 1800
 
+#: Formats of texts that other stages read.
+CANDIDATE_TAG, PROSE_TAG, CODE_TAG = "[DIAGNOSIS CANDIDATE]", "[CLINICAL PROSE]", "(SNOMED"
+EDGE_TAG = "GRAPH EDGE:"
+SYNTHESIS_HEAD = "You are a {role}. Answer using ONLY the context. Cite source numbers. If missing, say so.\n\nCONTEXT:\n"
+SYNTHESIS_QUESTION = "\n\nQUESTION: "
+METADATA_WARNING = "metadata field '{key}' not in profile schema for domain '{domain}'"
+
+# --- model output
+CHANNEL_MARK = "<|channel|>"
+FENCE = r"```(?:json)?\s*(.*?)```"
+ARROW_TRIPLE = r'->\s*([^\s"][^\n]*?)\s+([A-Z][A-Z_]+)\s+([^\s"][^\n]*)'
+PLAIN_TRIPLE = r"\b([A-Za-z0-9\-]+)\s+([A-Z][A-Z_]{2,})\s+([A-Za-z0-9\-]+)\b"
+NAME_END = r"""[\s"'`.,;:]+$"""
+NODE_NAMES, NODE_TYPES = ["id", "name", "entity", "label", "text"], ["type", "entity_type", "node_type"]
+EDGE_SOURCES, EDGE_TARGETS = ["source", "from", "head", "subject"], ["target", "to", "tail", "object"]
+EDGE_TYPES = ["type", "relation", "label", "relationship"]
+
 # --- routing and grading
 ID_TOKEN = r"\b[A-Za-z]{2,}-\d+\b"
 FACTUAL_LEAD = r"(?i)^\s*(who|what|when|where|which)\b"
@@ -50,6 +67,8 @@ DAY_POWER = 1.5
 # --- transactions
 ACCOUNT = r"(?:account|acct)\s+([a-z0-9_]+)"
 VELOCITY = 10
+RING_TEXT = ["[FRAUD SIGNAL] Account ", " shares ", " with account ", " (possible collusion ring)."]
+VELOCITY_TEXT = ["[FRAUD SIGNAL] Account ", " shows velocity spike: ", " outbound transactions (possible rapid-cycling fraud)."]
 
 # --- evaluation
 ABSTENTIONS = [

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark import constants as C
+
 RELATIONS = T.ArrayType(
     T.StructType(
         [
@@ -79,9 +81,9 @@ def relation_list(text: str | None) -> list[dict] | None:
     """J-4: what a model's answer holds as relations: after its last channel mark, in a fence, or its last balanced
     array or object; whole objects of what is cut off. None where there is no bracket at all."""
     text = (text or "").strip()
-    mark = "<|channel|>"
+    mark = C.CHANNEL_MARK
     text = text[text.rfind(mark) + len(mark) :].strip() if mark in text else text
-    fence = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
+    fence = re.search(C.FENCE, text, re.S)
     if fence:
         whole, rest = fence.group(1).strip(), fence.group(1)
     elif (at := text.rfind("[")) >= 0:
@@ -104,8 +106,7 @@ def relation_list(text: str | None) -> list[dict] | None:
 def reasoned_relations(text: str | None) -> list[dict]:
     """J-5: triples written in prose, ``-> A REL B`` or ``A REL B``."""
     text = text or ""
-    out = re.findall(r'->\s*([^\s"][^\n]*?)\s+([A-Z][A-Z_]+)\s+([^\s"][^\n]*)', text)
-    out += re.findall(r"\b([A-Za-z0-9\-]+)\s+([A-Z][A-Z_]{2,})\s+([A-Za-z0-9\-]+)\b", text)
+    out = re.findall(C.ARROW_TRIPLE, text) + re.findall(C.PLAIN_TRIPLE, text)
     return [{"source": a.strip(), "type": r, "target": b.strip()} for a, r, b in out]
 
 
@@ -158,8 +159,8 @@ def normal_nodes(text: Column) -> Column:
     nodes = F.transform(
         _list(text, "nodes"),
         lambda n: F.struct(
-            _first(n, "id", "name", "entity", "label", "text").alias("id"),
-            F.coalesce(_first(n, "type", "entity_type", "node_type"), F.lit("Unknown")).alias("type"),
+            _first(n, *C.NODE_NAMES).alias("id"),
+            F.coalesce(_first(n, *C.NODE_TYPES), F.lit("Unknown")).alias("type"),
             _first(n, "discovered_by").alias("discovered_by"),
         ),
     )
@@ -171,9 +172,9 @@ def normal_edges(text: Column) -> Column:
     edges = F.transform(
         _list(text, "edges"),
         lambda e: F.struct(
-            _first(e, "source", "from", "head", "subject").alias("source"),
-            _first(e, "target", "to", "tail", "object").alias("target"),
-            F.coalesce(_first(e, "type", "relation", "label", "relationship"), F.lit("RELATED")).alias("type"),
+            _first(e, *C.EDGE_SOURCES).alias("source"),
+            _first(e, *C.EDGE_TARGETS).alias("target"),
+            F.coalesce(_first(e, *C.EDGE_TYPES), F.lit("RELATED")).alias("type"),
         ),
     )
     return F.filter(edges, lambda e: e["source"].isNotNull() & e["target"].isNotNull())

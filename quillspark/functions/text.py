@@ -221,23 +221,23 @@ def rewrite(query: Column) -> Column:
 
 
 def _untagged(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("[DIAGNOSIS CANDIDATE]"), F.lit("")), F.lit("[CLINICAL PROSE]"), F.lit(""))
+    return F.replace(F.replace(text, F.lit(C.CANDIDATE_TAG), F.lit("")), F.lit(C.PROSE_TAG), F.lit(""))
 
 
 def normal_name(text: Column) -> Column:
     """The title a candidate is compared by."""
     line = F.split_part(strip(_untagged(text)), F.lit("\n"), F.lit(1))
-    return F.lower(strip(F.split_part(line, F.lit("(SNOMED"), F.lit(1))))
+    return F.lower(strip(F.split_part(line, F.lit(C.CODE_TAG), F.lit(1))))
 
 
 def display_name(text: Column) -> Column:
     line = F.split_part(_untagged(text), F.lit("\n"), F.lit(1))
-    return F.left(strip(F.split_part(line, F.lit("(SNOMED"), F.lit(1))), F.lit(120))
+    return F.left(strip(F.split_part(line, F.lit(C.CODE_TAG), F.lit(1))), F.lit(120))
 
 
 def entity_name(name: Column) -> Column:
     """Without quotes and punctuation at its end."""
-    return strip(F.regexp_replace(strip(name), r"""[\s"'`.,;:]+$""", ""))
+    return strip(F.regexp_replace(strip(name), C.NAME_END, ""))
 
 
 def relation_type(name: Column) -> Column:
@@ -347,10 +347,9 @@ def synthesis_prompt(query: Column, contexts: Column, role: str = "knowledge ass
         text = F.replace(F.replace(F.lit(template), F.lit("{context}"), ctx), F.lit("{query}"), query)
         return F.left(text, F.lit(C.PROMPT_CHARS))
     base = F.concat(
-        F.lit(f"You are a {role}. Answer using ONLY the context. Cite source numbers. If missing, say so.\n\nCONTEXT:\n"),
-        ctx, F.lit("\n\nQUESTION: "), query,
+        F.lit(C.SYNTHESIS_HEAD.replace("{role}", role)), ctx, F.lit(C.SYNTHESIS_QUESTION), query,
     )
-    edges = F.exists(contexts, lambda c: F.contains(c, F.lit("GRAPH EDGE:")))
+    edges = F.exists(contexts, lambda c: F.contains(c, F.lit(C.EDGE_TAG)))
     return F.left(F.when(edges, F.concat(F.lit(EDGE_FRAMING), base)).otherwise(base), F.lit(C.PROMPT_CHARS))
 
 
@@ -380,5 +379,5 @@ def metadata_warnings(metadata: Column, allowed: list[str], domain: str) -> Colu
     unknown = F.array_sort(F.array_except(F.map_keys(metadata), F.array(*map(F.lit, allowed))))
     return F.transform(
         F.coalesce(unknown, F.array().cast("array<string>")),
-        lambda k: F.concat(F.lit("metadata field '"), k, F.lit(f"' not in profile schema for domain '{domain}'")),
+        lambda k: F.replace(F.lit(C.METADATA_WARNING.replace("{domain}", domain)), F.lit("{key}"), k),
     )

@@ -151,7 +151,7 @@ def edge_statements(edges: DataFrame, names: DataFrame) -> DataFrame:
     d = names.select(F.col("id").alias("dst"), F.col("name").alias("_d"))
     full = edges.join(s, "src", "left").join(d, "dst", "left")
     text = F.concat(
-        F.lit("GRAPH EDGE: "), F.coalesce("_s", F.col("src").cast("string")), F.lit(" -["), F.col("rel"), F.lit("]-> "),
+        F.lit(C.EDGE_TAG + " "), F.coalesce("_s", F.col("src").cast("string")), F.lit(" -["), F.col("rel"), F.lit("]-> "),
         F.coalesce("_d", F.col("dst").cast("string")),
     )
     return full.select(text.alias("text"), F.lit("graph_edge").alias("doc_type"), "src", "dst", "rel")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
@@ -31,21 +31,25 @@ def velocity(txns: DataFrame, least: int = C.VELOCITY) -> DataFrame:
     return txns.groupBy(F.col("from").alias("account")).agg(F.countDistinct("txn_id").alias("n_txns")).where(F.col("n_txns") >= least)
 
 
+def _told(pieces: list[str], *values) -> Column:
+    """The pieces of a fixed sentence with the values between them."""
+    woven = [x for piece, value in zip(pieces, [*values, None], strict=True) for x in (F.lit(piece), value)]
+    return F.concat(*woven[:-1])
+
+
 def signals(queries: DataFrame, txns: DataFrame, k: int = 5) -> DataFrame:
     """(qid, text, doc_id, doc_type): ring and velocity sentences for the account a query names."""
     asked = queries.select("qid", T.account_id(F.col("text")).alias("account")).where("account is not null")
     sent = txns.withColumn("from", F.lower(F.col("from").cast("string")))
     ring = asked.join(rings(asked, hubs(sent), k), "account").select(
         "qid",
-        F.concat(F.lit("[FRAUD SIGNAL] Account "), "account", F.lit(" shares "), "kind", F.lit(" with account "), "peer",
-                 F.lit(" (possible collusion ring).")).alias("text"),
+        _told(C.RING_TEXT, "account", "kind", "peer").alias("text"),
         F.concat(F.lit("fraud:"), "account", F.lit(":"), "peer").alias("doc_id"),
     )
     own = sent.join(asked.select(F.col("account").alias("from")).distinct(), "from", "left_semi")
     fast = asked.join(velocity(own), "account").select(
         "qid",
-        F.concat(F.lit("[FRAUD SIGNAL] Account "), "account", F.lit(" shows velocity spike: "), F.col("n_txns").cast("string"),
-                 F.lit(" outbound transactions (possible rapid-cycling fraud).")).alias("text"),
+        _told(C.VELOCITY_TEXT, "account", F.col("n_txns").cast("string")).alias("text"),
         F.concat(F.lit("fraud:velocity:"), "account").alias("doc_id"),
     )
     return ring.union(fast).withColumn("doc_type", F.lit("fraud_graph"))
