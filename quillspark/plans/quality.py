@@ -223,24 +223,24 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.drift(d, "source", 1 - F.col("quality"), F.lit(1))
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+@query("SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: tumbling windows."""
     e = table(spark, sf_dir, "events")
-    return streams.event_windows(e, "ts", ["event_type"], "1 hour").select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return streams.event_windows(e, "ts", ["event_type"], "1 hour").select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", "total")
 
 
 @query(
     """
     WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS s FROM events),
     h AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-    SELECT user_id, min(ts) AS start, count(*) AS n FROM h GROUP BY user_id, k
+    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM h GROUP BY user_id, k
     """
 )
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: session windows."""
     e = streams.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes")
-    return e.select("user_id", F.col("session_window.start").alias("start"), "n")
+    return e.select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n")
 
 
 @query(
