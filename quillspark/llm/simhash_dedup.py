@@ -76,20 +76,18 @@ def _variants(value: Column, bits: int) -> Column:
     )
 
 
-def _keys(fp: Column, level: int, key: Column) -> Column:
-    """Array of bucket keys. Level 0: of the halves. Then: of the parts of the half or quarter that isn't yet used."""
-    if level == 0:
-        high = F.shiftrightunsigned(fp, 32)
-        low = fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-        tag = lambda s: lambda v: v.bitwiseOR(F.lit(s << 40).cast("long"))
-        return F.concat(F.transform(_variants(low, 32), tag(0)), F.transform(_variants(high, 32), tag(1)))
-    raise ValueError(level)
-
-
-def _deeper(key: np.ndarray, fp: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> tuple:
-    """Keys of the next level, for fingerprints of buckets that are too large; rest: where the unused bits begin."""
+def _keys(fp: Column) -> Column:
+    """The 64 bucket keys of a fingerprint: the variants of its low half, then those of its high half."""
+    tag = lambda s: lambda v: v.bitwiseOR(F.lit(s << 40).cast("long"))
+    low = fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return F.concat(F.transform(_variants(low, 32), tag(0)), F.transform(_variants(F.shiftrightunsigned(fp, 32), 32), tag(1)))
+
+
+def _deeper(key: np.ndarray, fp: np.ndarray, rest: np.ndarray, bits: int) -> tuple:
+    """Keys of the next level, for fingerprints of buckets that are too large: variants of both halves of the ``bits``
+    unused bits, which begin at ``rest``."""
     out_k, out_f, out_r = [], [], []
-    half = int(bits[0]) // 2
+    half = bits // 2
     for part in range(2):
         start = rest + np.uint64(part * half)
         value = (fp >> start) & np.uint64((1 << half) - 1)
@@ -148,7 +146,7 @@ def _buckets(level: int, distance: int, most: int):
                     k.append(np.full(len(x[0]), -1, np.int64))
                 else:
                     own, key, rest = x
-                    nk, nf, nr = _deeper(np.full(len(own), key), own, np.full(len(own), rest), np.full(1, bits))
+                    nk, nf, nr = _deeper(np.full(len(own), key), own, np.full(len(own), rest), bits)
                     a.append(nf), b.append(nk)
                     k.append(nr.astype(np.int64))
             if a and sum(map(len, a)):
@@ -193,7 +191,7 @@ def fingerprint_links(reps: DataFrame, distance: int = DISTANCE, most: int = MOS
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with one wildcard bit cover at most three differing bits")
-    keyed = reps.select("fp", F.explode(_keys(F.col("fp"), 0, F.lit(0))).alias("key")).select(
+    keyed = reps.select("fp", F.explode(_keys(F.col("fp"))).alias("key")).select(
         "key", "fp", F.when(F.shiftright("key", 40) == 0, 32).otherwise(0).cast("long").alias("rest")
     )
     found = None
