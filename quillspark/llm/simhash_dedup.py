@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import connected_components, guard, slices, stage, unstage
@@ -66,21 +66,25 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
-def _variants(value: Column, bits: int) -> Column:
-    """Array of the one-wildcard variants of an unsigned value: i in the high part, the value without bit i below."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bits - 1)),
-        lambda i: F.shiftleft(i.cast("long"), 32).bitwiseOR(
-            value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-        ),
-    )
-
+def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp, rest): for each fingerprint the one-wildcard variants of its low half, then of its high half.
 
-def _keys(fp: Column) -> Column:
-    """The 64 bucket keys of a fingerprint: the variants of its low half, then those of its high half."""
-    tag = lambda s: lambda v: v.bitwiseOR(F.lit(s << 40).cast("long"))
-    low = fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    return F.concat(F.transform(_variants(low, 32), tag(0)), F.transform(_variants(F.shiftrightunsigned(fp, 32), 32), tag(1)))
+    A key is the half without bit i, with i above it and the half's number above that; rest: where the other half
+    begins.
+    """
+    bit = np.arange(32, dtype=np.uint64)
+    for batch in batches:
+        fp = batch.column(0).to_numpy().view(np.uint64)
+        keys = []
+        for half in (0, 1):
+            value = (fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+            kept = value[:, None] & ~(np.uint64(1) << bit)[None, :]
+            keys.append(kept | (bit << np.uint64(32))[None, :] | np.uint64(half << 40))
+        key = np.concatenate(keys, axis=1).ravel().view(np.int64)
+        rest = np.tile(np.repeat(np.array([32, 0], np.int64), 32), len(fp))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(np.repeat(fp.view(np.int64), 64)), pa.array(rest)], names=["key", "fp", "rest"]
+        )
 
 
 def _deeper(key: np.ndarray, fp: np.ndarray, rest: np.ndarray, bits: int) -> tuple:
@@ -191,9 +195,8 @@ def fingerprint_links(reps: DataFrame, distance: int = DISTANCE, most: int = MOS
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with one wildcard bit cover at most three differing bits")
-    keyed = reps.select("fp", F.explode(_keys(F.col("fp"))).alias("key")).select(
-        "key", "fp", F.when(F.shiftright("key", 40) == 0, 32).otherwise(0).cast("long").alias("rest")
-    )
+    # Dealt out first: a task makes 64 rows of each of its fingerprints.
+    keyed = reps.select("fp").repartition("fp").mapInArrow(variants, "key long, fp long, rest long")
     found = None
     for level in range(3):
         step = stage(
