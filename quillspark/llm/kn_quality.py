@@ -1,17 +1,14 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model trained on trusted text.
 
-The n-grams are of characters, each folded into one of 64 symbols, up to order four. The inventory is therefore
-bounded (2 ** 24 four-grams, whatever the corpus), which is what keeps the count tables and the finished model small;
-README gives the figures that rule word n-grams out under the disk limit. Counts of all trusted documents are combined
-per task, shuffled by n-gram and summed; continuation counts, discounts and back-off weights are aggregates and joins
-of the sharded count tables. The finished probabilities (at most 2 ** 24 rows) go to every task.
+The n-grams that decide are of words, three at most, of an open vocabulary (``word_model``). What is here of character
+four-grams (``grams`` to ``perplexities``) is a small model of its own that no query uses.
 
-A document's perplexity is exp of its mean negative log probability per symbol. A document is kept when its perplexity
+A document's perplexity is exp of its mean negative log probability per word (its end is one). A document is kept when its perplexity
 is not above the quantile ``QUANTILE`` of the perplexities of the trusted documents of its language and length class
 (all of them, to a precision of ``STEP`` in log perplexity). A group of under ``LEAST`` trusted documents takes the
 quantile of its length class in all languages, else of its language, else of all.
 
-Defined cases: null or empty text has no perplexity (null) and is not kept. A null lang is a language of its own.
+Defined cases: text that is null or without words has no perplexity (null) and is not kept. A null lang is a language of its own.
 Labels of unknown ids are not used; a document with labels of both kinds is trusted. Repeated rows count and score
 each. Without trusted text nothing has a perplexity and nothing is kept. Extra columns are not read.
 """
@@ -27,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.llm import word_model as words
 from quillspark.llm.common import slices, stage
 
 ORDER, BITS, QUANTILE, STEP, LEAST, LENGTHS = 4, 6, 0.99, 1e-4, 20, (64, 256)
@@ -194,9 +192,15 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     """(doc_id, lang, n_symbols, perplexity, threshold, trusted, kept). Trusted: labelled of quality 1."""
     good = labels.where("quality = 1").select("doc_id").distinct()
     base = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    half = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fold")), F.lit(2)).cast("int")
+    base = base.withColumn("fold", half)
     # By one plan at every size: the texts are shuffled once, unsorted, beside the trusted ids.
-    model = train(base.join(good.hint("shuffle_hash"), "doc_id", "left_semi"))
-    scored = perplexities(base, model, ["doc_id", "lang"]).withColumn("length", length_class(F.col("n_symbols")))
+    model, unknown = words.train(base.join(good.hint("shuffle_hash"), "doc_id", "left_semi"))
+    if unknown:
+        scored = words.log_perplexities(base, model, unknown, ["doc_id", "lang"])
+    else:
+        scored = base.select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("log_perplexity"))
+    scored = scored.withColumn("length", length_class(F.col("n_symbols")))
     scored = stage(scored.join(good.withColumn("_good", F.lit(True)), "doc_id", "left"), "scored")
     trusted = scored.where("_good")
     fine = stage(thresholds(trusted, ["lang", "length"], quantile), "limits")
