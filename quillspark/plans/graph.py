@@ -271,3 +271,11 @@ def cooccurring_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 40)
     found = docs.select("doc_id", F.explode(F.array_distinct(F.filter(w, lambda x: F.length(x) >= 7))).alias("name"))
     return X.cooccurring(docs, found)
+
+
+@query()
+def cooccurring_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2 with a recogniser that takes the long words of all of a document for its entities."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda x: F.length(x) >= 7))).alias("name"))
+    return X.cooccurring(docs, found)
