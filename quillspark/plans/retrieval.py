@@ -10,7 +10,7 @@ from quillspark.functions import text as T
 from quillspark.operators import aliases as A
 from quillspark.operators import corrective as R
 from quillspark.operators import fusion, search, terminology, terms
-from quillspark.plans.registry import BLANKS, query, sents, strings, table, tok, words
+from quillspark.plans.registry import BLANKS, ORACLE, query, sents, strings, table, tok, words
 
 # A terminology of the documents: each is a concept, its sentences are its terms, its language that of the terms.
 _CONCEPTS = f"""
@@ -173,10 +173,18 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _SCORES = "s AS (SELECT a.vec_id AS qid, a.label AS ql, b.vec_id AS id, b.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b)"
 
 
+def _vector_topk(q: DataFrame, v: DataFrame) -> DataFrame:
+    return search.top_k(q, v, 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {_SCORES} SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, v = _vectors(spark, sf_dir)
-    return search.top_k(q, v, 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return _vector_topk(*_vectors(spark, sf_dir))
+
+
+def _vector_topk_multi(q: DataFrame, v: DataFrame) -> DataFrame:
+    merged = search.merge_collections(search.top_k(q, v, 5, ["label"]), 12)
+    return merged.select("qid", "id", "label", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -186,15 +194,10 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def vector_topk_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, v = _vectors(spark, sf_dir)
-    merged = search.merge_collections(search.top_k(q, v, 5, ["label"]), 12)
-    return merged.select("qid", "id", "label", "score", F.col("rank").cast("long").alias("rank"))
+    return _vector_topk_multi(*_vectors(spark, sf_dir))
 
 
-@query(f"WITH {_SCORES} SELECT qid, CAST(label AS VARCHAR) AS scope, id, score FROM s WHERE label = ql AND score >= 0.2 AND id <> qid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) = 1")
-def semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R12 with a floor that the test vectors reach: of the two best of its scope the one that isn't the query itself."""
-    q, v = _vectors(spark, sf_dir)
+def _semantic_cache(q: DataFrame, v: DataFrame) -> DataFrame:
     q, v = (d.withColumn("scope", F.col("label").cast("string")) for d in (q, v))
     hits = search.top_k(q.select("qid", "vector"), v, 2, ["scope"], 0.2)
     own = hits.join(q.select("qid", "scope"), ["qid", "scope"]).where("qid <> id")
@@ -203,6 +206,22 @@ def semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_per(own, ["qid"], [F.col("score").desc(), F.col("id")]).select("qid", "scope", "id", "score")
 
 
+@query(f"WITH {_SCORES} SELECT qid, CAST(label AS VARCHAR) AS scope, id, score FROM s WHERE label = ql AND score >= 0.2 AND id <> qid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) = 1")
+def semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R12 with a floor that the test vectors reach: of the two best of its scope the one that isn't the query itself."""
+    return _semantic_cache(*_vectors(spark, sf_dir))
+
+
+def _entity_resolution(q: DataFrame, v: DataFrame) -> DataFrame:
+    hits = search.top_k(q, v, 1, ["label"], 0.35).join(q.select("qid", F.col("label").alias("ql")), "qid").where("label <> ql")
+    from quillspark.operators.ranking import first_per
+
+    best = first_per(hits, ["qid"], [F.col("score").desc(), F.col("id")]).select("qid", "id")
+    return q.select("qid").join(best, "qid", "left").select(
+        F.col("qid").alias("name"), F.col("id").isNotNull().alias("matched"), F.col("id").cast("string").alias("match")
+    )
+
+
 @query(
     f"""
     WITH {_SCORES}, b AS (SELECT qid, id AS match FROM s WHERE label <> ql AND score >= 0.35 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) = 1)
@@ -211,14 +230,36 @@ def semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each asked vector against the existing nodes of other labels, at a threshold that some reach."""
-    q, v = _vectors(spark, sf_dir)
-    hits = search.top_k(q, v, 1, ["label"], 0.35).join(q.select("qid", F.col("label").alias("ql")), "qid").where("label <> ql")
-    from quillspark.operators.ranking import first_per
+    return _entity_resolution(*_vectors(spark, sf_dir))
 
-    best = first_per(hits, ["qid"], [F.col("score").desc(), F.col("id")]).select("qid", "id")
-    return q.select("qid").join(best, "qid", "left").select(
-        F.col("qid").alias("name"), F.col("id").isNotNull().alias("matched"), F.col("id").cast("string").alias("match")
-    )
+
+# The searches' own query set: every vector whose id 20 divides.
+_ASKED_SCORES = _SCORES.replace("embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b", "embeddings a, embeddings b WHERE a.vec_id % 20 = 0")
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return v.where("id % 20 = 0").withColumnRenamed("id", "qid"), v
+
+
+@query(ORACLE["vector_topk"].replace(_SCORES, _ASKED_SCORES))
+def vector_topk_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_topk(*_asked_vectors(spark, sf_dir))
+
+
+@query(ORACLE["vector_topk_multi"].replace(_SCORES, _ASKED_SCORES))
+def vector_topk_multi_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_topk_multi(*_asked_vectors(spark, sf_dir))
+
+
+@query(ORACLE["semantic_cache"].replace(_SCORES, _ASKED_SCORES))
+def semantic_cache_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _semantic_cache(*_asked_vectors(spark, sf_dir))
+
+
+@query(ORACLE["entity_resolution"].replace(_SCORES, _ASKED_SCORES).replace("embeddings JOIN benchmark ON item_id = vec_id LEFT", "(FROM embeddings WHERE vec_id % 20 = 0) LEFT"))
+def entity_resolution_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity_resolution(*_asked_vectors(spark, sf_dir))
 
 
 _ALIASES = [("Then Of", "Thenable", ["thonor", "the"], 1), ("La Mentoi", "Place", ["que", "la"], 2), ("Einung", "Org", ["der", "die das"], 3), ("The", "Word", [], 4)]

@@ -1,0 +1,12 @@
+"""The searches' query set is every vector whose id 20 divides."""
+
+from quillspark.plans import ORACLE, QUERIES
+
+
+def test_one_in_twenty_vectors_is_asked(spark, sf_dir):
+    ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+    assert {r.qid for r in QUERIES["vector_topk_asked"](spark, sf_dir).collect()} == ids
+    assert {r.qid for r in QUERIES["vector_topk_multi_asked"](spark, sf_dir).collect()} == ids
+    assert {r.name for r in QUERIES["entity_resolution_asked"](spark, sf_dir).collect()} == ids
+    for name in ("vector_topk", "vector_topk_multi", "semantic_cache", "entity_resolution"):
+        assert "benchmark" in ORACLE[name] and "benchmark" not in ORACLE[f"{name}_asked"]
