@@ -10,7 +10,7 @@ from quillspark.operators import documents as D
 from quillspark.operators import extraction as X
 from quillspark.operators import graph as G
 from quillspark.operators import transactions as TX
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import ORACLE, query, table
 
 # Nodes: suppliers (S...), named by part they come with; edges: supplier to part; a document is an order.
 _MENTIONS = "m AS (SELECT 'S' || l_suppkey AS id, 'Supplier ' || l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN ' Ltd' ELSE '' END AS name, l_returnflag AS type, l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)"
@@ -279,3 +279,21 @@ def cooccurring_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda x: F.length(x) >= 7))).alias("name"))
     return X.cooccurring(docs, found)
+
+
+# Accounts asked for: one in twenty, however many there are.
+_BEST, _TWENTIETH = "ORDER BY c_acctbal DESC, c_custkey LIMIT 20", "WHERE c_custkey % 20 = 0"
+
+
+@query(ORACLE["fraud_ring"].replace(_BEST, _TWENTIETH))
+def fraud_ring_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 for every account whose key 20 divides."""
+    asked = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("account"))
+    return TX.rings(asked, TX.hubs(_txns(spark, sf_dir))).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(ORACLE["fraud_signals"].replace(_BEST, _TWENTIETH))
+def fraud_signals_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7 for every account whose key 20 divides."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0")
+    return TX.signals(c.select(F.col("c_custkey").alias("qid"), F.concat(F.lit("Is Account C"), F.col("c_custkey").cast("string"), F.lit(" risky?")).alias("text")), _txns(spark, sf_dir))

@@ -1,0 +1,12 @@
+"""The accounts asked for grow with the table."""
+
+from quillspark.plans import ORACLE, QUERIES
+
+
+def test_one_in_twenty_accounts_is_asked(spark, sf_dir):
+    want = {r[0] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 20 = 0").select("c_custkey").collect()}
+    assert {r.qid for r in QUERIES["fraud_signals_asked"](spark, sf_dir).select("qid").collect()} <= want
+    keys = {r[0] for r in QUERIES["fraud_signals_asked"](spark, sf_dir).select("qid").collect()}
+    assert keys and all(k % 20 == 0 for k in keys)
+    for name in ("fraud_ring", "fraud_signals"):
+        assert "LIMIT 20" not in ORACLE[f"{name}_asked"]
