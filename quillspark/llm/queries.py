@@ -28,11 +28,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each repeated passage that is cut: its document, the document that keeps it (null: the same
-    document, earlier) and the passage's words, counted from 0."""
+    """A row for each repeated passage that is cut: its document, the smallest one that has some of it too (null: one
+    without an id) and the passage's words, counted from 0."""
     found = repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
-        F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id"), F.posexplode("_passages").alias("passage", "p")
+        F.when(F.col("_id") < NO_ID, F.col("_id")).alias("doc_id"), F.posexplode("_passages").alias("passage", "p")
     ).select("doc_id", "passage", "p.owner_doc_id", "p.first_word", "p.end_word", (F.col("p.end_word") - F.col("p.first_word")).alias("n_words"))
 
 

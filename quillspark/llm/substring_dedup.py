@@ -1,65 +1,73 @@
 """Substring deduplication by content-defined chunks.
 
 Texts are words between ASCII white space, joined by one space. A gear rolling hash over the last 16 bytes is taken at
-each word's end; one in ``RATE`` ends is a cut, so cuts depend on what stands just before them and an insertion moves
-only the cuts beside it. A chunk (of at most ``LONGEST`` words) is known by a 64-bit digest. The document with the
-smallest id that has a chunk owns it; elsewhere, and where it comes again in its own document, it is a copy.
-
-A run of neighbouring copies that, with the chunks it cuts at both ends, may reach ``MIN_WORDS`` words is a candidate.
-From the first and last chunk that each owner in it has, it is then extended word by word as far as the owner's words
-beside its own copy agree (hashes of up to ``BESIDE`` words travel with each owned shared chunk), and is a repeated passage when it has ``MIN_WORDS`` words
-then. So passages are exact: what is cut is what is repeated.
-
-Volume: a row (digest, doc_id) for each distinct chunk of a document. The owner of a digest is a minimum, combined
-before the shuffle; copies are found by a join that adaptive execution splits, so a chunk that a third of all
-documents have is no single task's.
-
-Defined cases: null text has no chunks and stays null. Rows with the same doc_id are one document to ownership: both
-keep what they own. A null doc_id never owns a chunk that a document with an id has. Empty tables give empty results.
-Extra columns pass through unchanged.
+each word's end; an end is a cut when its hash is the least of some ``WIDTH`` neighbouring ends of its text. So a chunk
+has at most ``WIDTH`` words whatever the text says, and an insertion moves only the cuts beside it: two texts that have
+50 words in common have the chunk in the middle of those words in common. A chunk is known by a 64-bit digest.
+
+1. Chunks are deduplicated by digest: a digest that two different texts have is shared. Texts that are the same
+   altogether are one text, which the smallest id owns; its copies are repeated as a whole.
+2. ``MIN_WORDS`` neighbouring words are a candidate window where the chunks in their middle, which are the same
+   wherever those words stand, are shared. A window (a 64-bit hash) is a repeat in every document but the one with the smallest id that has it. Repeats that touch or
+   overlap are one passage.
+
+So passages are exact: a word is cut if and only if it is in ``MIN_WORDS`` neighbouring words that a document with a
+smaller id has too (hash collisions of 64 bits aside). A document that repeats only itself is left alone.
+
+Volume: a row (digest, text) for each distinct chunk and one for each candidate window. Owners are minima, combined
+before the shuffle; repeats are found by joins with staged tables, which adaptive execution splits, so a chunk, window
+or text that a third of all documents have is no single task's. Texts are shuffled by document once to find passages.
+
+Defined cases: null text has no words and stays null. Rows with the same doc_id are one document: all keep what they
+own. A row without doc_id comes after all that have one, in the order of a hash of its text (ids of 2**62 and more count
+as none); rows without one that have the same text all keep it, if no document owns it. Empty tables give empty
+results. Extra columns pass through unchanged. A text is worked on in pieces, so its length is not limited by a task's
+memory but for some 40 bytes a word.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
-from quillspark.llm.common import guard, slices, stage
-
-MIN_WORDS, CERTAIN, RATE, LONGEST, BESIDE = 50, 8, 5, 32, 40
-#: Words at a passage's start whose hash still sees what stands before it; a cut there may be this document's own.
-BLURRED = 6
-NO_ID = (1 << 63) - 1
-_WORDS = pa.list_(pa.int32())
-#: What a document tells of its runs of copies, and of the chunks it owns.
-RUNS = pa.schema(
-    [
-        ("_id", pa.int64()), ("_key", pa.int64()),
-        ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("owner", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("before", _WORDS), ("after", _WORDS)]))),
-        ("beside", pa.list_(pa.struct([("digest", pa.int64()), ("before", _WORDS), ("after", _WORDS)]))),
-    ]
-)
+from quillspark.llm.common import SLICE_CHARS, guard, slices, stage
+
+MIN_WORDS, WIDTH, PAD, ROWS = 50, 20, 16, 100_000
+#: Words at a passage's start whose hash may see what stands before it: those that end in its first 15 bytes.
+BLURRED = 7
+#: Ids from here on stand for rows without one.
+NO_ID = 1 << 62
 SPACED = re.compile(rb"[^ \t-\r]+")
+GAP = re.compile(rb"[ \t-\r]")
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def _gear() -> np.ndarray:
-    """256 random 32-bit values by the splitmix64 rule."""
-    x = (np.arange(1, 257, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finisher."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return x ^ (x >> np.uint64(31))
+
+
+#: 256 random values for the gear hash, and others (0 for white space) for the hashes of words.
+GEAR = (_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+_LETTER = np.where(_IS_SPACE, np.uint64(0), _mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(_BASE)))
 
 
-GEAR = _gear()
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, .. n - 1, modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -72,194 +80,210 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(texts: list[bytes | None], rate: int = RATE, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, words, digest) of every chunk of these texts, in order."""
-    lines, n = [], []
+def _pieces(texts: list[bytes | None]) -> Iterator[tuple[bytes, bytes, np.ndarray]]:
+    """(what stands before, bytes, ends of its texts): runs of texts, each text followed by ``PAD`` spaces, and long
+    texts in pieces that end at white space."""
+    held, ends, size = [], [], 0
     for t in texts:
-        w = (t or b"").split()
-        n.append(len(w))
-        if w:
-            lines.append(b" ".join(w))
-    if not lines:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    whole = b" ".join([*lines, b""])
-    data = np.frombuffer(whole, np.uint8)
-    space = np.flatnonzero(data == 32)  # each word's end
-    n = np.array(n, np.int64)
-    ends = np.cumsum(n)
-    h = rolling(data)[space - 1]
-    cut = (h >> np.uint32(8)) % np.uint32(rate) == 0
-    cut[ends[n > 0] - 1] = True
-    at = np.flatnonzero(cut) + 1
-    size = np.diff(at, prepend=0)
-    if (size > longest).any():  # words without a cut, such as one word again and again
-        extra = [np.arange(b - s + longest, b, longest) for b, s in zip(at[size > longest].tolist(), size[size > longest].tolist(), strict=True)]
-        at = np.sort(np.concatenate([at, *extra]))
-        size = np.diff(at, prepend=0)
-    stop = space[at - 1]
-    start = np.concatenate(([0], stop[:-1] + 1))
-    digest = xxhash.xxh3_64_intdigest
-    d = np.fromiter((digest(whole[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(at))
-    return np.searchsorted(ends, at - 1, side="right"), size, d
-
-
-def _again(doc: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    """Where a chunk has come before in its document."""
-    order = np.lexsort((np.arange(len(doc)), digest, doc))
-    out = np.zeros(len(doc), bool)
-    if len(doc):
-        d, g = doc[order], digest[order]
-        out[order[1:]] = (d[1:] == d[:-1]) & (g[1:] == g[:-1])
-    return out
-
-
-def chunk_table(docs: DataFrame, rate: int = RATE, longest: int = LONGEST) -> DataFrame:
-    """(digest, doc_id), distinct within a row of docs; a null id is NO_ID."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                doc, _, digest = chunks(texts, rate, longest)
-                first = ~_again(doc, digest)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest[first].view(np.int64)), pa.array(ids[doc[first]])], names=["digest", "doc_id"]
-                )
-
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
-    return keyed.mapInArrow(each, "digest long, doc_id long")
-
-
-def shared_chunks(docs: DataFrame, rate: int = RATE, longest: int = LONGEST) -> DataFrame:
-    """(_id, shared): for documents with chunks that several have, an array of (digest, owner)."""
-    table = chunk_table(docs, rate, longest)
-    owned = table.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"))
-    several = stage(owned.where("owner < other").select("digest", "owner"), "owners")
-    found = table.join(several, "digest")
-    return found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("digest", "owner")).alias("shared"))
-
-
-def _runs(flag: np.ndarray, size: np.ndarray, min_words: int, certain: int) -> list[tuple[int, int]]:
-    """Runs of marked chunks that may be of a passage: they have ``certain`` words and, with what their cut neighbours
-    may add, ``min_words``."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], flag.astype(np.int8), [0]))))
-    out = []
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        n = int(size[a:b].sum())
-        reach = n + (int(size[a - 1]) - 1 if a else 0) + (int(size[b]) - 1 if b < len(size) else 0)
-        if n >= certain and reach + BLURRED >= min_words:
-            out.append((a, b))
-    return out
-
-
-def candidates(own: int, text: bytes, size: np.ndarray, digest: np.ndarray, again: np.ndarray, owners: dict[int, int], min_words: int, certain: int) -> tuple[list[dict], list[dict]]:
-    """(runs, beside) of one document: runs of copies that may be a passage, and what stands beside the chunks that it
-    owns where a passage may be (a copy's run has its owner's chunks in such a run too)."""
-    ids = digest.view(np.int64).tolist()
-    owner = [owners.get(d) for d in ids]
-    shared = np.array([o is not None for o in owner])
-    copy = again | np.array([o is not None and o != own for o in owner])
-    found, places = _runs(copy, size, min_words, certain), _runs(shared, size, min_words, certain)
-    if not found and not places:
-        return [], []
-    ends, words = np.cumsum(size).tolist(), text.split()
-
-    def near(at: int, step: int) -> list[int]:
-        part = words[max(0, at - BESIDE) : at][::-1] if step < 0 else words[at : at + BESIDE]
-        return [zlib.crc32(w) - (1 << 31) for w in part]
-
-    beside = [
-        {"digest": ids[i], "before": near(ends[i] - int(size[i]), -1), "after": near(ends[i], 1)}
-        for a, b in places
-        for i in range(a, b)
-        if owner[i] == own and not again[i]
-    ]
-    runs = []
-    for a, b in found:
-        # A part of the passage may be another document's too, with a smaller id: each owner in the run is a witness.
-        by: dict[int | None, list[int]] = {}
-        for i in range(a, b):
-            by.setdefault(None if owner[i] == own else owner[i], []).append(i)
-        for o, at in by.items():
-            start, end = ends[at[0]] - int(size[at[0]]), ends[at[-1]]
-            runs.append(
-                {"start": start, "end": end, "owner": o, "first": ids[at[0]], "last": ids[at[-1]], "before": near(start, -1), "after": near(end, 1)}
-            )
-    return runs, beside
-
-
-def agreement(x: Column, y: Column) -> Column:
-    """How many leading words two lists have in common; 0 where one is null."""
-    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
-    stop = F.array_position(same, F.lit(False)).cast("int")
-    return F.coalesce(F.when(stop == 0, F.size(same)).otherwise(stop - 1), F.lit(0))
+        t = t or b""
+        if len(t) <= SLICE_CHARS:
+            held.append(t + b" " * PAD)
+            size += len(held[-1])
+            ends.append(size)
+            if size < SLICE_CHARS:
+                continue
+        if held:
+            yield b"", b"".join(held), np.array(ends)
+            held, ends, size = [], [], 0
+        if len(t) > SLICE_CHARS:
+            at = 0
+            while at < len(t):
+                gap = GAP.search(t, at + SLICE_CHARS)
+                to = gap.start() if gap else len(t)
+                # Before a piece stands the end of the one before it, as words with one space between them.
+                before = b" ".join((t[max(0, at - 64 * PAD) : at]).split())[-PAD:] + b" " if at else b""
+                piece = t[at:to] + b" " * PAD
+                yield before, piece, np.array([len(piece)] if to == len(t) else [], np.int64)
+                at = to
+    if held:
+        yield b"", b"".join(held), np.array(ends)
+
+
+def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of words of each text, hash of each word, gear hash at each word's end)."""
+    n, hashes, gears = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    open_ = 0  # words of a text's earlier pieces
+    for before, piece, ends in _pieces(texts):
+        data = np.frombuffer(piece, np.uint8)
+        space = _IS_SPACE[data]
+        was = np.append(True, space[:-1])
+        start, end = np.flatnonzero(~space & was), np.flatnonzero(space & ~was) - 1
+        of = np.searchsorted(start, ends)
+        n += (np.diff(of, prepend=0) + np.append(open_, np.zeros(len(ends), np.int64))[: len(ends)]).tolist()
+        open_ = 0 if len(ends) else open_ + len(start)
+        if not len(start):
+            continue
+        value = _LETTER[data] * _powers(_BASE, len(data))
+        hashes.append(_mix(np.add.reduceat(value, start) * _powers(_INVERSE, len(data))[start]))
+        # One space between words, and all of the padding that keeps a text's hashes from seeing the one before it.
+        kept = ~space | ~was
+        for e in ends.tolist():
+            kept[e - PAD : e] = True
+        flat = np.where(space, np.uint8(32), data)[kept]
+        first = np.frombuffer(before, np.uint8) if before else np.full(PAD, 32, np.uint8)
+        gears.append(rolling(np.concatenate([first, flat]))[len(first) + np.cumsum(kept)[end] - 1])
+    return np.array(n, np.int64), np.concatenate(hashes), np.concatenate(gears)
+
+
+def _sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """op over each run of ``width`` neighbours, by doubling."""
+    out, size = x, 1
+    while 2 * size <= width:
+        out, size = op(out[:-size], out[size:]), 2 * size
+    return op(out[: len(x) - width + 1], out[width - size :][: len(x) - width + 1]) if size < width else out
+
+
+class Chunks:
+    """The chunks of a list of texts: ``doc``, ``start`` and ``end`` (words, counted over all texts) and ``digest``."""
+
+    def __init__(self, texts: list[bytes | None], width: int = WIDTH) -> None:
+        self.n, self.hash, gear = words(texts)
+        self.ends = np.cumsum(self.n)
+        doc, total = np.repeat(np.arange(len(self.n)), self.n), len(self.hash)
+        cut = np.zeros(total, bool)
+        if total >= width:
+            h = gear.astype(np.int64)
+            least = _sliding(np.minimum, h, width)
+            least[doc[: len(least)] != doc[width - 1 :]] = -1  # no run of words goes over a text's end
+            none = np.full(width - 1, -1)
+            cut = _sliding(np.maximum, np.concatenate([none, least, none]), width) == h
+        cut[self.ends[self.n > 0] - 1] = True
+        self.end = np.flatnonzero(cut) + 1
+        self.start = np.append(0, self.end[:-1])[: len(self.end)]
+        self.doc = doc[self.start] if total else np.zeros(0, np.int64)
+        value, self.back = self.hash * _powers(_BASE, total), _powers(_INVERSE, total)
+        self.upto = np.append(np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64))
+        self.digest = self.hashes(self.start, self.end)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of the words of each run."""
+        return _mix((self.upto[end] - self.upto[start]) * self.back[start])
+
+    def candidates(self, shared: np.ndarray, min_words: int, width: int = WIDTH) -> np.ndarray:
+        """Places from which ``min_words`` words of one text may be another's too.
+
+        The chunk of a word depends on no more than ``width`` words behind its start's hash and ``width`` from it on, so
+        in words that two texts have in common the chunks of those in the middle are shared.
+        """
+        total = len(self.hash)
+        unshared = np.append(0, np.cumsum(np.repeat(~shared, self.end - self.start)))
+        fits = np.flatnonzero(np.repeat(self.ends, self.n) - np.arange(total) >= min_words)
+        return fits[unshared[fits + min_words - width + 1] == unshared[fits + BLURRED + width]]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _id (its id, ``NO_ID`` for null) and _key, which tells texts of one id apart."""
-    return docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": F.xxhash64(F.col("text").cast("string"))}
-    )
-
+    """docs with _key, a hash of the text, and _id: the row's id, or for none a number from ``NO_ID`` on."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    none = key.bitwiseAND(F.lit(NO_ID - 1).cast("long")) + F.lit(NO_ID).cast("long")
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_key": key})
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, certain: int = CERTAIN, rate: int = RATE, longest: int = LONGEST) -> DataFrame:
-    """(_id, _key, _passages): of documents with any, an array of (first_word, end_word, owner_doc_id) in order.
 
-    owner_doc_id is null where a document repeats itself (or the owner has no id).
-    """
-    several = shared_chunks(docs, rate, longest)
-    base = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("_id", "_key", "text")
-    joined = base.join(several.hint("shuffle_hash"), "_id", "left")
+def chunk_table(docs: DataFrame, min_words: int, width: int) -> DataFrame:
+    """A row (key, digest) for each distinct chunk of a text that has ``min_words`` words, and a row (key, id, n_words) for each row of docs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                out = []
-                doc, size, digest = chunks(texts, rate, longest)
-                again = _again(doc, digest)
-                at = np.searchsorted(doc, np.arange(len(texts) + 1))
-                repeats = np.add.reduceat(np.append(again, False), np.minimum(at[:-1], len(again))) if len(texts) else again
-                shared = part.column("shared")
-                for i, (own, key) in enumerate(zip(part.column("_id").to_pylist(), part.column("_key").to_pylist(), strict=True)):
-                    a, b = int(at[i]), int(at[i + 1])
-                    if a == b or not (shared[i].is_valid or repeats[i]):
-                        continue
-                    owners = {x["digest"]: x["owner"] for x in shared[i].as_py() or ()}
-                    runs, beside = candidates(own, texts[i], size[a:b], digest[a:b], again[a:b], owners, min_words, certain)
-                    if runs or beside:
-                        out.append({"_id": own, "_key": key, "runs": runs, "beside": beside})
-                yield pa.RecordBatch.from_pylist(out, RUNS)
-
-    found = stage(joined.select("_id", "_key", "text", "shared").mapInArrow(each, from_arrow_schema(RUNS)), "runs")
-    beside = found.select(F.explode("beside").alias("b")).select("b.*").dropDuplicates(["digest"])
-    left = beside.select(F.col("digest").alias("first"), F.col("before").alias("_before"))
-    right = beside.select(F.col("digest").alias("last"), F.col("after").alias("_after"))
-    runs = found.select("_id", "_key", F.explode("runs").alias("r")).select("_id", "_key", "r.*")
-    full = runs.join(left, "first", "left").join(right, "last", "left").select(
-        "_id", "_key",
-        (F.col("start") - agreement(F.col("before"), F.col("_before"))).alias("first_word"),
-        (F.col("end") + agreement(F.col("after"), F.col("_after"))).alias("end_word"),
-        F.when(F.col("owner") != NO_ID, F.col("owner")).alias("owner_doc_id"),
+                c = Chunks(texts, width)
+                at = np.flatnonzero(c.n[c.doc] >= min_words)
+                at = at[np.lexsort((c.digest[at], c.doc[at]))]
+                new = np.append(True, (c.digest[at][1:] != c.digest[at][:-1]) | (c.doc[at][1:] != c.doc[at][:-1]))[: len(at)]
+                at, ids, keys = at[new], part.column(0), part.column(1)
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.nulls(len(keys), pa.int64()), ids, pa.array(c.n)], names=["key", "digest", "id", "n_words"]
+                )
+                for a in range(0, len(at), ROWS):
+                    some = at[a : a + ROWS]
+                    none = pa.nulls(len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pa.array(c.doc[some])), pa.array(c.digest[some].view(np.int64)), none, none],
+                        names=["key", "digest", "id", "n_words"],
+                    )
+
+    return docs.select("_id", "_key", "text").mapInArrow(each, "key long, digest long, id long, n_words long")
+
+
+def shared_chunks(docs: DataFrame, min_words: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts). rows: (key, id, n_words) of each row. texts: for each different text its key, the smallest id that
+    has it (``owner``), the largest one, its words, and the digests that it shares with other texts."""
+    table = stage(chunk_table(docs, min_words, width), "chunks")
+    rows = table.where("id is not null").select("key", "id", "n_words")
+    of = table.where("digest is not null").select("digest", "key")
+    several = of.groupBy("digest").agg(F.min("key").alias("one"), F.max("key").alias("other")).where("one < other")
+    several = stage(several.select("digest"), "shared")
+    found = of.join(several, "digest").unionByName(rows, allowMissingColumns=True)
+    texts = found.groupBy("key").agg(
+        F.min("id").alias("owner"), F.max("id").alias("last"), F.max("n_words").alias("n_words"), F.collect_set("digest").alias("shared")
     )
-    full = full.where(F.col("end_word") - F.col("first_word") >= min_words)
-    listed = full.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct("first_word", "end_word", "owner_doc_id"))).alias("p"))
-    return listed.select("_id", "_key", _merged(F.col("p")).alias("_passages"))
+    return rows, stage(texts.where("size(shared) > 0 or owner < last"), "texts")
 
 
-def _merged(passages: Column) -> Column:
-    """Passages in order, those that overlap as one (with the smaller owner)."""
-    kind = "array<struct<first_word: int, end_word: int, owner_doc_id: bigint>>"
+def candidate_windows(docs: DataFrame, texts: DataFrame, min_words: int, width: int) -> DataFrame:
+    """(window, id, key, place) of every candidate window of each text, as its owner has it."""
+    asked = texts.where("size(shared) > 0").select(F.col("owner").alias("_id"), F.col("key").alias("_key"), "shared")
+    # One plan at every size: the texts are shuffled once, unsorted.
+    joined = docs.select("_id", "_key", "text").join(asked.hint("shuffle_hash"), ["_id", "_key"])
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(
-            last["first_word"].alias("first_word"), F.greatest(last["end_word"], x["end_word"]).alias("end_word"),
-            F.least(last["owner_doc_id"], x["owner_doc_id"]).alias("owner_doc_id"),
-        )
-        meets = (F.size(done) > 0) & (last["end_word"] > x["first_word"])
-        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x))).cast(kind)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts_ in slices(batch, "text"):
+                c = Chunks(texts_, width)
+                lists = part.column("shared")
+                flat, off = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+                known = np.repeat(np.arange(len(texts_)), np.diff(off))
+                salt = _mix(np.arange(1, len(texts_) + 1, dtype=np.uint64))  # a digest counts for its own text only
+                at = c.candidates(np.isin(c.digest ^ salt[c.doc], flat ^ salt[known]), min_words, width)
+                doc = np.searchsorted(c.ends, at, side="right")
+                for a in range(0, len(at), ROWS):
+                    w, d = at[a : a + ROWS], doc[a : a + ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(c.hashes(w, w + min_words).view(np.int64)), part.column(0).take(pa.array(d)),
+                            part.column(1).take(pa.array(d)), pa.array((w - (c.ends - c.n)[d]).astype(np.int32)),
+                        ],
+                        names=["window", "id", "key", "place"],
+                    )
+
+    return joined.select("_id", "_key", "text", "shared").mapInArrow(each, "window long, id long, key long, place int")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, width: int | None = None) -> DataFrame:
+    """(_id, _key, _passages): of documents with any, an array of (first_word, end_word, owner_doc_id) in order.
 
-    return F.aggregate(passages.cast(kind), F.array().cast(kind), add)
+    Words count from 0; owner_doc_id is the smallest one, null where the owner has none. ``width`` is at most what
+    leaves a whole chunk in ``min_words`` words, (min_words - BLURRED) / 2.
+    """
+    width = width or max(1, min(WIDTH, (min_words - BLURRED) // 2))
+    base = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    rows, texts = shared_chunks(base, min_words, width)
+    windows = stage(candidate_windows(base, texts, min_words, width), "windows")
+    owned = windows.groupBy("window").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
+    owned = stage(owned.select("window", "owner"), "owned")
+    repeats = windows.join(owned, "window").where("owner < id").select("id", "key", "place", "owner")
+    # Repeats of one text that touch are a passage; a text's windows are one group, as its words are.
+    w = W.partitionBy("id", "key").orderBy("place")
+    new = F.coalesce(F.col("place") > F.lag("place").over(w) + min_words, F.lit(True)).cast("int")
+    runs = repeats.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    found = runs.groupBy("id", "key", "run").agg(
+        F.min("place").alias("first_word"), (F.max("place") + min_words).cast("int").alias("end_word"), F.min("owner").alias("owner")
+    )
+    whole = texts.where((F.col("owner") < F.col("last")) & (F.col("n_words") >= min_words)).select("key", "owner")
+    copies = rows.join(whole, "key").where("owner < id").select(
+        "id", "key", F.lit(0).alias("first_word"), F.col("n_words").cast("int").alias("end_word"), "owner"
+    )
+    owner = F.when(F.col("owner") < NO_ID, F.col("owner")).alias("owner_doc_id")
+    listed = found.drop("run").union(copies.distinct()).groupBy(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    return listed.agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word", owner))).alias("_passages"))
 
 
 def cut_out(text: str, found: list[tuple[int, int]]) -> str:

@@ -34,9 +34,10 @@ def test_html_never_fails(page):
 
 @given(st.lists(st.lists(st.sampled_from(["a", "bb", "ccc", "é"]), max_size=60), max_size=5))
 def test_chunks_partition_words(docs):
-    doc, size, digest = S.chunks([" ".join(w).encode() for w in docs])
-    assert [int(size[doc == i].sum()) for i in range(len(docs))] == [len(w) for w in docs]
-    assert len(size) == len(digest) and (size > 0).all()
+    c = S.Chunks([" ".join(w).encode() for w in docs])
+    size = c.end - c.start
+    assert [int(size[c.doc == i].sum()) for i in range(len(docs))] == [len(w) for w in docs]
+    assert (size > 0).all() and (size <= S.WIDTH).all() and len(c.digest) == len(size)
 
 
 @given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12))
