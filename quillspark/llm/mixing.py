@@ -1,28 +1,30 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its shuffled documents, served at the rate of its target. A document's virtual finish time
-is the words of its source up to its end, divided by the target; the mix is the order of finish times, cut where the
-total budget is spent. Because the targets add up to the budget, that is virtual time one. A source whose target
-exceeds its words is queued twice (a second pass in the same order), never more. The document that is being served
-when the budget ends is taken in part: the words up to the end.
+Every source is a queue of its shuffled documents, served at the rate of its target. A document is queued as packets of
+at most ``PACKET`` words, and once more for a second pass (so it is taken ``PASSES`` times at most). A packet's virtual
+finish time is the words of its source up to its end, divided by the target. Packets of all sources are range-sorted by
+virtual finish time, and the order is truncated where the total budget is spent; the packet on that edge is taken in
+part. What is kept of a source is the start of its queue, so the words kept of each source say what is taken of each
+document. A source comes as near to its target as a packet.
 
-No source is gathered in a task: cumulative words are range-partitioned running sums (``common.running_sum``).
+No source is gathered in a task: words before a document in its queue, and before a packet in the whole order, are
+range-partitioned running sums (``common.running_sum``).
 
 Defined cases: null text has size 0 and is taken with 0 words; a null source is a source of its own, the last one.
-Repeated rows and ids are documents of their own (rows alike in source, hash, id and size are interchangeable, so
-reruns agree). Sources of size 0 have target 0. An empty table gives an empty result. Extra columns are not read.
+Documents are shuffled by a hash of seed, id and text, so rows without an id are shuffled too; repeated rows and ids are
+documents of their own, and rows alike in both are interchangeable, so reruns agree. Sources of size 0 have target 0. An
+empty table gives an empty result. ``mix_sources`` doesn't read extra columns; ``mixed`` passes them through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import n_words, running_sum, stage
+from quillspark.llm.common import guard, n_words, running_sum, stage
 
-WEIGHTS, SHARE, PASSES, SEED = (5, 2, 1), 1.5, 2, 42
-#: Sources up to which their one row each is ranked and levelled on the driver; beyond, on the cluster.
-DRIVER_SOURCES = 100_000
+WEIGHTS, SHARE, PASSES, SEED, PACKET = (5, 2, 1), 1.5, 2, 42, 100
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def water_level(sizes: DataFrame, budget: float, most: int) -> float:
@@ -45,79 +47,100 @@ def water_level(sizes: DataFrame, budget: float, most: int) -> float:
         level = new
 
 
-def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = PASSES) -> DataFrame:
-    """(source, source_size, weight, target) from rows (source, source_size).
+def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = PASSES) -> tuple[DataFrame, int]:
+    """(source, nth, source_size, weight, target) from rows (source, source_size), and the budget in words.
 
     Sources in the order of their code points (UTF-8 bytes), null last, weigh ``weights``, repeating.
     """
-    spark = sizes.sparkSession
     sizes = stage(sizes, "sources")
-    n = sizes.count()
     cycle = F.array(*[F.lit(float(x)) for x in weights])
-    if n <= DRIVER_SOURCES:
-        rows = sorted(sizes.collect(), key=lambda r: (r.source is None, (r.source or "").encode()))
-        ranked = [(r.source, r.source_size, float(weights[i % len(weights)])) for i, r in enumerate(rows)]
-        budget, level = share * sum(r[1] for r in ranked), 0.0
-        while True:
-            full = [r for r in ranked if r[1] * most <= level * r[2]]
-            left = sum(r[2] for r in ranked) - sum(r[2] for r in full)
-            new = (budget - most * sum(r[1] for r in full)) / left if left else level
-            if new <= level:
-                break
-            level = new
-        return spark.createDataFrame(
-            [(*r, min(float(r[1] * most), level * r[2])) for r in ranked],
-            "source string, source_size long, weight double, target double",
-        )
     one = sizes.withColumn("one", F.lit(1).cast("long")).withColumn("all", F.lit(0)).withColumn("last", F.col("source").isNull())
     ranked = running_sum(one, "all", ["last", "source"], "one", "nth").withColumn(
         "weight", F.element_at(cycle, (F.col("nth") % len(weights) + 1).cast("int"))
     )
-    ranked = stage(ranked.select("source", "source_size", "weight"), "ranked")
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    level = water_level(ranked, share * total, most)
-    return ranked.withColumn(
-        "target", F.least((F.col("source_size") * most).cast("double"), F.col("weight") * F.lit(level))
-    )
+    ranked = stage(ranked.select("source", "nth", "source_size", "weight"), "ranked")
+    budget = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level = water_level(ranked, budget, most)
+    target = F.least((F.col("source_size") * most).cast("double"), F.col("weight") * F.lit(level))
+    return stage(ranked.withColumn("target", target), "targets"), int(budget)
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = PASSES, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, finish): finish is the virtual time of the first pass's end."""
-    sized = stage(
-        docs.select(
-            "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("shuffle"),
-        ),
-        "sized",
-    )
-    share_of = stage(
-        targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets"
+def served(queue: DataFrame, budget: int, most: int = PASSES, packet: int = PACKET) -> DataFrame:
+    """(nth, served): the words kept of each source, from documents (nth, before, size, source_size, target).
+
+    Packets are range-sorted by virtual finish time and truncated at the budget.
+    """
+    packets = queue.where("size > 0").select(
+        "nth", "before", "size", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass")
     )
-    queued = running_sum(sized, "source", ["shuffle", "doc_id", "size"], "size", "before")
-    t = share_of.select(F.col("source").alias("_s"), "source_size", "target")
-    served = queued.join(t, queued["source"].eqNullSafe(t["_s"]), "left").drop("_s")
-    end = F.floor("target")
-    taken = F.lit(0).cast("long")
-    for k in range(most):
-        left = end - F.col("before") - F.col("source_size") * k
-        taken = taken + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
-    return served.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-        F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target")).alias("finish"),
-    )
+    packets = packets.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long"))))
+    begin, size = F.col("before") + F.col("source_size") * F.col("pass") + F.col("at"), F.least(F.lit(packet), F.col("size") - F.col("at"))
+    packets = packets.select("nth", begin.alias("begin"), size.alias("words"), ((begin + size) / F.col("target")).alias("finish"), F.lit(0).alias("all"))
+    order = running_sum(packets, "all", ["finish", "nth", "begin"], "words", "spent")
+    kept = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.lit(budget) - F.col("spent")))
+    return order.groupBy("nth").agg(F.sum(kept).alias("served"))
+
+
+def _shuffle_key(seed: int, doc_id: Column, text: Column) -> Column:
+    """Rows that are alike in it have the same id and text."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: an entry for each pass that takes words of a document, range-sorted by virtual finish time."""
-    all_ = mix_sources(docs, **how)
-    most = how.get("most", PASSES)
-    passes = all_.withColumn("pass", F.explode(F.array(*[F.lit(k) for k in range(most)])))
-    entry = passes.select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "pass",
-        F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("taken") - F.col("size") * F.col("pass"))).alias("words"),
-        (F.col("finish") + F.col("source_size") * F.col("pass") / F.col("target")).alias("finish"),
+def _overlap(k: int) -> Column:
+    """Words of the document's pass k that are among its source's served ones."""
+    left = F.col("served") - F.col("before") - F.col("source_size") * k
+    return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
+
+
+def _mix(docs: DataFrame, weights: tuple, share: float, most: int, seed: int, packet: int, carried: list[str]) -> DataFrame:
+    """Each document with size, source_size, target, before (words of its source before it) and served (of its source)."""
+    sized = docs.select(
+        *carried, F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size"),
+        _shuffle_key(seed, F.col("doc_id"), F.col("text").cast("string")).alias("_shuffle"),
     )
-    order = ["finish", "source", "doc_id"]
-    return entry.where("words > 0").repartitionByRange(*order).sortWithinPartitions(*order)
+    totals, budget = targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most)
+    queue = running_sum(sized, "_source", ["_shuffle"], "size", "before")
+    queue = queue.join(totals, queue["_source"].eqNullSafe(totals["source"]), "left").drop(totals["source"])
+    kept = stage(served(queue.select("nth", "before", "size", "source_size", "target"), budget, most, packet), "served")
+    return queue.join(kept, "nth", "left").withColumn("served", F.coalesce("served", F.lit(0).cast("long")))
+
 
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = PASSES, seed: int = SEED, packet: int = PACKET) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of every document; taken counts repeats."""
+    plain = docs.select("doc_id", "source", "text")
+    taken = _overlap(0)
+    for k in range(1, most):
+        taken = taken + _overlap(k)
+    mix = _mix(plain, weights, share, most, seed, packet, ["doc_id"])
+    return mix.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", taken.alias("taken"))
 
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = PASSES, seed: int = SEED, packet: int = PACKET) -> DataFrame:
+    """The mix itself, range-sorted by virtual finish time: docs' columns (under names that end in ``_1`` and so on where
+    they clash), pass, words, finish, size and target.
+
+    A row for each time that words of a document are taken; where that is not all of them, its text is those first
+    words with one space between, and n_chars, if there, its length.
+    """
+    plain, _ = guard(docs, ("doc_id", "text", "source", "n_chars"))
+    mix = _mix(plain, weights, share, most, seed, packet, plain.columns)
+    passes = F.array(*[F.struct(F.lit(k).alias("pass"), _overlap(k).alias("words")) for k in range(most)])
+    rows = mix.withColumn("_p", F.explode(passes)).where("_p.words > 0")
+    words, size = F.col("_p.words"), F.col("size")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
+    text = F.when(words < size, part).otherwise(F.col("text"))
+    finish = (F.col("before") + F.col("source_size") * F.col("_p.pass") + size) / F.col("target")
+    out = {c: F.col(c) for c in plain.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(words < size, F.length(part)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    have, own = {c.lower() for c in docs.columns}, []
+    for name in ("pass", "words", "finish", "size", "target"):
+        n, free = 0, name
+        while free.lower() in have:
+            n, free = n + 1, f"{name}_{n + 1}"
+        own.append(free)
+        have.add(free.lower())
+    values = [F.col("_p.pass"), words, finish, size, F.col("target")]
+    result = rows.select(*[x.alias(f"_c{i}") for i, x in enumerate([*out.values(), *values])]).toDF(*docs.columns, *own)
+    order = [own[2], "source", "doc_id"]
+    return result.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -55,7 +55,8 @@ ORACLE: dict[str, str] = {
     """,
     "op8_mixing": r"""
         WITH d AS (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
         ), s AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
                 [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
@@ -69,14 +70,21 @@ ORACLE: dict[str, str] = {
         ), l AS (SELECT coalesce(arg_min(level, ratio) FILTER (WHERE level < ratio), max(ratio)) AS level FROM c
         ), t AS (
             SELECT source, source_size, least(2.0 * source_size, weight * l.level)::DOUBLE AS target FROM s, l
+        ), n AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM s
         ), q AS (
-            SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('42:' || coalesce(doc_id::VARCHAR, '')), doc_id, size
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d
-        )
+            SELECT doc_id, nth, size, source_size, target,
+                coalesce(sum(size) OVER (PARTITION BY nth ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN n ON d.source IS NOT DISTINCT FROM n.source
+        ), w AS (
+            SELECT nth, target, least(100, size - off) AS words, before + source_size * pass + off AS b
+            FROM (SELECT *, unnest(range(0, size, 100)) AS off FROM q, (VALUES (0), (1)) AS p(pass) WHERE size > 0)
+        ), o AS (
+            SELECT nth, words, coalesce(sum(words) OVER (ORDER BY (b + words)::DOUBLE / target, nth, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
+            FROM w
+        ), k AS (SELECT nth, sum(greatest(0, least(words, (SELECT floor(max(budget)) FROM r) - spent))) AS served FROM o GROUP BY nth)
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-            CAST(greatest(0, least(size, floor(target)::BIGINT - before))
-                + greatest(0, least(size, floor(target)::BIGINT - before - source_size)) AS BIGINT) AS taken
-        FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source
+            CAST(greatest(0, least(size, coalesce(served, 0) - before)) + greatest(0, least(size, coalesce(served, 0) - before - source_size)) AS BIGINT) AS taken
+        FROM q LEFT JOIN k USING (nth)
     """,
     "op9_decontamination": rf"""
         WITH d AS (

@@ -6,7 +6,7 @@ import re
 from quillspark.llm import mixing as M
 
 
-def plain(rows):
+def plain(rows, packet=100):
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
     sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
     total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
@@ -20,14 +20,22 @@ def plain(rows):
             break
         capped |= over
     target = {s: 2.0 * total[s] if s in capped else level * weight[s] for s in sources}
-    taken = [0] * len(rows)
-    for s in sources:
-        queue = sorted((i for i, r in enumerate(rows) if r[2] == s), key=lambda i: (hashlib.md5(f"42:{rows[i][0]}".encode()).hexdigest(), rows[i][0], size[i]))
-        left = int(target[s])
-        for i in queue * 2:
-            take = min(size[i], max(0, left))
-            taken[i] += take
-            left -= take
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    packets = []
+    for nth, s in enumerate(sources):
+        mine = (i for i, r in enumerate(rows) if r[2] == s)
+        queue = sorted(mine, key=lambda i: md5(f"42:{'' if rows[i][0] is None else rows[i][0]}:{md5(rows[i][1] or '')}"))
+        at = 0
+        for k in range(2):
+            for i in queue:
+                for p in range(0, size[i], packet):
+                    n = min(packet, size[i] - p)
+                    packets.append(((at + p + n) / target[s], nth, at + p, n, i))
+                at += size[i]
+    taken, left = [0] * len(rows), int(budget)
+    for *_, n, i in sorted(packets):
+        taken[i] += min(n, left)
+        left -= min(n, left)
     return size, total, target, taken
 
 
@@ -45,17 +53,40 @@ def test_mix(spark):
         assert g.taken <= 2 * g.size
     for s in total:
         mine = sum(got[r[0]].taken for r in ROWS if r[2] == s)
-        assert abs(mine - target[s]) <= 1
-    order = M.mixed(docs).collect()
-    assert sum(r.words for r in order) == sum(taken)
+        assert abs(mine - target[s]) <= 100
 
 
-def test_many_sources_take_the_same_way(spark, monkeypatch):
+def test_smaller_packets_come_nearer(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
-    here = {r.doc_id: (r.target, r.taken) for r in M.mix_sources(docs).collect()}
-    monkeypatch.setattr(M, "DRIVER_SOURCES", 0)
-    there = {r.doc_id: (r.target, r.taken) for r in M.mix_sources(docs).collect()}
-    assert here.keys() == there.keys() and all(abs(here[k][0] - there[k][0]) < 1e-6 and here[k][1] == there[k][1] for k in here)
+    _, _, target, taken = plain(ROWS, 7)
+    got = {r.doc_id: r.taken for r in M.mix_sources(docs, packet=7).collect()}
+    assert [got[r[0]] for r in ROWS] == taken
+    assert all(abs(sum(n for n, r in zip(taken, ROWS, strict=True) if r[2] == s) - target[s]) <= 7 for s in target)
+
+
+def test_the_mix_is_what_is_taken_in_order(spark):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(i % 9 * 30)), "abc"[i % 3 if i < 60 else 0]) for i in range(90)]
+    docs = spark.createDataFrame([(*r, len(r[1]), 1, "x") for r in rows], "doc_id long, text string, source string, n_chars int, finish int, size string")
+    taken = {r.doc_id: r.taken for r in M.mix_sources(docs).collect()}
+    out = M.mixed(docs)
+    assert out.columns == [*docs.columns, "pass", "words", "finish_1", "size_1", "target"]
+    out = out.collect()
+    assert [r.finish_1 for r in out] == sorted(r.finish_1 for r in out)
+    for d, t, s in rows:
+        mine = sorted((r for r in out if r.doc_id == d), key=lambda r: r["pass"])
+        assert sum(r.words for r in mine) == taken[d] and all(r.words and r.source == s for r in mine)
+        for r in mine:
+            assert r.text.split() == t.split()[: r.words] and r.n_chars == len(r.text) and (r.finish, r["size"]) == (1, "x")
+            assert r.words < r.size_1 or r.text == t
+    assert {r["pass"] for r in out} == {0, 1}
+
+
+def test_rows_without_an_id_are_shuffled_by_their_text(spark):
+    rows = [(None, "w " * n + f"x{n}", "s") for n in range(40)] + [(i, "v " * 90, "t") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, _, _, taken = plain(rows)
+    got = M.mix_sources(docs).collect()
+    assert sorted((r.size, r.taken) for r in got if r.source == "s") == sorted((n + 1, t) for n, t in enumerate(taken[:40]))
 
 
 def test_edges(spark):

@@ -40,8 +40,10 @@ def test_planted_cases(spark, tmp_path):
     assert [i for i in (300, 301, 302) if passage in by_stage["substrings"][i].text] == [300]
     assert all(by_stage["substrings"][i].text == by_stage["toxicity"][i].text for i in clean)
     assert clean <= ids["decontamination"] and 400 not in ids["decontamination"]
-    assert ids["mixing"] == ids["decontamination"]
-    assert P.run(spark, str(tmp_path)).count() == len(ids["mixing"])
+    assert ids["mixing"] <= ids["decontamination"]
+    kept = by_stage["decontamination"]
+    assert all(r.text == kept[i].text for i, r in by_stage["mixing"].items() if r.words == len(kept[i].text.split()))
+    assert P.run(spark, str(tmp_path)).count() == left.count()
 
 
 def test_empty_tables(spark, tmp_path):
