@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import stage, table
 from quillspark.llm.decontaminate import decontaminate
-from quillspark.llm.mixing import mix_sources
+from quillspark.llm.mixing import mixed
 from quillspark.llm.simhash_dedup import simhash_dedup
 from quillspark.llm.substring_dedup import substring_dedup
 from quillspark.llm.toxicity import reject_toxic, train
@@ -37,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the words that the mix takes of it."""
-    return mix_sources(docs).drop("finish")
+    """The mix: a row, with its text, for each time that words of a document are taken, in the order of finish times."""
+    return mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -49,7 +49,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixing),
 ]
 
-#: The trained tagger and XXH64 have no DuckDB form; tests/llm holds each stage against a brute-force version.
+#: The trained tagger and XXH64 have no DuckDB form. tests/llm holds near_dedup, substrings, decontamination and mixing
+#: against brute force, and the tagger's marginals and scores against enumeration.
 ORACLE_SQL = None
 
 
