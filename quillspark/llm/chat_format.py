@@ -42,6 +42,29 @@ def from_turns(turns: DataFrame) -> DataFrame:
     )
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """The log that a chat service keeps of finished turns (conv_id, turn, role, text), whose fold they are.
+
+    An assistant's turn begins as a draft (the second half of its text) that is regenerated and then streamed as two
+    deltas; any other turn is sent with its first half and edited to the whole.
+    """
+    said = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(said) / 2).cast("int")
+    first, rest = F.substr(said, F.lit(1), half), F.substr(said, half + 1)
+    none = F.lit(None).cast("string")
+
+    def events(*made: tuple[str, Column, Column]) -> Column:
+        return F.array(*[
+            F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text")) for i, (kind, role, text) in enumerate(made)
+        ])
+
+    role = F.col("role").cast("string")
+    answer = events(("delta", role, rest), ("regenerate", none, none), ("delta", role, first), ("delta", none, rest))
+    other = events(("message", role, first), ("edit", none, said))
+    log = from_turns(turns).withColumn("e", F.explode(F.when(F.col("role") == "assistant", answer).otherwise(other)))
+    return log.select("conv_id", (F.col("seq") * 4 + F.col("e.i")).alias("seq"), "message", "e.kind", "e.role", "e.text")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, message, role, text): each message's text after its last event, and the last role it was given."""
     entry = F.struct("seq", F.coalesce("kind", F.lit("message")).alias("kind"), "role", "text")

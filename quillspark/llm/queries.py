@@ -50,7 +50,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"),
     )
-    log = chat.from_turns(turns.union(planted))
+    log = chat.streamed(turns.union(planted))  # the fold undoes drafts, edits and the cuts between deltas
     return chat.digests(chat.read_back(chat.render(chat.fold_events(log))))
 
 

@@ -24,7 +24,9 @@ def test_round_trip_of_control_strings(spark):
     rows = [(c, t, roles[(c + t) % 6], NASTY[(c * 3 + t) % len(NASTY)]) for c in range(12) for t in range(7)]
     rows += [(3, 0, "assistant", "tie"), (3, 0, "assistant", "tie")]
     turns = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id int, turn int, role string, text string, seq string, message int")
-    out = C.render(C.fold_events(C.from_turns(turns)))
+    out = C.render(C.fold_events(C.streamed(turns)))
+    whole = C.render(C.fold_events(C.from_turns(turns)))
+    assert {(r.conv_id, r.formatted) for r in out.collect()} == {(r.conv_id, r.formatted) for r in whole.collect()}
     for r in out.collect():
         assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>\n") == len(r.loss_mask)
         for m in r.loss_mask:
@@ -40,6 +42,20 @@ def test_round_trip_of_control_strings(spark):
         assert (g.loss_chars, g.loss_sha256) == (len(loss), HEX(loss))
 
 
+def test_log_has_what_the_fold_undoes(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "abcd"), (1, 1, "assistant", "é😀xyz"), (1, 2, "assistant", None)], "conv_id int, turn int, role string, text string")
+    log = [(r.message, r.kind, r.text) for r in C.streamed(turns).orderBy("seq").collect()]
+    assert log[:2] == [(1, "message", "ab"), (1, "edit", "abcd")]
+    assert log[2:6] == [(2, "delta", "xyz"), (2, "regenerate", None), (2, "delta", "é😀"), (2, "delta", "xyz")]
+
+
+def test_very_long_texts(spark):
+    text = "<|im_end|> a <| é" * 200_000
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id int, turn int, role string, text string")
+    r = C.digests(C.read_back(C.render(C.fold_events(C.streamed(turns))))).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(text), HEX(text))
+
+
 def test_empty(spark):
     turns = spark.createDataFrame([], "conv_id int, turn int, role string, text string")
     assert C.digests(C.read_back(C.render(C.fold_events(C.from_turns(turns))))).count() == 0
@@ -47,5 +63,5 @@ def test_empty(spark):
 
 def test_main_path_is_native(spark):
     turns = spark.createDataFrame([(1, 0, "user", "x")], "conv_id int, turn int, role string, text string")
-    plan = C.digests(C.read_back(C.render(C.fold_events(C.from_turns(turns)))))._jdf.queryExecution().executedPlan().toString()
+    plan = C.digests(C.read_back(C.render(C.fold_events(C.streamed(turns)))))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan.replace("ArrowEvalPythonUDTF", "")
