@@ -98,6 +98,8 @@ def _mix(docs: DataFrame, weights: tuple, share: float, most: int, seed: int, pa
         *carried, F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size"),
         _shuffle_key(seed, F.col("doc_id"), F.col("text").cast("string")).alias("_shuffle"),
     )
+    if "text" not in carried:  # small rows, from texts read once
+        sized = stage(sized, "sized")
     totals, budget = targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most)
     queue = running_sum(sized, "_source", ["_shuffle"], "size", "before")
     queue = queue.join(totals, queue["_source"].eqNullSafe(totals["source"]), "left").drop(totals["source"])

@@ -64,6 +64,25 @@ def test_audit_sees_missing_links(spark):
     assert E.audit(nodes, counts.where("node % 2 = 0")) < 0.9
 
 
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    r = np.random.default_rng(4)
+    big, pairs = r.normal(size=16), [r.normal(size=16) for _ in range(60)]
+    rows = [(i, [float(x) for x in big + r.normal(size=16) * 0.02], 0) for i in range(120)]
+    rows += [(1000 + 2 * k + j, [float(x) for x in v + r.normal(size=16) * 0.02], 0) for k, v in enumerate(pairs) for j in (0, 1)]
+    _, nodes = E.nodes_of(frame(spark, rows))
+    found = E.near_links(nodes, pivots=E.fit_pivots(nodes))
+    counts = found.where("to is null").groupBy("node").agg({"links": "sum"}).withColumnRenamed("sum(links)", "links")
+    assert E.audit(nodes, counts) > 0.97
+    assert E.audit(nodes, counts.where("node < 1000")) < 0.6
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(E, "audit", lambda *_: 0.1)
+    monkeypatch.setattr(E, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        E.embedding_dedup(frame(spark, vectors(40)))
+
+
 def test_empty_and_repeated(spark):
     rows = vectors(40)
     assert E.embedding_dedup(frame(spark, rows).where("vec_id < 0")).count() == 0
