@@ -67,8 +67,8 @@ DAY_POWER = 1.5
 # --- transactions
 ACCOUNT = r"(?:account|acct)\s+([a-z0-9_]+)"
 VELOCITY = 10
-RING_TEXT = ["[FRAUD SIGNAL] Account ", " shares ", " with account ", " (possible collusion ring)."]
-VELOCITY_TEXT = ["[FRAUD SIGNAL] Account ", " shows velocity spike: ", " outbound transactions (possible rapid-cycling fraud)."]
+RING_TEXT = "[FRAUD SIGNAL] Account {account} shares {kind} with account {peer} (possible collusion ring)."
+VELOCITY_TEXT = "[FRAUD SIGNAL] Account {account} shows velocity spike: {n} outbound transactions (possible rapid-cycling fraud)."
 
 # --- evaluation
 ABSTENTIONS = [
@@ -84,6 +84,10 @@ LOW_JACCARD, MARGINAL_JACCARD = 0.01, 0.03
 ABBREVIATION = r"\b(e\.g|i\.e|etc|Dr|Mr|Ms|vs)\."
 TEMPLATE_QUESTION = r"what does the (.+?) (document|file|note|md) describe"
 
+#: What a release must reach: means at least, 95th percentiles at most.
+GATES_LEAST = {"faithfulness": 0.85, "context_precision": 0.50}
+GATES_MOST = {"retrieval_p95_ms": 1100.0, "synthesis_p95_s": 3.0}
+
 # --- dynamic labels
 RELATION_FRAGMENTS = [
     "is ", "are ", "was ", "were ", "uses", "used", "use ", "offers", "offered", "results", "result ", "outperforms",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ def cosine(a: Column, b: Column) -> Column:
 def token_bin(token: Column, dims: int) -> Column:
     """The first four bytes of the md5, low byte first, modulo dims."""
     m = F.md5(token)
+    if 256 % dims == 0:  # the other bytes are multiples of dims
+        return F.conv(F.left(m, F.lit(2)), 16, 10).cast("int") % dims
     word = F.concat(*[F.substring(m, i, 2) for i in (7, 5, 3, 1)])
     return F.conv(word, 16, 10).cast("long") % dims
 
@@ -29,11 +33,14 @@ def token_bin(token: Column, dims: int) -> Column:
 def hash_embed(text: Column, dims: int = 64) -> Column:
     """The default embedder: counts of tokens in hashed bins. Two texts' cosine is that of their counts."""
     bins = F.transform(tokens(text), lambda t: token_bin(t, dims))
-    # As the one element of an array the bins are a lambda's variable: they are made once, not for every dimension.
-    counted = F.transform(
-        F.array(bins),
-        lambda bs: F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("float")
-        ),
-    )
-    return F.element_at(counted, 1)
+    # The bins are dealt into about sqrt(dims) runs first, so each is looked at that often and not for every dimension.
+    # As the one element of an array they are a lambda's variable: they are made once.
+    width = math.isqrt(dims - 1) + 1
+
+    def run(bs: Column, start: Column) -> Column:
+        own = F.filter(bs, lambda b: (b >= start) & (b < start + width))
+        ends = F.sequence(start, F.least(start + width, F.lit(dims)) - 1)
+        return F.flatten(F.transform(F.array(own), lambda o: F.transform(ends, lambda i: F.size(F.filter(o, lambda b: b == i)).cast("float"))))
+
+    starts = F.array(*[F.lit(i) for i in range(0, dims, width)])
+    return F.flatten(F.flatten(F.transform(F.array(bins), lambda bs: F.transform(starts, lambda s: run(bs, s)))))

@@ -62,14 +62,14 @@ def decomposed_relevancy(question: Column, answer: Column) -> Column:
 def precision(reference: Column, contexts: Column, embed=hash_embed) -> Column:
     """Contexts whose cosine with the reference reaches the bar."""
     ref = embed(reference)
-    hit = F.filter(contexts, lambda c: cosine(ref, embed(c)) >= C.RELEVANT_COSINE)
+    hit = F.filter(contexts, lambda c: F.round(cosine(ref, embed(c)), 9) >= C.RELEVANT_COSINE)
     return F.when(F.coalesce(F.size(contexts), F.lit(0)) <= 0, 0.0).otherwise(F.size(hit) / F.size(contexts))
 
 
 def sentence_precision(reference: Column, contexts: Column, embed=hash_embed) -> Column:
     """E5: contexts with any such sentence."""
     ref = embed(reference)
-    hit = F.filter(contexts, lambda c: F.exists(T.eval_sentences(c), lambda s: cosine(ref, embed(s)) >= C.RELEVANT_COSINE))
+    hit = F.filter(contexts, lambda c: F.exists(T.eval_sentences(c), lambda s: F.round(cosine(ref, embed(s)), 9) >= C.RELEVANT_COSINE))
     return F.when(F.coalesce(F.size(contexts), F.lit(0)) <= 0, 0.0).otherwise(F.size(hit) / F.size(contexts))
 
 
@@ -89,6 +89,33 @@ def report(rows: DataFrame, *metrics: str) -> DataFrame:
     return rows.agg(*[F.bround(F.avg(m), 4).alias(m) for m in metrics], F.count("*").alias("n_samples"))
 
 
+def four_metrics(rows: DataFrame, embed=hash_embed) -> DataFrame:
+    """Rows (question, ground_truth, answer, contexts) with E1, E3, E5 and E6 of each."""
+    q, truth, a, c = (F.col(x) for x in ("question", "ground_truth", "answer", "contexts"))
+    reference = F.when(F.coalesce(truth, F.lit("")) == "", q).otherwise(truth)
+    return rows.withColumns({
+        "faithfulness": faithfulness(a, c), "answer_relevancy": decomposed_relevancy(q, a),
+        "context_precision": sentence_precision(reference, c, embed), "context_recall": recall(truth, c, embed),
+    })
+
+
+FOUR = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+
+
+def gates(measured: DataFrame) -> DataFrame:
+    """(gate, value, bar, passed) for each gate that the one row of ``measured`` has a column of; a null value
+    fails."""
+    bars = {**{g: (b, True) for g, b in C.GATES_LEAST.items()}, **{g: (b, False) for g, b in C.GATES_MOST.items()}}
+    rows = [
+        F.struct(
+            F.lit(g).alias("gate"), F.col(g).cast("double").alias("value"), F.lit(b).alias("bar"),
+            F.coalesce(F.col(g) >= b if least else F.col(g) <= b, F.lit(False)).alias("passed"),
+        )
+        for g, (b, least) in bars.items() if g in measured.columns
+    ]
+    return measured.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
 def identity_recall(hits: DataFrame) -> DataFrame:
     """Of queries made from a document's own first words, the share whose hits hold that document.
 

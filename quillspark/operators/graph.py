@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.functions import text as T
+from quillspark.functions.vectors import cosine, hash_embed
+from quillspark.operators.matching import containing
+from quillspark.operators.ranking import first_per, top_per
+from quillspark.operators.search import top_k
+from quillspark.staging import stage
 
 
 def merge_nodes(mentions: DataFrame) -> DataFrame:
@@ -61,13 +66,13 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def cooccurrence(items: DataFrame, key: str, item: str) -> DataFrame:
     """(a, b, n) with a < b: pairs of distinct items of one group and in how many groups they are.
 
-    A group's pairs are formed from its own sorted set, so a group costs its pairs and no join is skewed by it.
+    A group's pairs are formed from its own sorted set, so a group costs its pairs and no join is skewed by it. Pairs
+    are made item by item and counted as they come: a task holds a group's set, never its pairs.
     """
     sets = items.select(key, item).distinct().groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("s"))
-    pairs = F.flatten(
-        F.transform("s", lambda a, i: F.transform(F.slice(F.col("s"), i + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    )
-    return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    first = sets.where(F.size("s") > 1).select("s", F.posexplode("s").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,18 +81,21 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = C.PAGERANK_DAMPING, checkpoint_every: int = 5) -> DataFrame:
-    """Over the undirected simple graph, a fixed number of rounds. Nodes without edges spread evenly."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = C.PAGERANK_DAMPING, stage_every: int = 5) -> DataFrame:
+    """Over the undirected simple graph, a fixed number of rounds. Nodes without edges spread evenly.
+
+    Links and every few rounds' ranks are staged tables, so no plan grows with the rounds.
+    """
     ids = nodes.select("id").distinct()
     pairs = both_ways(edges.where("src <> dst")).distinct()
     pairs = pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     out_degree = pairs.groupBy("src").agg(F.count("*").alias("out"))
-    links = pairs.join(out_degree, "src").persist()
+    ids = stage(ids, "ids")
+    links = stage(pairs.join(out_degree, "src"), "links")
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    lonely = ids.join(out_degree.withColumnRenamed("src", "id"), "id", "left_anti").persist()
-    spark = nodes.sparkSession
+    lonely = stage(ids.join(links.select(F.col("src").alias("id")), "id", "left_anti"), "lonely")
     rank = ids.withColumn("rank", F.lit(1.0 / n))
     for k in range(rounds):
         spread = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(
@@ -99,9 +107,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
             .join(F.broadcast(stuck))  # one row
             .select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("stuck") / n)).alias("rank"))
         )
-        if (k + 1) % checkpoint_every == 0 and k + 1 < rounds and spark.conf.get("spark.checkpoint.dir", None):
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-            rank = rank.checkpoint()
+        if (k + 1) % stage_every == 0 and k + 1 < rounds:
+            rank = stage(rank, "rank")
     return rank
 
 
@@ -157,18 +164,40 @@ def edge_statements(edges: DataFrame, names: DataFrame) -> DataFrame:
     return full.select(text.alias("text"), F.lit("graph_edge").alias("doc_type"), "src", "dst", "rel")
 
 
-def entry_by_keyword(queries: DataFrame, nodes: DataFrame, most: int = 8, limit: int = C.GRAPH_LIMIT) -> DataFrame:
+def _asked_tokens(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+
+
+def substring_candidates(queries: DataFrame, nodes: DataFrame, most: int = 8, limit: int = C.GRAPH_LIMIT) -> DataFrame:
+    """(qid, id): the first nodes by id whose id or name contains one of a query's first ``most`` tokens."""
+    first = F.slice(F.array_distinct(T.tokens(F.col("text"))), 1, most)
+    asked = queries.select("qid", F.explode(first).alias("token"))
+    said = nodes.select("id", F.explode(F.array_distinct(F.array(F.lower(F.col("id").cast("string")), F.lower(F.coalesce("name", F.lit("")))))).alias("said"))
+    met = containing(asked.select("token").distinct(), said, "token", "said").select("token", "id").distinct()
+    return top_per(asked.join(met, "token").select("qid", "id").distinct(), ["qid"], [F.col("id")], limit, "_n").drop("_n")
+
+
+def entry_by_keyword(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, id, overlap): the node that shares most tokens with the query.
 
-    Query tokens meet node tokens by an equality join on an inverted index; names that only contain a token inside a
-    word are found through the ids' and names' own tokens.
+    Query tokens meet the tokens of ids and names by an equality join on an inverted index.
     """
-    q = queries.select("qid", F.explode(F.slice(F.array_distinct(T.tokens(F.col("text"))), 1, most)).alias("token"))
     own = F.array_distinct(T.tokens(F.concat_ws(" ", F.col("id").cast("string"), "name")))
     inverted = nodes.select("id", F.explode(own).alias("token"))
-    found = q.join(inverted, "token").groupBy("qid", "id").agg(F.count("*").alias("overlap"))
-    w = W.partitionBy("qid").orderBy(F.col("overlap").desc(), "id")
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    found = _asked_tokens(queries).join(inverted, "token").groupBy("qid", "id").agg(F.count("*").alias("overlap"))
+    return first_per(found, ["qid"], [F.col("overlap").desc(), F.col("id")])
+
+
+def entry_by_vector(queries: DataFrame, nodes: DataFrame, embed=hash_embed) -> DataFrame:
+    """(qid, id, score): the node whose name is nearest to the query: of those that contain one of its tokens, or
+    of all where none does. A node without a name goes by its id."""
+    named = nodes.select("id", embed(F.coalesce("name", F.col("id").cast("string"))).alias("vector"))
+    asked = queries.select("qid", embed(F.col("text")).alias("asked"))
+    near = substring_candidates(queries, nodes)
+    own = near.join(named, "id").join(asked, "qid").select("qid", "id", F.round(cosine(F.col("asked"), F.col("vector")), 6).alias("score"))
+    rest = asked.join(near.select("qid").distinct(), "qid", "left_anti").withColumnRenamed("asked", "vector")
+    both = own.unionByName(top_k(rest, named, 1).select("qid", "id", "score"))
+    return first_per(both, ["qid"], [F.col("score").desc(), F.col("id")])
 
 
 def choose_entry(by_keyword: DataFrame, by_vector: DataFrame, least: int = C.KEYWORD_OVERLAP) -> DataFrame:
@@ -177,14 +206,18 @@ def choose_entry(by_keyword: DataFrame, by_vector: DataFrame, least: int = C.KEY
     return both.select("qid", F.when(F.col("overlap") >= least, F.col("k")).otherwise(F.coalesce("v", "k")).alias("entry"))
 
 
-def subgraph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2, n: int = C.PRUNE_TOP, by_vector: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def subgraph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2, n: int = C.PRUNE_TOP, strategy: str = "keyword", embed=hash_embed) -> tuple[DataFrame, DataFrame]:
     """R2: each query's entry, its neighbourhood pruned by degree, and the edges inside it.
 
-    Returns (qid, id, name, rank) and (qid, src, dst, rel).
+    strategy: ``keyword`` and ``hybrid`` take the keyword's entry from an overlap of two, else the vector's; ``vector``
+    only that. Returns (qid, id, name, rank) and (qid, src, dst, rel).
     """
-    keyword = entry_by_keyword(queries, nodes)
-    vector = by_vector if by_vector is not None else keyword.select("qid", "id").where("1 = 0")
-    entry = choose_entry(keyword, vector)
+    vector = entry_by_vector(queries, nodes, embed)
+    if strategy == "vector":
+        entry = vector.select("qid", F.col("id").alias("entry"))
+    else:
+        entry = choose_entry(entry_by_keyword(queries, nodes), vector)
+    entry = stage(entry, "entries")  # read once for each hop and end
     reached = k_hop(entry.select("entry").distinct(), edges, hops).select("entry", "id")
     members = reached.union(entry.select("entry", F.col("entry").alias("id")).distinct())
     inside = (
@@ -196,5 +229,7 @@ def subgraph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int =
         F.count("*").cast("double").alias("score")
     )
     kept = prune(members, degree, F.col("entry"), n, ["entry"])
+    inner = kept.select("entry", F.col("id").alias("src"))
+    inside = inside.join(inner, ["entry", "src"], "left_semi").join(inner.withColumnRenamed("src", "dst"), ["entry", "dst"], "left_semi")
     named = kept.join(nodes.select("id", "name"), "id", "left")
     return entry.join(named, "entry").select("qid", "id", "name", "rank"), entry.join(inside, "entry").select("qid", "src", "dst", "rel")

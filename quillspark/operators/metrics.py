@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
+from quillspark.operators.ranking import global_rank
 
 
 def histogram(rows: DataFrame, value: str, buckets: list[float] = C.LATENCY_BUCKETS) -> DataFrame:
@@ -29,9 +30,11 @@ def linear(value: str, *percents: float) -> list[Column]:
 
 def exclusive(rows: DataFrame, group: str, value: str, cut: int = 19, of: int = 20) -> DataFrame:
     """The cut-th of ``of`` exclusive quantiles: interpolated at (n + 1) cut / of, within the group."""
-    w = W.partitionBy(group)
     x = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v"))
-    x = x.withColumn("i", F.row_number().over(w.orderBy("v"))).withColumn("n", F.count("*").over(w))
+    # Ranks over all rows by group and value, less those of the groups before: no task sorts a group of its own.
+    x = global_rank(x, [group, "v"], "i")
+    sizes = x.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    x = x.join(sizes, x[group].eqNullSafe(sizes["_g"])).withColumn("i", F.col("i") - F.col("first") + 1)
     at = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor((F.col("n") + 1) * cut / of)))
     share = (F.col("n") + 1) * cut / of - at
     near = x.where((F.col("i") == at) | (F.col("i") == at + 1))

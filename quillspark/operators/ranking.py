@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.staging import stage
+
 
 def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """A row number over all rows from 1: range-sorted partitions count their own rows, and get the number of rows in
     the partitions before from a table of one row a partition."""
     keys = [F.col(c) for c in order]
-    ranged = df.repartitionByRange(*keys).withColumn("_block", F.spark_partition_id())
-    ranged = ranged.persist()  # the same split for both uses; the rank doesn't depend on where it falls
+    # Staged: the same split for both uses. The rank doesn't depend on where it falls.
+    ranged = stage(df.repartitionByRange(*keys).withColumn("_block", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_block").agg(F.count("*").alias("_n"))
     before = sizes.select(
         "_block",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark import constants as C
+from quillspark.functions.text import tokens
 from quillspark.shipping import ship
 
 #: Queries of one block, times dimensions: 64 MB of doubles at most.
@@ -31,25 +32,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """The queries in bounded blocks of (ids, unit vectors)."""
-    ids: list = []
-    held: list = []
+    """The queries in bounded blocks of (ids, vectors), each of one length."""
+    held: dict[int, tuple[list, list]] = {}
     for qid, vec in queries.select("qid", F.col("vector").cast("array<double>")).toLocalIterator():
-        if vec is None:
+        if not vec:
             continue
-        ids.append(qid), held.append(vec)
+        ids, vecs = held.setdefault(len(vec), ([], []))
+        ids.append(qid), vecs.append(vec)
         if len(ids) * len(vec) >= BLOCK_VALUES:
-            yield ids, np.array(held)
-            ids, held = [], []
-    if ids:
-        yield ids, np.array(held)
+            yield ids, np.array(vecs)
+            del held[len(vec)]
+    for ids, vecs in held.values():
+        yield ids, np.array(vecs)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), floor: float | None = None, decimals: int = 6) -> DataFrame:
     """(qid, id, per..., score, rank): the k best of each query (in each group of columns ``per``) by cosine.
 
     queries: (qid, vector); vectors: (id, vector, per...). Ties go to the smaller id. Scores are rounded before they
-    are ordered, so that sums of another order give the same result.
+    are ordered, so that sums of another order give the same result. A query is compared with vectors of its own length
+    only. Each block of queries is one more scan of the vectors.
     """
     per = list(per)
     spark = vectors.sparkSession
@@ -77,8 +79,6 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
                 for at in groups.values():
                     own = full.take(pa.array(at))
                     x = _matrix(own.column(1))
-                    if x.shape[1] != q.shape[1]:
-                        continue
                     for s in range(0, len(x), 4096):
                         score = np.round(q @ x[s : s + 4096].T, decimals)
                         order = np.argsort(own.column(0)[s : s + 4096].to_numpy(zero_copy_only=False), kind="stable")
@@ -91,7 +91,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
                             names=["qid", "id", *per, "score"],
                         )
 
-        part = base.mapInArrow(each, schema)
+        part = base.where(F.size("vector") == unit.shape[1]).mapInArrow(each, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -99,6 +99,85 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _term_blocks(asked: DataFrame) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """Questions in bounded blocks of (ids, tokens, weights by token and question), from rows (qid, terms)."""
+    held: list[tuple] = []
+    seen: dict[str, int] = {}
+
+    def block() -> tuple[list, list[str], np.ndarray]:
+        w = np.zeros((len(seen), len(held)))
+        for i, (_, terms) in enumerate(held):
+            for t in terms:
+                w[seen[t["token"]], i] = t["weight"]
+        return [q for q, _ in held], list(seen), w
+
+    for qid, terms in asked.toLocalIterator():
+        held.append((qid, terms))
+        for t in terms:
+            seen.setdefault(t["token"], len(seen))
+        if len(held) * len(seen) >= BLOCK_VALUES // 4:
+            yield block()
+            held, seen = [], {}
+    if held:
+        yield block()
+
+
+def term_top_k(questions: DataFrame, chunks: DataFrame, k: int, n: int, decimals: int = 6) -> DataFrame:
+    """(qid, doc_id, chunk_idx, score, rank): the k best chunks of each question by the sum, over its distinct tokens,
+    of their count in the chunk times ln(n / df); df counts documents.
+
+    questions: (qid, text); chunks: (doc_id, chunk_idx, text). A block of questions (bounded) goes to every task, which
+    scores its own chunks and keeps its k best of each, so no pair of a question and a chunk is shuffled. Only chunks
+    that share a token are ranked. Ties go to the smaller document and chunk.
+    """
+    spark = chunks.sparkSession
+    ship(spark)
+    asked = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    said = chunks.select("doc_id", "chunk_idx", tokens(F.col("text")).alias("tokens"))
+    each_doc = said.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    df = each_doc.groupBy("token").agg(F.countDistinct("doc_id").alias("df"))
+    weighted = asked.join(df, "token").groupBy("qid").agg(F.collect_list(F.struct("token", F.ln(F.lit(float(n)) / F.col("df")).alias("weight"))).alias("terms"))
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    qkind, qtype = questions.schema["qid"].dataType.simpleString(), to_arrow_type(questions.schema["qid"].dataType)
+    schema = f"qid {qkind}, doc_id {kinds['doc_id']}, chunk_idx {kinds['chunk_idx']}, score double"
+    out = spark.createDataFrame([], schema)
+    for ids, names, weights in _term_blocks(weighted):
+        shared = spark.sparkContext.broadcast((ids, {t: i for i, t in enumerate(names)}, weights))
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, of, w = shared.value
+            any_ = (w != 0).astype(np.float64)
+            for batch in batches:
+                lists = batch.column(2)
+                coded = lists.flatten().dictionary_encode()
+                code = np.array([of.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1])
+                col = code[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                row, col = row[col >= 0], col[col >= 0]
+                if not len(row):
+                    continue
+                score = np.full((len(lists), len(qids)), -1.0)
+                for s in range(0, len(lists), 512):
+                    a, b = np.searchsorted(row, [s, s + 512])
+                    count = np.zeros((min(512, len(lists) - s), len(of)))
+                    np.add.at(count, (row[a:b] - s, col[a:b]), 1.0)
+                    part = np.round(count @ w, decimals)
+                    score[s : s + 512] = np.where((count > 0) @ any_ > 0, part, -1.0)
+                keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+                order = np.lexsort((keys[1], keys[0]))
+                best = order[np.argsort(-score[order], axis=0, kind="stable")[:k]]
+                c, r = np.nonzero(np.take_along_axis(score, best, axis=0).T >= 0)
+                at = best[r, c]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([qids[i] for i in c], qtype), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(score[at, c])],
+                    names=["qid", "doc_id", "chunk_idx", "score"],
+                )
+
+        out = out.unionByName(said.mapInArrow(each, schema))
+    w = W.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id", "chunk_idx")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def merge_collections(hits: DataFrame, k: int, key: list[str] = ("id",)) -> DataFrame:
     """L1: of several collections' hits the best of each key, then the k best."""
     best = W.partitionBy("qid", *key).orderBy(F.col("score").desc(), "id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark import constants as C
 from quillspark.functions import text as T
 from quillspark.operators.ranking import top_per
+from quillspark.staging import stage
 
 
 def sparse_vectors(pieces: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -25,16 +26,17 @@ def idf(postings: DataFrame, n: int | Column, key: str = "id", token: str = "tok
     return df.withColumn("idf", F.ln(n / F.col("df")))
 
 
-def capped_postings(postings: DataFrame, idf_table: DataFrame, queries: DataFrame, key: str = "id") -> DataFrame:
-    """(qid, keyword, idf, id) for query keywords with a positive idf; each keyword's first ids only.
+def capped_postings(postings: DataFrame, n: int, queries: DataFrame, key: str = "id") -> DataFrame:
+    """(qid, keyword, idf, id) for query keywords with a positive idf (of n); each keyword's first ids only.
 
-    The postings are first cut to the queries' keywords, a semi join before any ranking.
+    The postings (id, token) are first cut to the queries' keywords, a semi join before anything is counted or ranked,
+    and staged: they are read for the counts and for the ids.
     """
-    asked = queries.select("keyword").distinct()
-    hit = postings.join(asked, postings["token"] == asked["keyword"]).select("keyword", key).distinct()
-    hit = top_per(hit, ["keyword"], [F.col(key)], C.CONCEPTS_PER_KEYWORD, "_nth").drop("_nth")
-    weights = idf_table.where("idf > 0").select(F.col("token").alias("keyword"), "idf")
-    return queries.join(weights, "keyword").join(hit, "keyword")
+    asked = queries.select(F.col("keyword").alias("token")).distinct()
+    hit = stage(postings.join(asked, "token", "left_semi").select(F.col("token").alias("keyword"), key).distinct(), "postings")
+    weights = idf(hit, n, key, "keyword").where("idf > 0").select("keyword", "idf")
+    first = top_per(hit, ["keyword"], [F.col(key)], C.CONCEPTS_PER_KEYWORD, "_nth").drop("_nth")
+    return queries.join(weights, "keyword").join(first, "keyword")
 
 
 def term_scores(matched: DataFrame, weight: Column | None = None, key: str = "id") -> DataFrame:

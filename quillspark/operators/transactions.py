@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,13 @@ def hubs(txns: DataFrame) -> DataFrame:
 
 
 def rings(accounts: DataFrame, account_hubs: DataFrame, k: int = 5) -> DataFrame:
-    """(account, peer, kind): accounts that share a hub, through the hub and only from the accounts asked for."""
+    """(account, peer, kind): accounts that share a hub, through the hub and only from the accounts asked for.
+
+    The first k peers of an account are among the first k + 1 accounts of one of its hubs, so a hub that very many
+    share sends no more than those.
+    """
     own = account_hubs.join(accounts.select("account").distinct(), "account", "left_semi")
-    peers = account_hubs.withColumnRenamed("account", "peer")
+    peers = top_per(account_hubs, ["kind", "hub"], [F.col("account")], k + 1).select(F.col("account").alias("peer"), "kind", "hub")
     found = own.join(peers, ["kind", "hub"]).where("peer <> account").select("account", "peer", "kind").distinct()
     return top_per(found, ["account"], [F.col("peer"), F.col("kind")], k)
 
@@ -31,10 +37,10 @@ def velocity(txns: DataFrame, least: int = C.VELOCITY) -> DataFrame:
     return txns.groupBy(F.col("from").alias("account")).agg(F.countDistinct("txn_id").alias("n_txns")).where(F.col("n_txns") >= least)
 
 
-def _told(pieces: list[str], *values) -> Column:
-    """The pieces of a fixed sentence with the values between them."""
-    woven = [x for piece, value in zip(pieces, [*values, None], strict=True) for x in (F.lit(piece), value)]
-    return F.concat(*woven[:-1])
+def _told(template: str, **values: str) -> Column:
+    """A fixed sentence with columns in its slots."""
+    parts = [(F.lit(text), F.col(values[slot]).cast("string") if slot else F.lit("")) for text, slot, *_ in Formatter().parse(template)]
+    return F.concat(*[x for pair in parts for x in pair])
 
 
 def signals(queries: DataFrame, txns: DataFrame, k: int = 5) -> DataFrame:
@@ -43,13 +49,13 @@ def signals(queries: DataFrame, txns: DataFrame, k: int = 5) -> DataFrame:
     sent = txns.withColumn("from", F.lower(F.col("from").cast("string")))
     ring = asked.join(rings(asked, hubs(sent), k), "account").select(
         "qid",
-        _told(C.RING_TEXT, "account", "kind", "peer").alias("text"),
+        _told(C.RING_TEXT, account="account", kind="kind", peer="peer").alias("text"),
         F.concat(F.lit("fraud:"), "account", F.lit(":"), "peer").alias("doc_id"),
     )
     own = sent.join(asked.select(F.col("account").alias("from")).distinct(), "from", "left_semi")
     fast = asked.join(velocity(own), "account").select(
         "qid",
-        _told(C.VELOCITY_TEXT, "account", F.col("n_txns").cast("string")).alias("text"),
+        _told(C.VELOCITY_TEXT, account="account", n="n_txns").alias("text"),
         F.concat(F.lit("fraud:velocity:"), "account").alias("doc_id"),
     )
     return ring.union(fast).withColumn("doc_type", F.lit("fraud_graph"))

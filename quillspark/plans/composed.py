@@ -11,11 +11,11 @@ from quillspark.functions.vectors import hash_embed
 from quillspark.models import Models, extractive_answer
 from quillspark.operators import corrective, extraction, fusion, search, terminology, terms
 from quillspark.operators import graph as G
-from quillspark.plans.graph import _geo
+from quillspark.plans.graph import _GEO, _geo
 from quillspark.plans.quality import _BIN
 from quillspark.plans.registry import query, sents, table, tok, words
 from quillspark.plans.retrieval import _POOL, _asked, _pool, _queries, _terminology
-from quillspark.retrievers import Registry, ask, dense
+from quillspark.retrievers import Registry, ask, default, dense
 
 
 @query(f"WITH t AS (SELECT DISTINCT array_to_string({words('text')}[1:3], ' ') AS title FROM documents) SELECT title, 'wiki:' || left(md5(title), 12) AS doc_id, 'https://wiki.example/' || replace(title, ' ', '_') AS url FROM t")
@@ -80,37 +80,107 @@ def dual_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.only_dual(_pool(spark, sf_dir)).select("qid", "doc_id", "dual")
 
 
-@query(
-    f"""
-    WITH q AS (SELECT n_nationkey AS qid, 'customers of ' || n_name AS text FROM nation),
-    g AS (SELECT 'N' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'R' || r_regionkey, r_name FROM region),
-    qt AS (SELECT qid, unnest(list_distinct({tok("text")})[1:8]) AS t FROM q), gt AS (SELECT id, unnest(list_distinct({tok("id || ' ' || name")})) AS t FROM g),
-    o AS (SELECT qid, id, count(*) AS overlap FROM qt JOIN gt USING (t) GROUP BY 1, 2)
-    SELECT qid, id, overlap FROM o QUALIFY row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, id) = 1
-    """
-)
-def keyword_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2a."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    q = n.select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("customers of "), "n_name").alias("text"))
-    nodes = n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name")).union(
-        r.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")), "r_name")
+# Places: nations and regions by name, customers and suppliers by number; a question of three kinds for each nation.
+_PLACES = f"""
+    {_GEO}, node AS (SELECT id, coalesce(n_name, r_name, id) AS name FROM v LEFT JOIN nation ON id = 'N' || n_nationkey LEFT JOIN region ON id = 'R' || r_regionkey),
+    q AS (
+        SELECT n_nationkey AS qid, CASE n_nationkey % 3 WHEN 0 THEN 'customers and suppliers of nation n' || n_nationkey || ' ' || n_name
+            WHEN 1 THEN 'who sells in ' || left(n_name, 4) ELSE 'nothing that is known ' || n_regionkey || '#' END AS text FROM nation
     )
-    return G.entry_by_keyword(q, nodes)
-
-
-@query()
-def subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: the pruned neighbourhood of each region that a question names, with edge statements' endpoints."""
+"""
+_KEYED = f"""
+    qt AS (SELECT qid, unnest(list_distinct({tok("text")})) AS t FROM q), gt AS (SELECT id, unnest(list_distinct({tok("id || ' ' || name")})) AS t FROM node),
+    o AS (SELECT qid, id, count(*) AS overlap FROM qt JOIN gt USING (t) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, id) = 1)
+"""
+_NEAR = f"""
+    ft AS (SELECT qid, unnest(list_distinct({tok("text")})[1:8]) AS t FROM q),
+    sc AS (SELECT DISTINCT qid, id FROM ft JOIN node ON contains(lower(id), t) OR contains(lower(name), t)),
+    near AS (SELECT qid, id FROM sc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY id) <= 50)
+"""
+_VECTOR = f"""
+    qk AS (SELECT qid, unnest({tok("text")}) AS t FROM q), qf AS (SELECT qid, {_BIN} AS b, count(*) AS n FROM qk GROUP BY 1, 2), ql AS (SELECT qid, sqrt(sum(n * n)) AS l FROM qf GROUP BY 1),
+    nk AS (SELECT id, unnest({tok("name")}) AS t FROM node), nf AS (SELECT id, {_BIN} AS b, count(*) AS n FROM nk GROUP BY 1, 2), nl AS (SELECT id, sqrt(sum(n * n)) AS l FROM nf GROUP BY 1),
+    dots AS (SELECT qid, id, sum(qf.n * nf.n) AS d FROM qf JOIN nf USING (b) GROUP BY 1, 2),
+    pairs AS (SELECT qid, id FROM near UNION ALL SELECT qid, id FROM q, node WHERE qid NOT IN (SELECT qid FROM near)),
+    ve AS (SELECT p.qid, p.id, round(coalesce(d / (ql.l * nl.l), 0), 6) AS score FROM pairs p JOIN ql USING (qid) JOIN nl USING (id) LEFT JOIN dots USING (qid, id)
+        QUALIFY row_number() OVER (PARTITION BY p.qid ORDER BY score DESC, p.id) = 1)
+"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, nodes, edges)."""
     ids, edges = _geo(spark, sf_dir)
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     named = n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name")).union(
         r.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")), "r_name")
     )
     nodes = ids.join(named, "id", "left").withColumn("name", F.coalesce("name", "id"))
-    q = r.select(F.col("r_regionkey").alias("qid"), F.concat(F.lit("what is in "), "r_name").alias("text"))
-    kept, _ = G.subgraph(q, nodes, edges, 2)
-    return kept
+    key, kind = F.col("n_nationkey").cast("string"), F.col("n_nationkey") % 3
+    text = F.when(kind == 0, F.concat(F.lit("customers and suppliers of nation n"), key, F.lit(" "), "n_name")).when(
+        kind == 1, F.concat(F.lit("who sells in "), F.left("n_name", F.lit(4)))
+    ).otherwise(F.concat(F.lit("nothing that is known "), F.col("n_regionkey").cast("string"), F.lit("#")))
+    return n.select(F.col("n_nationkey").alias("qid"), text.alias("text")), nodes, edges
+
+
+@query(f"WITH {_PLACES}, {_KEYED} SELECT qid, id, overlap FROM o")
+def keyword_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of the question count."""
+    q, nodes, _ = _places(spark, sf_dir)
+    return G.entry_by_keyword(q, nodes)
+
+
+@query(f"WITH {_PLACES}, {_NEAR} SELECT qid, id FROM near")
+def substring_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3."""
+    q, nodes, _ = _places(spark, sf_dir)
+    return G.substring_candidates(q, nodes)
+
+
+@query(f"WITH {_PLACES}, {_NEAR}, {_VECTOR} SELECT qid, id, score FROM ve")
+def vector_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2b, with the hashing embedder."""
+    q, nodes, _ = _places(spark, sf_dir)
+    return G.entry_by_vector(q, nodes)
+
+
+_ENTRIES = f"""
+    {_PLACES}, {_KEYED}, {_NEAR}, {_VECTOR},
+    en AS (SELECT q.qid, CASE WHEN overlap >= 2 THEN o.id ELSE coalesce(ve.id, o.id) END AS entry FROM q LEFT JOIN o USING (qid) LEFT JOIN ve USING (qid)),
+    b AS (SELECT src AS x, dst AS y FROM g UNION SELECT dst, src FROM g), h0 AS (SELECT DISTINCT entry FROM en), h1 AS (SELECT DISTINCT entry, y AS id FROM h0 JOIN b ON x = entry),
+    mem AS (SELECT entry, entry AS id FROM h0 UNION SELECT * FROM h1 UNION SELECT entry, y FROM h1 JOIN b ON x = id),
+    ins AS (SELECT DISTINCT m1.entry, src, dst, rel FROM g JOIN mem m1 ON m1.id = src JOIN mem m2 ON m2.id = dst AND m2.entry = m1.entry),
+    deg AS (SELECT entry, id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT entry, unnest([src, dst]) AS id FROM ins) GROUP BY 1, 2),
+    kept AS (SELECT entry, id, row_number() OVER (PARTITION BY entry ORDER BY id = entry DESC, coalesce(score, 0) DESC, id DESC) AS rank FROM mem LEFT JOIN deg USING (entry, id) QUALIFY rank <= 10)
+"""
+
+
+@query(f"WITH {_ENTRIES} SELECT qid, id, name, rank FROM en JOIN kept USING (entry) JOIN node USING (id)")
+def subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pruned neighbourhood of each question's entry, by keyword or vector."""
+    kept, _ = G.subgraph(*_places(spark, sf_dir), 2)
+    return kept.select("qid", "id", "name", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""
+    WITH {_ENTRIES}, inn AS (SELECT DISTINCT i.entry, src, dst, rel FROM ins i JOIN kept a ON a.entry = i.entry AND a.id = src JOIN kept c ON c.entry = i.entry AND c.id = dst),
+    facts AS (SELECT qid, src, dst, rel, row_number() OVER (PARTITION BY qid ORDER BY src, rel, dst) AS k FROM en JOIN inn USING (entry) QUALIFY k <= 5),
+    told AS (SELECT qid, k, 'GRAPH EDGE: ' || s.name || ' -[' || rel || ']-> ' || d.name AS text FROM facts JOIN node s ON s.id = src JOIN node d ON d.id = dst),
+    ck AS (SELECT id, unnest({tok("name || ' ' || id")}) AS t FROM node WHERE id[1] IN ('N', 'R')), cf AS (SELECT id, {_BIN} AS b, count(*) AS n FROM ck GROUP BY 1, 2), cl AS (SELECT id, sqrt(sum(n * n)) AS l FROM cf GROUP BY 1),
+    cd AS (SELECT qid, id, sum(qf.n * cf.n) AS d FROM qf JOIN cf USING (b) GROUP BY 1, 2),
+    cx AS (SELECT qid, id, ql.l * cl.l AS l FROM ql, cl), cs AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(d / l, 0), 6) DESC, id) AS k FROM cx LEFT JOIN cd USING (qid, id) QUALIFY k <= 3)
+    SELECT qid, 'places' AS signal, name || ' ' || id AS text, k AS arrival FROM cs JOIN node USING (id)
+    UNION ALL SELECT qid, 'places:graph', text, 3 + row_number() OVER (PARTITION BY qid ORDER BY k) FROM told
+    """
+)
+def default_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A domain's three nearest chunks and its graph's first five facts."""
+    q, nodes, edges = _places(spark, sf_dir)
+    said = F.concat("name", F.lit(" "), "id")
+    places = nodes.where("left(id, 1) in ('N', 'R')")
+    chunks = places.select("id", said.alias("text"), F.col("id").alias("doc_id"), F.lit("chunk").alias("doc_type"), hash_embed(said).alias("vector"))
+    rows = default("places", chunks, nodes, edges, hash_embed)(q, 3)
+    return rows.select("qid", "signal", "text", F.col("arrival").cast("long").alias("arrival"))
 
 
 @query(
@@ -118,23 +188,32 @@ def subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH d AS (SELECT doc_id AS id, unnest({tok("text")}) AS t FROM documents), f AS (SELECT id, {_BIN} AS b, count(*) AS n FROM d GROUP BY 1, 2), l AS (SELECT id, sqrt(sum(n * n)) AS l FROM f GROUP BY 1),
     qk AS (SELECT item_id AS qid, unnest({tok("text")}) AS t FROM benchmark), qf AS (SELECT qid, {_BIN} AS b, count(*) AS n FROM qk GROUP BY 1, 2), ql AS (SELECT qid, sqrt(sum(n * n)) AS l FROM qf GROUP BY 1),
     s AS (SELECT qid, id, round(sum(f.n * qf.n) / (any_value(l.l) * any_value(ql.l)), 6) AS score FROM qf JOIN f USING (b) JOIN l USING (id) JOIN ql USING (qid) GROUP BY 1, 2),
-    h AS (SELECT qid, doc_id, text, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS arrival FROM s JOIN documents ON doc_id = id QUALIFY arrival <= 4),
-    u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY qid, doc_id, text ORDER BY arrival) = 1),
+    p AS (SELECT qid, id, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS o, score FROM s JOIN documents ON doc_id = id),
+    h AS (SELECT qid, id, o, row_number() OVER (PARTITION BY qid, o ORDER BY score DESC, id) AS r FROM p QUALIFY r <= CASE WHEN o = 0 THEN 4 ELSE 2 END),
+    a AS (SELECT qid, id, CASE WHEN o = 0 THEN 'english' ELSE 'others' END AS signal, row_number() OVER (PARTITION BY qid ORDER BY o, r, CAST(id AS VARCHAR)) AS arrival FROM h),
     qt AS (SELECT item_id AS qid, list_distinct({tok("text")}) AS q FROM benchmark),
-    r AS (SELECT u.qid, doc_id, arrival, round(len(list_intersect(q, list_distinct({tok("text")}))) / len(q), 6) AS score FROM u JOIN qt USING (qid))
-    SELECT qid, CAST(doc_id AS VARCHAR) AS doc_id, score, CASE WHEN score >= 0.5 THEN 'high' WHEN score >= 0.15 THEN 'medium' ELSE 'low' END AS confidence, row_number() OVER (PARTITION BY qid ORDER BY score DESC, arrival) AS rank FROM r QUALIFY rank <= 3
+    nm AS (SELECT a.*, lower(trim(string_split(string_split(trim(replace(replace(text, '[DIAGNOSIS CANDIDATE]', ''), '[CLINICAL PROSE]', '')), chr(10))[1], '(SNOMED')[1])) AS name, text FROM a JOIN documents ON doc_id = id),
+    r AS (SELECT x.qid, x.id, x.signal, arrival, round(len(list_intersect(q, list_distinct({tok("text")}))) / len(q), 6) AS raw,
+        x.name <> '' AND EXISTS (SELECT 1 FROM nm y WHERE y.qid = x.qid AND y.signal <> x.signal AND y.name <> '' AND (contains(y.name, x.name) OR contains(x.name, y.name))) AS dual FROM nm x JOIN qt USING (qid)),
+    k AS (SELECT *, round(raw + CASE WHEN dual THEN 0.15 ELSE 0 END, 6) AS score FROM r)
+    SELECT qid, signal, CAST(id AS VARCHAR) AS doc_id, score, dual, row_number() OVER (PARTITION BY qid ORDER BY score DESC, arrival) AS rank FROM k QUALIFY rank <= 4
     """
 )
 def federated_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item asked of one domain, by the registry, with the default models."""
+    """Each benchmark item asked of the English documents with the others' as a companion, and of a second
+    companion that fails; by the registry, with the default models."""
     m = Models()
-    docs = Profile("docs", "docs", entity_types=("T",), relation_types=("R",), top_k=4)
+    kinds = {"entity_types": ("T",), "relation_types": ("R",)}
+    profiles = [
+        Profile("english", "en", companions=("others", "broken"), top_k=4, **kinds), Profile("others", "xx", top_k=2, **kinds), Profile("broken", "none", **kinds),
+    ]
     chunks = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), "text", F.col("doc_id").cast("string").alias("doc_id"), F.lit("chunk").alias("doc_type"), hash_embed(F.col("text")).alias("vector")
+        F.col("doc_id").alias("id"), "text", F.col("doc_id").cast("string").alias("doc_id"), F.lit("chunk").alias("doc_type"), "lang", hash_embed(F.col("text")).alias("vector")
     )
-    registry = Registry(Profiles([docs], {}, "docs"), lambda p: dense(chunks, m.embed))
-    rows, _ = ask(registry, "docs", table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), 3, m)
-    return rows.select("qid", "doc_id", "score", "confidence", F.col("rank").cast("long").alias("rank"))
+    own = {"english": F.col("lang") == "en", "others": F.coalesce(F.col("lang") != "en", F.lit(True)), "broken": F.col("no_such_column")}
+    registry = Registry(Profiles(profiles, {}, "english"), lambda p: lambda q, k: dense(chunks.where(own[p.name]).drop("lang"), m.embed)(q, k))
+    rows, _ = ask(registry, "english", table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), 4, m)
+    return rows.select("qid", "signal", "doc_id", "score", "dual", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -142,11 +221,11 @@ def corrective_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns and literal questions; both paths search documents by the rarest shared terms."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     postings = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    idf = terms.idf(postings, docs.count())
+    n = docs.count()
 
     def retrieve(q: DataFrame) -> DataFrame:
         asked = q.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("keyword"))
-        scored = terms.term_scores(terms.capped_postings(postings, idf, asked)).withColumn("score", F.round("score", 6))
+        scored = terms.term_scores(terms.capped_postings(postings, n, asked)).withColumn("score", F.round("score", 6))
         from quillspark.operators.ranking import top_per
 
         best = top_per(scored, ["qid"], [F.col("score").desc(), F.col("id")], 3)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators.ranking import top_per
+from quillspark.operators.search import term_top_k
 from quillspark.plans.registry import query, sents, table, tok
 
 
@@ -21,19 +21,9 @@ from quillspark.plans.registry import query, sents, table, tok
     """
 )
 def ranked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence chunks scored by sum of tf times idf over each benchmark item's tokens; the ten best of each.
-
-    The questions' tokens cut the token table by a semi join before it is counted, so a corpus token that nobody asks
-    for is not shuffled.
-    """
+    """Sentence chunks scored by sum of tf times idf over each benchmark item's tokens; the ten best of each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    pieces = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("chunk_idx", "chunk"))
-    tok_ = pieces.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.explode(T.tokens(F.col("chunk"))).alias("token"))
-    tf = tok_.join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "chunk_idx", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.countDistinct("doc_id").alias("df"))
-    n = docs.count()
-    weight = F.col("tf") * F.ln(F.lit(float(n)) / F.col("df"))
-    scored = asked.join(df, "token").join(tf, "token").groupBy("qid", "doc_id", "chunk_idx").agg(F.round(F.sum(weight), 6).alias("score"))
-    best = top_per(scored, ["qid"], [F.col("score").desc(), F.col("doc_id"), F.col("chunk_idx")], 10)
-    return best.withColumn("rank", F.col("rank").cast("long"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text").dropDuplicates(["qid"])
+    pieces = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("chunk_idx", "text"))
+    pieces = pieces.withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
+    return term_top_k(asked, pieces, 10, docs.count()).withColumn("rank", F.col("rank").cast("long"))

@@ -10,7 +10,7 @@ from quillspark.operators import documents as D
 from quillspark.operators import extraction as X
 from quillspark.operators import graph as G
 from quillspark.operators import transactions as TX
-from quillspark.plans.registry import ORACLE, query, table
+from quillspark.plans.registry import query, table
 
 # Nodes: suppliers (S...), named by part they come with; edges: supplier to part; a document is an order.
 _MENTIONS = "m AS (SELECT 'S' || l_suppkey AS id, 'Supplier ' || l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN ' Ltd' ELSE '' END AS name, l_returnflag AS type, l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)"
@@ -59,6 +59,24 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merge_edges(_edges(spark, sf_dir)).select("src", "dst", "rel", _joined("source_docs").alias("source_docs"))
 
 
+@query(
+    r"""
+    WITH r AS (SELECT n_name AS name, 'N' || n_nationkey AS id FROM nation WHERE n_nationkey % 5 <> 4 UNION ALL SELECT r_name, 'R' || r_regionkey FROM region)
+    SELECT s.id AS src, d.id AS dst, upper(replace(c_mktsegment, ' ', '_')) AS rel, c_custkey AS doc_id
+    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN r s ON s.name = n_name JOIN r d ON d.name = r_name
+    """
+)
+def resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the names of customers' nations and regions; a fifth of the nations have no node."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    key = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string")).alias("id")
+    resolver = n.where("n_nationkey % 5 <> 4").select(F.col("n_name").alias("name"), key("N", "n_nationkey")).union(r.select("r_name", key("R", "r_regionkey")))
+    named = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    rel = F.upper(F.replace("c_mktsegment", F.lit(" "), F.lit("_"))).alias("rel")
+    edges = named.select(F.col("n_name").alias("source"), F.col("r_name").alias("target"), rel, F.col("c_custkey").alias("doc_id"))
+    return G.resolve_edges(edges, resolver).select("src", "dst", "rel", "doc_id")
+
+
 _DELETED = f"""
     {_MENTIONS}, {_EDGES}, x AS (SELECT max(l_orderkey) AS k FROM lineitem),
     n AS (SELECT id, list(DISTINCT doc_id) AS d FROM m, x WHERE doc_id <> k GROUP BY 1),
@@ -171,7 +189,7 @@ def edge_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edge_statements(induced_edges(spark, sf_dir), names).select("text").distinct()
 
 
-_ROUNDS = 6
+_ROUNDS = 20
 _RANK = f"""
     WITH {_GEO}, b AS (SELECT src AS x, dst AS y FROM g UNION SELECT dst, src FROM g), o AS (SELECT x, count(*) AS out FROM b GROUP BY 1),
     c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v), r0 AS (SELECT id, 1 / n AS rank FROM v, c)
@@ -184,6 +202,7 @@ _RANK = f"""
 
 @query(f"{_RANK} SELECT id, round(rank, 8) AS rank FROM r{_ROUNDS}")
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 with the operator's own number of rounds."""
     return G.pagerank(*_geo(spark, sf_dir), rounds=_ROUNDS).select("id", F.round("rank", 8).alias("rank"))
 
 
@@ -209,15 +228,14 @@ def txn_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH {_HUBS}, a AS (SELECT 'c' || c_custkey AS account FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20),
+    WITH {_HUBS}, a AS (SELECT 'c' || c_custkey AS account FROM customer WHERE c_custkey % 20 = 0),
     p AS (SELECT DISTINCT x.account, y.account AS peer, x.kind FROM a JOIN h x USING (account) JOIN h y ON x.kind = y.kind AND x.hub = y.hub AND x.account <> y.account)
     SELECT account, peer, kind, row_number() OVER (PARTITION BY account ORDER BY peer, kind) AS rank FROM p QUALIFY rank <= 5
     """
 )
 def fraud_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J6 for the twenty accounts of the largest balance (the accounts asked for; peers are among all)."""
-    best = table(spark, sf_dir, "customer").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(20)
-    asked = best.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("account"))
+    """J6 for every account whose key 20 divides (the accounts asked for; peers are among all)."""
+    asked = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("account"))
     return TX.rings(asked, TX.hubs(_txns(spark, sf_dir))).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -231,7 +249,7 @@ def fraud_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH {_HUBS}, q AS (SELECT c_custkey AS qid, 'c' || c_custkey AS account FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20),
+    WITH {_HUBS}, q AS (SELECT c_custkey AS qid, 'c' || c_custkey AS account FROM customer WHERE c_custkey % 20 = 0),
     p AS (SELECT DISTINCT qid, x.account, y.account AS peer, x.kind FROM q JOIN h x USING (account) JOIN h y ON x.kind = y.kind AND x.hub = y.hub AND x.account <> y.account),
     r AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY peer, kind) AS n FROM p QUALIFY n <= 5)
     SELECT qid, '[FRAUD SIGNAL] Account ' || account || ' shares ' || kind || ' with account ' || peer || ' (possible collusion ring).' AS text, 'fraud:' || account || ':' || peer AS doc_id, 'fraud_graph' AS doc_type FROM r
@@ -241,8 +259,8 @@ def fraud_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def fraud_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = table(spark, sf_dir, "customer").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(20)
-    asked = best.select(F.col("c_custkey").alias("qid"), F.concat(F.lit("Is Account C"), F.col("c_custkey").cast("string"), F.lit(" risky?")).alias("text"))
+    """R7 for every account whose key 20 divides."""
+    asked = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("Is Account C"), F.col("c_custkey").cast("string"), F.lit(" risky?")).alias("text"))
     return TX.signals(asked, _txns(spark, sf_dir))
 
 
@@ -256,44 +274,9 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.entity_counts(G.merge_nodes(_mentions(spark, sf_dir)), G.merge_edges(_edges(spark, sf_dir)))
 
 
-@query(
-    r"""
-    WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\S+')[1:40] AS w FROM documents), n AS (SELECT doc_id, text, list_distinct(list_filter(w, lambda x: length(x) >= 7)) AS e FROM w WHERE len(list_filter(w, lambda x: length(x) >= 7)) > 0),
-    s AS (SELECT doc_id, e, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM n),
-    h AS (SELECT doc_id, list_sort(list_filter(e, lambda x: contains(lower(s), lower(x)))) AS h FROM s),
-    a AS (SELECT doc_id, h, unnest(h) AS src, unnest(range(1, len(h) + 1)) AS i FROM h WHERE len(h) > 1)
-    SELECT DISTINCT doc_id, src, dst, 'ASSOCIATED_WITH' AS rel FROM (SELECT doc_id, src, unnest(h[i + 1:]) AS dst FROM a)
-    """
-)
-def cooccurring_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X2 with a recogniser that takes the long ones of a document's first 40 words for its entities."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 40)
-    found = docs.select("doc_id", F.explode(F.array_distinct(F.filter(w, lambda x: F.length(x) >= 7))).alias("name"))
-    return X.cooccurring(docs, found)
-
-
 @query()
-def cooccurring_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cooccurring_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2 with a recogniser that takes the long words of all of a document for its entities."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda x: F.length(x) >= 7))).alias("name"))
     return X.cooccurring(docs, found)
-
-
-# Accounts asked for: one in twenty, however many there are.
-_BEST, _TWENTIETH = "ORDER BY c_acctbal DESC, c_custkey LIMIT 20", "WHERE c_custkey % 20 = 0"
-
-
-@query(ORACLE["fraud_ring"].replace(_BEST, _TWENTIETH))
-def fraud_ring_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J6 for every account whose key 20 divides."""
-    asked = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("account"))
-    return TX.rings(asked, TX.hubs(_txns(spark, sf_dir))).withColumn("rank", F.col("rank").cast("long"))
-
-
-@query(ORACLE["fraud_signals"].replace(_BEST, _TWENTIETH))
-def fraud_signals_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R7 for every account whose key 20 divides."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0")
-    return TX.signals(c.select(F.col("c_custkey").alias("qid"), F.concat(F.lit("Is Account C"), F.col("c_custkey").cast("string"), F.lit(" risky?")).alias("text")), _txns(spark, sf_dir))

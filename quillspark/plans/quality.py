@@ -13,6 +13,7 @@ from quillspark.models import gazetteer
 from quillspark.operators import evaluation as E
 from quillspark.operators import extraction as X
 from quillspark.operators import labels, metrics
+from quillspark.operators.search import top_k
 from quillspark.plans.registry import BLANKS, query, strings, table, tok, words
 from quillspark.streaming import sync as streams
 
@@ -143,22 +144,68 @@ def eval_relevancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E4 with the hashing embedder; the answer stands for the truth."""
     a = _answers(spark, sf_dir)
-    vec = a.select("conv_id", "turn", hash_embed(F.col("answer")).alias("ref"), F.transform("ctx", lambda c: hash_embed(c)).alias("cs"))
-    hit = F.filter("cs", lambda c: F.round(cosine(F.col("ref"), c), 9) >= C.RELEVANT_COSINE)
-    share = F.when(F.size("cs") == 0, 0.0).otherwise(F.size(hit) / F.size("cs"))
-    return vec.select("conv_id", "turn", F.round(share, 6).alias("precision"))
+    return a.select("conv_id", "turn", F.round(E.precision(F.col("answer"), F.col("ctx")), 6).alias("precision"))
+
+
+# Each context's sentences against the answer, which stands for the truth.
+_SENTENCE_PRECISION = f"""
+    cs AS (SELECT conv_id, turn, i, answer AS whole, unnest({_EVAL_SENTS}) AS s FROM (SELECT conv_id, turn, unnest(ctx) AS answer, unnest(range(1, len(ctx) + 1)) AS i FROM a)),
+    sn AS (SELECT conv_id, turn, i, row_number() OVER () AS k, s FROM cs),
+    sk AS (SELECT conv_id, turn, i, k, unnest({tok("s")}) AS t FROM sn), sv AS (SELECT conv_id, turn, i, k, {_BIN} AS b, count(*) AS n FROM sk GROUP BY ALL), sl AS (SELECT k, sqrt(sum(n * n)) AS l FROM sv GROUP BY 1),
+    rk AS (SELECT conv_id, turn, unnest({tok("answer")}) AS t FROM a), rv AS (SELECT conv_id, turn, {_BIN} AS b, count(*) AS n FROM rk GROUP BY ALL), rl AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS l FROM rv GROUP BY 1, 2),
+    sd AS (SELECT sv.conv_id, sv.turn, i, k, sum(sv.n * rv.n) AS d FROM sv JOIN rv USING (conv_id, turn, b) GROUP BY ALL),
+    hit AS (SELECT DISTINCT conv_id, turn, i FROM sd JOIN sl USING (k) JOIN rl USING (conv_id, turn) WHERE round(d / (sl.l * rl.l), 9) >= 0.35),
+    sp AS (SELECT a.conv_id, a.turn, CASE WHEN len(ctx) = 0 THEN 0 ELSE coalesce(h, 0) / len(ctx) END::DOUBLE AS context_precision FROM a LEFT JOIN (SELECT conv_id, turn, count(*) AS h FROM hit GROUP BY 1, 2) USING (conv_id, turn))
+"""
+
+
+@query(f"WITH {_TALK}, {_SENTENCE_PRECISION} SELECT conv_id, turn, round(context_precision, 6) AS context_precision FROM sp")
+def eval_sentence_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5 with the hashing embedder."""
+    a = _answers(spark, sf_dir)
+    return a.select("conv_id", "turn", F.round(E.sentence_precision(F.col("answer"), F.col("ctx")), 6).alias("context_precision"))
+
+
+_WIDE = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}'))"
+#: E1, E3, E5 and E6 of each answer that follows a question; the answer is its own truth, with a purpose added for E3.
+_FOUR = rf"""
+    {_TALK}, {_SENTENCE_PRECISION},
+    x AS (SELECT conv_id, turn, answer, question, ctx, {_EVAL_SENTS} AS s, list_distinct(flatten(list_transform(ctx, lambda c: {_terms("c")}))) AS known,
+        {_WIDE.format("answer")} AS wt, list_distinct(flatten(list_transform(ctx, lambda c: {_WIDE.format("c")}))) AS wc FROM a WHERE question IS NOT NULL),
+    y AS (SELECT *, list_filter(s, lambda z: len({_terms("z")}) > 0 AND len(list_intersect({_terms("z")}, known)) / len({_terms("z")}) >= 0.5) AS ok FROM x),
+    four AS (SELECT CASE WHEN trim(answer, {BLANKS}) = '' THEN 0.0 WHEN len(list_filter({strings(C.ABSTENTIONS)}, lambda p: contains(lower(answer), p))) > 0 THEN 1.0 WHEN len(s) = 0 THEN 0.0 ELSE len(ok) / len(s) END::DOUBLE AS faithfulness,
+        ((len(list_intersect({_LONG.format("question")}, {_LONG.format("answer")})) > 0)::INT + (len(list_filter({strings(C.PURPOSES)}, lambda p: contains(lower(answer), p))) > 0)::INT
+            + regexp_matches(regexp_replace(answer, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), '(^| )\d+( |$)')::INT) / 3 AS answer_relevancy,
+        context_precision, len(list_intersect(wt, wc)) / len(wt) AS context_recall
+        FROM y JOIN sp USING (conv_id, turn) WHERE len(wt) > 3)
+"""
+_REPORT = ", ".join(f"round_even(avg({m}), 4) AS {m}" for m in E.FOUR)
+
+
+def _four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _answers(spark, sf_dir).where("question is not null").where(F.size(F.array_distinct(T.long_tokens(F.col("answer")))) > C.SHORT_TRUTH)
+    return E.four_metrics(a.select("question", F.col("answer").alias("ground_truth"), "answer", F.col("ctx").alias("contexts")))
+
+
+@query(f"WITH {_FOUR} SELECT {_REPORT}, count(*) AS n_samples FROM four")
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8, A17."""
+    return E.report(_four(spark, sf_dir), *E.FOUR)
 
 
 @query(
     f"""
-    WITH {_TALK}, x AS (SELECT list_distinct({tok("answer")}) AS t, list_distinct(flatten(list_transform(ctx, lambda c: {tok("c")}))) AS c FROM a)
-    SELECT round_even(avg(len(list_intersect(t, c)) / greatest(len(list_distinct(list_concat(t, c))), 1)), 4) AS jaccard, count(*) AS n_samples FROM x WHERE len(t) > 0
+    WITH {_FOUR}, m AS (SELECT {_REPORT} FROM four), l AS (SELECT round(quantile_cont(value, 0.95), 6) AS p FROM events)
+    SELECT 'faithfulness' AS gate, faithfulness AS value, 0.85::DOUBLE AS bar, coalesce(faithfulness >= 0.85, false) AS passed FROM m
+    UNION ALL SELECT 'context_precision', context_precision, 0.5, coalesce(context_precision >= 0.5, false) FROM m
+    UNION ALL SELECT 'retrieval_p95_ms', p, 1100, coalesce(p <= 1100, false) FROM l UNION ALL SELECT 'synthesis_p95_s', p / 100, 3, coalesce(p / 100 <= 3, false) FROM l
     """
 )
-def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _answers(spark, sf_dir)
-    j = F.coalesce(E.jaccard(F.col("answer"), F.col("ctx")), F.lit(None))
-    return E.report(a.select(j.alias("jaccard")).where("jaccard is not null"), "jaccard")
+def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E10 on the report and on the events' values for latencies."""
+    p95 = table(spark, sf_dir, "events").agg(*metrics.linear("value", 95))
+    one = eval_report(spark, sf_dir).crossJoin(F.broadcast(p95))  # one row each
+    return E.gates(one.withColumns({"retrieval_p95_ms": F.col("p95"), "synthesis_p95_s": F.col("p95") / 100}))
 
 
 @query("SELECT count(*) AS n, round_even(avg(CASE WHEN coalesce(props, '') <> '' AND coalesce(event_type, '') <> '' THEN 1 ELSE 0 END), 4) AS coverage FROM events")
@@ -254,30 +301,30 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hashed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 with the hashing embedder: the nearest documents of each benchmark item."""
-    from quillspark.operators.search import top_k
-
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hash_embed(F.col("text")).alias("vector"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), hash_embed(F.col("text")).alias("vector"))
     return top_k(q, docs, 5).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def identity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A23 over all documents: each one's first twelve words against all, by sparse overlap of rare tokens.
-
-    Rows only: a document's own first words find it by construction unless copies come first.
+@query(
+    f"""
+    WITH d AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT doc_id AS qid, array_to_string({words("text")}[1:12], ' ') AS text FROM documents WHERE doc_id % 20 = 0),
+    k AS (SELECT id, unnest({tok("text")}) AS t FROM d), f AS (SELECT id, {_BIN} AS b, count(*) AS n FROM k GROUP BY 1, 2), l AS (SELECT id, sqrt(sum(n * n)) AS l FROM f GROUP BY 1),
+    qk AS (SELECT qid, unnest({tok("text")}) AS t FROM q), qf AS (SELECT qid, {_BIN} AS b, count(*) AS n FROM qk GROUP BY 1, 2), ql AS (SELECT qid, sqrt(sum(n * n)) AS l FROM qf GROUP BY 1),
+    s AS (SELECT qid, id, round(sum(f.n * qf.n) / (any_value(l.l) * any_value(ql.l)), 6) AS score FROM qf JOIN f USING (b) JOIN l USING (id) JOIN ql USING (qid) GROUP BY 1, 2),
+    h AS (SELECT qid, id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5),
+    w AS (SELECT qid, max((id = qid)::INT) AS hit FROM h GROUP BY 1)
+    SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round_even(avg(hit), 4) AS recall FROM w
     """
-    from quillspark.operators.ranking import top_per
-
+)
+def identity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A23 by the vectors of hashed_search: the first twelve words of every document whose id 20 divides (with a word)
+    against all documents. A hashed vector of a few words finds its own document seldom; a trained one would more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    own = docs.select(F.col("doc_id").alias("qid"), F.explode(F.array_distinct(T.tokens(T.first_words(F.col("text"), 0, 12)))).alias("token"))
-    inverted = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    df = inverted.groupBy("token").agg(F.count("*").alias("df"))
-    n = docs.count()
-    # A query meets documents through its three rarest tokens.
-    rare = top_per(own.join(df, "token"), ["qid"], [F.col("df"), F.col("token")], 3).withColumn("idf", F.ln(F.lit(n + 1) / F.col("df")))
-    hits = rare.join(inverted, "token").groupBy("qid", "id").agg(F.round(F.sum("idf"), 6).alias("score"))
-    return E.identity_recall(top_per(hits, ["qid"], [F.col("score").desc(), F.col("id")], 5))
+    first = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), T.first_words(F.col("text"), 0, 12).alias("text"))
+    q = first.where(F.size(T.tokens(F.col("text"))) > 0).select("qid", hash_embed(F.col("text")).alias("vector"))
+    hits = top_k(q, docs.select(F.col("doc_id").alias("id"), hash_embed(F.col("text")).alias("vector")), 5)
+    return E.identity_recall(hits.where("score > 0"))
 
 
 @query()

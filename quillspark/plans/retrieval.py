@@ -10,7 +10,7 @@ from quillspark.functions import text as T
 from quillspark.operators import aliases as A
 from quillspark.operators import corrective as R
 from quillspark.operators import fusion, search, terminology, terms
-from quillspark.plans.registry import BLANKS, ORACLE, query, sents, strings, table, tok, words
+from quillspark.plans.registry import BLANKS, query, sents, strings, table, tok, words
 
 # A terminology of the documents: each is a concept, its sentences are its terms, its language that of the terms.
 _CONCEPTS = f"""
@@ -68,8 +68,7 @@ def term_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     concepts, descriptions, _ = _terminology(spark, sf_dir)
     asked = _asked(spark).select("qid", F.explode(F.array_distinct(T.keywords(F.col("text")))).alias("keyword"))
-    idf = terminology.idf_table(concepts, descriptions)
-    matched = terms.capped_postings(terminology.active_tokens(concepts, descriptions), idf, asked)
+    matched = terms.capped_postings(terminology.all_active_tokens(concepts, descriptions), terminology.n_active(concepts), asked)
     scored = terms.term_scores(matched).select("qid", "id", F.round("score", 6).alias("score"), "n_terms")
     return top_per(scored, ["qid"], [F.col("score").desc(), F.col("id")], 20).withColumn("rank", F.col("rank").cast("long"))
 
@@ -154,7 +153,7 @@ def preferred_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
     WITH {_CONCEPTS}, t AS (SELECT DISTINCT array_to_string({words("text")}[1:2], ' ') AS title FROM documents)
-    SELECT title, min(concept_id) AS concept_id FROM t JOIN descriptions ON language_code = 'en' AND contains(lower(term), lower(title)) WHERE length(title) >= 3 GROUP BY 1
+    SELECT title, min(concept_id) AS concept_id FROM t JOIN descriptions ON language_code = 'en' AND contains(lower(term), lower(title)) WHERE title <> '' GROUP BY 1
     """
 )
 def title_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,15 +161,25 @@ def title_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminology.concept_of_title(titles, _terminology(spark, sf_dir)[1])
 
 
+@query(
+    f"""
+    WITH {_CONCEPTS}, c AS (SELECT DISTINCT array_to_string({words("text")}[4:5], ' ') AS candidate FROM documents)
+    SELECT DISTINCT candidate, concept_id, term FROM c JOIN descriptions ON contains(term, candidate) WHERE candidate <> ''
+    """
+)
+def candidate_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11, with the fourth and fifth word of each document for a candidate."""
+    names = table(spark, sf_dir, "documents").select(T.first_words(F.col("text"), 3, 5).alias("candidate"))
+    return terminology.descriptions_of(names, _terminology(spark, sf_dir)[1])
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf_dir, "embeddings")
-    asked = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), "label"), e.select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"
-    )
+    """The searches' query set, every vector whose id 20 divides, and all vectors."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return v.where("id % 20 = 0").withColumnRenamed("id", "qid"), v
 
 
-_SCORES = "s AS (SELECT a.vec_id AS qid, a.label AS ql, b.vec_id AS id, b.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b)"
+_SCORES = "s AS (SELECT a.vec_id AS qid, a.label AS ql, b.vec_id AS id, b.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"
 
 
 def _vector_topk(q: DataFrame, v: DataFrame) -> DataFrame:
@@ -225,7 +234,7 @@ def _entity_resolution(q: DataFrame, v: DataFrame) -> DataFrame:
 @query(
     f"""
     WITH {_SCORES}, b AS (SELECT qid, id AS match FROM s WHERE label <> ql AND score >= 0.35 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) = 1)
-    SELECT vec_id AS name, b.match IS NOT NULL AS matched, CAST(match AS VARCHAR) AS match FROM embeddings JOIN benchmark ON item_id = vec_id LEFT JOIN b ON qid = vec_id
+    SELECT vec_id AS name, b.match IS NOT NULL AS matched, CAST(match AS VARCHAR) AS match FROM (FROM embeddings WHERE vec_id % 20 = 0) LEFT JOIN b ON qid = vec_id
     """
 )
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,35 +242,6 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entity_resolution(*_vectors(spark, sf_dir))
 
 
-# The searches' own query set: every vector whose id 20 divides.
-_ASKED_SCORES = _SCORES.replace("embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b", "embeddings a, embeddings b WHERE a.vec_id % 20 = 0")
-
-
-def _asked_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return v.where("id % 20 = 0").withColumnRenamed("id", "qid"), v
-
-
-@query(ORACLE["vector_topk"].replace(_SCORES, _ASKED_SCORES))
-def vector_topk_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vector_topk(*_asked_vectors(spark, sf_dir))
-
-
-@query(ORACLE["vector_topk_multi"].replace(_SCORES, _ASKED_SCORES))
-def vector_topk_multi_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vector_topk_multi(*_asked_vectors(spark, sf_dir))
-
-
-@query(ORACLE["semantic_cache"].replace(_SCORES, _ASKED_SCORES))
-def semantic_cache_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _semantic_cache(*_asked_vectors(spark, sf_dir))
-
-
-@query(ORACLE["entity_resolution"].replace(_SCORES, _ASKED_SCORES).replace("embeddings JOIN benchmark ON item_id = vec_id LEFT", "(FROM embeddings WHERE vec_id % 20 = 0) LEFT"))
-def entity_resolution_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entity_resolution(*_asked_vectors(spark, sf_dir))
-
-
 _ALIASES = [("Then Of", "Thenable", ["thonor", "the"], 1), ("La Mentoi", "Place", ["que", "la"], 2), ("Einung", "Org", ["der", "die das"], 3), ("The", "Word", [], 4)]
 _AMAP = "amap(alias, canonical) AS (VALUES ('thonor', 'Then Of'), ('the', 'Then Of'), ('que', 'La Mentoi'), ('la', 'La Mentoi'), ('der', 'Einung'), ('die das', 'Einung'), ('then of', 'Then Of'), ('la mentoi', 'La Mentoi'), ('einung', 'Einung'))"
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
+from quillspark.operators.ranking import first_per, global_rank
 from quillspark.operators.sync import decoded, ignored
+from quillspark.staging import stage
 
 
 def relative(path_column: str, root: str):
@@ -93,32 +95,30 @@ def generated_transactions(spark: SparkSession, benign: int = 470, seed: int = 4
     return spark.createDataFrame(rows, "txn_id string, `from` string, `to` string, amount double, device string, card string")
 
 
-def frontier(seeds: DataFrame, links: DataFrame, pages: DataFrame, limit: int, least_chars: int = 200, per_page: int = 50, rounds: int = 50) -> DataFrame:
+def frontier(seeds: DataFrame, links: DataFrame, pages: DataFrame, limit: int, least_chars: int = 200, per_page: int = 50) -> DataFrame:
     """Breadth-first (title, text, depth, ord): from seeds (title, ord) over links (title, target, pos).
 
     A title is popped once, in the order of its queue; ``limit`` counts popped titles, also those that have no page or
-    too short a text (which return with a null text and lead nowhere).
+    too short a text (which return with a null text and lead nowhere). Levels go on until the limit or the last link.
     """
-    from pyspark.sql import Window as W
-
     done = None
-    level = seeds.groupBy("title").agg(F.min("ord").alias("ord")).withColumn("depth", F.lit(0))
-    popped = 0
+    level = seeds.groupBy("title").agg(F.min("ord").cast("double").alias("ord"))
+    popped, depth = 0, 0
     text = pages.where(F.length("text") > least_chars).select("title", "text")
     out = links.where(F.col("pos") < per_page)
-    for depth in range(rounds):
-        w = W.orderBy("ord", "title")
-        level = level.orderBy("ord", "title").limit(limit - popped).withColumn("ord", F.row_number().over(w) + popped)
-        level = level.join(text, "title", "left").select("title", "text", "depth", "ord").persist()
+    while popped < limit:
+        level = global_rank(level, ["ord", "title"], "_n").where(F.col("_n") <= limit - popped)
+        level = level.select("title", (F.col("_n") + popped).alias("ord"), F.lit(depth).alias("depth")).join(text, "title", "left")
+        level = stage(level.select("title", "text", "depth", "ord"), "level")
         n = level.count()
+        if not n and done is not None:
+            break
         done = level if done is None else done.unionByName(level)
-        popped += n
-        if not n or popped >= limit:
+        if not n:
             break
+        popped, depth = popped + n, depth + 1
         nxt = level.where("text is not null").join(out, "title").select(F.col("target").alias("title"), "ord", "pos")
-        seen = done.select("title")
-        nxt = nxt.join(seen, "title", "left_anti")
-        order = W.partitionBy("title").orderBy("ord", "pos")
-        nxt = nxt.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-        level = nxt.select("title", (F.col("ord").cast("double") + F.col("pos") / 1e6).alias("ord"), F.lit(depth + 1).alias("depth"))
+        nxt = nxt.join(done.select("title"), "title", "left_anti")
+        first = first_per(nxt, ["title"], [F.col("ord"), F.col("pos")])
+        level = first.select("title", (F.col("ord").cast("double") + F.col("pos") / 1e6).alias("ord"))
     return done

@@ -1,58 +1,108 @@
 """Sinks: tables kept by key with overwrite of what changes, and logs.
 
-Parquet has no MERGE: an upsert is the rows of other keys united with the new ones, written beside the table and then
-put in its place, so a reader sees the old table or the new one.
+Parquet has no MERGE: an upsert is the rows of other keys united with the new ones. A table is a folder of versions and
+one small file that names the current one; a new version is written beside the old ones and then named by renaming that
+file over the old one, in one step. So a reader sees the old table or the new one, and after a crash the old one. Tables
+are read with ``read``; versions before the last but one are deleted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.graph import delete_document
+
+POINTER = "_CURRENT"
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
 
 def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _current(spark: SparkSession, path: str) -> list[str]:
+    """Names of the current version and the one before it; none where there is no table."""
+    if not _fs(spark, path).exists(_path(spark, f"{path}/{POINTER}")):
+        return []
+    return [r.value for r in spark.read.text(f"{path}/{POINTER}", wholetext=True).collect()][0].split()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
+    return bool(_current(spark, path))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    found = _current(spark, path)
+    if not found:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{found[0]}")
 
 
 def replace(df: DataFrame, path: str, by: list[str] = ()) -> None:
+    """The table becomes df, in one step."""
     spark = df.sparkSession
-    fs, target = _fs(spark, path)
-    new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.partitionBy(*by).parquet(new)
-    new_path, old_path = _fs(spark, new)[1], _fs(spark, old)[1]
-    if fs.exists(target):
-        fs.rename(target, old_path)
-    fs.rename(new_path, target)
-    if fs.exists(old_path):
-        fs.delete(old_path, True)
+    before = _current(spark, path)[:1]
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(f"{path}/{name}")
+    jvm, fs = spark.sparkContext._jvm, _fs(spark, path)
+    new = f"{path}/_{name}.pointer"
+    out = fs.create(_path(spark, new))
+    out.write(bytearray("\n".join([name, *before]).encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_path(spark, path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    qualified = [_path(spark, p).makeQualified(fs.getUri(), fs.getWorkingDirectory()) for p in (new, f"{path}/{POINTER}")]
+    files.rename(*qualified, overwrite)
+    for status in fs.listStatus(_path(spark, path)):
+        old = status.getPath().getName()
+        if old.startswith("v-") and old not in (name, *before):
+            fs.delete(status.getPath(), True)
 
 
 def upsert(df: DataFrame, path: str, keys: list[str], by: list[str] = ()) -> None:
     """K1: rows of df take the place of those with their keys (K2: the table is made where it is missing)."""
     spark = df.sparkSession
     if exists(spark, path):
-        old = spark.read.parquet(path)
+        old = read(spark, path)
         df = old.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df, allowMissingColumns=True)
     replace(df, path, by)
 
 
 def delete(spark: SparkSession, path: str, condition) -> int:
-    """K6, K7: rows that meet the condition go; returns how many."""
-    table = spark.read.parquet(path)
+    """K6: rows that meet the condition go; returns how many."""
+    table = read(spark, path)
     n = table.where(condition).count()
     if n:
         replace(table.where(~F.coalesce(condition, F.lit(False))), path)
     return n
 
 
+def delete_ingest(spark: SparkSession, doc_id, chunks: str, nodes: str, edges: str) -> dict[str, int]:
+    """K7: a document goes from the tables of chunks (doc_id), nodes and edges (source_docs). Returns the numbers of
+    chunks deleted and of nodes that named it; KeyError where none of either does."""
+    doc = F.lit(doc_id)
+    n_chunks = read(spark, chunks).where(F.col("doc_id") == doc).count() if exists(spark, chunks) else 0
+    graph = exists(spark, nodes) and exists(spark, edges)
+    n_nodes = read(spark, nodes).where(F.array_contains("source_docs", doc)).count() if graph else 0
+    if not n_chunks and not n_nodes:
+        raise KeyError(doc_id)
+    if n_chunks:
+        delete(spark, chunks, F.col("doc_id") == doc)
+    if graph:
+        left, kept = delete_document(read(spark, nodes), read(spark, edges), doc)
+        replace(left, nodes)
+        replace(kept, edges)
+    return {"vectors": n_chunks, "nodes": n_nodes}
+
+
 def store_answers(answers: DataFrame, path: str) -> None:
     """K9: cacheable answers only (not degraded; not empty where one was asked for), one for each query and scope."""
     ok = answers.where("not degraded and (not synthesize or coalesce(answer, '') <> '')")
@@ -69,21 +119,30 @@ def reembed(chunks: DataFrame, embed, text: str = "text", vector: str = "vector"
     return chunks.withColumn(vector, embed(F.col(text)))
 
 
+def differential_id(query: str, mode: str = "differential", min_confidence: str | None = None) -> str:
+    return hashlib.sha256("|".join([query, mode, min_confidence or ""]).encode()).hexdigest()
+
+
+def delete_differential(spark: SparkSession, path: str, query: str, mode: str = "differential", min_confidence: str | None = None) -> int:
+    """A stored differential goes with its candidates; returns 1, or 0 where there is none."""
+    return int(exists(spark, path) and delete(spark, path, F.col("id") == differential_id(query, mode, min_confidence)) > 0)
+
+
 def persist_differential(ranked: DataFrame, header: dict[str, str], path: str) -> None:
     """K8: candidates (rank, candidate, confidence, dual, score) under a stable id of query, mode and floor."""
-    key = F.sha2(F.lit("|".join([header["query"], header["mode"], header["min_confidence"]])), 256)
+    key = F.lit(differential_id(**{k: header[k] for k in ("query", "mode", "min_confidence")}))
     rows = ranked.select(key.alias("id"), *[F.lit(header[k]).alias(k) for k in ("query", "mode", "min_confidence")], *ranked.columns)
     stored = rows.withColumn("created", F.current_timestamp())
     spark = ranked.sparkSession
     if exists(spark, path):
-        old = spark.read.parquet(path).join(stored.select("id").distinct(), "id", "left_anti")
+        old = read(spark, path).join(stored.select("id").distinct(), "id", "left_anti")
         stored = old.unionByName(stored)
     replace(stored, path)
 
 
 def list_differentials(spark: SparkSession, path: str, n: int, query: str | None = None) -> DataFrame:
     """Newest first, or those of exactly this query; candidates in rank order."""
-    rows = spark.read.parquet(path)
+    rows = read(spark, path)
     if query is not None:
         rows = rows.where(F.col("query") == query)
     listed = rows.groupBy("id", "query", "mode", "min_confidence").agg(

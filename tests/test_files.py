@@ -51,12 +51,12 @@ def test_upsert_delete_and_cache(spark, tmp_path):
     p = str(tmp_path / "table")
     sinks.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), p, ["id"])
     sinks.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), p, ["id"])
-    assert {tuple(r) for r in spark.read.parquet(p).collect()} == {(1, "a"), (2, "c"), (3, "d")}
-    assert sinks.delete(spark, p, F.col("id") == 1) == 1 and spark.read.parquet(p).count() == 2
+    assert {tuple(r) for r in sinks.read(spark, p).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert sinks.delete(spark, p, F.col("id") == 1) == 1 and sinks.read(spark, p).count() == 2
     c = str(tmp_path / "cache")
     rows = [("q", "s", "yes", True, False), ("r", "s", "", True, False), ("x", "s", "a", True, True), ("y", "s", "", False, False)]
     sinks.store_answers(spark.createDataFrame(rows, "query string, scope string, answer string, synthesize boolean, degraded boolean"), c)
-    assert {r.query for r in spark.read.parquet(c).collect()} == {"q", "y"}
+    assert {r.query for r in sinks.read(spark, c).collect()} == {"q", "y"}
     d = str(tmp_path / "dx")
     head = {"query": "q", "mode": "differential", "min_confidence": ""}
     sinks.persist_differential(spark.createDataFrame([(1, "Flu", "low")], "rank int, candidate string, confidence string"), head, d)
@@ -72,7 +72,7 @@ def test_watch_is_incremental(spark, tmp_path):
     streams.watch(spark, str(root), run, cp).awaitTermination()
     write(root, sub__b_md="beta")
     streams.watch(spark, str(root), run, cp).awaitTermination()
-    assert {r.rel_path: r.text for r in spark.read.parquet(out).collect()} == {"a.md": "alpha", "sub/b.md": "beta"}
+    assert {r.rel_path: r.text for r in sinks.read(spark, out).collect()} == {"a.md": "alpha", "sub/b.md": "beta"}
 
 
 def test_labels_by_state(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""Entities of whole texts, where the SQL-checked query reads the first 40 words."""
+"""Entities of whole texts."""
 
 import re
 from itertools import combinations
@@ -14,5 +14,5 @@ def test_entities_after_the_fortieth_word(spark, tmp_path):
         names = {w for w in t.split() if len(w) >= 7}
         for s in re.split(r"(?<=[.!?])\s+", t):
             want |= {(i, *p) for p in combinations(sorted(n for n in names if n.lower() in s.lower()), 2)}
-    got = {(r.doc_id, r.src, r.dst) for r in QUERIES["cooccurring_entities_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.src, r.dst) for r in QUERIES["cooccurring_entities"](spark, str(tmp_path)).collect()}
     assert got == want and (1, "Alphabet", "Betatest") in got
