@@ -8,6 +8,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,25 @@ def unstage(df: DataFrame) -> None:
         _staged[:] = [x for x in _staged if x[1] != path]
 
 
+@contextmanager
+def noted(into: list[tuple[SparkSession, str]]) -> Iterator[None]:
+    """Adds the tables that are staged inside to ``into``, for ``forget`` when they are no longer read."""
+    before = set(_staged)
+    try:
+        yield
+    finally:
+        into += [x for x in _staged if x not in before]
+
+
+def forget(tables: list[tuple[SparkSession, str]]) -> None:
+    """Deletes these tables and empties the list."""
+    for x in tables:
+        if x in _staged:
+            _delete(*x)
+            _staged.remove(x)
+    tables.clear()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
