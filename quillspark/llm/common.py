@@ -1,14 +1,10 @@
 """What the training-data operators share: staged tables, batches of text, connected components, running sums.
 
-Lineage is cut by writing a table under ``spark.checkpoint.dir`` and reading it back. Unlike
-``DataFrame.checkpoint`` that computes the plan once, and a lost executor costs nothing but a reread.
+Lineage is cut by tables written under ``spark.checkpoint.dir`` and read back (``quillspark.staging``).
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark import staging
 from quillspark.shipping import ship
+from quillspark.staging import unstage
 
 #: Characters of text that one step of a Python operator holds as Python objects.
 SLICE_CHARS = 1_000_000
@@ -25,8 +23,6 @@ SLICE_CHARS = 1_000_000
 #: Rows and bytes of an Arrow batch, at most: what a task holds twice on either side of the pipe to Python.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
-_staged: list[tuple[SparkSession, str]] = []
-
 
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the executors and lowers the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller settings stay."""
@@ -38,48 +34,10 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and returns the table read back."""
-    spark = df.sparkSession
-    prepare(spark)
-    path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quill_path = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Deletes a staged table that no later plan reads."""
-    path = getattr(df, "_quill_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _staged[:] = [x for x in _staged if x[1] != path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _staged:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session is gone already
-            return
+    """``staging.stage`` in a session that is prepared for Python workers."""
+    prepare(df.sparkSession)
+    return staging.stage(df, tag)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -92,14 +92,10 @@ def _overlap(k: int) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
 
 
-def _mix(docs: DataFrame, weights: tuple, share: float, most: int, seed: int, packet: int, carried: list[str]) -> DataFrame:
-    """Each document with size, source_size, target, before (words of its source before it) and served (of its source)."""
-    sized = docs.select(
-        *carried, F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size"),
-        _shuffle_key(seed, F.col("doc_id"), F.col("text").cast("string")).alias("_shuffle"),
-    )
-    if "text" not in carried:  # small rows, from texts read once
-        sized = stage(sized, "sized")
+def _mix(sized: DataFrame, weights: tuple, share: float, most: int, packet: int) -> DataFrame:
+    """Rows with _source, _shuffle and size, with source_size, target, before (words of the source before the row) and
+    served (of the source)."""
+    sized = stage(sized, "sized")
     totals, budget = targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most)
     queue = running_sum(sized, "_source", ["_shuffle"], "size", "before")
     queue = queue.join(totals, queue["_source"].eqNullSafe(totals["source"]), "left").drop(totals["source"])
@@ -107,32 +103,47 @@ def _mix(docs: DataFrame, weights: tuple, share: float, most: int, seed: int, pa
     return queue.join(kept, "nth", "left").withColumn("served", F.coalesce("served", F.lit(0).cast("long")))
 
 
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    key = _shuffle_key(seed, F.col("doc_id"), F.col("text").cast("string"))
+    return docs.withColumns({"_source": F.col("source").cast("string"), "size": n_words(F.col("text")), "_shuffle": key})
+
+
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = PASSES, seed: int = SEED, packet: int = PACKET) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every document; taken counts repeats."""
-    plain = docs.select("doc_id", "source", "text")
+    sized = _sized(docs.select("doc_id", "source", "text"), seed).select("doc_id", "_source", "_shuffle", "size")
     taken = _overlap(0)
     for k in range(1, most):
         taken = taken + _overlap(k)
-    mix = _mix(plain, weights, share, most, seed, packet, ["doc_id"])
+    mix = _mix(sized, weights, share, most, packet)
     return mix.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = PASSES, seed: int = SEED, packet: int = PACKET) -> DataFrame:
-    """The mix itself, range-sorted by virtual finish time: docs' columns (under names that end in ``_1`` and so on where
-    they clash), pass, words, finish, size and target.
+    """The mix itself, range-sorted by virtual finish time: docs' columns, then pass, words, finish, size and target
+    (under names that end in ``_1`` and so on where they clash).
 
     A row for each time that words of a document are taken; where that is not all of them, its text is those first
     words with one space between, and n_chars, if there, its length.
+
+    The queue is made of rows without texts. Texts are shuffled twice: to the place in the queue that their row has, and
+    into the order of the mix. Rows that are alike in all columns are one there, with the number of them.
     """
     plain, _ = guard(docs, ("doc_id", "text", "source", "n_chars"))
-    mix = _mix(plain, weights, share, most, seed, packet, plain.columns)
+    row = F.md5(F.to_json(F.struct(*[c for c in plain.columns if c != "text"])))
+    sized = _sized(plain, seed).withColumnRenamed("size", "_size").withColumn("_row", row).where("_size > 0")
+    key = ["_shuffle", "_row"]
+    mix = _mix(sized.select("_source", *key, F.col("_size").alias("size")), weights, share, most, packet)
+    same = [F.first(c).alias(c) for c in ("size", "source_size", "target", "served")]
+    places = mix.groupBy(*key).agg(F.min("before").alias("first"), F.count("*").alias("alike"), *same)
+    texts = sized.groupBy(*key).agg(*[F.first(c).alias(c) for c in plain.columns])
+    rows = texts.join(places.hint("shuffle_hash"), key).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1)))
+    rows = rows.withColumn("before", F.col("first") + F.col("_copy") * F.col("size"))
     passes = F.array(*[F.struct(F.lit(k).alias("pass"), _overlap(k).alias("words")) for k in range(most)])
-    rows = mix.withColumn("_p", F.explode(passes)).where("_p.words > 0")
+    rows = rows.withColumn("_p", F.explode(passes)).where("_p.words > 0")
     words, size = F.col("_p.words"), F.col("size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
-    text = F.when(words < size, part).otherwise(F.col("text"))
     finish = (F.col("before") + F.col("source_size") * F.col("_p.pass") + size) / F.col("target")
-    out = {c: F.col(c) for c in plain.columns} | {"text": text}
+    out = {c: F.col(c) for c in plain.columns} | {"text": F.when(words < size, part).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(words < size, F.length(part)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     have, own = {c.lower() for c in docs.columns}, []
