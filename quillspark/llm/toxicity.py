@@ -6,8 +6,8 @@ are marked toxic significantly more often than others. On windows of these token
 Forward-backward over a whole text gives each token's marginal; their sum, maximum and density go into a logistic
 layer fitted on the labelled documents. Offending offsets are the runs of tokens whose marginal is at least a half.
 
-The fit uses at most ``MOST_DOCS`` labelled rows and ``MOST_WINDOWS`` windows, the first by a hash of the id: that
-bound is the parameter of a classifier's sample; scoring reads every text in whole. Only the text is a feature.
+The fit uses at most ``MOST_DOCS`` labels, ``MOST_BYTES`` of their rows' text and ``MOST_WINDOWS`` windows, the first by
+a hash of the id: those bounds are the parameters of a classifier's sample; scoring reads every text in whole. Only the text is a feature.
 
 Defined cases: null or empty text scores as a text without tokens. Labels that are null, or of ids that no document
 has, are not used; of contradictory labels of one id each counts once. Without both classes in the labels the score
@@ -23,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from quillspark.llm.common import guard, slices
+from quillspark.llm.common import free_name, guard, slices
 
-BITS, WIDTH, MOST_DOCS, MOST_WINDOWS, EPOCHS, THRESHOLD = 21, 32, 6_000, 20_000, 5, 0.7
+BITS, WIDTH, MOST_DOCS, MOST_BYTES, MOST_WINDOWS, EPOCHS, THRESHOLD = 21, 32, 6_000, 64 << 20, 20_000, 5, 0.7
 BEGINNINGS = (3, 4, 5, 6, 7)
 TOKEN = re.compile(r"\w+")
 N_FEATURES = 1 + len(BEGINNINGS)
@@ -226,22 +227,26 @@ def fit(texts: list[str | None], labels: list[int]) -> Tagger:
         w = rows[d][s : s + WIDTH]
         ids[i, : len(w)], tag[i, : len(w)], real[i, : len(w)] = of[w], toxic_word[w] & bool(y[d]), True
     del with_, without, chosen, rows, of
-    common = np.bincount(ids.ravel(), minlength=1 << BITS) >= 3
+    # The windows' own features, numbered anew (weight 0 stays the first): no step looks at the others.
+    used, ids = np.unique(np.append(ids.ravel(), 0), return_inverse=True)
+    ids = ids[:-1].reshape(n, WIDTH, N_FEATURES)
+    own = np.zeros(len(used))
+    common = np.bincount(ids.ravel(), minlength=len(used)) >= 3
     common[0] = False
-    bias, square, square_b, square_t = -2.0, np.full(1 << BITS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
+    bias, square, square_b, square_t = -2.0, np.full(len(used), 1e-3), 1e-3, np.full((2, 2), 1e-3)
     for _ in range(EPOCHS):
         for s in range(0, n, 256):
             x, z, on = ids[s : s + 256], tag[s : s + 256], real[s : s + 256]
             first = np.zeros(on.shape, bool)
             first[:, 0] = True
-            e = np.where(on, weights[x].sum(axis=2) + bias, 0.0)
+            e = np.where(on, own[x].sum(axis=2) + bias, 0.0)
             flat = on.ravel()
             p, pair = _expect(e, on, first, trans)
             err = np.where(on, p - z, 0.0)
-            g = np.bincount(x[on].ravel(), np.repeat(err.ravel()[flat], N_FEATURES), minlength=1 << BITS)
-            g = np.where(common, g, 0.0) / len(x) + 1e-5 * weights
+            g = np.bincount(x[on].ravel(), np.repeat(err.ravel()[flat], N_FEATURES), minlength=len(used))
+            g = np.where(common, g, 0.0) / len(x) + 1e-5 * own
             square += g * g
-            weights -= 0.3 * g / np.sqrt(square)
+            own -= 0.3 * g / np.sqrt(square)
             gb = err.sum() / len(x)
             square_b += gb * gb
             bias -= 0.3 * gb / np.sqrt(square_b)
@@ -252,7 +257,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Tagger:
             gt = (pair - real_pairs) / len(x) + 1e-3 * trans
             square_t += gt * gt
             trans = trans - 0.3 * gt / np.sqrt(square_t)
-    weights[np.abs(weights) < 1e-3] = 0
+    weights[used] = np.where(np.abs(own) < 1e-3, 0, own)
     tagger = Tagger(weights, float(bias), trans, None)
     parts, held, size = [], [], 0
     for t in [*texts, None]:
@@ -306,8 +311,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> DataFrame:
-    """(text, toxic) of at most ``most`` labelled documents outside the held-out fold: the first by a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(text, toxic) of at most ``most`` labels outside the held-out fold, the first by a hash of the id. Of the rows
+    that have those ids (an id may have several) the first ``2 * most`` are taken, and of these as many as have
+    ``most_bytes`` of text together.
 
     The labels are cut first, so only the chosen documents' texts are read out.
     """
@@ -321,16 +328,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) ->
         .limit(most)
     )
     ranked = F.broadcast(ranked)  # at most ``most`` rows of two numbers
-    return docs.select("doc_id", "text").join(ranked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "text").limit(2 * most)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic"), F.col("text")]
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ranked, "doc_id").orderBy(*order).limit(2 * most)
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_size", size).where(F.col("_size") <= most_bytes).drop("_size")
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> Tagger:
-    rows = training_rows(docs, labels, most).select("text", "toxic").toArrow()
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> Tagger:
+    rows = training_rows(docs, labels, most, most_bytes).select("text", "toxic").toArrow()
     return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 
 
 def score_toxicity(docs: DataFrame, tagger: Tagger, out_score: str = "score", out_spans: str | None = "spans") -> DataFrame:
-    """docs with the score and, if named, the offending spans (start, end, marginal) of each text."""
+    """docs with the score and, if named, the offending spans (start, end, marginal) of each text. A name that docs has
+    already gets ``_1`` and so on at its end."""
+    out_score = free_name(docs, out_score)
+    out_spans = free_name(docs, out_spans) if out_spans else None
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 

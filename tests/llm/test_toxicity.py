@@ -1,6 +1,8 @@
 """The chain's marginals against enumeration; the fit on held-out documents; edges."""
 
 import itertools
+import math
+import random
 import zlib
 
 import numpy as np
@@ -54,3 +56,72 @@ def test_edges(spark):
     none = T.train(docs, labels.where("toxic = 0"))
     assert {r.score for r in T.score_toxicity(docs, none).collect()} == {0.0}
     assert T.score_toxicity(docs.where("doc_id = 999"), tagger).count() == 0
+
+
+def slow_chain(e, trans):
+    """Marginals and expected pairs of a chain by enumeration."""
+    total, one, pair = 0.0, np.zeros(len(e)), np.zeros((2, 2))
+    for z in itertools.product((0, 1), repeat=len(e)):
+        w = math.exp(sum(x * s for x, s in zip(e, z, strict=True)) + sum(trans[a, b] for a, b in itertools.pairwise(z)))
+        total += w
+        one += w * np.array(z)
+        for a, b in itertools.pairwise(z):
+            pair[a, b] += w
+    return one / total, pair / total
+
+
+def test_expectations_of_the_fit_are_those_of_enumeration():
+    r = np.random.default_rng(6)
+    trans, n = r.normal(size=(2, 2)), [6, 1, 4]
+    e, on = np.zeros((3, 6)), np.zeros((3, 6), bool)
+    for i, k in enumerate(n):
+        e[i, :k], on[i, :k] = r.normal(size=k) * 2, True
+    first = np.zeros((3, 6), bool)
+    first[:, 0] = True
+    p, pair = T._expect(e, on, first, trans)
+    slow = [slow_chain(e[i, :k], trans) for i, k in enumerate(n)]
+    for i, k in enumerate(n):
+        assert np.allclose(p[i, :k], slow[i][0])
+    assert np.allclose(pair, sum(s[1] for s in slow))
+
+
+def test_marks_are_those_of_a_plain_count():
+    r = np.random.default_rng(2)
+    of = np.array([T.features(f"w{i}") for i in range(30)])
+    docs = [r.integers(0, 30, r.integers(1, 12)) for _ in range(300)]
+    y = np.array([int(3 in d or (5 in d and r.random() < 0.3)) for d in docs])
+    mark = T._marking(docs, of, y)
+    for f in np.unique(of):
+        has = [bool((of[d] == f).any()) for d in docs]
+        tox, all_ = sum(h and t for h, t in zip(has, y, strict=True)), sum(has)
+        rate, base = tox / max(all_, 1), y.mean()
+        gain = tox * math.log(max(rate, 1e-12) / base) + (all_ - tox) * math.log(max(1 - rate, 1e-12) / (1 - base))
+        assert bool(mark[f]) == (f != 0 and tox >= 4 and rate >= 0.6 and gain >= 11.5)
+    assert mark[of[3][0]] and not mark[of[7][0]]
+
+
+def test_score_is_the_layer_on_enumerated_marginals():
+    r = random.Random(5)
+    say = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    texts = [say(12) + (" vile" if i % 4 == 0 else "") for i in range(400)]
+    tagger = T.fit(texts, [int(i % 4 == 0) for i in range(400)])
+    for text in ("w1 vile w2", "w3 w4", "vile", "w1 w2 w3 vile vile w9"):
+        tokens = text.split()
+        p, _ = slow_chain(tagger.emissions(tokens), tagger.trans)
+        x = np.array([1, math.log1p(p.sum()), p.max(), math.log1p(100 * p.sum() / len(p))])
+        want = 1 / (1 + math.exp(-x @ tagger.layer))
+        got = tagger.score(T.summaries(tagger, [text])[0])[0]
+        assert abs(got - want) < 1e-6 and (got >= 0.7) == ("vile" in tokens)
+    x, y = np.random.default_rng(1).normal(size=(50, 3)), np.arange(50) % 2
+    w = T.logistic(x, y)
+    assert np.allclose(x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.05 * w, 0, atol=1e-6)  # the penalised likelihood's gradient
+
+
+def test_training_sample_is_bounded_in_bytes_and_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(i, "word " * 100, 0.5, "x") for i in range(60)], "doc_id long, text string, score double, spans string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert T.training_rows(docs, labels).count() > 30
+    assert T.training_rows(docs, labels, most_bytes=5000).count() == 10
+    out = T.score_toxicity(docs, T.fit([], []))
+    assert out.columns == ["doc_id", "text", "score", "spans", "score_1", "spans_1"]
+    assert {(r.score, r.spans, r.score_1) for r in out.collect()} == {(0.5, "x", 0.0)}
