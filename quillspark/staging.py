@@ -31,7 +31,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and returns the table read back; it is deleted when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _staged.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
