@@ -80,6 +80,37 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_CHARS) -> Itera
         at = to
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finisher."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """0 to n - 1 as powers of the odd base of rolling hashes (or of its inverse), modulo 2 ** 64."""
+    out = np.full(n, _INVERSE if inverse else _BASE, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_BYTE = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(_BASE))
+
+
+def hashed_words(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, last byte, 64-bit hash) of each run of bytes that aren't space; the data end with one."""
+    was = np.append(True, space[:-1])
+    start, end = np.flatnonzero(~space & was), np.flatnonzero(space & ~was) - 1
+    if not len(start):
+        return start, end, np.zeros(0, np.uint64)
+    value = np.where(space, np.uint64(0), _BYTE[data]) * powers(len(data))
+    return start, end, mix(np.add.reduceat(value, start) * powers(len(data), True)[start])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,18 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-``build_index`` stores the postings of the training documents: the index is partitioned by document (as search
-engines do it), one row per block of documents, with each term's sorted positions in that block. ``search`` sends the
-test windows to every block; there the offset-adjusted lists are intersected from the window's rarest term on, rarity
+``build_index`` stores the postings of all terms of the training documents, once: the index is partitioned by document
+(as search engines do it), one row per block of documents, with each term's sorted positions in that block. The test
+windows go to every block; there the offset-adjusted lists are intersected from the window's rarest term on, rarity
 being the term's count over the whole corpus. No posting list crosses a partition, so a term or a passage that a third
 of all documents have is spread over all blocks.
 
-The benchmark is the stated query set. Its windows are taken in blocks of at most ``block_windows``; each is small
-enough to send to every task, and results of blocks are added up, so its size is not limited. An index is built per
-block over the terms of that block only.
+The benchmark is the stated query set. Its windows are taken in blocks of about ``block_windows``, one after another:
+each is small enough to send to every task, and freed before the next one comes. Of each what is found is staged, a row
+for a document that is hit; rows of one document are united at the end, so the benchmark's size is not limited.
 
-Defined cases: null or empty text has no words, is never hit and never contaminated; an item without words has no
-window. Repeated windows count once; repeated item ids are one item. A null item_id is not listed in items_sha256 but
-its windows hit. Repeated doc_ids stay separate rows. Extra columns are passed through by ``decontaminate``.
+Terms are known by 64-bit hashes. Defined cases: null or empty text has no words, is never hit and never contaminated;
+an item without words has no window. Repeated windows count once; repeated item ids are one item. A null item_id is not
+listed in items_sha256 but its windows hit. Repeated doc_ids stay separate rows. A very long text is a block of its own.
+Extra columns are passed through by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from quillspark.llm.common import free_name, guard, slices, stage
+from quillspark.llm.common import guard, hashed_words, slices, stage
 
 WINDOW, BLOCK_WINDOWS, BLOCK_BYTES = 13, 200_000, 1_500_000
 #: A-Z to lower case; all bytes but digits, letters and those of non-ASCII characters to a space.
@@ -37,20 +38,28 @@ TABLE = bytes(
 )
 
 
-def words(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(TABLE).split()
+def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words of each text, hash of each word of all)."""
+    parts = [(t or b"").translate(TABLE) + b" " for t in texts]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    start, _, terms = hashed_words(data, data == 32)
+    upto = np.searchsorted(start, np.cumsum([len(p) for p in parts]))
+    return np.diff(upto, prepend=0), terms
 
 
 class Windows:
-    """A block of the benchmark's windows. terms: word to id; rows: windows of ``size`` term ids, -1 beyond a short
-    item's end; items: for each window the ids of its items."""
+    """A block of the benchmark's windows. terms: sorted hashes; rows: windows of ``size`` places in terms, -1 beyond a
+    short item's end; items: for each window the ids of its items."""
 
     def __init__(self, rows: list[tuple], size: int) -> None:
-        self.terms: dict[bytes, int] = {}
+        n, all_ = hashed([t for _, t in rows])
+        self.terms, place = np.unique(all_, return_inverse=True)
         found: dict[tuple, set] = {}
-        for item, text in rows:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
-            for i in range(max(1, len(ids) - size + 1) if ids else 0):
+        at = 0
+        for (item, _), m in zip(rows, n.tolist(), strict=True):
+            ids = place[at : at + m].tolist()
+            at += m
+            for i in range(max(1, m - size + 1) if m else 0):
                 w = ids[i : i + size]
                 found.setdefault((*w, *[-1] * (size - len(w))), set()).add(item)
         self.size = size
@@ -59,6 +68,12 @@ class Windows:
         self.lengths = (self.rows >= 0).sum(axis=1)
         self.order = np.argsort(self.rows, axis=1)
 
+    def met(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the sorted hashes ``terms``, own places) of the terms that both have."""
+        at = np.searchsorted(terms, self.terms)
+        own = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == self.terms) if len(terms) else np.zeros(0, np.int64)
+        return at[own], own
+
     def by_rarity(self, counts: dict[int, int]) -> None:
         """Offsets of each window's terms, the corpus's rarest first; those beyond a short item's end come last."""
         df = np.array([counts.get(i, 0) for i in range(len(self.terms))] or [0], np.int64)
@@ -67,67 +82,77 @@ class Windows:
 
 
 def benchmark_blocks(items: DataFrame, size: int, block_windows: int) -> Iterator[Windows]:
-    """The benchmark in blocks, each collected by itself; items are read in the order of a hash of their id."""
+    """The benchmark in blocks of whole items, each collected by itself."""
     held, n = [], 0
     local = items.select(F.col("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
     for item, text in local.toLocalIterator(prefetchPartitions=False):
         text = bytes(text) if text is not None else None
-        m = len(words(text))
+        m = len((text or b"").translate(TABLE).split())
         if held and n + m > block_windows:
             yield Windows(held, size)
             held, n = [], 0
         held.append((item, text))
         n += m
-    if held:
-        yield Windows(held, size)
-
-
-def _postings(texts: list[bytes | None], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Words in each document, and the term id of each word of all (-1: not a term)."""
-    get, ids, n = terms.get, [], []
-    for t in texts:
-        w = words(t)
-        n.append(len(w))
-        ids.extend([get(x, -1) for x in w])
-    return np.array(n, np.int64), np.array(ids, np.int32)
+    yield Windows(held, size)
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], keep: list[str]) -> DataFrame:
-    """The positional index of docs over these terms: rows (doc_ids, n_words, terms, counts, positions[, kept rows]).
+def build_index(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The positional index of docs: a row (block, kept, n_words, terms, counts, positions) for a block of documents.
 
-    positions: int32, of the block's words one after another, with the postings of terms[0] first.
-    keep: columns that are carried in the block (as Arrow) for an operator that returns whole documents.
+    terms: sorted hashes (64 bits); counts: of each (32 bits); positions: the block's words count one after another, and
+    terms[0]'s positions come first, each as the difference from the one before it (32 bits). keep: columns that are
+    carried in the block (as Arrow) for an operator that returns whole documents.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part, texts in slices(batch, "text", BLOCK_BYTES):
-                n, ids = _postings(texts, shared.value)
-                at = np.flatnonzero(ids >= 0)
-                order = np.argsort(ids[at], kind="stable")
-                found, counts = np.unique(ids[at], return_counts=True)
+                n, all_ = hashed(texts)
+                order = np.argsort(all_, kind="stable").astype(np.int32)
+                terms, counts = np.unique(all_, return_counts=True)
                 rows = pa.ipc.new_stream(sink := pa.BufferOutputStream(), part.select(keep).schema)
                 rows.write_batch(part.select(keep))
                 rows.close()
+                packed = [terms.tobytes(), counts.astype(np.int32).tobytes(), np.diff(order, prepend=np.int32(0)).tobytes()]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                        pa.array([n.tolist()], pa.list_(pa.int64())),
-                        pa.array([found.tolist()], pa.list_(pa.int32())),
-                        pa.array([counts.tolist()], pa.list_(pa.int64())),
-                        pa.array([at[order].astype(np.int32).tobytes()], pa.binary()),
-                    ],
-                    names=["kept", "n_words", "terms", "counts", "positions"],
-                )
+                    [pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64()))]
+                    + [pa.array([p], pa.binary()) for p in packed],
+                    names=["block", "kept", "n_words", "terms", "counts", "positions"],
+                )
+                block += 1
 
     return docs.select("text", *[c for c in keep if c != "text"]).mapInArrow(
-        each, "kept binary, n_words array<bigint>, terms array<int>, counts array<bigint>, positions binary"
+        each, "block long, kept binary, n_words array<bigint>, terms binary, counts binary, positions binary"
     )
 
 
+def _numbers(column: pa.Array, i: int, kind: type) -> np.ndarray:
+    return np.frombuffer(column[i].as_buffer(), kind)
+
+
+def corpus_counts(index: DataFrame, windows: Windows) -> dict[int, int]:
+    """How often the corpus has each of the windows' terms, by place."""
+    shared = index.sparkSession.sparkContext.broadcast(windows)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value.terms), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, own = shared.value.met(_numbers(batch.column(0), i, np.uint64))
+                total[own] += _numbers(batch.column(1), i, np.int32)[at]
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["term", "n"])
+
+    counted = index.select("terms", "counts").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    out = {r.term: r.n for r in counted.collect()}  # one row for each term of this block of windows
+    shared.destroy()
+    return out
+
+
 def match(windows: Windows, n: np.ndarray, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of all occurrences in a block; start counts the block's words.
+    """(window, start) of all occurrences in a block; start counts the block's words. terms: places in the windows'
+    terms, rising, with their counts and positions.
 
     slop 0: the exact phrase. Else proximity: the rarest term anchors the window and every other one stands within
     ``slop`` words of its place, all in one document.
@@ -167,49 +192,77 @@ def match(windows: Windows, n: np.ndarray, terms: np.ndarray, counts: np.ndarray
     return w, start
 
 
-def hits(index: DataFrame, windows: Windows, kept: StructType, slop: int = 0) -> DataFrame:
-    """Each document's kept columns with n_words, hit_words (positions of words inside an occurrence) and items."""
+def hits(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
+    """(block, doc, hit, items) of each document that is hit: its number in the block, the positions of its words inside
+    an occurrence, and the items that occur."""
     shared = index.sparkSession.sparkContext.broadcast(windows)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         win = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                held, n, terms, counts, positions = (batch.column(j)[i] for j in range(5))
-                n = np.array(n.as_py(), np.int64)
-                w, start = match(
-                    win, n, np.array(terms.as_py(), np.int64), np.array(counts.as_py(), np.int64),
-                    np.frombuffer(positions.as_buffer(), np.int32), slop,
-                )
+                n = np.array(batch.column(1)[i].as_py(), np.int64)
+                at, own = win.met(_numbers(batch.column(2), i, np.uint64))
+                counts = _numbers(batch.column(3), i, np.int32).astype(np.int64)
+                first = np.append(0, np.cumsum(counts))
+                positions = np.cumsum(_numbers(batch.column(4), i, np.int32))
+                inside = np.zeros(len(positions) + 1, np.int32)
+                np.add.at(inside, first[at], 1)
+                np.add.at(inside, first[at + 1], -1)
+                w, start = match(win, n, own, counts[at], positions[np.cumsum(inside)[:-1] > 0], slop)
+                if not len(w):
+                    continue
                 ends = np.cumsum(n)
-                hit = np.zeros(int(n.sum()) + 1, np.int64)
-                low, base = np.maximum(start, 0), (ends - n)
+                low, base = np.maximum(start, 0), ends - n
                 doc = np.searchsorted(ends, low, side="right")
-                low = np.maximum(low, base[doc]) if len(doc) else low
-                high = np.minimum(start + win.lengths[w], ends[doc]) if len(doc) else start
+                low, high = np.maximum(low, base[doc]), np.minimum(start + win.lengths[w], ends[doc])
+                hit = np.zeros(int(n.sum()) + 1, np.int64)
                 np.add.at(hit, low, 1)
                 np.add.at(hit, high, -1)
                 on = np.flatnonzero(np.cumsum(hit)[:-1] > 0)
                 each_doc = np.searchsorted(ends, on, side="right")
-                words_of: dict[int, list] = {}
-                for d in np.unique(each_doc):
-                    words_of[int(d)] = (on[each_doc == d] - base[d]).tolist()
-                items_of: dict[int, set] = {}
+                items_of: dict[int, set] = {int(d): set() for d in np.unique(each_doc)}
                 for d, x in set(zip(doc.tolist(), w.tolist(), strict=True)):
-                    items_of.setdefault(d, set()).update(win.items[x])
-                rows = pa.ipc.open_stream(held.as_buffer()).read_next_batch()
-                more = [
-                    pa.array(n),
-                    pa.array([words_of.get(d, []) for d in range(len(n))], pa.list_(pa.int64())),
-                    pa.array([sorted(items_of.get(d, ())) for d in range(len(n))], pa.list_(pa.int64())),
-                ]
+                    items_of[d].update(win.items[x])
+                docs = sorted(items_of)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, *more], names=[*rows.schema.names, "_n_words", "_hit", "_items"]
-                )
+                    [
+                        pa.array([batch.column(0)[i].as_py()] * len(docs), pa.int64()), pa.array(docs, pa.int64()),
+                        pa.array([(on[each_doc == d] - base[d]).tolist() for d in docs], pa.list_(pa.int64())),
+                        pa.array([sorted(items_of[d]) for d in docs], pa.list_(pa.int64())),
+                    ],
+                    names=["block", "doc", "hit", "items"],
+                )
+
+    found = index.select("block", "n_words", "terms", "counts", "positions")
+    out = stage(found.mapInArrow(each, "block long, doc long, hit array<bigint>, items array<bigint>"), "hits")
+    shared.destroy()
+    return out
+
+
+def _with_hits(index: DataFrame, found: DataFrame, kept: StructType) -> DataFrame:
+    """Each document's kept columns with _n_words, _hit and _items, from the rows of a block's documents that are hit."""
+    per = found.groupBy("block").agg(F.collect_list(F.struct("doc", "hit", "items")).alias("found"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held, n, rows_of = (batch.column(j)[i] for j in range(3))
+                n = n.as_py()
+                hit: list[set] = [set() for _ in n]
+                items: list[set] = [set() for _ in n]
+                for x in rows_of.as_py() or ():
+                    hit[x["doc"]].update(x["hit"])
+                    items[x["doc"]].update(x["items"])
+                rows = pa.ipc.open_stream(held.as_buffer()).read_next_batch()
+                longs = pa.list_(pa.int64())
+                more = [pa.array(n, pa.int64()), pa.array([sorted(x) for x in hit], longs), pa.array([sorted(x) for x in items], longs)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, "_n_words", "_hit", "_items"])
 
     longs = ArrayType(LongType())
     more = [StructField("_n_words", LongType()), StructField("_hit", longs), StructField("_items", longs)]
-    return index.mapInArrow(each, StructType([*kept.fields, *more]))
+    joined = index.select("block", "kept", "n_words").join(per, "block", "left")
+    return joined.select("kept", "n_words", "found").mapInArrow(each, StructType([*kept.fields, *more]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int = WINDOW, block_windows: int = BLOCK_WINDOWS, slop: int = 0) -> DataFrame:
@@ -217,25 +270,13 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
 
     Contaminated: at least one word is hit, and a twentieth of all.
     """
-    blocks = benchmark_blocks(items, size, block_windows)
-    first, second = next(blocks, Windows([], size)), next(blocks, None)
-    if second is None:
-        out = _searched(docs, first, keep, slop)
-    else:
-        # Every block returns every row; they are added up by all that a row has. Rows alike in all are counted.
-        keyed = docs.withColumn(key := free_name(docs, "_row"), F.sha2(F.to_json(F.struct(*docs.columns)), 256))
-        parts = [_searched(keyed, w, [key, *keep], slop) for w in chain((first, second), blocks)]
-        out = reduce(DataFrame.unionByName, parts)
-        out = (
-            out.groupBy(key, "_n_words")
-            .agg(
-                *[F.first(F.col(f"`{c}`")).alias(c) for c in keep],
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hit")))).alias("_hit"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
-                (F.count("*") / len(parts)).cast("int").alias("_copies"),
-            )
-            .withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-        )
+    index = stage(build_index(docs, keep), "postings")
+    parts = []
+    for windows in benchmark_blocks(items, size, block_windows):
+        windows.by_rarity(corpus_counts(index, windows))
+        parts.append(hits(index, windows, slop))
+    found = reduce(DataFrame.unionByName, parts)
+    out = _with_hits(index, found, docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
     n_hit = F.size("_hit").cast("long")
     listed = F.array_join(F.array_sort(F.transform("_items", lambda x: x.cast("string"))), ",")
     return out.select(
@@ -248,18 +289,6 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
     )
 
 
-def _searched(docs: DataFrame, windows: Windows, keep: list[str], slop: int) -> DataFrame:
-    index = stage(build_index(docs, windows.terms, keep), "postings")
-    counts = (
-        index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-        .groupBy("x.terms")
-        .agg(F.sum("x.counts").alias("n"))
-        .collect()  # one row for each term of this block of windows, at most block_windows
-    )
-    windows.by_rarity({r[0]: r[1] for r in counts})
-    return hits(index, windows, docs.select(*[F.col(f"`{c}`") for c in keep]).schema, slop)
-
-
 def item_digest(ids: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.llm.common import SLICE_CHARS, guard, slices, stage
+from quillspark.llm.common import SLICE_CHARS, guard, hashed_words, mix, powers, slices, stage
 
 MIN_WORDS, WIDTH, PAD, ROWS = 50, 20, 16, 100_000
 #: Words at a passage's start whose hash may see what stands before it: those that end in its first 15 bytes.
@@ -46,28 +46,9 @@ BLURRED = 7
 NO_ID = 1 << 62
 SPACED = re.compile(rb"[^ \t-\r]+")
 GAP = re.compile(rb"[ \t-\r]")
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finisher."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-#: 256 random values for the gear hash, and others (0 for white space) for the hashes of words.
-GEAR = (_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-_LETTER = np.where(_IS_SPACE, np.uint64(0), _mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(_BASE)))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, .. n - 1, modulo 2 ** 64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+#: 256 random values by the splitmix64 rule.
+GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -116,17 +97,15 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for before, piece, ends in _pieces(texts):
         data = np.frombuffer(piece, np.uint8)
         space = _IS_SPACE[data]
-        was = np.append(True, space[:-1])
-        start, end = np.flatnonzero(~space & was), np.flatnonzero(space & ~was) - 1
+        start, end, hash_ = hashed_words(data, space)
         of = np.searchsorted(start, ends)
         n += (np.diff(of, prepend=0) + np.append(open_, np.zeros(len(ends), np.int64))[: len(ends)]).tolist()
         open_ = 0 if len(ends) else open_ + len(start)
         if not len(start):
             continue
-        value = _LETTER[data] * _powers(_BASE, len(data))
-        hashes.append(_mix(np.add.reduceat(value, start) * _powers(_INVERSE, len(data))[start]))
+        hashes.append(hash_)
         # One space between words, and all of the padding that keeps a text's hashes from seeing the one before it.
-        kept = ~space | ~was
+        kept = ~(space & np.append(True, space[:-1]))
         for e in ends.tolist():
             kept[e - PAD : e] = True
         flat = np.where(space, np.uint8(32), data)[kept]
@@ -161,13 +140,13 @@ class Chunks:
         self.end = np.flatnonzero(cut) + 1
         self.start = np.append(0, self.end[:-1])[: len(self.end)]
         self.doc = doc[self.start] if total else np.zeros(0, np.int64)
-        value, self.back = self.hash * _powers(_BASE, total), _powers(_INVERSE, total)
+        value, self.back = self.hash * powers(total), powers(total, True)
         self.upto = np.append(np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64))
         self.digest = self.hashes(self.start, self.end)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of the words of each run."""
-        return _mix((self.upto[end] - self.upto[start]) * self.back[start])
+        return mix((self.upto[end] - self.upto[start]) * self.back[start])
 
     def candidates(self, shared: np.ndarray, min_words: int, width: int = WIDTH) -> np.ndarray:
         """Places from which ``min_words`` words of one text may be another's too.
@@ -241,7 +220,7 @@ def candidate_windows(docs: DataFrame, texts: DataFrame, min_words: int, width:
                 lists = part.column("shared")
                 flat, off = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
                 known = np.repeat(np.arange(len(texts_)), np.diff(off))
-                salt = _mix(np.arange(1, len(texts_) + 1, dtype=np.uint64))  # a digest counts for its own text only
+                salt = mix(np.arange(1, len(texts_) + 1, dtype=np.uint64))  # a digest counts for its own text only
                 at = c.candidates(np.isin(c.digest ^ salt[c.doc], flat ^ salt[known]), min_words, width)
                 doc = np.searchsorted(c.ends, at, side="right")
                 for a in range(0, len(at), ROWS):
