@@ -1,173 +1,27 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model trained on trusted text.
 
-The n-grams that decide are of words, three at most, of an open vocabulary (``word_model``). What is here of character
-four-grams (``grams`` to ``perplexities``) is a small model of its own that no query uses.
+The n-grams are of words, three at most, of an open vocabulary, with counts in shards (``word_model``).
 
-A document's perplexity is exp of its mean negative log probability per word (its end is one). A document is kept when its perplexity
-is not above the quantile ``QUANTILE`` of the perplexities of the trusted documents of its language and length class
-(all of them, to a precision of ``STEP`` in log perplexity). A group of under ``LEAST`` trusted documents takes the
-quantile of its length class in all languages, else of its language, else of all.
+A document's perplexity is exp of its mean negative log probability per word (its end is one). A document is kept when
+its perplexity is not above the quantile ``QUANTILE`` of the perplexities of the trusted documents of its language and
+length class (all of them, to a precision of ``STEP`` in log perplexity). A group of under ``LEAST`` trusted documents
+takes the quantile of its length class in all languages, else of its language, else of all.
 
-Defined cases: text that is null or without words has no perplexity (null) and is not kept. A null lang is a language of its own.
-Labels of unknown ids are not used; a document with labels of both kinds is trusted. Repeated rows count and score
-each. Without trusted text nothing has a perplexity and nothing is kept. Extra columns are not read.
+Defined cases: text that is null or without words has no perplexity (null) and is not kept. A null lang is a language of
+its own. Labels of unknown ids are not used; a document with labels of both kinds is trusted. Repeated rows count and
+score each. Without trusted text nothing has a perplexity and nothing is kept. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import word_model as words
-from quillspark.llm.common import slices, stage
-
-ORDER, BITS, QUANTILE, STEP, LEAST, LENGTHS = 4, 6, 0.99, 1e-4, 20, (64, 256)
-N_SYMBOLS, START, OTHER = 1 << BITS, 0, 1
-#: Each group of characters is one symbol; what is in none is OTHER (after folding, see ``_symbols``).
-SINGLE = "abcdefghijklmnopqrstuvwxyz" + "éèêçàñóíúäöüß" + " \n.,;:!?'\"-|#$%&*()/"
-
-
-@cache
-def _symbols() -> np.ndarray:
-    """The symbol of every code point: its own for ``SINGLE``; one each for other letters, upper case, digits, white
-    space and the rest."""
-    upper, digit, letter = 2, 3, 4
-    out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x3000):
-        ch = chr(c)
-        out[c] = upper if ch.isupper() else digit if ch.isdigit() else letter if ch.isalpha() else OTHER
-    out[0x3000:0xD800] = letter
-    for i, ch in enumerate(SINGLE):
-        out[ord(ch)] = 5 + i
-    for ch in "\t\r\x0b\x0c\xa0":
-        out[ord(ch)] = out[ord(" ")]
-    assert 5 + len(SINGLE) <= N_SYMBOLS
-    return out
-
-
-def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, four-gram) of each symbol of these texts; a text starts after three START symbols."""
-    whole, n = [], []
-    for t in texts:
-        points = np.frombuffer((t or b"").decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        n.append(len(points))
-        whole.append(points)
-    points = np.concatenate(whole) if whole else np.zeros(0, np.uint32)
-    s = _symbols()[points].astype(np.int32)
-    n = np.array(n, np.int64)
-    doc = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
-    g = s.copy()
-    for k in range(1, ORDER):
-        older = np.zeros_like(s)
-        older[k:] = s[:-k]
-        g |= np.where(place >= k, older, START) << (BITS * k)
-    return doc, g
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n): the counts of all four-grams, combined per slice before the shuffle."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << (BITS * ORDER), np.int32)
-        for batch in batches:
-            for _, texts in slices(batch, "text"):
-                np.add.at(held, grams(texts)[1], 1)
-                if held.max() > 1 << 30:
-                    yield rows(held)
-                    held[:] = 0
-        yield rows(held)
-
-    def rows(held: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(held)
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(held[at].astype(np.int64))], names=["gram", "n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _level(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """From the counts of one order: (gram, p), the discounted part, and (history, back), the weight of the next
-    lower order. Discounts by Chen and Goodman from the counts of counts."""
-    r = counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (x or 0 for x in r)
-    if n1 and n2:
-        y = n1 / (n1 + 2 * n2)
-        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.0]
-        d = [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True)]
-    else:
-        d = [0.5, 0.75, 1.0]
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    keyed = counts.withColumn("history", F.shiftright("gram", BITS)).withColumn("cut", cut)
-    per = keyed.groupBy("history").agg(F.sum("n").alias("all"), F.sum("cut").alias("cut_all"))
-    p = keyed.join(per, "history").select("gram", ((F.col("n") - F.col("cut")) / F.col("all")).alias("p"))
-    return p, per.select("history", (F.col("cut_all") / F.col("all")).alias("back"))
-
-
-class Model:
-    """For each order, the seen grams' discounted part and the histories' back-off weights."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.levels = levels
-        self._dense: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_dense": None}
-
-    def log_p(self) -> np.ndarray:
-        """log p of every four-gram's last symbol after the others."""
-        if self._dense is None:
-            p = np.full(N_SYMBOLS, 1.0 / N_SYMBOLS, np.float32)
-            for order, (gram, part, history, back) in enumerate(self.levels, 1):
-                weight = np.ones(1 << (BITS * (order - 1)), np.float32)
-                weight[history] = back
-                lower, p = p, np.repeat(weight, N_SYMBOLS)
-                # A gram's first symbol is its row: in each, the lower order's probabilities, weighted by history.
-                by_first = p.reshape(-1, len(lower))
-                by_first *= lower
-                p[gram] += part.astype(np.float32)
-            self._dense = np.log(p, out=p)
-        return self._dense
-
-
-def train(trusted: DataFrame) -> Model:
-    counts = stage(count_grams(trusted), "grams")
-    tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        tail = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1).cast("long"))
-        tables[k] = stage(tables[k + 1].select(tail.alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "grams")
-    levels = []
-    for k in range(1, ORDER + 1):
-        p, back = (x.toArrow() for x in _level(tables[k], k))  # at most 2 ** (6 k) rows
-        levels.append(tuple(t.column(i).to_numpy() for t in (p, back) for i in (0, 1)))
-    return Model(levels)
-
-
-def perplexities(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """docs' columns ``keep`` with n_symbols and log_perplexity (null without symbols or model)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, "_text"):
-                doc, g = grams(texts)
-                n = np.bincount(doc, minlength=len(texts))
-                total = np.bincount(doc, weights=shared.value.log_p()[g], minlength=len(texts))
-                mean = -total / np.maximum(n, 1)
-                none = (n == 0) | (not len(shared.value.levels[0][0]))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(n), pa.array(mean, mask=none)],
-                    names=[*part.schema.names[:-1], "n_symbols", "log_perplexity"],
-                )
+from quillspark.llm.common import stage
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(each, f"{schema}, n_symbols bigint, log_perplexity double")
+QUANTILE, STEP, LEAST, LENGTHS = 0.99, 1e-4, 20, (64, 256)
 
 
 def length_class(n: Column) -> Column:

@@ -1,53 +1,44 @@
-"""Kneser-Ney probabilities against a plain version; thresholds; edges."""
+"""Perplexities, thresholds and decisions against a plain version; edges."""
 
-from collections import defaultdict
+import math
+import random
 
 import numpy as np
+from test_words import plain_log_p
 
 from quillspark.llm import kn_quality as K
 
 
-def plain_model(texts):
-    """log p of a four-gram by the definition, from dictionaries."""
-    counts = {4: defaultdict(int)}
-    for t in texts:
-        for g in K.grams([t.encode()])[1].tolist():
-            counts[4][g] += 1
-    for k in (3, 2, 1):
-        counts[k] = defaultdict(int)
-        for g in counts[k + 1]:
-            counts[k][g & ((1 << 6 * k) - 1)] += 1
-
-    def p(g, k):
-        if k == 0:
-            return 1 / K.N_SYMBOLS
-        c = counts[k]
-        n = [sum(v == j for v in c.values()) for j in (0, 1, 2, 3, 4)]
-        if n[1] and n[2]:
-            y = n[1] / (n[1] + 2 * n[2])
-            d = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.0]
-            d = [0] + [min(max(x, 0.05), j - 0.05) for j, x in zip((1, 2, 3), d[1:], strict=True)]
+def test_query_is_brute_force(spark):
+    """Perplexities, thresholds and decisions of every document against the definition."""
+    r = random.Random(8)
+    v = {"a": ["".join(r.choices("abcde", k=3)) for _ in range(12)], "б": ["".join(r.choices("бвгд", k=3)) for _ in range(12)]}
+    rows = [(i, " ".join(r.choices(v[lang], k=r.randint(3, 40))), lang) for lang in v for i in range(100 * (lang == "б"), 100 * (lang == "б") + 60)]
+    rows += [(300, None, "a"), (301, " ", "a"), (302, rows[0][1], None), (303, rows[0][1], "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = {i for i, *_ in rows if i % 100 < 45 and i < 200}
+    labels = spark.createDataFrame([(i, int(i in good)) for i, *_ in rows], "doc_id long, quality int")
+    fold = {x.doc_id: x.f for x in docs.selectExpr("doc_id", "cast(pmod(xxhash64(cast(doc_id as string), 'fold'), 2) as int) f").collect()}
+    trained = [[t for i, t, _ in rows if i in good and fold[i] == f] for f in (0, 1)]
+    log = {i: plain_log_p(trained[1 - fold[i]], t) if t and t.strip() else None for i, t, _ in rows}
+    size = lambda t: 0 if len(t or "") < 64 else 1 if len(t) < 256 else 2
+
+    def limit(keep, least=20):
+        own = sorted(math.ceil(log[i] / 1e-4) for i, t, lang in rows if i in good and keep(t, lang))
+        return own[math.ceil(len(own) * 0.99) - 1] * 1e-4 if len(own) >= least else None
+
+    for g in K.quality(docs, labels).collect():
+        t, lang = next((t, lang) for i, t, lang in rows if i == g.doc_id)
+        at = (
+            limit(lambda x, y: y == lang and size(x) == size(t)) or limit(lambda x, _: size(x) == size(t))
+            or limit(lambda _, y: y == lang) or limit(lambda *_: True, 1)
+        )
+        assert abs(math.log(g.threshold) - at) < 2e-4 and g.trusted == (g.doc_id in good), g
+        if log[g.doc_id] is None:
+            assert g.perplexity is None and not g.kept
         else:
-            d = [0, 0.5, 0.75, 1.0]
-        h = g >> 6
-        own = [v for x, v in c.items() if x >> 6 == h]
-        low = p(g & ((1 << 6 * (k - 1)) - 1), k - 1)
-        if not own:
-            return low
-        v = c.get(g, 0)
-        return (max(v - d[min(v, 3)], 0) + sum(d[min(x, 3)] for x in own) * low) / sum(own)
-
-    return lambda g: np.log(p(g, 4))
-
-
-def test_model_matches_definition(spark):
-    texts = ["the cat sat on the mat.", "The dog! 42 dogs", "a café, à la carte", "thththth"]
-    model = K.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    slow, fast = plain_model(texts), model.log_p()
-    some = K.grams([b"the dog sat; zzz \xe4\xb8\xad"])[1].tolist() + [0, 12345678]
-    assert np.allclose([slow(g) for g in some], fast[some], atol=1e-4)
-    rows = np.exp(fast.reshape(-1, K.N_SYMBOLS)[:: 4001].astype(float)).sum(axis=1)
-    assert np.allclose(rows, 1, atol=1e-3)
+            assert abs(math.log(g.perplexity) - log[g.doc_id]) < 1e-5
+            assert g.kept == (log[g.doc_id] <= at) or abs(log[g.doc_id] - at) < 2e-4
 
 
 def test_junk_has_a_higher_perplexity(spark):
