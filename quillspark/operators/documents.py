@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.functions import text as T
+from quillspark.operators.ranking import first_per, global_rank
 
 
 def chunks(docs: DataFrame, strategy: str = "sentence", size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, text: str = "text") -> DataFrame:
@@ -45,8 +46,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def first_chunks(pieces: DataFrame) -> DataFrame:
-    """W8."""
-    return pieces.where("chunk_idx = 0")
+    """Each document's first chunk, one a document (the smallest text where several are numbered 0)."""
+    return first_per(pieces.where("chunk_idx = 0"), ["doc_id"], [F.col("text")])
 
 
 def stride_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
@@ -55,8 +56,6 @@ def stride_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
     if total <= n:
         return rows
     wanted = [int(i * (total / n)) + 1 for i in range(n)]
-    from quillspark.operators.ranking import global_rank
-
     return global_rank(rows, [order], "_nth").where(F.col("_nth").isin(wanted)).drop("_nth")
 
 

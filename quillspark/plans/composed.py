@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import constants as C
 from quillspark.config import Profile, Profiles
 from quillspark.functions import text as T
 from quillspark.functions.vectors import hash_embed
@@ -13,8 +14,10 @@ from quillspark.operators import corrective, extraction, fusion, search, termino
 from quillspark.operators import graph as G
 from quillspark.plans.graph import _GEO, _geo
 from quillspark.plans.quality import _BIN
-from quillspark.plans.registry import query, sents, table, tok, words
-from quillspark.plans.retrieval import _POOL, _asked, _pool, _queries, _terminology
+from quillspark.plans.registry import query, sents, strings, table, tok, words
+from quillspark.plans.retrieval import (
+    _ASKED_SQL, _CONCEPTS, _KEYWORDS, _MATCHED, _NAMES, _POOL, _QUERIES_SQL, _asked, _pool, _queries, _terminology,
+)
 from quillspark.retrievers import Registry, ask, default, dense
 
 
@@ -216,7 +219,30 @@ def federated_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", "signal", "doc_id", "score", "dual", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_STOP = strings(C.QUESTION_STOPWORDS)
+_LEVEL = "CASE {} WHEN 'CORRECT' THEN 2 WHEN 'AMBIGUOUS' THEN 1 ELSE 0 END"
+
+
+@query(
+    rf"""
+    WITH {_QUERIES_SQL}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+    rw AS (SELECT qid, text, CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE text END AS rewritten FROM (SELECT qid, text, list_filter({tok("text")}, lambda x: NOT list_contains({_STOP}, x)) AS k FROM q)),
+    ask AS (SELECT qid, 0 AS again, text AS said FROM rw UNION ALL SELECT qid, 1, rewritten FROM rw),
+    dt AS (SELECT doc_id AS id, unnest(list_distinct({tok("text")})) AS token FROM documents), w AS (SELECT token, ln(any_value(n) / count(*)) AS idf FROM dt, n GROUP BY 1),
+    hit AS (SELECT token, id FROM dt WHERE token IN (SELECT unnest({tok("said")}) FROM ask) QUALIFY row_number() OVER (PARTITION BY token ORDER BY id) <= {C.CONCEPTS_PER_KEYWORD}),
+    aw AS (SELECT qid, again, unnest(list_distinct({tok("said")})) AS token FROM ask),
+    sc AS (SELECT qid, again, id, round(sum(idf), 6) AS score FROM aw JOIN w USING (token) JOIN hit USING (token) WHERE idf > 0 GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY qid, again ORDER BY round(sum(idf), 6) DESC, id) <= 3),
+    cx AS (SELECT ask.qid, ask.again, coalesce(list(documents.text ORDER BY score DESC, id) FILTER (WHERE id IS NOT NULL), []) AS c FROM ask LEFT JOIN sc USING (qid, again) LEFT JOIN documents ON doc_id = id GROUP BY 1, 2),
+    gr AS (SELECT qid, again, c, list_filter(list_distinct({tok("text")}), lambda x: NOT list_contains({_STOP}, x)) AS t, list_distinct({tok("array_to_string(c, ' ')")}) AS k FROM cx JOIN rw USING (qid)),
+    gd AS (SELECT qid, again, c, CASE WHEN len(c) = 0 THEN 'INCORRECT' WHEN len(t) = 0 OR len(list_intersect(t, k)) / len(t) >= 0.5 THEN 'CORRECT' WHEN len(list_intersect(t, k)) / len(t) >= 0.2 THEN 'AMBIGUOUS' ELSE 'INCORRECT' END AS g FROM gr),
+    bo AS (SELECT a.qid, CASE WHEN a.g = 'CORRECT' OR {_LEVEL.format("b.g")} < {_LEVEL.format("a.g")} THEN a.g ELSE b.g END AS grade, CASE WHEN a.g = 'CORRECT' OR {_LEVEL.format("b.g")} < {_LEVEL.format("a.g")} THEN a.c ELSE b.c END AS c, a.g AS once
+        FROM gd a JOIN gd b USING (qid) WHERE a.again = 0 AND b.again = 1),
+    se AS (SELECT qid, flatten(list_transform(c, lambda d: {sents("d")})) AS s FROM bo),
+    an AS (SELECT qid, s, len(list_intersect(list_filter(list_distinct({tok("text")}), lambda x: NOT list_contains({strings(C.ANSWER_STOPWORDS)}, x)), {tok("s")})) AS m, i
+        FROM (SELECT qid, unnest(s) AS s, unnest(range(0, len(s))) AS i FROM se) JOIN q USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY m DESC, i) = 1)
+    SELECT bo.qid, grade, CASE WHEN once <> 'CORRECT' THEN rewritten END AS rewritten, CAST(len(c) AS INTEGER) AS n_contexts, coalesce(an.s, '') AS answer FROM bo JOIN rw USING (qid) LEFT JOIN an USING (qid)
+    """
+)
 def corrective_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns and literal questions; both paths search documents by the rarest shared terms."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -232,14 +258,27 @@ def corrective_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
         return best.join(docs.withColumnRenamed("doc_id", "id"), "id").select("qid", "rank", "text")
 
     out = corrective.corrective(_queries(spark, sf_dir), retrieve, retrieve, extractive_answer)
-    return out.select("qid", "path", "grade", "rewritten", F.size("contexts").alias("n_contexts"), "answer")
+    return out.select("qid", "grade", "rewritten", F.size("contexts").alias("n_contexts"), "answer")
 
 
-@query()
+@query(
+    f"""
+    WITH {_ASKED_SQL}, {_CONCEPTS}, {_KEYWORDS}, {_MATCHED}, {_NAMES},
+    e AS (SELECT DISTINCT src, dst FROM cedges WHERE rel IN {tuple(C.EXPANSION_RELATIONS)}),
+    grown AS (SELECT qid, id, sum(c) AS edges FROM (SELECT qid, dst AS id, count(DISTINCT s.id) AS c FROM scored s JOIN e ON s.id = src GROUP BY 1, 2
+        UNION ALL SELECT qid, src, count(DISTINCT s.id) FROM scored s JOIN e ON s.id = dst GROUP BY 1, 2) GROUP BY 1, 2),
+    f AS (SELECT qid, id, round(coalesce(score, 0) + 2 * coalesce(edges, 0), 6) AS score, coalesce(n_terms, 0) AS n_terms, CAST(coalesce(edges, 0) AS BIGINT) AS edges FROM scored FULL JOIN grown USING (qid, id)
+        QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(score, 0) + 2 * coalesce(edges, 0), 6) DESC, id) <= 5),
+    m AS (SELECT qid, id, string_agg(keyword || format(' (idf={{:.1f}})', idf), ', ' ORDER BY keyword) AS l FROM matched GROUP BY 1, 2)
+    SELECT f.qid, f.id, '[DIAGNOSIS CANDIDATE] ' || coalesce(name, CAST(f.id AS VARCHAR)) || ' (SNOMED ' || f.id || ')' || chr(10) || '  Matched terms: ' || coalesce(l, '(edge match only)') || chr(10)
+        || '  Total score: ' || format('{{:.2f}}', score) || chr(10) || '  Evidence: term-match(' || n_terms || ' keywords)' || CASE WHEN edges > 0 THEN ', edges(' || edges || ' matches)' ELSE '' END AS text
+    FROM f LEFT JOIN m USING (qid, id) LEFT JOIN names USING (id)
+    """
+)
 def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context blocks of symptom_candidates."""
     rows = terminology.by_symptoms(_asked(spark), *_terminology(spark, sf_dir))
-    return terminology.candidate_text(rows).select("qid", "rank", "text")
+    return terminology.candidate_text(rows).select("qid", "id", "text")
 
 
 @query()

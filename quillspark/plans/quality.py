@@ -327,7 +327,7 @@ def identity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.identity_recall(hits.where("score > 0"))
 
 
-@query()
+@query("SELECT DISTINCT conv_id AS doc_id, 'Conv' || conv_id AS source_name, role AS target_name, 'SPOKE' AS relation_type, 1.0::DOUBLE AS confidence FROM conversations")
 def relation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-4 on answers made of conversation turns: a fenced list, a bare list and a cut-off one."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "role")
@@ -341,7 +341,7 @@ def relation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept
 
 
-@query()
+@query("SELECT event_id, props AS first, 1 AS n FROM events")
 def salvaged_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-1, J-2 on every event's properties in broken wrappers."""
     e = table(spark, sf_dir, "events")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +71,6 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
 
 def pdf_text(files: DataFrame, convert) -> DataFrame:
     """PDF contents through a converter given as a function of bytes (none comes with the library)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def to_text(content: pd.Series) -> pd.Series:
         return content.map(lambda b: convert(bytes(b)) if b is not None else None)

@@ -29,9 +29,14 @@ def _fs(spark: SparkSession, path: str):
 
 def _current(spark: SparkSession, path: str) -> list[str]:
     """Names of the current version and the one before it; none where there is no table."""
-    if not _fs(spark, path).exists(_path(spark, f"{path}/{POINTER}")):
+    fs, pointer = _fs(spark, path), _path(spark, f"{path}/{POINTER}")
+    if not fs.exists(pointer):
         return []
-    return [r.value for r in spark.read.text(f"{path}/{POINTER}", wholetext=True).collect()][0].split()
+    stream = fs.open(pointer)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+    finally:
+        stream.close()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
