@@ -5,7 +5,8 @@ commits them and a lost task is simply repeated; a segment holds whole members,
 another are a standard .warc.gz file. ``export`` writes such files.
 
 The reader takes bytes in pieces: incremental zlib decompression finds each member's end, Content-Length frames the
-block, and the payload's SHA-256 is compared with WARC-Payload-Digest. A truncated or broken member raises.
+block, and the payload's SHA-256 is compared with WARC-Payload-Digest. A truncated or broken member, or a payload of
+another digest, raises. ``referred`` holds each revisit against the response that it names.
 
 Defined cases: null html is an empty payload, a null url is about:blank, a null page_id is written as such and read
 back as null. Payloads under ``LEAST`` bytes are always responses. Rows alike in page_id and payload are all of the
@@ -142,16 +143,17 @@ def write_archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, verified, payload) of the page records.
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of the page records.
 
-    verified: a response's payload has the digest that its header names. A revisit has no payload (null).
+    A response's payload has the digest that its header names, or it raises. A revisit has no payload (null); its length
+    and digest are what its own headers say.
     """
 
     def number(urn: str) -> int | None:
         x = urn[len("<urn:page:") : -1]
         return None if x == "None" else int(x)
 
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()), ("payload", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +167,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     http, _, body = block.partition(b"\r\n\r\n")
                     row = {"page_id": number(h["warc-record-id"]), "url": h["warc-target-uri"], "record_type": h["warc-type"]}
                     if h["warc-type"] == "response":
-                        digest = hashlib.sha256(body).hexdigest()
-                        row |= {"refers_to": None, "payload_bytes": len(body), "payload_digest": digest, "verified": digest == named, "payload": body.decode()}
+                        if hashlib.sha256(body).hexdigest() != named:
+                            raise ValueError(f"the payload of {h['warc-record-id']} has another digest")
+                        row |= {"refers_to": None, "payload_bytes": len(body), "payload_digest": named, "payload": body.decode()}
                     else:
-                        row |= {"refers_to": number(h["warc-refers-to"]), "payload_bytes": int(h["x-payload-length"]), "payload_digest": named, "verified": not body, "payload": None}
+                        row |= {"refers_to": number(h["warc-refers-to"]), "payload_bytes": int(h["x-payload-length"]), "payload_digest": named, "payload": None}
                     out.append(row)
                     size += len(body)
                     if size > 4_000_000:
@@ -176,13 +179,24 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         out, size = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, payload string"
+    ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
     return archives.select("archive", "segment", "data").mapInArrow(each, ddl)
 
 
+def referred(records: DataFrame) -> DataFrame:
+    """records with ``verified``: a response is; a revisit, where the page that it names has a response of its digest
+    and length. Only ids, digests and lengths of the two are joined."""
+    of = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    of = of.distinct().withColumn("verified", F.lit(True))
+    again = records.where("record_type = 'revisit'").join(of, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    again = again.withColumn("verified", F.coalesce("verified", F.lit(False)))
+    return records.where("record_type = 'response'").withColumn("verified", F.lit(True)).unionByName(again)
+
+
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Writes the pages' archives into the shared folder and reads them back."""
-    return read_archives(stage(write_archives(pages, least), "warc"))
+    """Writes the pages' archives into the shared folder, reads them back and holds revisits against their responses:
+    the columns of ``read_archives`` but the payload, and verified."""
+    return referred(stage(read_archives(stage(write_archives(pages, least), "warc")).drop("payload"), "records"))
 
 
 def export(archives: DataFrame, folder: str) -> None:
