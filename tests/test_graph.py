@@ -4,20 +4,23 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import graph as G
 
-NODES = "abcdef"
-EDGES = [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("c", "d")]
+#: Six stops and the lines between them; nothing goes to solo.
+NODES = ["hub", "east", "west", "north", "ring", "solo"]
+EDGES = [("hub", "east"), ("hub", "west"), ("east", "west"), ("west", "north"), ("north", "ring"), ("hub", "ring"), ("ring", "west")]
 
 
 def tables(spark):
     return spark.createDataFrame([(n,) for n in NODES], "id string"), spark.createDataFrame(EDGES, "src string, dst string")
 
 
-def test_prune_keeps_the_entry_first(spark):
+def test_prune_orders_by_score_then_id_behind_the_entry(spark):
     nodes, edges = tables(spark)
-    degree = G.degrees(nodes, edges).select("id", F.col("degree").cast("double").alias("score"))
-    top = lambda entry, n: [r.id for r in G.prune(nodes, degree, F.lit(entry), n).orderBy("rank").collect()]
-    assert top("a", 4) == ["a", "c", "d", "b"] and top("f", 3) == ["f", "c", "a"]
-    assert G.prune(nodes, degree, F.lit("a"), 0).count() == 6
+    degree = G.degrees(nodes, edges)
+    assert {r.id: r.degree for r in degree.collect()} == {"hub": 3, "east": 2, "west": 4, "north": 2, "ring": 3, "solo": 0}
+    scores = degree.select("id", F.col("degree").cast("double").alias("score"))
+    for entry, n, want in (("hub", 4, ["hub", "west", "ring", "north"]), ("solo", 3, ["solo", "west", "ring"]), ("north", 2, ["north", "west"])):
+        assert [r.id for r in G.prune(nodes, scores, F.lit(entry), n).orderBy("rank").collect()] == want
+    assert G.prune(nodes, scores, F.lit("hub"), 0).count() == len(NODES)
 
 
 def test_delete_document_keeps_what_others_share(spark):
@@ -35,10 +38,14 @@ def test_merge_edges_drops_loops_and_makes_names_safe(spark):
 
 def test_hops_and_pagerank(spark):
     nodes, edges = tables(spark)
-    entry = spark.createDataFrame([("b",)], "entry string")
-    assert {(r.id, r.hop) for r in G.k_hop(entry, edges, 2).collect()} == {("a", 1), ("c", 1), ("d", 2)}
+    entry = spark.createDataFrame([("east",)], "entry string")
+    assert {(r.id, r.hop) for r in G.k_hop(entry, edges, 2).collect()} == {("hub", 1), ("west", 1), ("ring", 2), ("north", 2)}
     rank = {r.id: r["rank"] for r in G.pagerank(nodes, edges, 30).collect()}
-    assert abs(sum(rank.values()) - 1) < 1e-9 and rank["a"] == max(rank.values()) and rank["e"] == min(rank.values())
+    assert abs(sum(rank.values()) - 1) < 1e-9 and rank["west"] == max(rank.values()) and rank["solo"] == min(rank.values())
+    near = {n: {b for a, b in EDGES if a == n} | {a for a, b in EDGES if b == n} for n in NODES}
+    for n in NODES:  # settled: each rank is what its neighbours and the stop without lines send
+        got = sum(rank[m] / len(near[m]) for m in near[n]) + rank["solo"] / len(NODES)
+        assert abs(rank[n] - (0.15 / len(NODES) + 0.85 * got)) < 2e-3
 
 
 def test_entry_and_subgraph(spark):
@@ -46,8 +53,9 @@ def test_entry_and_subgraph(spark):
     edges = spark.createDataFrame([("bug-204", "svc", "AFFECTS"), ("svc", "x", "USES")], "src string, dst string, rel string")
     q = spark.createDataFrame([(1, "who owns the checkout service"), (2, "unknown words")], "qid int, text string")
     kept, inside = G.subgraph(q, nodes, edges, 1)
-    assert [r.id for r in kept.orderBy("rank").collect()] == ["svc", "x", "bug-204"]
-    assert {(r.src, r.dst) for r in inside.collect()} == {("bug-204", "svc"), ("svc", "x")}
+    assert [r.id for r in kept.where("qid = 1").orderBy("rank").collect()] == ["svc", "x", "bug-204"]
+    assert {(r.src, r.dst) for r in inside.where("qid = 1").collect()} == {("bug-204", "svc"), ("svc", "x")}
+    assert kept.where("qid = 2").count() > 0  # no token of it is known: the nearest node by vector
 
 
 def test_cooccurrence(spark):
