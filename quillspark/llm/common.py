@@ -6,6 +6,7 @@ Lineage is cut by tables written under ``spark.checkpoint.dir`` and read back (`
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ SLICE_CHARS = 1_000_000
 #: Rows and bytes of an Arrow batch, at most: what a task holds twice on either side of the pipe to Python.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
+#: Bytes that a rolling hash is taken of at once.
+PIECE = 1 << 20
+
 
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the executors and lowers the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller settings stay."""
@@ -91,24 +95,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """0 to n - 1 as powers of the odd base of rolling hashes (or of its inverse), modulo 2 ** 64."""
+@cache
+def _powers(n: int, inverse: bool) -> np.ndarray:
     out = np.full(n, _INVERSE if inverse else _BASE, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """0 to n - 1 as powers of the odd base of rolling hashes (or of its inverse), modulo 2 ** 64."""
+    if n > PIECE:
+        return _powers.__wrapped__(n, inverse)
+    return _powers(PIECE, inverse)[:n]
+
+
 _BYTE = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 def hashed_words(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, last byte, 64-bit hash) of each run of bytes that aren't space; the data end with one."""
+    """(start, last byte, 64-bit hash) of each run of bytes that aren't space; the data end with one.
+
+    Hashes are made for ``PIECE`` bytes at once (a longer word is one piece), so their memory doesn't grow with a text.
+    """
     was = np.append(True, space[:-1])
     start, end = np.flatnonzero(~space & was), np.flatnonzero(space & ~was) - 1
-    if not len(start):
-        return start, end, np.zeros(0, np.uint64)
-    value = np.where(space, np.uint64(0), _BYTE[data]) * powers(len(data))
-    return start, end, mix(np.add.reduceat(value, start) * powers(len(data), True)[start])
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE)))
+        a, b, at = start[i], end[j - 1] + 1, start[i:j] - start[i]
+        value = np.where(space[a:b], np.uint64(0), _BYTE[data[a:b]]) * powers(b - a)
+        out[i:j] = mix(np.add.reduceat(value, at) * powers(b - a, True)[at])
+        i = j
+    return start, end, out
 
 
 def ascii_lower(text: Column) -> Column:

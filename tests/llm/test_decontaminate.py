@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from quillspark.llm import common as C
 from quillspark.llm import decontaminate as D
 
 
@@ -65,3 +67,25 @@ def test_filter_keeps_whole_rows_and_clashing_columns(spark):
     assert sorted(r._hit for r in out.collect()) == [i for i, r in enumerate(docs) if (r[0], len(words(r[1]))) not in bad]
     assert D.decontaminate(d, b.where("item_id > 99")).count() == len(docs)
     assert D.decontaminate(d.where("doc_id > 99"), b).count() == 0
+
+
+def test_hashes_of_words_do_not_depend_on_pieces(monkeypatch):
+    r = random.Random(2)
+    data = np.frombuffer(" ".join("".join(r.choices("abé", k=r.randint(1, 9))) for _ in range(500)).encode() + b" x" * 40 + b"y" * 300 + b"  ", np.uint8)
+    want = C.hashed_words(data, data == 32)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(C, "PIECE", piece)
+        C._powers.cache_clear()
+        assert all((a == b).all() for a, b in zip(C.hashed_words(data, data == 32), want, strict=True))
+    C._powers.cache_clear()
+    words = bytes(data).split()
+    assert len(set(want[2].tolist())) == len(set(words)) and len(words) == len(want[2])
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"it{i}" for i in range(20))
+    text = " ".join(f"w{i % 5000}" for i in range(600_000))
+    d = spark.createDataFrame([(1, f"{text} {item} {text}"), (2, item)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r._n_words, r._n_hit, r._contaminated) for r in D.contamination(d, b, ["doc_id"]).collect()}
+    assert got == {1: (1_200_020, 20, False), 2: (20, 20, True)}
