@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import config
 from quillspark.config import Profile, Profiles
 from quillspark.functions import text as T
 from quillspark.functions.vectors import hash_embed
@@ -194,3 +195,25 @@ def test_state_forgets_names_after_their_time():
     assert not list(count(("x", "a"), iter([]), s)) and s.removed
     s.hasTimedOut = False
     assert not list(count(("x", "a"), batch(2), s)) and [f.occurrences[0] for f in count(("x", "a"), batch(1), s)] == [3]
+
+
+def test_profiles_from_files(spark, tmp_path):
+    given = {
+        "default_domain": "Notes",
+        "domains": {
+            "notes": {"collection": "notes", "neo4j_label": "Note", "retrieval": "dense_prose", "top_k": 12, "entry_strategy": "vector", "chunking": {"strategy": "fixed", "chunk_size": 256, "overlap": 8}, "metadata_schema": {"fields": ["title"]}},
+            "codes": {"collection": None, "retrieval": "terms", "companions": ["notes"], "entity_types": ["A", "B"], "relation_types": ["R"]},
+            "N": {"alias": "Notes"}, "icd": {"alias": "codes"},
+        },
+    }
+    (tmp_path / "p.json").write_text(json.dumps(given))
+    got = config.load_profiles(spark, str(tmp_path / "p.json"))
+    notes = got.get("n")
+    assert (notes.name, notes.graph_label, notes.top_k, notes.entry_strategy, notes.chunking, notes.metadata_fields) == ("notes", "Note", 12, "vector", config.Chunking("fixed", 256, 8), ("title",))
+    assert got.get("ICD").companions == ("notes",) and got.get("other").name == "notes" and got.names() == ["codes", "notes"]
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "p.yaml").write_text(yaml.safe_dump(given))
+    assert config.load_profiles(spark, str(tmp_path / "p.yaml")).get("codes") == got.get("codes")
+    for bad in ({}, {"domains": {"x": {"entry_strategy": "guess"}}}, {"domains": {"x": {}, "a": {"alias": "nothing"}}}):
+        with pytest.raises(ValueError):
+            config.profiles_of(bad)
