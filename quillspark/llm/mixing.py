@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import guard, n_words, running_sum, stage
 
-WEIGHTS, SHARE, PASSES, SEED, PACKET = (5, 2, 1), 1.5, 2, 42, 100
+WEIGHTS, SHARE, PASSES, SEED, PACKET = (5, 2, 1), 1.5, 2, 42, 25
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 

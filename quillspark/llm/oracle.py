@@ -76,8 +76,8 @@ ORACLE: dict[str, str] = {
                 coalesce(sum(size) OVER (PARTITION BY nth ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN n ON d.source IS NOT DISTINCT FROM n.source
         ), w AS (
-            SELECT nth, target, least(100, size - off) AS words, before + source_size * pass + off AS b
-            FROM (SELECT *, unnest(range(0, size, 100)) AS off FROM q, (VALUES (0), (1)) AS p(pass) WHERE size > 0)
+            SELECT nth, target, least(25, size - off) AS words, before + source_size * pass + off AS b
+            FROM (SELECT *, unnest(range(0, size, 25)) AS off FROM q, (VALUES (0), (1)) AS p(pass) WHERE size > 0)
         ), o AS (
             SELECT nth, words, coalesce(sum(words) OVER (ORDER BY (b + words)::DOUBLE / target, nth, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
             FROM w

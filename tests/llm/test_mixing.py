@@ -6,7 +6,7 @@ import re
 from quillspark.llm import mixing as M
 
 
-def plain(rows, packet=100):
+def plain(rows, packet=25):
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
     sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
     total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
@@ -53,7 +53,7 @@ def test_mix(spark):
         assert g.taken <= 2 * g.size
     for s in total:
         mine = sum(got[r[0]].taken for r in ROWS if r[2] == s)
-        assert abs(mine - target[s]) <= 100
+        assert abs(mine - target[s]) <= 25
 
 
 def test_smaller_packets_come_nearer(spark):
