@@ -241,8 +241,11 @@ def hits(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
 
 
 def _with_hits(index: DataFrame, found: DataFrame, kept: StructType) -> DataFrame:
-    """Each document's kept columns with _n_words, _hit and _items, from the rows of a block's documents that are hit."""
-    per = found.groupBy("block").agg(F.collect_list(F.struct("doc", "hit", "items")).alias("found"))
+    """Each document's kept columns with _n_words, _hit and _items, from the rows of a block's documents that are hit.
+
+    Those rows are staged, so that Spark knows their size: few of them are sent to the blocks, and texts stay in place.
+    """
+    per = stage(found.groupBy("block").agg(F.collect_list(F.struct("doc", "hit", "items")).alias("found")), "found")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
