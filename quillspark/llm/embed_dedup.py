@@ -109,24 +109,42 @@ def fit_pivots(nodes: DataFrame, target: int = TARGET) -> Pivots:
     return Pivots(out)
 
 
-def robust_prune(sims: np.ndarray, own: np.ndarray, cand: np.ndarray, x: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Of candidates in falling similarity: keep one if no kept one is alpha times nearer to it than the node is.
+def robust_prune(x: np.ndarray, own: np.ndarray, lists: list[np.ndarray], degree: int, alpha: float) -> list[np.ndarray]:
+    """Of each own node's candidates, in falling similarity: keep one if no kept one is alpha times nearer to it than the
+    node is, ``degree`` at most. Distances are squared chords, 2 - 2 cos.
 
-    sims: similarity of the node to each candidate. Distances are squared chords, 2 - 2 cos.
+    Nodes of lists of like length are pruned side by side: each step keeps one candidate of every node.
     """
-    kept: list[int] = []
-    alive = np.ones(len(cand), bool)
-    between = x[cand] @ x[cand].T
-    far = 2 - 2 * sims
-    for i in range(len(cand)):
-        if not alive[i]:
-            continue
-        kept.append(i)
-        if len(kept) == degree:
-            break
-        alive &= alpha * (2 - 2 * between[i]) > far
-        alive[: i + 1] = False
-    return cand[kept]
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lists)
+    size = np.array([len(c) for c in lists])
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        width = max(1, int(size[order[min(at + 255, len(order) - 1)]]))
+        some = order[at : at + max(1, min(256, 2_000_000 // (width * max(width, x.shape[1]))))]
+        at += len(some)
+        width = max(1, int(size[some].max()))
+        cand = np.full((len(some), width), -1, np.int64)
+        for r, i in enumerate(some.tolist()):
+            cand[r, : size[i]] = lists[i]
+        near = x[cand]
+        sims = np.where(cand >= 0, np.einsum("mcd,md->mc", near, x[own[some]]), -2)
+        first = np.argsort(-sims, axis=1, kind="stable")
+        cand, sims = np.take_along_axis(cand, first, axis=1), np.take_along_axis(sims, first, axis=1)
+        near = np.take_along_axis(near, first[:, :, None], axis=1)
+        alive, far = cand >= 0, (2 - 2 * sims) / alpha
+        apart = 2 - 2 * (near @ near.transpose(0, 2, 1))
+        kept = np.full((len(some), degree), -1, np.int64)
+        for step in range(degree):
+            rows = np.flatnonzero(alive.any(axis=1))
+            if not len(rows):
+                break
+            best = alive[rows].argmax(axis=1)
+            kept[rows, step] = cand[rows, best]
+            alive[rows] &= apart[rows, best] > far[rows]
+            alive[rows, best] = False
+        for r, i in enumerate(some.tolist()):
+            out[i] = kept[r][kept[r] >= 0]
+    return out
 
 
 def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool: int = 64) -> list[np.ndarray]:
@@ -141,23 +159,16 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool:
         sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
         k = min(pool, n - 1)
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        for r in range(len(sims)):
-            cand = np.union1d(near[r], spread)
-            cand = cand[cand != s + r]
-            v = sims[r, cand]
-            order = np.argsort(-v, kind="stable")
-            out.append(robust_prune(v[order], x[s + r], cand[order], x, degree, alpha))
-    reverse: list[list[int]] = [[] for _ in range(n)]
-    for i, adj in enumerate(out):
-        for j in adj.tolist():
-            reverse[j].append(i)
-    for i in range(n):
-        both = np.union1d(out[i], reverse[i]).astype(np.int64)
-        if len(both) > degree:
-            v = x[both] @ x[i]
-            order = np.argsort(-v, kind="stable")
-            both = robust_prune(v[order], x[i], both[order], x, degree, alpha)
-        out[i] = both
+        lists = [(c := np.union1d(near[r], spread))[c != s + r] for r in range(len(sims))]
+        out += robust_prune(x, np.arange(s, s + len(sims)), lists, degree, alpha)
+    # Reverse edges are added, and lists that grow too long are pruned again.
+    ends, starts = np.concatenate(out), np.repeat(np.arange(n), [len(a) for a in out])
+    by_end = np.argsort(ends, kind="stable")
+    reverse = np.split(starts[by_end], np.cumsum(np.bincount(ends, minlength=n))[:-1])
+    out = [np.union1d(a, b) for a, b in zip(out, reverse, strict=True)]
+    long = np.array([i for i in range(n) if len(out[i]) > degree], np.int64)
+    for i, a in zip(long.tolist(), robust_prune(x, long, [out[i] for i in long], degree, alpha), strict=True):
+        out[i] = a
     # Pruning leaves some nodes of dense groups without an edge that leads to them: each gets one from its nearest.
     for i in range(n):
         v = x[out[i]] @ x[i]
@@ -274,7 +285,7 @@ def near_links(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = OV
     first = stage(_sharded(nodes, pivots, overlap), "placed")
     cluster = ["label", "dim", "cluster"]
     sizes = first.groupBy(*cluster).agg(F.count("*").alias("n"))
-    sizes = sizes.select(*cluster, F.greatest(F.lit(1), F.ceil(F.col("n") / MOST)).cast("int").alias("shards"))
+    sizes = stage(sizes.select(*cluster, F.greatest(F.lit(1), F.ceil(F.col("n") / MOST)).cast("int").alias("shards")), "sizes")
     placed = first.join(sizes, cluster).withColumns({
         "home": F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"),
         "block": F.pmod(F.xxhash64("node", F.lit("block")), F.col("shards")).cast("int"),
