@@ -111,4 +111,75 @@ ORACLE: dict[str, str] = {
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
     """,
+    "op11_line_dedup": rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) AS doc, row_number() OVER () AS r,
+                string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), l AS (
+            SELECT doc_id, doc, r, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d
+        ), k AS (
+            SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l
+        ), f AS (
+            SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc) >= 5
+        ), m AS (
+            SELECT k.*, coalesce(keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper, false) AS gone FROM k LEFT JOIN f USING (key)
+        )
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY r
+    """,
+    "op12_source_divergence": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), t AS (SELECT r, lang, source, unnest(w) AS term FROM d
+        ), kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30
+        ), l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1
+        ), c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+        ), g AS (
+            SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0) AS n FROM d GROUP BY ALL
+        ), p AS (
+            SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.n + 5 * l.v)::HUGEINT AS p,
+                1 + 1000000000::HUGEINT * (kept.n + 5) // (l.n + 5 * l.v)::HUGEINT AS q
+            FROM g JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), s AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+        ), u AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+            CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM u QUALIFY part = 'pair' OR rank <= 50
+    """,
+    "op13_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+                len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn FROM conversations WHERE conv_id IS NOT NULL
+        ), o AS (
+            SELECT c, list({'k': k, 'words': words} ORDER BY turn NULLS FIRST, k) AS x FROM t GROUP BY 1
+        ), h AS (
+            SELECT c, c - c % 20 AS b, x, xor(4294967295::BIGINT, list_reduce(
+                list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda y: ascii(y)::BIGINT)),
+                lambda s, y: list_reduce([xor(s, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda z, n: xor(z >> 1, 3988292384 * (z & 1))))) % 4 AS h FROM o
+        ), r AS (
+            SELECT h.c, list_concat(coalesce(o.x, [])[1:h.h], h.x[h.h + 1:]) AS x FROM h LEFT JOIN o ON o.c = h.b
+        ), p AS (
+            SELECT c, len(x) AS n, d, array_to_string(list_transform(x[1:d], lambda y: y.k), ' ') AS node,
+                CASE WHEN d > 0 THEN array_to_string(list_transform(x[1:d - 1], lambda y: y.k), ' ') END AS parent,
+                CASE WHEN d > 0 THEN x[d].words ELSE 0 END AS words
+            FROM (SELECT *, unnest(range(0, len(x) + 1)) AS d FROM r)
+        ), g AS (
+            SELECT node, d, any_value(parent) AS parent, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(words) AS saved,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends FROM p GROUP BY node, d
+        ), k AS (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL
+        ), q AS (
+            SELECT a.node, a.d, sum(g.saved) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+            FROM g JOIN p a ON a.c = g.c AND a.d <= g.d LEFT JOIN k ON k.node = g.node AND k.d = g.d GROUP BY a.node, a.d
+        )
+        SELECT g.c AS conv_id, g.d AS depth, u.c AS parent_conv_id, g.n AS n_convs, coalesce(k.n, 0) AS n_children, q.leaves AS n_leaves,
+            CAST(q.saved AS BIGINT) AS saved_tokens, g.ends AS ends_sha256
+        FROM g JOIN q ON q.node = g.node AND q.d = g.d LEFT JOIN k ON k.node = g.node AND k.d = g.d LEFT JOIN g u ON u.node = g.parent AND u.d = g.d - 1
+    """,
 }

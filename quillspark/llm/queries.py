@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from quillspark.llm import chat_format as chat
 from quillspark.llm.common import table
 from quillspark.llm.decontaminate import contamination
+from quillspark.llm.divergence import divergence
 from quillspark.llm.embed_dedup import embedding_dedup
 from quillspark.llm.html_extract import extract_text
 from quillspark.llm.kn_quality import quality
+from quillspark.llm.line_dedup import line_dedup
 from quillspark.llm.mixing import mix_sources
 from quillspark.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__
+from quillspark.llm.prefix_trie import prefix_trie
 from quillspark.llm.simhash_dedup import simhash_components
 from quillspark.llm.substring_dedup import NO_ID, repeated_passages
 from quillspark.llm.toxicity import THRESHOLD, score_toxicity, train
@@ -89,6 +92,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +115,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_substring_dedup, op3_html_extraction, op4_simhash_dedup, op5_chat_formatting, op6_warc, op7_toxicity, op8_mixing,
-        op9_decontamination, op10_quality, pipeline,
+        op9_decontamination, op10_quality, op11_line_dedup, op12_source_divergence, op13_prefix_trie, pipeline,
     )
 }

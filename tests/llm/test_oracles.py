@@ -13,4 +13,4 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_each_operator_has_its_query():
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
