@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quillspark import constants as C
 from quillspark.functions.text import tokens
 from quillspark.shipping import ship
+from quillspark.staging import stage
 
 #: Queries of one block, times dimensions: 64 MB of doubles at most.
 BLOCK_VALUES = 8_000_000
@@ -99,41 +100,52 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _term_blocks(asked: DataFrame) -> Iterator[tuple[list, list[str], np.ndarray]]:
-    """Questions in bounded blocks of (ids, tokens, weights by token and question), from rows (qid, terms)."""
-    held: list[tuple] = []
-    seen: dict[str, int] = {}
-
-    def block() -> tuple[list, list[str], np.ndarray]:
-        w = np.zeros((len(seen), len(held)))
-        for i, (_, terms) in enumerate(held):
-            for t in terms:
-                w[seen[t["token"]], i] = t["weight"]
-        return [q for q, _ in held], list(seen), w
-
+def _term_blocks(asked: DataFrame) -> Iterator[tuple[list, dict[str, list[tuple[int, float]]]]]:
+    """Questions in bounded blocks of (ids, each token's questions with its weight), from rows (qid, terms)."""
+    ids: list = []
+    of: dict[str, list[tuple[int, float]]] = {}
+    held = 0
     for qid, terms in asked.toLocalIterator():
-        held.append((qid, terms))
         for t in terms:
-            seen.setdefault(t["token"], len(seen))
-        if len(held) * len(seen) >= BLOCK_VALUES // 4:
-            yield block()
-            held, seen = [], {}
-    if held:
-        yield block()
+            of.setdefault(t["token"], []).append((len(ids), t["weight"]))
+        ids.append(qid)
+        held += len(terms)
+        if held >= BLOCK_VALUES // 16:
+            yield ids, of
+            ids, of, held = [], {}, 0
+    if ids:
+        yield ids, of
+
+
+def _matches(lists: pa.ListArray, of: dict[str, int], ends: np.ndarray, questions: np.ndarray, weights: np.ndarray, n: int) -> tuple:
+    """(row, question, sum of weights) of each row of tokens and question that share one."""
+    coded = lists.flatten().dictionary_encode()
+    code = np.array([of.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1])
+    token = code[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    row, token = row[token >= 0], token[token >= 0]
+    size = ends[token + 1] - ends[token]
+    # For each token found, its run of questions.
+    at = np.arange(size.sum()) + np.repeat(ends[token] - (np.cumsum(size) - size), size)
+    cell = np.repeat(row, size) * n + questions[at]
+    total = np.bincount(cell, weights[at], len(lists) * n)
+    hit = np.flatnonzero(np.bincount(cell, minlength=len(lists) * n))
+    return hit // n, hit % n, total[hit]
 
 
 def term_top_k(questions: DataFrame, chunks: DataFrame, k: int, n: int, decimals: int = 6) -> DataFrame:
     """(qid, doc_id, chunk_idx, score, rank): the k best chunks of each question by the sum, over its distinct tokens,
     of their count in the chunk times ln(n / df); df counts documents.
 
-    questions: (qid, text); chunks: (doc_id, chunk_idx, text). A block of questions (bounded) goes to every task, which
-    scores its own chunks and keeps its k best of each, so no pair of a question and a chunk is shuffled. Only chunks
-    that share a token are ranked. Ties go to the smaller document and chunk.
+    questions: (qid, text); chunks: (doc_id, chunk_idx, text), with whole numbers as ids. A block of questions (bounded)
+    goes to every task as postings of tokens; a task adds up what its own chunks match and keeps its k best of each
+    question, so k rows a question and task are shuffled. Only chunks that share a token are ranked. Ties go to the
+    smaller document and chunk. Chunks are tokenised once, to a staged table.
     """
     spark = chunks.sparkSession
     ship(spark)
-    asked = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    said = chunks.select("doc_id", "chunk_idx", tokens(F.col("text")).alias("tokens"))
+    asked = stage(questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")), "asked")
+    said = stage(chunks.select("doc_id", "chunk_idx", tokens(F.col("text")).alias("tokens")), "tokens")
     each_doc = said.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
     df = each_doc.groupBy("token").agg(F.countDistinct("doc_id").alias("df"))
     weighted = asked.join(df, "token").groupBy("qid").agg(F.collect_list(F.struct("token", F.ln(F.lit(float(n)) / F.col("df")).alias("weight"))).alias("terms"))
@@ -141,39 +153,40 @@ def term_top_k(questions: DataFrame, chunks: DataFrame, k: int, n: int, decimals
     qkind, qtype = questions.schema["qid"].dataType.simpleString(), to_arrow_type(questions.schema["qid"].dataType)
     schema = f"qid {qkind}, doc_id {kinds['doc_id']}, chunk_idx {kinds['chunk_idx']}, score double"
     out = spark.createDataFrame([], schema)
-    for ids, names, weights in _term_blocks(weighted):
-        shared = spark.sparkContext.broadcast((ids, {t: i for i, t in enumerate(names)}, weights))
+    types = [to_arrow_type(chunks.schema[c].dataType) for c in ("doc_id", "chunk_idx")]
+    for ids, of in _term_blocks(weighted):
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in of.values()])])
+        flat = [x for one in of.values() for x in one]
+        arrays = ends, np.array([q for q, _ in flat], np.int64), np.array([w for _, w in flat])
+        shared = spark.sparkContext.broadcast((ids, {t: i for i, t in enumerate(of)}, *arrays))
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, of, w = shared.value
-            any_ = (w != 0).astype(np.float64)
+            qids, of, ends, asking, weights = shared.value
+            best = [np.zeros(0, x) for x in (np.int64, np.float64, np.int64, np.int64)]  # question, score, document, chunk
+            floor = np.full(len(qids), -np.inf)
+            step = max(1, BLOCK_VALUES // len(qids) // 8)
             for batch in batches:
-                lists = batch.column(2)
-                coded = lists.flatten().dictionary_encode()
-                code = np.array([of.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1])
-                col = code[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                row, col = row[col >= 0], col[col >= 0]
-                if not len(row):
-                    continue
-                score = np.full((len(lists), len(qids)), -1.0)
-                for s in range(0, len(lists), 512):
-                    a, b = np.searchsorted(row, [s, s + 512])
-                    count = np.zeros((min(512, len(lists) - s), len(of)))
-                    np.add.at(count, (row[a:b] - s, col[a:b]), 1.0)
-                    part = np.round(count @ w, decimals)
-                    score[s : s + 512] = np.where((count > 0) @ any_ > 0, part, -1.0)
-                keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-                order = np.lexsort((keys[1], keys[0]))
-                best = order[np.argsort(-score[order], axis=0, kind="stable")[:k]]
-                c, r = np.nonzero(np.take_along_axis(score, best, axis=0).T >= 0)
-                at = best[r, c]
+                for s in range(0, batch.num_rows, step):
+                    part = batch.slice(s, step)
+                    row, q, score = _matches(part.column(2), of, ends, asking, weights, len(qids))
+                    score = np.round(score, decimals)
+                    near = score >= floor[q]
+                    new = [q[near], score[near], *(part.column(i).to_numpy(zero_copy_only=False)[row[near]] for i in (0, 1))]
+                    best = [np.concatenate(x) for x in zip(best, new, strict=True)]
+                    order = np.lexsort((best[3], best[2], -best[1], best[0]))
+                    best = [x[order] for x in best]
+                    nth = np.arange(len(order)) - np.searchsorted(best[0], best[0])
+                    floor[best[0][nth == k - 1]] = best[1][nth == k - 1]
+                    best = [x[nth < k] for x in best]
+            if len(best[0]):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([qids[i] for i in c], qtype), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(score[at, c])],
+                    [pa.array([qids[i] for i in best[0]], qtype), pa.array(best[2], types[0]), pa.array(best[3], types[1]), pa.array(best[1])],
                     names=["qid", "doc_id", "chunk_idx", "score"],
                 )
 
-        out = out.unionByName(said.mapInArrow(each, schema))
+        # Kept before the block's questions leave the executors; the next block has its own.
+        out = out.unionByName(stage(said.mapInArrow(each, schema), "best"))
+        shared.destroy()
     w = W.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id", "chunk_idx")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

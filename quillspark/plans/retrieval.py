@@ -9,7 +9,7 @@ from quillspark import constants as C
 from quillspark.functions import text as T
 from quillspark.operators import aliases as A
 from quillspark.operators import corrective as R
-from quillspark.operators import fusion, search, terminology, terms
+from quillspark.operators import fusion, search, sparse_index, terminology, terms
 from quillspark.plans.registry import BLANKS, query, sents, strings, table, tok, words
 
 # A terminology of the documents: each is a concept, its sentences are its terms, its language that of the terms.
@@ -412,3 +412,33 @@ def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")).alias("arrival"),
     )
     return R.condense(c, F.col("c_acctbal")).select("qid", "text", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    pieces = docs.select("doc_id", "lang", F.posexplode(T.sentences(F.col("text"))).alias("chunk_idx", "text"))
+    found = terms.sparse_vectors(pieces, ["doc_id", "lang", "chunk_idx"], "text")
+    vectors = found.select(F.coalesce("lang", F.lit("")).alias("coll"), F.struct("doc_id", "chunk_idx").alias("id"), "idx", "tf")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text").dropDuplicates(["qid"])
+    asked = terms.sparse_vectors(asked, ["qid"], "text").select("qid", "idx", F.col("tf").alias("weight"))
+    hits = sparse_index.sparse_top_k(asked, sparse_index.build_index(vectors), 5)
+    return search.merge_collections(hits, 10).select(
+        "qid", "coll", F.col("id.doc_id").alias("doc_id"), F.col("id.chunk_idx").cast("long").alias("chunk_idx"), "score", F.col("rank").cast("long").alias("rank")
+    )
+
+
+@query(
+    rf"""
+    WITH c AS (SELECT doc_id, coalesce(lang, '') AS coll, unnest({sents('text')}) AS text, unnest(range(len({sents('text')}))) AS chunk_idx FROM documents),
+    ct AS (SELECT coll, doc_id, chunk_idx, ('0x' || substr(md5(x), 3, 2) || substr(md5(x), 1, 2))::BIGINT AS idx, count(*) AS tf
+        FROM (SELECT coll, doc_id, chunk_idx, unnest({tok('text')}) AS x FROM c) GROUP BY ALL),
+    qt AS (SELECT qid, ('0x' || substr(md5(x), 3, 2) || substr(md5(x), 1, 2))::BIGINT AS idx, count(*) AS tf
+        FROM (SELECT item_id AS qid, unnest({tok('text')}) AS x FROM benchmark) GROUP BY ALL),
+    s AS (SELECT qid, coll, doc_id, chunk_idx, sum(qt.tf * ct.tf)::DOUBLE AS score FROM qt JOIN ct USING (idx) GROUP BY ALL),
+    p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid, coll ORDER BY score DESC, doc_id, chunk_idx) <= 5)
+    SELECT qid, coll, doc_id, chunk_idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_idx) AS rank FROM p QUALIFY rank <= 10
+    """
+)
+def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2, L1: each benchmark item's hashed token counts against all sentences of all documents, a collection a language."""
+    return _sparse_topk(spark, sf_dir)
