@@ -10,10 +10,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: list[tuple[SparkSession, str]] = []
+#: The lists of ``noted`` around what runs; each thread has its own.
+_noting: ContextVar[tuple[list, ...]] = ContextVar("noting", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +36,8 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _staged.append((spark, path))
+    for tables in _noting.get():
+        tables.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out
@@ -48,12 +53,12 @@ def unstage(df: DataFrame) -> None:
 
 @contextmanager
 def noted(into: list[tuple[SparkSession, str]]) -> Iterator[None]:
-    """Adds the tables that are staged inside to ``into``, for ``forget`` when they are no longer read."""
-    before = set(_staged)
+    """Adds the tables that this thread stages inside to ``into``, for ``forget`` when they are no longer read."""
+    mark = _noting.set((*_noting.get(), into))
     try:
         yield
     finally:
-        into += [x for x in _staged if x not in before]
+        _noting.reset(mark)
 
 
 def forget(tables: list[tuple[SparkSession, str]]) -> None:
