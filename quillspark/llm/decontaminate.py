@@ -32,6 +32,8 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from quillspark.llm.common import guard, hashed_words, slices, stage
 
 WINDOW, BLOCK_WINDOWS, BLOCK_BYTES = 13, 200_000, 1_500_000
+#: Anchors that ``match`` holds at once.
+ANCHORS = 1_000_000
 #: A-Z to lower case; all bytes but digits, letters and those of non-ASCII characters to a space.
 TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -170,9 +172,25 @@ def match(windows: Windows, n: np.ndarray, terms: np.ndarray, counts: np.ndarray
     first = windows.order[:, 0]
     rarest = windows.rows[np.arange(len(first)), first]
     many = starts[rarest + 1] - starts[rarest]
-    w = np.repeat(np.arange(len(many)), many)
-    nth = np.arange(len(w)) - np.repeat(np.cumsum(many) - many, many)
-    anchor = positions[starts[rarest[w]] + nth].astype(np.int64)
+    out = [
+        _occurrences(windows, w, first, positions[starts[rarest[w]] + nth].astype(np.int64), at, doc, slop) for w, nth in _anchors(many)
+    ]
+    w, start = (np.concatenate([none, *x]) for x in zip(*out, strict=True)) if out else (none, none)
+    return w, start
+
+
+def _anchors(many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, number of the anchor) of each window's ``many`` anchors, in runs of ``ANCHORS`` at most."""
+    ends = np.cumsum(many)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, ANCHORS):
+        at = np.arange(a, min(a + ANCHORS, int(ends[-1])))
+        w = np.searchsorted(ends, at, side="right")
+        yield w, at - (ends - many)[w]
+
+
+def _occurrences(windows: Windows, w: np.ndarray, first: np.ndarray, anchor: np.ndarray, at: np.ndarray, doc: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows w with an anchor each those that occur there, with their starts; at: the term at each position."""
+    none, total = np.zeros(0, np.int64), len(at)
     start = anchor - first[w]
     for k in range(1, windows.size):
         if not len(w):

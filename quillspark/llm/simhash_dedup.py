@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import connected_components, guard, slices, stage, unstage
+from quillspark.staging import forget, noted
 
 SEED, DISTANCE, MOST = 42, 3, 2048
 
@@ -232,8 +233,11 @@ def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = DISTANCE) ->
     """docs with one document of each group: that of the smallest doc_id. Rows with a null id can't be told apart by it
     and stay. Of repeated rows of one id, one stays (the smallest text)."""
     docs, back = guard(docs, ("doc_id", "text"))
-    found = simhash_components(docs, width, distance)
+    own: list = []
+    with noted(own):
+        found = simhash_components(docs, width, distance)
     kept = stage(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
+    forget(own)
     # By one plan at every size: the texts are shuffled once, unsorted, beside the kept ids.
     once = docs.join(kept.where("_n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     once = once.union(docs.where("doc_id is null"))

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillspark.llm.common import SLICE_CHARS, guard, hashed_words, mix, powers, slices, stage
+from quillspark.staging import forget, noted
 
 MIN_WORDS, WIDTH, PAD, ROWS = 50, 20, 16, 100_000
 #: Words at a passage's start whose hash may see what stands before it: those that end in its first 15 bytes.
@@ -281,7 +282,11 @@ def substring_dedup(docs: DataFrame, **how) -> DataFrame:
     """docs with repeated passages cut out of every text but their owner's; the columns stay. n_chars, if there, is
     the new text's length. A document of which nothing is left stays, with an empty text."""
     plain, back = guard(docs, ("doc_id", "text", "n_chars"))
-    found = stage(repeated_passages(plain, **how), "passages")
+    own: list = []
+    with noted(own):
+        found = repeated_passages(plain, **how)
+    found = stage(found, "passages")
+    forget(own)
     full = keyed(plain).join(found.hint("shuffle_hash"), ["_id", "_key"], "left").drop("_id", "_key")
     text_at, at = full.columns.index("text"), full.columns.index("_passages")
 

@@ -313,10 +313,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(text, toxic) of at most ``most`` labels outside the held-out fold, the first by a hash of the id. Of the rows
-    that have those ids (an id may have several) the first ``2 * most`` are taken, and of these as many as have
-    ``most_bytes`` of text together.
+    that have those ids (an id may have several) the first ``2 * most`` are taken (equal ones count as one), and of these
+    as many as have ``most_bytes`` of text together.
 
-    The labels are cut first, so only the chosen documents' texts are read out.
+    The labels are cut first and then sizes, so only the chosen documents' texts are gathered.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     ranked = (
@@ -328,10 +328,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS, mos
         .limit(most)
     )
     ranked = F.broadcast(ranked)  # at most ``most`` rows of two numbers
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic"), F.col("text")]
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ranked, "doc_id").orderBy(*order).limit(2 * most)
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("_size", size).where(F.col("_size") <= most_bytes).drop("_size")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ranked, "doc_id")
+    texts = texts.withColumns({"_bytes": F.coalesce(F.octet_length("text"), F.lit(0)), "_hash": F.xxhash64("text")})
+    # Sizes first: no task orders texts, and what goes over the bound is never gathered.
+    key = ["doc_id", "toxic", "_bytes", "_hash"]
+    order = [F.xxhash64("doc_id"), *key]
+    sizes = texts.groupBy(*key).agg((F.col("_bytes") * F.count("*")).cast("long").alias("_all")).orderBy(*order).limit(2 * most)
+    upto = F.sum("_all").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    few = sizes.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes).select(*key)
+    return texts.join(F.broadcast(few), key, "left_semi").select("doc_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> Tagger:

@@ -34,6 +34,8 @@ ORDER = 3
 START, END = 0x5354415254, 0x454E44
 #: Values that a shard holds, about, and words whose n-grams a task combines before they are shuffled.
 SHARD_VALUES, COMBINED = 4_000_000, 1_000_000
+#: Bytes of documents that share one set of a model's shards.
+SALT_BYTES = 4 << 30
 #: Scripts without spaces between words: South-East Asian ones, kana and ideographs.
 UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))
 SPACE, WORD, ALONE = 0, 1, 2
@@ -234,13 +236,16 @@ def _parts(key: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
             yield s, slice(int(a), int(b))
 
 
-def log_perplexities(docs: DataFrame, model: DataFrame, unknown: dict[int, float], keep: list[str]) -> DataFrame:
+def log_perplexities(docs: DataFrame, model: DataFrame, unknown: dict[int, float], keep: list[str], salt_bytes: int = SALT_BYTES) -> DataFrame:
     """docs' columns ``keep`` with n_symbols and log_perplexity, by the model of the other fold than docs' own ``fold``.
 
     Null without words. A model of one fold scores both.
     """
     model = stage(model, "values")
     bits = max(4, int(model.count() // SHARD_VALUES).bit_length())
+    # A shard's values meet the documents of one salt in a task, so tasks grow with the documents and with the model.
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    salts = 1 + int(size // salt_bytes)
     one = len(unknown) == 1
     kept = docs.select(*keep, F.col("fold").cast("int").alias("_fold"), F.col("text").cast("string").alias("_text"))
     meta = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-2])
@@ -273,15 +278,15 @@ def log_perplexities(docs: DataFrame, model: DataFrame, unknown: dict[int, float
                 of = np.concatenate([*[doc] * (ORDER - 1), doc[event]])
                 at = np.argsort(key, kind="stable")
                 key, of = key[at], of[at]
-                rows = []
+                rows, salt = [], ((block + (block >> 32)) % salts) << bits
                 for s, p in _parts(key, bits):
                     k, d = key[p], of[p]
                     first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
                     runs = np.diff(np.append(first, len(k)))
-                    rows.append((s, _pack(np.diff(k[first], prepend=np.uint64(0))) + _pack(runs) + _pack(d)))
+                    rows.append((s + salt, _pack(np.diff(k[first], prepend=np.uint64(0))) + _pack(runs) + _pack(d)))
                 total = n_events * np.array([unknown[f] for f in folds])
                 none, m = [None] * len(texts), len(rows)
-                spread = np.arange(len(texts)) % (1 << bits)
+                spread = np.arange(len(texts)) % (salts << bits)
                 if fields is None:
                     fields = part.schema.names[: len(keep)]
                 yield pa.RecordBatch.from_arrays(
@@ -333,9 +338,10 @@ def log_perplexities(docs: DataFrame, model: DataFrame, unknown: dict[int, float
                     names=["block", "idx", *batch.schema.names[5:]],
                 )
 
-    held = model.mapInArrow(values, "shard int, payload binary").select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("idx"), "payload")
+    each_salt = model.mapInArrow(values, "shard int, payload binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    held = each_salt.select((F.col("shard") + F.col("salt") * (1 << bits)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("idx"), "payload")
     both = held.unionByName(kept.mapInArrow(grams, sent), allowMissingColumns=True)
-    met = both.repartition(1 << bits, "shard").sortWithinPartitions("shard", "kind")
+    met = both.repartition(salts << bits, "shard").sortWithinPartitions("shard", "kind")
     found = met.mapInArrow(look_up, f"block long, idx int, {meta}, n_symbols long, total double, n_events long")
     summed = found.groupBy("block", "idx").agg(*[F.max(c).alias(c) for c in [*keep, "n_symbols", "n_events"]], F.sum("total").alias("total"))
     return summed.select(*keep, "n_symbols", F.when(F.col("n_events") > 0, -F.col("total") / F.col("n_events")).alias("log_perplexity"))

@@ -89,3 +89,30 @@ def test_a_very_long_text(spark):
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r.doc_id: (r._n_words, r._n_hit, r._contaminated) for r in D.contamination(d, b, ["doc_id"]).collect()}
     assert got == {1: (1_200_020, 20, False), 2: (20, 20, True)}
+
+
+def test_anchors_in_runs_give_the_same_and_stay_bounded(monkeypatch):
+    import tracemalloc
+
+    many = np.array([3, 0, 5, 1])
+    whole = [(w, k) for w, n in enumerate(many) for k in range(n)]
+    for most in (1, 2, 4, 100):
+        monkeypatch.setattr(D, "ANCHORS", most)
+        runs = list(D._anchors(many))
+        assert [(int(a), int(b)) for w, k in runs for a, b in zip(w, k, strict=True)] == whole and all(len(w) <= most for w, _ in runs)
+    r = np.random.default_rng(1)
+    vocabulary = [f"v{i}" for i in range(50)]
+    text = " ".join(r.choice(vocabulary, 60_000)).encode()
+    windows = D.Windows([(1, " ".join(r.choice(vocabulary, 3000)).encode()), (2, text[:90])], 13)
+    n, all_ = D.hashed([text])
+    order = np.argsort(all_, kind="stable")
+    terms, counts = np.unique(all_, return_counts=True)
+    at, own = windows.met(terms)
+    peak, found = [], []
+    for most in (20_000, 10**9):
+        monkeypatch.setattr(D, "ANCHORS", most)
+        tracemalloc.start()
+        found.append([sorted(x.tolist()) for x in D.match(windows, n, own, counts[at], order)])
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert found[0] == found[1] and found[0][0] and peak[0] * 8 < peak[1]

@@ -51,3 +51,37 @@ def test_empty_tables(spark, tmp_path):
     for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
         df.where("1 = 0").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_results_of_several_runs_stay(spark, tmp_path):
+    docs, labels, items, _ = planted(spark)
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    a = P.run(spark, str(tmp_path))
+    n = a.count()
+    b = P.run(spark, str(tmp_path))
+    assert (b.count(), a.count(), b.count(), a.count()) == (n, n, n, n)
+
+
+def test_stages_called_by_themselves_leave_each_other_alone(spark, tmp_path):
+    docs, labels, items, _ = planted(spark)
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    one = [step(spark, docs, str(tmp_path)) for _, step in P.STAGES]
+    counts = [x.count() for x in one]
+    two = [step(spark, docs, str(tmp_path)) for _, step in P.STAGES]
+    assert [x.count() for x in reversed(one)] == counts[::-1] and [x.count() for x in two] == counts
+
+
+def test_very_long_extra_and_clashing_columns(spark, tmp_path):
+    docs, labels, items, _ = planted(spark)
+    long = " ".join(f"word{i}" for i in range(150_000))
+    docs = docs.union(spark.createDataFrame([(900, long, "en", "s0", len(long))], docs.schema))
+    for c in ("score", "_score", "component_id", "block", "taken", "words"):
+        docs = docs.selectExpr("*", f"'mine' AS `{c}`")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = P.run(spark, str(tmp_path))
+    assert out.columns[: len(docs.columns)] == docs.columns
+    rows = out.collect()
+    assert {r.score for r in rows} == {r.taken for r in rows} == {"mine"} and any(r.doc_id == 900 for r in rows)

@@ -125,3 +125,14 @@ def test_training_sample_is_bounded_in_bytes_and_clashing_names_stay(spark):
     out = T.score_toxicity(docs, T.fit([], []))
     assert out.columns == ["doc_id", "text", "score", "spans", "score_1", "spans_1"]
     assert {(r.score, r.spans, r.score_1) for r in out.collect()} == {(0.5, "x", 0.0)}
+
+
+def test_sample_is_cut_by_sizes_before_texts(spark):
+    rows = [(i, "x" * 1000) for i in range(200)] + [(7, "y" * 10), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    got = T.training_rows(docs, labels, 100, 20_000).collect()
+    assert 15 <= len(got) <= 40 and sum(len(r.text or "") for r in got) <= 20_000
+    plan = T.training_rows(docs, labels, 100, 20_000)._jdf.queryExecution().optimizedPlan().toString()
+    cut = plan[plan.index("GlobalLimit 200") :]
+    assert "text" not in cut.split("Aggregate")[0]  # what is ordered and limited has sizes only

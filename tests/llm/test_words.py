@@ -81,3 +81,15 @@ def test_scrambled_words_of_any_script_cost(spark):
         labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
         kept = {x.doc_id: x.kept for x in K.quality(docs, labels).collect()}
         assert not any(kept[i] for i, _ in bad) and sum(kept[i] for i in range(40, 60)) >= 15
+
+
+def test_lookup_tasks_grow_with_the_documents(spark):
+    r = random.Random(6)
+    say = lambda: " ".join(r.choice(["cat", "dog", "sat", "mat", "кот"]) for _ in range(9))
+    docs = spark.createDataFrame([(i, say(), i % 2) for i in range(80)], "id long, text string, fold int").repartition(8)
+    model, unknown = M.train(docs)
+    one, many = (M.log_perplexities(docs, model, unknown, ["id"], x) for x in (1 << 40, 500))
+    assert {x.id: x.log_perplexity for x in one.collect()} == {x.id: x.log_perplexity for x in many.collect()}
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    tasks = [int(x._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1].split("], ")[1].split(",")[0].split("\n")[0].split(")")[0]) for x in (one, many)]
+    assert tasks[0] == 16 and tasks[1] == 16 * (1 + size // 500)
