@@ -9,7 +9,7 @@ from quillspark import constants as C
 from quillspark.functions import text as T
 from quillspark.operators import aliases as A
 from quillspark.operators import corrective as R
-from quillspark.operators import fusion, search, sparse_index, terminology, terms
+from quillspark.operators import fusion, resolution, search, sparse_index, terminology, terms
 from quillspark.plans.registry import BLANKS, query, sents, strings, table, tok, words
 
 # A terminology of the documents: each is a concept, its sentences are its terms, its language that of the terms.
@@ -442,3 +442,36 @@ def _sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, L1: each benchmark item's hashed token counts against all sentences of all documents, a collection a language."""
     return _sparse_topk(spark, sf_dir)
+
+
+@query(
+    """
+    WITH d AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS e, b.embedding::DOUBLE[] AS f FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+    w AS (SELECT *, unnest([0, 1, 2]) AS m FROM d),
+    v AS (SELECT vec_id % 20 = 0 AND m = 0 AS known, vec_id * 3 + (vec_id + m) % 3 AS vec_id, 'v' || vec_id || '.' || m AS name,
+        CASE WHEN f IS NULL THEN e ELSE list_transform(list_zip(e, f), lambda x: x[1] + CASE m WHEN 0 THEN 0.0 WHEN 1 THEN 0.3 ELSE 0.4 END::DOUBLE * x[2]) END AS e FROM w),
+    n AS (FROM v WHERE NOT known),
+    s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.known AS old, a.name AS node, round(list_cosine_similarity(a.e, b.e), 9) AS score
+        FROM v a JOIN n b ON a.known OR a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.88),
+    x AS (SELECT n.vec_id, coalesce(list(a) FILTER (WHERE NOT old), []) AS earlier FROM n LEFT JOIN s ON b = n.vec_id GROUP BY 1 HAVING NOT coalesce(bool_or(old), false)),
+    l AS (SELECT list_reduce(list_concat([{'l': []::BIGINT[], 'e': []::BIGINT[]}], list({'l': [vec_id], 'e': earlier} ORDER BY vec_id)),
+        lambda acc, y: CASE WHEN list_has_any(acc.l, y.e) THEN acc ELSE {'l': list_concat(acc.l, y.l), 'e': []::BIGINT[]} END).l AS leaders FROM x),
+    c AS (SELECT b, node, score FROM s, l WHERE old OR list_contains(leaders, a) QUALIFY row_number() OVER (PARTITION BY b ORDER BY score DESC, NOT old, CASE WHEN old THEN node END, a) = 1)
+    SELECT name, c.node IS NOT NULL AS matched, coalesce(c.node, name) AS node, round(score, 6) AS score FROM n LEFT JOIN c ON b = vec_id
+    """
+)
+def entity_resolution_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 in a batch: each vector is mentioned as it is and twice with some of the vector of the next id, in mixed order.
+    Those that are as they are and whose id 20 divides are nodes, all others names that are resolved one after another."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f"))
+    said = v.join(after, "vec_id", "left").withColumn("m", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    some = F.element_at(F.array(F.lit(0.0), F.lit(0.3), F.lit(0.4)), F.col("m") + 1)
+    said = said.select(
+        F.concat(F.lit("v"), F.col("vec_id").cast("string"), F.lit("."), F.col("m").cast("string")).alias("name"), F.lit("").alias("type"),
+        F.when(F.col("f").isNull(), F.col("e")).otherwise(F.zip_with("e", "f", lambda x, y: x + some * y)).alias("vector"),
+        (F.col("vec_id") * 3 + (F.col("vec_id") + F.col("m")) % 3).alias("ord"), ((F.col("vec_id") % 20 == 0) & (F.col("m") == 0)).alias("known"),
+    )
+    found = resolution.resolve_batch(said.where("not known").drop("known"), said.where("known").select(F.col("name").alias("id"), "vector"))
+    made = found.where("not matched").select("id", F.col("name").alias("own"))
+    return found.join(made, "id", "left").select("name", "matched", F.coalesce("own", "id").alias("node"), F.round("score", 6).alias("score"))
