@@ -54,6 +54,8 @@ RERANK_POOL, RERANK_TOP = 15, 5
 GRAPH_LIMIT, PRUNE_TOP, GRAPH_ROWS = 50, 10, 5
 KEYWORD_OVERLAP = 2
 PAGERANK_DAMPING = 0.85
+PAGERANK_TOLERANCE = 1e-6
+PAGERANK_ROUNDS = 100
 
 # --- terminology
 KEYWORD_BREAK = r"\band\b|,|;"

@@ -112,6 +112,61 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     return rank
 
 
+def pagerank_settled(
+    nodes: DataFrame, edges: DataFrame, tolerance: float = C.PAGERANK_TOLERANCE, most: int = C.PAGERANK_ROUNDS, damping: float = C.PAGERANK_DAMPING, stage_every: int = 4,
+) -> DataFrame:
+    """A7 to tolerance: (id, rank) within ``tolerance`` of the settled ranks, over all nodes together (L1).
+
+    Nodes push what they have not sent yet: a change too small to matter waits until it has grown (all that waits is part
+    of the bound). A round's residuals move the ranks by the Chebyshev step, which fits an undirected graph, whose walk
+    has real eigenvalues: some 30 rounds at 0.85 where plain rounds need 97, also where these oscillate (bipartite
+    graphs). Nodes without edges have a closed form. Rounds end when residual and waiting pushes bound the error by the
+    tolerance; RuntimeError after ``most`` rounds.
+
+    A round is one join with the links and one sum by node; a node's own row travels as a link to itself, so a round
+    reads the round before once. Every few rounds are staged.
+    """
+    ids = stage(nodes.select("id").where("id is not null").distinct(), "ids")
+    pairs = both_ways(edges.where("src <> dst")).distinct()
+    pairs = pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    pairs = stage(pairs, "pairs")
+    out = pairs.groupBy("src").agg(F.count("*").alias("out"))
+    own = out.select("src", F.col("src").alias("dst"), F.lit(None).cast("long").alias("out"))
+    links = stage(pairs.join(out, "src").select("src", "dst", "out").union(own), "links")
+    n, linked = ids.count(), own.count()
+    lonely = n - linked
+    if not n:
+        return ids.withColumn("rank", F.lit(0.0))
+    alone = (1 - damping) / (n - damping * lonely) if lonely else 0.0  # the rank of each node without edges
+    base, small = (1 - damping) / n + damping * alone * lonely / n, tolerance * (1 - damping) / (4 * n)
+    state = links.where("out is null").select(
+        F.col("src").alias("id"), F.lit(1.0 / n).alias("x"), F.lit(1.0 / n).alias("before"), F.lit(0.0).alias("got"), F.lit(1.0 / n).alias("wait"), F.lit(0.0).alias("residual")
+    )
+    omega, error = 1.0, float("inf") if linked else 0.0
+    for k in range(most):
+        if error <= tolerance:
+            break
+        omega = 1 / (1 - damping**2 * omega / (2 if k == 1 else 4)) if k else 1.0
+        sent = F.when(F.abs("wait") > small, F.col("wait")).otherwise(0.0)
+        keep = lambda c: F.max(F.when(F.col("out").isNull(), c))
+        met = state.join(links, state["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(
+            keep(F.col("x")).alias("x"), keep(F.col("before")).alias("before"), keep(F.col("wait") - sent).alias("wait"),
+            (keep(F.col("got")) + damping * F.coalesce(F.sum(F.when(F.col("out").isNotNull(), sent / F.col("out"))), F.lit(0.0))).alias("got"),
+        )
+        residual = F.lit(base) + F.col("got") - F.col("x")
+        moved = met.withColumn("residual", residual).withColumn("new", omega * (F.col("residual") + F.col("x") - F.col("before")) + F.col("before"))
+        state = moved.select("id", F.col("new").alias("x"), F.col("x").alias("before"), "got", (F.col("wait") + F.col("new") - F.col("x")).alias("wait"), "residual", F.abs("wait").alias("held"))
+        if (k + 1) % stage_every == 0 or k + 1 == most:
+            state = stage(state, "rank")
+            r = state.agg(F.sum(F.abs("residual")), F.sum("held")).first()
+            error = (r[0] + damping * r[1]) / (1 - damping)
+    if error > tolerance:
+        raise RuntimeError(f"ranks are within {error} after {most} rounds, not within {tolerance}")
+    rest = ids.join(state.select("id"), "id", "left_anti").select("id", F.lit(alone).alias("rank"))
+    # The residual is that of the ranks before the last step.
+    return state.select("id", F.col("before").alias("rank")).union(rest)
+
+
 def prune(nodes: DataFrame, scores: DataFrame, entry: Column, n: int = C.PRUNE_TOP, keys: list[str] = ()) -> DataFrame:
     """The entry first, then by score and id, both falling; n in all, or all where n is not positive.
 

@@ -1,5 +1,6 @@
 """Graph operators on small graphs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import graph as G
@@ -61,3 +62,42 @@ def test_entry_and_subgraph(spark):
 def test_cooccurrence(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "b"), (2, "a"), (3, "c")], "g int, x string")
     assert [tuple(r) for r in G.cooccurrence(rows, "g", "x").collect()] == [("a", "b", 2)]
+
+
+def settled(nodes, edges, damping=0.85):
+    """Power iteration until nothing moves."""
+    near = {v: set() for v in nodes}
+    for a, b in edges:
+        if a != b and a in near and b in near:
+            near[a].add(b), near[b].add(a)
+    x = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(400):
+        stuck = sum(x[v] for v in nodes if not near[v])
+        x = {v: (1 - damping) / len(nodes) + damping * (stuck / len(nodes) + sum(x[u] / len(near[u]) for u in near[v])) for v in nodes}
+    return x
+
+
+def test_settled_ranks(spark):
+    import random
+
+    r = random.Random(4)
+    star = (list("habcdef"), [("h", x) for x in "abcdef"])
+    two_sides = ([f"{s}{i}" for s in "lr" for i in range(12)], [(f"l{r.randrange(12)}", f"r{r.randrange(12)}") for _ in range(30)])
+    loose = ([str(i) for i in range(30)], [(str(r.randrange(20)), str(r.randrange(20))) for _ in range(25)] + [("1", "1"), ("1", "unknown"), ("2", "1"), ("1", "2")])
+    for nodes, edges in (star, two_sides, loose):
+        frames = spark.createDataFrame([(v,) for v in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string")
+        got = {x.id: x["rank"] for x in G.pagerank_settled(*frames).collect()}
+        want = settled(nodes, edges)
+        assert got.keys() == want.keys() and sum(abs(got[v] - want[v]) for v in want) < 1e-6
+        assert abs(sum(got.values()) - 1) < 1e-6
+
+
+def test_settled_ranks_of_edges_and_of_nothing(spark):
+    none = spark.createDataFrame([], "src string, dst string")
+    alone = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    assert {x.id: x["rank"] for x in G.pagerank_settled(alone, none).collect()} == {"a": 0.5, "b": 0.5}
+    assert G.pagerank_settled(alone.where("id = 'z'"), none).count() == 0
+    pair = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    three = spark.createDataFrame([(x,) for x in "abc"], "id string")
+    with pytest.raises(RuntimeError):
+        G.pagerank_settled(three, pair, tolerance=1e-12, most=8).count()
