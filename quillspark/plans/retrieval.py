@@ -9,7 +9,7 @@ from quillspark import constants as C
 from quillspark.functions import text as T
 from quillspark.operators import aliases as A
 from quillspark.operators import corrective as R
-from quillspark.operators import fusion, resolution, search, sparse_index, terminology, terms
+from quillspark.operators import dictionary, fusion, resolution, search, sparse_index, terminology, terms
 from quillspark.plans.registry import BLANKS, query, sents, strings, table, tok, words
 
 # A terminology of the documents: each is a concept, its sentences are its terms, its language that of the terms.
@@ -250,9 +250,18 @@ def _alias_table(spark: SparkSession) -> DataFrame:
     return A.alias_map(spark.createDataFrame(_ALIASES, "name string, type string, aliases array<string>, ord int"))
 
 
-@query(f"WITH {_AMAP} SELECT * FROM amap")
+@query(
+    """
+    WITH e AS (SELECT p_partkey AS ord, p_name AS name, p_type AS type, list_concat(string_split(p_name, ' '), [p_brand || ' ' || p_size]) AS aliases FROM part),
+    k AS (SELECT lower(unnest(aliases)) AS alias, name, 1 AS p, ord FROM e UNION ALL SELECT lower(name), name, 0, -ord FROM e WHERE coalesce(type, '') <> '')
+    SELECT alias, max_by(name, {'p': p, 'ord': ord, 'name': name}) AS canonical FROM k WHERE alias <> '' GROUP BY 1
+    """
+)
 def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alias_table(spark)
+    """Each part goes by the words of its name and by its brand and size; of several parts of an alias the last wins."""
+    part = table(spark, sf_dir, "part")
+    also = F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"))
+    return A.alias_map(part.select(F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.concat(F.split("p_name", " "), F.array(also)).alias("aliases"), F.col("p_partkey").alias("ord")))
 
 
 @query(
@@ -475,3 +484,18 @@ def entity_resolution_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolution.resolve_batch(said.where("not known").drop("known"), said.where("known").select(F.col("name").alias("id"), "vector"))
     made = found.where("not matched").select("id", F.col("name").alias("own"))
     return found.join(made, "id", "left").select("name", "matched", F.coalesce("own", "id").alias("node"), F.round("score", 6).alias("score"))
+
+
+@query(
+    rf"""
+    WITH n AS (SELECT DISTINCT t AS name FROM (SELECT unnest({tok('text')}) AS t FROM benchmark) WHERE length(t) >= 3),
+    d AS (SELECT doc_id, unnest({tok('text')}) AS name FROM documents)
+    SELECT doc_id, name, CASE WHEN length(name) > 7 THEN 'long' ELSE 'short' END AS label, count(*) AS n FROM d JOIN n USING (name) GROUP BY ALL
+    """
+)
+def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the benchmark as a dictionary, found in all documents in one pass a text."""
+    word = F.explode(T.tokens(F.col("text"))).alias("name")
+    names = table(spark, sf_dir, "benchmark").select(word).distinct().where("length(name) >= 3").withColumn("label", F.when(F.length("name") > 7, "long").otherwise("short"))
+    found = dictionary.dictionary_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), names)
+    return found.groupBy("doc_id", F.lower("name").alias("name"), "label").agg(F.count("*").alias("n"))
