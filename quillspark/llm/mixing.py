@@ -1,7 +1,8 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its shuffled documents, served at the rate of its target. A document is queued as packets of
-at most ``PACKET`` words, and once more for a second pass (so it is taken ``PASSES`` times at most). A packet's virtual
+at most ``PACKET`` words, and once more for a second pass (so it is taken ``PASSES`` times at most); only documents near
+the edge of the budget are cut into packets, all others are sorted whole (``served``). A packet's virtual
 finish time is the words of its source up to its end, divided by the target. Packets of all sources are range-sorted by
 virtual finish time, and the order is truncated where the total budget is spent; the packet on that edge is taken in
 part. What is kept of a source is the start of its queue, so the words kept of each source say what is taken of each
@@ -68,17 +69,31 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 def served(queue: DataFrame, budget: int, most: int = PASSES, packet: int = PACKET) -> DataFrame:
     """(nth, served): the words kept of each source, from documents (nth, before, size, source_size, target).
 
-    Packets are range-sorted by virtual finish time and truncated at the budget.
+    Packets are kept in the order of their virtual finish times until the budget is spent. To find where that is, whole
+    documents are range-sorted by the finish times of their last packets; ``spent`` is what ends before. When a document
+    ends, each source has one more document in progress at most. So a document is kept whole if the budget is not spent
+    even with the longest document of each source; none of it is kept if it starts after documents that end have spent
+    the budget. Only documents between are cut into packets, and these range-sorted, for what the whole ones leave.
     """
-    packets = queue.where("size > 0").select(
-        "nth", "before", "size", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass")
-    )
-    packets = packets.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long"))))
-    begin, size = F.col("before") + F.col("source_size") * F.col("pass") + F.col("at"), F.least(F.lit(packet), F.col("size") - F.col("at"))
-    packets = packets.select("nth", begin.alias("begin"), size.alias("words"), ((begin + size) / F.col("target")).alias("finish"), F.lit(0).alias("all"))
-    order = running_sum(packets, "all", ["finish", "nth", "begin"], "words", "spent")
-    kept = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.lit(budget) - F.col("spent")))
-    return order.groupBy("nth").agg(F.sum(kept).alias("served"))
+    passes = queue.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    begin = F.col("before") + F.col("source_size") * F.col("pass")
+    turns = passes.select(
+        "nth", begin.alias("begin"), "size", "target", (begin / F.col("target")).alias("start"), ((begin + F.col("size")) / F.col("target")).alias("finish"), F.lit(0).alias("all")
+    )
+    order = running_sum(turns, "all", ["finish", "nth", "begin"], "size", "spent")
+    order = stage(order.select("nth", "begin", "size", "target", "start", "finish", (F.col("spent") + F.col("size")).alias("upto")), "order")
+    longest = queue.groupBy("nth").agg(F.max("size").alias("size")).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    out = order.agg(F.min(F.when(F.col("upto") >= budget, F.col("finish")))).first()[0]
+    whole = order.where(F.col("upto") + longest <= budget)
+    left = budget - (whole.agg(F.sum("size")).first()[0] or 0)
+    edge = order.where((F.col("upto") + longest > budget) & (F.col("start") <= F.lit(float("inf") if out is None else out)))
+    packets = edge.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long"))))
+    first, size = F.col("begin") + F.col("at"), F.least(F.lit(packet), F.col("size") - F.col("at"))
+    packets = packets.select("nth", first.alias("begin"), size.alias("words"), ((first + size) / F.col("target")).alias("finish"), F.lit(0).alias("all"))
+    cut = running_sum(packets, "all", ["finish", "nth", "begin"], "words", "spent")
+    kept = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.lit(left) - F.col("spent")))
+    both = whole.select("nth", "size").union(cut.select("nth", kept))
+    return both.groupBy("nth").agg(F.sum("size").alias("served"))
 
 
 def _shuffle_key(seed: int, doc_id: Column, text: Column) -> Column:

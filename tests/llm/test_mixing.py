@@ -1,6 +1,7 @@
 """Targets and words taken against a plain version."""
 
 import hashlib
+import random
 import re
 
 from quillspark.llm import mixing as M
@@ -94,3 +95,12 @@ def test_edges(spark):
     assert M.mix_sources(docs).count() == 3
     assert M.mix_sources(docs.where("doc_id = 9")).count() == 0
     assert M.mix_sources(docs.selectExpr("doc_id", "cast(null as string) text", "source")).agg({"taken": "sum"}).first()[0] == 0
+
+
+def test_whole_documents_and_packets_meet_at_the_edge_whatever_the_sizes(spark):
+    for seed, longest in ((1, 3000), (2, 60), (3, 7)):
+        r = random.Random(seed)
+        rows = [(i, "w " * r.randint(0, 40), r.choice("aab")) for i in range(60)] + [(100 + i, "w " * longest, "abcd"[i]) for i in range(4)]
+        size, total, target, taken = plain(rows)
+        got = {x.doc_id: x.taken for x in M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert [got[x[0]] for x in rows] == taken
