@@ -4,6 +4,7 @@
 CHARS_PER_TOKEN = 4
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 64
 WORD_WINDOW, WORD_STEP = 512, 448
+SLICE_WORDS = 512
 SPARSE_BINS = 65536
 SENTENCE_BREAK = r"(?<=[.!?])\s+|(?<=\n)\s*"
 PARAGRAPH_BREAK = r"\n\s*\n"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from quillspark.functions import parsing as P
 from quillspark.functions import text as T
 from quillspark.models import Models
 from quillspark.operators.ranking import first_per
+from quillspark.staging import stage
 
 
 def entities(docs: DataFrame, recognise) -> DataFrame:
@@ -79,27 +83,104 @@ def fallback_types(dropped: DataFrame, classify, allowed: list[str]) -> DataFram
     )
 
 
-def whole_document(docs: DataFrame, answer: Column) -> tuple[DataFrame, DataFrame]:
-    """X5, J-1, J-3: nodes (doc_id, id, type, discovered_by) and edges (doc_id, source, target, type) of an answer."""
+def entities_in_slices(docs: DataFrame, recognise, size: int = C.SLICE_WORDS) -> DataFrame:
+    """(doc_id, ord, name, label): entities of a text's slices of ``size`` words, the first of each lower-cased name
+    and label. A text of no more words is recognised as it is; longer ones have one space between words."""
+    words = F.filter(F.split("text", r"\s+", -1), lambda w: w != "")
+    cut = docs.select("doc_id", "text", F.explode(F.array(words)).alias("words"))  # split once, not once a slice
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(size))
+    slices = F.when(F.size("words") <= size, F.array("text")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, F.lit(size)), " ")))
+    spans = cut.where("size(words) > 0").select("doc_id", F.posexplode(slices).alias("idx", "slice")).select("doc_id", "idx", F.posexplode(recognise(F.col("slice"))).alias("pos", "e"))
+    flat = spans.select("doc_id", F.struct("idx", "pos").alias("ord"), T.strip(F.col("e.text")).alias("name"), F.col("e.label").alias("label")).where("name <> ''")
+    return first_per(flat.withColumn("_k", F.lower("name")), ["doc_id", "_k", "label"], [F.col("ord")]).select("doc_id", "ord", "name", "label")
+
+
+def whole_document(docs: DataFrame, answer: Column, recognise=None) -> tuple[DataFrame, DataFrame]:
+    """X5, J-1, J-3: nodes (doc_id, id, type, discovered_by) and edges (doc_id, source, target, type) of an answer. With a
+    recogniser, docs (with their text) whose answer can't be parsed fall back to entities named in one sentence (X2)."""
     obj = docs.select("doc_id", P.json_object(answer).alias("o"))
     nodes = obj.select("doc_id", F.explode(P.normal_nodes(F.col("o"))).alias("n")).select("doc_id", "n.*")
     edges = obj.select("doc_id", F.explode(P.normal_edges(F.col("o"))).alias("e")).select("doc_id", "e.*")
-    return nodes, edges
+    if recognise is None:
+        return nodes, edges
+    rest = stage(docs.select("doc_id", "text", P.json_object(answer).isNull().alias("_broken")).where("_broken").select("doc_id", "text"), "broken")
+    found = stage(entities_in_slices(rest, recognise), "entities")
+    more = found.select("doc_id", F.col("name").alias("id"), F.col("label").alias("type"), F.lit("cooccurrence").alias("discovered_by"))
+    pairs = cooccurring(rest, found).select("doc_id", F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel").alias("type"))
+    return nodes.unionByName(more, allowMissingColumns=True), edges.unionByName(pairs, allowMissingColumns=True)
+
+
+@dataclass(frozen=True)
+class Extraction:
+    """nodes (doc_id, name, type, discovered_by), edges (doc_id, source_name, target_name, relation_type, confidence) and the
+    audit of dropped names (doc_id, name, inferred_type, method), for a log (K12) and for label promotion (A19)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    audit: DataFrame
+
+
+def hybrid(
+    docs: DataFrame, models: Models, ask: Callable[[Column], Column], types: list[str] | None = None, classify: Callable[[Column], Column] | None = None,
+    allowed: list[str] | None = None, second_pass: bool = True, most: int = C.LLM_WINDOW_WORDS, overlap: int = C.LLM_WINDOW_OVERLAP,
+) -> Extraction:
+    """Recognised entities, relations of each window by the language model, and what these name but the
+    recogniser missed.
+
+    Names that relations were dropped for are typed by ``classify``; those of an allowed type are entities too, marked as
+    found by the fallback, and with ``second_pass`` the windows are asked again with them in the prompt. Relations of the
+    first pass come first; the second adds those it lacks. Without a classifier there is one pass, and the audit has the
+    names without a type. Each stage is a staged table, so a model answers once.
+    """
+    from quillspark.operators.documents import per_window
+
+    w = stage(per_window(docs, most, overlap), "windows")
+    summary = F.when(F.col("previous").isNotNull(), models.summarise(F.col("previous")))
+    found = stage(entities_in_slices(docs, models.recognise), "entities")
+
+    def related(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        lists = known.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
+        asked = w.join(lists, "doc_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+        answers = asked.select("doc_id", "idx", ask(T.window_prompt(F.col("window"), summary, F.array_distinct("names"), types or [])).alias("answer"))
+        return relations(stage(answers, "answers"), known, types)
+
+    edges, dropped = related(found)
+    dropped = stage(dropped, "dropped")
+    nodes = found.withColumn("discovered_by", F.lit(None).cast("string"))
+    if classify is None:
+        audit = dropped.select("doc_id", "name", F.lit(None).cast("string").alias("inferred_type"), F.lit("dropped").alias("method"))
+    else:
+        typed = stage(fallback_types(dropped, classify, allowed or []), "typed")
+        known = found.select("doc_id", F.lower("name").alias("_k")).distinct()
+        new = typed.withColumn("_k", F.lower("name")).join(known, ["doc_id", "_k"], "left_anti")
+        new = first_per(new, ["doc_id", "_k"], [F.col("name")])
+        last = F.struct(F.lit(2**31 - 1).alias("idx"), F.lit(0).alias("pos"))
+        new = stage(new.select("doc_id", last.alias("ord"), "name", F.col("type").alias("label"), "discovered_by"), "recovered")
+        nodes = nodes.unionByName(new)
+        method = F.when(F.col("discovered_by").isNull(), "dropped").otherwise(F.col("discovered_by"))
+        audit = dropped.join(typed, ["doc_id", "name"], "left").select("doc_id", "name", F.col("type").alias("inferred_type"), method.alias("method"))
+        if second_pass:
+            again = docs.join(new.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
+            more, _ = related(nodes.drop("discovered_by").join(again.distinct(), "doc_id", "left_semi"))
+            key = ["doc_id", "source_name", "relation_type", "target_name"]
+            edges = edges.unionByName(more.join(edges.select(*key), key, "left_anti").select(edges.columns))
+    return Extraction(nodes.select("doc_id", "name", F.col("label").alias("type"), "discovered_by"), edges, audit)
 
 
 def by_windows(docs: DataFrame, models: Models, ask, types: list[str] | None = None, most: int = C.LLM_WINDOW_WORDS, overlap: int = C.LLM_WINDOW_OVERLAP) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of a document from its windows. ``ask`` maps a Column of prompts to answers.
 
-    Each window's prompt has the summary of the window before it.
+    Each window's prompt has the summary of the window before it, and the entities of the window itself. An entity keeps
+    its recogniser's label; one name with several labels is several entities (T10).
     """
     from quillspark.operators.documents import per_window
 
     w = per_window(docs, most, overlap)
     spans = models.recognise(F.col("window"))
-    w = w.withColumn("names", F.transform(spans, lambda e: e["text"]))
+    w = w.withColumns({"spans": spans, "names": F.array_distinct(F.transform(spans, lambda e: e["text"]))})
     summary = F.when(F.col("previous").isNotNull(), models.summarise(F.col("previous")))
     prompt = T.window_prompt(F.col("window"), summary, F.col("names"), types or [])
-    found = w.select("doc_id", "idx", F.posexplode("names").alias("pos", "name")).withColumn("label", F.lit("Entity"))
-    found = merge_windows(found, ["name"])
+    found = w.select("doc_id", "idx", F.posexplode("spans").alias("pos", "e")).select("doc_id", "idx", "pos", F.col("e.text").alias("name"), F.col("e.label").alias("label"))
+    found = merge_windows(found, ["name", "label"])
     kept, _ = relations(w.select("doc_id", "idx", ask(prompt).alias("answer")), found, types)
     return found.select("doc_id", "name", "label"), kept

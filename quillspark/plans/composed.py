@@ -295,3 +295,38 @@ def windowed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, kept = extraction.by_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), m, answer, ["NEAR"], 200, 2)
     return kept
+
+
+def _stand_in(prompt):
+    """A stand-in for the language model: relates the first entity of a prompt to the second and to one that nobody knows."""
+    n = F.regexp_extract_all(prompt, F.lit(r"(?m)^- (.+)$"), F.lit(1))
+    first, second = F.try_element_at(n, F.lit(1)), F.try_element_at(n, F.lit(2))
+    one = lambda target: F.concat(F.lit('{"source": "'), first, F.lit('", "target": "'), target, F.lit('", "type": "NEAR"}'))
+    return F.coalesce(F.concat(F.lit("["), one(second), F.lit(", "), one(F.concat(F.lit("ghost of "), second)), F.lit("]")), F.lit("none"))
+
+
+@query(
+    r"""
+    WITH w AS (SELECT doc_id, unnest(x) AS name, unnest(range(len(x))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{5,}') AS x FROM documents)),
+    e AS (SELECT doc_id, lower(name) AS k, arg_min(name, pos) AS name, min(pos) AS pos FROM w GROUP BY 1, 2),
+    n AS (SELECT doc_id, list(name ORDER BY pos)[1] AS a, list(name ORDER BY pos)[2] AS b FROM e GROUP BY 1 HAVING count(*) > 1),
+    g AS (SELECT doc_id, a, b, 'ghost of ' || b AS c, CASE WHEN length(b) % 2 = 0 THEN 'Ghost' ELSE 'Rumour' END AS type FROM n)
+    SELECT doc_id, 'node' AS kind, name, CASE WHEN length(name) > 9 THEN 'Long' ELSE 'Short' END AS type, NULL AS target FROM e
+    UNION ALL SELECT doc_id, 'recovered', c, type, NULL FROM g WHERE type = 'Ghost'
+    UNION ALL SELECT doc_id, 'edge', a, 'NEAR', b FROM g UNION ALL SELECT doc_id, 'edge', a, 'NEAR', c FROM g WHERE type = 'Ghost'
+    UNION ALL SELECT doc_id, 'dropped', c, CASE WHEN type = 'Ghost' THEN type END, NULL FROM g
+    """
+)
+def hybrid_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by slices, relations by windows, dropped names typed and asked for again, with stand-ins
+    for the models: a recogniser of words, and a language model that also names what the recogniser doesn't know."""
+    words = lambda t: F.regexp_extract_all(t, F.lit("[A-Z][a-z]{5,}"), F.lit(0))
+    kind = lambda x: F.when(F.length(x) > 9, "Long").otherwise("Short")
+    m = Models(recognise=lambda t: F.transform(words(t), lambda x: F.struct(x.alias("text"), kind(x).alias("label"))))
+    classify = lambda name: F.when(F.length(name) % 2 == len("ghost of ") % 2, "Ghost").otherwise("Rumour")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = extraction.hybrid(docs, m, _stand_in, ["NEAR"], classify, ["Ghost"])
+    none = F.lit(None).cast("string").alias("target")
+    nodes = out.nodes.select("doc_id", F.when(F.col("discovered_by").isNull(), "node").otherwise("recovered").alias("kind"), "name", "type", none)
+    edges = out.edges.select("doc_id", F.lit("edge").alias("kind"), F.col("source_name").alias("name"), F.col("relation_type").alias("type"), F.col("target_name").alias("target"))
+    return nodes.union(edges).union(out.audit.select("doc_id", F.lit("dropped").alias("kind"), "name", F.col("inferred_type").alias("type"), none))

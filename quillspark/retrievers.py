@@ -7,6 +7,7 @@ doc_id, doc_type[, concept_id]). All signals of all queries are one plan.
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,9 @@ from quillspark.staging import stage
 
 Retriever = Callable[[DataFrame, int], DataFrame]
 
+#: What no source is to blame for: fewer records must not pass for an answer then.
+ENGINE_FAILURE = re.compile(r"ExecutorLostFailure|FetchFailed|No space left on device|OutOfMemoryError|SparkContext was shut down|cancelled")
+
 
 class Registry:
     """An override, else the domain's own retriever, else the default; temporal ones for JSON presentations."""
@@ -95,7 +99,9 @@ def federated(registry: Registry, domain: str, queries: DataFrame) -> tuple[Data
             if "signal" not in found.columns:
                 found = found.withColumn("signal", F.lit(name))
             parts.append(stage(found.withColumn("domain", F.lit(p.name)), "records"))
-        except Exception as e:  # noqa: BLE001 - whatever it is, the other sources answer
+        except Exception as e:  # noqa: BLE001 - whatever the source's own code raises, the others answer
+            if ENGINE_FAILURE.search(str(e)):
+                raise
             logging.getLogger(__name__).warning("source %s failed: %s", name, type(e).__name__)
             failed.append(name)
     if not parts:
@@ -111,10 +117,13 @@ def across(registry: Registry, queries: DataFrame, domains: list[str] | None = N
 
 
 def ask(registry: Registry, domain: str, queries: DataFrame, k: int, models, least: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ranked records, answers) of a batch of queries."""
-    pool = fusion.dual_flags(fusion.dedupe(federated(registry, domain, queries)[0]))
+    """(ranked records, answers) of a batch of queries. Answers have ``failed``, the sources that gave none, and
+    ``degraded`` where there are any, so that they are not cached (K9)."""
+    found, failed = federated(registry, domain, queries)
+    pool = fusion.dual_flags(fusion.dedupe(found))
     scored = pool.join(queries.select("qid", F.col("text").alias("_query")), "qid")
     rows = fusion.ranked(scored, k, models.rerank(F.col("_query"), F.col("text"))).drop("_query")
     if least:
         rows = fusion.floor(rows, least)
-    return rows, fusion.answer(rows, queries, models.synthesise)
+    answers = fusion.answer(rows, queries, models.synthesise)
+    return rows, answers.withColumns({"failed": F.lit(failed).cast("array<string>"), "degraded": F.lit(bool(failed))})

@@ -217,3 +217,41 @@ def test_profiles_from_files(spark, tmp_path):
     for bad in ({}, {"domains": {"x": {"entry_strategy": "guess"}}}, {"domains": {"x": {}, "a": {"alias": "nothing"}}}):
         with pytest.raises(ValueError):
             config.profiles_of(bad)
+
+
+def test_an_unparsable_answer_falls_back_to_sentences(spark):
+    docs = spark.createDataFrame([("d", "Kafka feeds Spark. Redis rests.", "sorry"), ("e", "Kafka", '{"nodes": [{"name": "A", "type": "T"}], "edges": []}')], "doc_id string, text string, a string")
+    recognise = lambda t: F.transform(F.regexp_extract_all(t, F.lit("[A-Z][a-z]+"), F.lit(0)), lambda x: F.struct(x.alias("text"), F.lit("Tool").alias("label")))
+    nodes, edges = extraction.whole_document(docs, F.col("a"), recognise)
+    assert {(r.doc_id, r.id, r.type) for r in nodes.collect()} == {("d", "Kafka", "Tool"), ("d", "Spark", "Tool"), ("d", "Redis", "Tool"), ("e", "A", "T")}
+    assert [(r.doc_id, r.source, r.target, r.type) for r in edges.collect()] == [("d", "Kafka", "Spark", "ASSOCIATED_WITH")]
+
+
+def test_hybrid_extraction_keeps_types_and_asks_again(spark):
+    from quillspark.models import Models
+
+    text = "Kafka feeds Spark here. " * 3
+    docs = spark.createDataFrame([("d", text), ("e", "nothing"), ("n", None)], "doc_id string, text string")
+    labels = {"Kafka": "Queue", "Spark": "Engine"}
+    label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    m = Models(recognise=lambda t: F.transform(F.regexp_extract_all(t, F.lit("Kafka|Spark"), F.lit(0)), lambda x: F.struct(x.alias("text"), label[x].alias("label"))))
+    one, two = '{"source": "Kafka", "target": "Flink", "type": "FEEDS"}', '{"source": "Kafka", "target": "Spark", "type": "FEEDS"}'
+    ghost = '{"source": "Ghost", "target": "Spark", "type": "FEEDS"}'
+    ask = lambda p: F.when(F.contains(p, F.lit("Flink")), F.lit(f"[{one}, {two}]")).when(F.contains(p, F.lit("Kafka")), F.lit(f"[{one}, {ghost}]")).otherwise("[]")
+    classify = lambda n: F.when(n == "Flink", "Engine").otherwise("Spirit")
+    out = extraction.hybrid(docs, m, ask, ["FEEDS"], classify, ["Engine", "Queue"])
+    assert {(r.name, r.type, r.discovered_by) for r in out.nodes.collect()} == {("Kafka", "Queue", None), ("Spark", "Engine", None), ("Flink", "Engine", "llm_fallback")}
+    assert sorted((r.source_name, r.target_name) for r in out.edges.collect()) == [("Kafka", "Flink"), ("Kafka", "Spark")]
+    assert {(r.name, r.inferred_type, r.method) for r in out.audit.collect()} == {("Flink", "Engine", "llm_fallback"), ("Ghost", None, "dropped")}
+    once = extraction.hybrid(docs, m, ask, ["FEEDS"])
+    assert once.edges.count() == 0 and {(r.name, r.method) for r in once.audit.collect()} == {("Flink", "dropped"), ("Ghost", "dropped")}
+    found, _ = extraction.by_windows(docs, m, ask, ["FEEDS"])
+    assert {(r.name, r.label) for r in found.collect()} == {("Kafka", "Queue"), ("Spark", "Engine")}
+
+
+def test_slices_of_words_merge_by_name_and_type(spark):
+    text = " ".join(["x"] * 511 + ["Kafka", "kafka", "Spark"])
+    docs = spark.createDataFrame([("d", text), ("e", " \n "), ("n", None)], "doc_id string, text string")
+    recognise = lambda t: F.transform(F.regexp_extract_all(t, F.lit("(?i)kafka|spark"), F.lit(0)), lambda x: F.struct(x.alias("text"), F.when(F.size(F.split(t, " ")) > 100, "Big").otherwise("Small").alias("label")))
+    got = [(r.name, r.label) for r in extraction.entities_in_slices(docs, recognise).orderBy("ord").collect()]
+    assert got == [("Kafka", "Big"), ("kafka", "Small"), ("Spark", "Small")]
