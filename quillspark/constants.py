@@ -111,3 +111,5 @@ BATCH_SUFFIXES = [".md", ".txt", ".markdown"]
 
 # --- metrics
 LATENCY_BUCKETS = [0.1, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0, float("inf")]
+#: Size of quantile sketches.
+SKETCH_SIZE = 400

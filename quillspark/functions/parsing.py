@@ -9,12 +9,13 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark import constants as C
 
+BRACE = re.compile(r"[{}]")
 RELATIONS = T.ArrayType(
     T.StructType(
         [
@@ -59,13 +60,22 @@ def first_object(text: str | None) -> str | None:
     return text[at:end]
 
 
+def _closes(text: str) -> dict[int, int]:
+    """One past the brace that closes each brace that is closed, in one pass; braces in strings count."""
+    out, open_ = {}, []
+    for m in BRACE.finditer(text):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def all_objects(text: str) -> list[dict]:
-    """J-2: relations in every outermost balanced object; wrappers with 'relations' are opened."""
-    out, at = [], 0
-    while (at := text.find("{", at)) >= 0:
-        end = balanced(text, "{", at, quoted=False)
-        if end < 0:  # cut off: look for whole objects inside
-            at += 1
+    """J-2: relations in every outermost balanced object; wrappers with 'relations' are opened. Linear in the text."""
+    out, upto = [], 0
+    for at, end in sorted(_closes(text).items()):
+        if at < upto:  # inside one that was taken; what is cut off has no end, so whole objects inside it are outermost
             continue
         try:
             found = json.loads(text[at:end])
@@ -73,7 +83,7 @@ def all_objects(text: str) -> list[dict]:
             found = None
         inner = found.get("relations", [found]) if isinstance(found, dict) else []
         out += [r for r in inner or [] if isinstance(r, dict) and "source" in r and "target" in r]
-        at = end
+        upto = end
     return out
 
 
@@ -129,6 +139,18 @@ def json_object(text: pd.Series) -> pd.Series:
     return text.map(first_object, na_action=None)
 
 
+def with_json_object(df: DataFrame, text: str, out: str) -> DataFrame:
+    """J-1 for a table: df with ``out``, the text's first balanced object. Texts that are one whole JSON object never
+    leave the JVM; only broken ones and those with words around go through the scanner."""
+    bare = F.trim(F.col(text))
+    # In brackets: the parser would not mind what comes after an object.
+    alone = F.concat(F.lit("["), bare, F.lit("]"))
+    whole = bare.startswith("{") & bare.endswith("}") & F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1)
+    marked = df.withColumn("_whole", F.coalesce(whole, F.lit(False)))
+    clean = marked.where("_whole").withColumn(out, bare).drop("_whole")
+    return clean.union(marked.where("not _whole").drop("_whole").withColumn(out, json_object(F.col(text))))
+
+
 @F.pandas_udf(RELATIONS)
 def salvaged(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [_row(r) for r in all_objects(t or "")])

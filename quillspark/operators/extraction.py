@@ -98,12 +98,13 @@ def entities_in_slices(docs: DataFrame, recognise, size: int = C.SLICE_WORDS) ->
 def whole_document(docs: DataFrame, answer: Column, recognise=None) -> tuple[DataFrame, DataFrame]:
     """X5, J-1, J-3: nodes (doc_id, id, type, discovered_by) and edges (doc_id, source, target, type) of an answer. With a
     recogniser, docs (with their text) whose answer can't be parsed fall back to entities named in one sentence (X2)."""
-    obj = docs.select("doc_id", P.json_object(answer).alias("o"))
+    obj = P.with_json_object(docs.select("doc_id", answer.alias("_answer")), "_answer", "o").select("doc_id", "o")
     nodes = obj.select("doc_id", F.explode(P.normal_nodes(F.col("o"))).alias("n")).select("doc_id", "n.*")
     edges = obj.select("doc_id", F.explode(P.normal_edges(F.col("o"))).alias("e")).select("doc_id", "e.*")
     if recognise is None:
         return nodes, edges
-    rest = stage(docs.select("doc_id", "text", P.json_object(answer).isNull().alias("_broken")).where("_broken").select("doc_id", "text"), "broken")
+    read = P.with_json_object(docs.select("doc_id", "text", answer.alias("_answer")), "_answer", "_o")
+    rest = stage(read.where("_o is null").select("doc_id", "text"), "broken")
     found = stage(entities_in_slices(rest, recognise), "entities")
     more = found.select("doc_id", F.col("name").alias("id"), F.col("label").alias("type"), F.lit("cooccurrence").alias("discovered_by"))
     pairs = cooccurring(rest, found).select("doc_id", F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel").alias("type"))

@@ -12,6 +12,7 @@ from quillspark.functions.vectors import cosine, hash_embed
 from quillspark.operators.matching import containing
 from quillspark.operators.ranking import first_per, top_per
 from quillspark.operators.search import top_k
+from quillspark.operators.sparse_index import build_index, sparse_top_k
 from quillspark.staging import stage
 
 
@@ -198,6 +199,28 @@ def k_hop(entries: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen.where("hop > 0")
 
 
+def paths(entries: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(entry, id, hops, nodes, rels) of every path of 1 to ``hops`` edges from each entry, edges taken either way.
+
+    A path uses no relationship twice but may pass a node again, as patterns of variable length do; parallel edges give
+    paths of their own. edges: (src, dst, rel); equal rows are one relationship, ids and relations null-free. A hop is
+    one join of the paths so far with the edges at their ends, so the plan has as many joins as hops.
+    """
+    ways = edges.where("src is not null and dst is not null").select("src", "dst", "rel").distinct()
+    there = F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), "rel")
+    back = ways.where("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("to"), there.alias("edge"))
+    ways = ways.select(F.col("src").alias("at"), F.col("dst").alias("to"), there.alias("edge")).union(back)
+    now = entries.where("entry is not null").select("entry").distinct()
+    now = now.select("entry", F.col("entry").alias("id"), F.array("entry").alias("nodes"), F.array().cast(f"array<{ways.schema['edge'].dataType.simpleString()}>").alias("used"))
+    out = None
+    for _ in range(hops):
+        met = now.join(ways, now["id"] == ways["at"]).where(~F.array_contains("used", F.col("edge")))
+        now = met.select("entry", F.col("to").alias("id"), F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("used", F.col("edge")).alias("used"))
+        now = stage(now, "paths")
+        out = now if out is None else out.union(now)
+    return out.select("entry", "id", F.size("used").alias("hops"), "nodes", F.transform("used", lambda e: e["rel"]).alias("rels"))
+
+
 def induced_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (src, dst, rel) between nodes of the set. The edge's own direction is kept."""
     ids = nodes.select("id").distinct()
@@ -235,12 +258,13 @@ def substring_candidates(queries: DataFrame, nodes: DataFrame, most: int = 8, li
 def entry_by_keyword(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, id, overlap): the node that shares most tokens with the query.
 
-    Query tokens meet the tokens of ids and names by an equality join on an inverted index.
+    By the index of ids' and names' tokens: the lists of a query's rare tokens are read first, and a common token's list
+    only if it can still decide.
     """
     own = F.array_distinct(T.tokens(F.concat_ws(" ", F.col("id").cast("string"), "name")))
-    inverted = nodes.select("id", F.explode(own).alias("token"))
-    found = _asked_tokens(queries).join(inverted, "token").groupBy("qid", "id").agg(F.count("*").alias("overlap"))
-    return first_per(found, ["qid"], [F.col("overlap").desc(), F.col("id")])
+    said = nodes.select(F.lit(0).alias("coll"), "id", F.explode(own).alias("idx"), F.lit(1.0).alias("tf")).distinct()
+    asked = _asked_tokens(queries).select("qid", F.col("token").alias("idx"), F.lit(1.0).alias("weight"))
+    return sparse_top_k(asked, build_index(said), 1).select("qid", "id", F.col("score").cast("long").alias("overlap"))
 
 
 def entry_by_vector(queries: DataFrame, nodes: DataFrame, embed=hash_embed) -> DataFrame:

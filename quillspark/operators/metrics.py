@@ -43,6 +43,30 @@ def exclusive(rows: DataFrame, group: str, value: str, cut: int = 19, of: int =
     )
 
 
+def sketch_error(k: int) -> float:
+    """How far the rank of a sketch's quantile is from the asked one, as a share of n: twice the bound that KLL sketches of
+    this size, merged or not, keep with a confidence of 99 %."""
+    return 2 * 2.296 / k**0.9723
+
+
+def sketches(rows: DataFrame, keys: list[str | Column], value: str, k: int = C.SKETCH_SIZE) -> DataFrame:
+    """A15 that can be kept and merged: (keys, n, sketch), a KLL sketch for each group; nulls don't count. Its size is
+    bounded by k, whatever the group has."""
+    some = rows.where(F.col(value).isNotNull()).groupBy(*keys)
+    return some.agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_sketches(kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of larger groups from those of smaller ones (hours to days, sources to all), no value read again."""
+    return kept.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_quantiles(kept: DataFrame, *shares: float) -> DataFrame:
+    """(keys, n, p, q): a row for each group and share p, with the sketch's quantile q."""
+    each = F.array(*[F.struct(F.lit(p).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias("q")) for p in shares])
+    return kept.select(*[c for c in kept.columns if c != "sketch"], F.inline(each))
+
+
 def stages(rows: DataFrame, stage: str, value: str) -> DataFrame:
     """A18."""
     return rows.groupBy(stage).agg(

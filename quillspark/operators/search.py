@@ -52,7 +52,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
 
     queries: (qid, vector); vectors: (id, vector, per...). Ties go to the smaller id. Scores are rounded before they
     are ordered, so that sums of another order give the same result. A query is compared with vectors of its own length
-    only. Each block of queries is one more scan of the vectors.
+    only. Each block of queries is one more scan of the vectors; of several blocks each has its result staged before the
+    next one is sent, so one block at a time is held by the executors and no plan grows with their number.
     """
     per = list(per)
     spark = vectors.sparkSession
@@ -63,7 +64,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
     qtype = to_arrow_type(queries.schema["qid"].dataType)
     schema = f"qid {qkind}, id {kinds['id']}, " + "".join(f"`{c}` {kinds[c]}, " for c in per) + "score double"
     base = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), *per)
-    for ids, matrix in _blocks(queries):
+    blocks = _blocks(queries)
+    block, after = next(blocks, None), next(blocks, None)
+    several = after is not None
+    while block is not None:
+        ids, matrix = block
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         unit = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
         shared = spark.sparkContext.broadcast((ids, unit))
@@ -93,7 +98,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] = (), f
                         )
 
         part = base.where(F.size("vector") == unit.shape[1]).mapInArrow(each, schema)
+        if several:
+            best = W.partitionBy("qid", *per).orderBy(F.col("score").desc(), "id")
+            part = stage(part.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n"), "best")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
+        block, after = after, next(blocks, None) if several else None
     if out is None:
         out = spark.createDataFrame([], schema)
     w = W.partitionBy("qid", *per).orderBy(F.col("score").desc(), "id")

@@ -164,6 +164,23 @@ def khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.k_hop(entry, edges, 2)
 
 
+@query(
+    f"""
+    WITH RECURSIVE {_GEO}, d AS (SELECT DISTINCT src, dst, rel FROM g), w AS (SELECT src AS a, dst AS b, src || '>' || dst || '>' || rel AS e, rel FROM d UNION ALL SELECT dst, src, src || '>' || dst || '>' || rel, rel FROM d WHERE src <> dst),
+    p AS (
+        SELECT 'N' || n_nationkey AS entry, 'N' || n_nationkey AS id, 0 AS hops, ['N' || n_nationkey] AS nodes, []::VARCHAR[] AS used, []::VARCHAR[] AS rels FROM nation WHERE n_nationkey % 20 = 0
+        UNION ALL SELECT entry, b, hops + 1, list_append(nodes, b), list_append(used, e), list_append(rels, rel) FROM p JOIN w ON id = a WHERE hops < 2 AND NOT list_contains(used, e)
+    )
+    SELECT entry, id, hops, array_to_string(nodes, '/') AS nodes, array_to_string(rels, '/') AS rels FROM p WHERE hops > 0
+    """
+)
+def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paths of one or two edges from every nation whose key 20 divides."""
+    _, edges = _geo(spark, sf_dir)
+    entry = table(spark, sf_dir, "nation").where("n_nationkey % 20 = 0").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("entry"))
+    return G.paths(entry, edges, 2).withColumns({c: F.array_join(c, "/") for c in ("nodes", "rels")})
+
+
 @query(
     f"""
     WITH {_HOPS}, k AS (SELECT id FROM h1 WHERE entry = 'R1' UNION SELECT id FROM h2 WHERE entry = 'R1' UNION SELECT 'R1')

@@ -232,6 +232,18 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(*metrics.linear("value", 50, 95, 99))
 
 
+@query("SELECT event_type, unnest([0.5, 0.95, 0.99])::DOUBLE AS p, count(*) AS n, true AS within FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15 by sketches of each type and hour, merged by type: whether each quantile's exact rank is within the stated bound."""
+    e = table(spark, sf_dir, "events").select("event_type", "value", F.date_trunc("hour", "ts").alias("hour"))
+    kept = metrics.merged_sketches(metrics.sketches(e, ["event_type", "hour"], "value"), ["event_type"])
+    asked = metrics.sketched_quantiles(kept, 0.5, 0.95, 0.99)
+    ranks = e.where("value is not null").join(F.broadcast(asked), "event_type")  # three rows a type
+    ranks = ranks.groupBy("event_type", "p", "n").agg(F.avg((F.col("value") < F.col("q")).cast("double")).alias("low"), F.avg((F.col("value") <= F.col("q")).cast("double")).alias("high"))
+    error = metrics.sketch_error(C.SKETCH_SIZE)
+    return ranks.select("event_type", "p", "n", ((F.col("low") - error <= F.col("p")) & (F.col("p") <= F.col("high") + error)).alias("within"))
+
+
 @query(
     """
     WITH x AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),

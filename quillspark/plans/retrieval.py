@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.functions import text as T
+from quillspark.functions.vectors import hash_embed
 from quillspark.operators import aliases as A
 from quillspark.operators import corrective as R
 from quillspark.operators import dictionary, fusion, resolution, search, sparse_index, terminology, terms
@@ -499,3 +500,30 @@ def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "benchmark").select(word).distinct().where("length(name) >= 3").withColumn("label", F.when(F.length("name") > 7, "long").otherwise("short"))
     found = dictionary.dictionary_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), names)
     return found.groupBy("doc_id", F.lower("name").alias("name"), "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    rf"""
+    WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id, role, {tok('text')} AS t FROM conversations),
+    x AS (SELECT id, md5(unnest(t)) AS m FROM c), b AS (SELECT id, ('0x' || left(m, 2))::INT % 64 AS bin, count(*)::DOUBLE AS n FROM x GROUP BY ALL),
+    f AS (SELECT id, ('0x' || substr(m, 3, 2) || left(m, 2))::INT AS bin, count(*)::DOUBLE AS n FROM x GROUP BY ALL),
+    l AS (SELECT id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1), q AS (SELECT id FROM c WHERE role = 'user' AND conv_id % 20 = 0), a AS (SELECT id FROM c WHERE role = 'assistant'),
+    d AS (SELECT u.id AS qid, w.id, round(sum(u.n * w.n) / any_value(lu.norm) / any_value(lw.norm), 6) AS score FROM b u JOIN b w USING (bin) JOIN l lu ON lu.id = u.id JOIN l lw ON lw.id = w.id
+        WHERE u.id IN (FROM q) AND w.id IN (FROM a) GROUP BY ALL),
+    p AS (SELECT u.id AS qid, w.id, sum(u.n * w.n) AS score FROM f u JOIN f w USING (bin) WHERE u.id IN (FROM q) AND w.id IN (FROM a) GROUP BY ALL),
+    s AS (SELECT *, score / greatest(max(score) OVER (PARTITION BY qid), 1e-12) * 0.5 AS s FROM (FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 20)
+        UNION ALL SELECT *, score / greatest(max(score) OVER (PARTITION BY qid), 1e-12) * 0.5 AS s FROM (FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 20)),
+    h AS (SELECT qid, id, round(sum(s), 6) AS score FROM s GROUP BY ALL)
+    SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM h QUALIFY rank <= 5
+    """
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense and sparse search, fused: what users say in conversations whose id 20 divides, against all assistants' turns."""
+    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "role", "text")
+    asked, told = said.where("role = 'user' and conv_id % 20 = 0"), said.where("role = 'assistant'")
+    vector = lambda d, name: d.select(F.col("id").alias(name), hash_embed(F.col("text")).alias("vector"))
+    dense = search.top_k(vector(asked, "qid"), vector(told, "id"), 20).where("score > 0")
+    bins = terms.sparse_vectors(told, ["id"], "text").select(F.lit(0).alias("coll"), "id", "idx", "tf")
+    sought = terms.sparse_vectors(asked, ["id"], "text").select(F.col("id").alias("qid"), "idx", F.col("tf").alias("weight"))
+    sparse = sparse_index.sparse_top_k(sought, sparse_index.build_index(bins), 20)
+    return search.hybrid_scores(dense, sparse, 5).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))

@@ -101,3 +101,22 @@ def test_settled_ranks_of_edges_and_of_nothing(spark):
     three = spark.createDataFrame([(x,) for x in "abc"], "id string")
     with pytest.raises(RuntimeError):
         G.pagerank_settled(three, pair, tolerance=1e-12, most=8).count()
+
+
+def test_paths_use_no_relationship_twice(spark):
+    edges = [("a", "b", "R"), ("a", "b", "S"), ("b", "c", "R"), ("c", "a", "R"), ("c", "c", "LOOP"), ("x", "y", "R"), ("a", "b", "R"), (None, "a", "R")]
+    found, kinds = [], sorted({e for e in edges if None not in e})
+    for entry in ("a", "x", "nowhere"):
+        todo = [(entry, (entry,), ())]
+        while todo:
+            at, nodes, used = todo.pop()
+            if used:
+                found.append((entry, at, len(used), nodes, tuple(e[2] for e in used)))
+            if len(used) < 3:
+                for e in kinds:
+                    for to in {e[1] if e[0] == at else None, e[0] if e[1] == at else None} - {None}:
+                        if e not in used:
+                            todo.append((to, (*nodes, to), (*used, e)))
+    entries = spark.createDataFrame([("a",), ("x",), ("nowhere",), ("a",), (None,)], "entry string")
+    got = [(r.entry, r.id, r.hops, tuple(r.nodes), tuple(r.rels)) for r in G.paths(entries, spark.createDataFrame(edges, "src string, dst string, rel string"), 3).collect()]
+    assert sorted(got) == sorted(found) and len(found) > 15

@@ -24,7 +24,7 @@ def test_relation_lists():
         assert found and found[-1].get("source", "a") == "a", text
     assert P.relation_list(f"x {r}") == []  # one bare object is no list
     assert P.relation_list("nothing here") is None
-    assert P.reasoned_relations("* so -> frank AUTHORED PR-485")[0] == {"source": "frank", "type": "AUTHORED", "target": "PR-485"}
+    assert P.reasoned_relations("thus -> rover FOUND ICE-7")[0] == {"source": "rover", "type": "FOUND", "target": "ICE-7"}
 
 
 def test_validated_relations(spark):
@@ -49,3 +49,36 @@ def test_normal_graph(spark):
     assert [(x["source"], x["target"], x["type"]) for x in row.e] == [("A", "B", "RELATED"), ("A", "B", "R")]
     empty = spark.range(1).select(P.normal_nodes(F.lit(None).cast("string")).alias("n")).first()
     assert empty.n == []
+
+
+def test_scanning_cut_off_text_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert P.all_objects('{"a": ' * n + '{"source": "x", "target": "y"} and {"source": "cut') == [{"source": "x", "target": "y"}]
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 5
+    assert P.all_objects('}} {"relations": [{"source": 1, "target": 2}]} {bad} {{"source": "a", "target": "b"}') == [{"source": 1, "target": 2}, {"source": "a", "target": "b"}]
+
+
+def test_whole_objects_stay_in_the_jvm(spark):
+    texts = [' {"a": {"b": 1}} ', 'so: {"c": "}"} done', "{broken", '{"a": 1} {"b": 2}', None, "", "[1]", '{"d": "x}"}', '{"a": 1}, {"b": 2}', "{'a': 1}", '{"a": 1,}', '{"a": 1} x}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.o for r in P.with_json_object(df, "t", "o").collect()}
+    assert got == {i: (P.first_object(t) if t else None) for i, t in enumerate(texts)}
+    plan = P.with_json_object(df, "t", "o")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" in plan.split("ArrowEvalPython")[0]  # one branch has no Python
+
+
+def test_sketches_merge_within_their_bound(spark):
+    from quillspark.operators import metrics as M
+
+    rows = spark.range(60_000).selectExpr("cast(id % 3 as int) g", "cast(id % 24 as int) h", "cast((id * 7919) % 60000 as double) v")
+    kept = M.merged_sketches(M.sketches(rows, ["g", "h"], "v", 100), ["g"])
+    got = M.sketched_quantiles(kept, 0.1, 0.5, 0.99).collect()
+    exact = {r.g: sorted(x.v for x in rows.where(f"g = {r.g}").collect()) for r in kept.collect()}
+    assert len(got) == 9 and all(abs(sum(v <= r.q for v in exact[r.g]) / r.n - r.p) <= M.sketch_error(100) for r in got)
+    assert max(len(r.sketch) for r in kept.collect()) < 8000 and M.sketches(rows.limit(0), ["g"], "v").count() == 0

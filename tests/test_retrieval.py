@@ -92,6 +92,21 @@ def test_registry_and_ask(spark):
     q = spark.createDataFrame([(1, "what are kafka logs")], "qid int, text string")
     rows, answers = ask(r, "d", q, 3, m)
     assert rows.orderBy("rank").first().doc_id == "a" and "kafka stores logs" in answers.first().answer
+    assert (answers.first().failed, answers.first().degraded) == ([], False)
+
+    def broken(message):
+        def build(p):
+            def retrieve(queries, k):
+                raise RuntimeError(message)
+
+            return retrieve if p.name == "prose" else dense(chunks, m.embed)
+
+        return Registry(profiles, build)
+
+    _, answers = ask(broken("no such host"), "d", q, 3, m)
+    assert (answers.first().failed, answers.first().degraded) == (["prose"], True)
+    with pytest.raises(RuntimeError, match="No space left"):
+        ask(broken("No space left on device"), "d", q, 3, m)
 
 
 def test_labels_and_frontier(spark):
@@ -110,3 +125,16 @@ def test_metrics_of_answers(spark):
     assert f("The context does not mention it.", ["x"]) == 1.0 and f("", ["x"]) == 0.0
     r = spark.range(1).select(evaluation.recall(F.lit("384 was 250 before v1.0.7"), F.array(F.lit("it was 384, 250 before"))).alias("x")).first().x
     assert r > 0.5
+
+
+def test_blocks_of_queries_give_what_one_gives(spark, monkeypatch):
+    import random
+
+    from quillspark.operators import search
+
+    r = random.Random(1)
+    v = spark.createDataFrame([(i, [r.random() - 0.5 for _ in range(8)], i % 3) for i in range(200)], "id long, vector array<double>, label int")
+    q = v.where("id % 9 = 0").select(F.col("id").alias("qid"), "vector")
+    one = [sorted(search.top_k(q, v, 4, per, floor).collect()) for per, floor in (([], None), (["label"], 0.2))]
+    monkeypatch.setattr(search, "BLOCK_VALUES", 40)
+    assert [sorted(search.top_k(q, v, 4, per, floor).collect()) for per, floor in (([], None), (["label"], 0.2))] == one and len(one[0]) == 23 * 4
