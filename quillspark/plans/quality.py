@@ -167,6 +167,11 @@ def eval_sentence_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WIDE = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}'))"
+#: The default embedder's bins of tokens, and the cosine of two texts' counts of them: pairs of equal bins are the dot product.
+_BINS = "list_transform({}, lambda x: ('0x' || left(md5(x), 2))::INT % 64)"
+_PAIRS_OF = "coalesce(list_sum(list_transform({a}, lambda i: len(list_filter({b}, lambda j: j = i)))), 0)"
+_BIN_COSINE = "coalesce(" + _PAIRS_OF + " / nullif(sqrt(" + _PAIRS_OF.replace("{b}", "{a}") + ") * sqrt(" + _PAIRS_OF.replace("{a}", "{b}") + "), 0), 0)"
+
 #: E1, E3, E5 and E6 of each answer that follows a question; the answer is its own truth, with a purpose added for E3.
 _FOUR = rf"""
     {_TALK}, {_SENTENCE_PRECISION},
@@ -176,14 +181,15 @@ _FOUR = rf"""
     four AS (SELECT CASE WHEN trim(answer, {BLANKS}) = '' THEN 0.0 WHEN len(list_filter({strings(C.ABSTENTIONS)}, lambda p: contains(lower(answer), p))) > 0 THEN 1.0 WHEN len(s) = 0 THEN 0.0 ELSE len(ok) / len(s) END::DOUBLE AS faithfulness,
         ((len(list_intersect({_LONG.format("question")}, {_LONG.format("answer")})) > 0)::INT + (len(list_filter({strings(C.PURPOSES)}, lambda p: contains(lower(answer), p))) > 0)::INT
             + regexp_matches(regexp_replace(answer, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), '(^| )\d+( |$)')::INT) / 3 AS answer_relevancy,
-        context_precision, len(list_intersect(wt, wc)) / len(wt) AS context_recall
-        FROM y JOIN sp USING (conv_id, turn) WHERE len(wt) > 3)
+        context_precision, CASE WHEN answer = '' THEN 0 WHEN len(wt) <= {C.SHORT_TRUTH} THEN {_BIN_COSINE.format(a=_BINS.format(tok("answer")), b=_BINS.format(tok("array_to_string(ctx[1:3], ' ')")))}
+            ELSE len(list_intersect(wt, wc)) / len(wt) END AS context_recall
+        FROM y JOIN sp USING (conv_id, turn))
 """
 _REPORT = ", ".join(f"round_even(avg({m}), 4) AS {m}" for m in E.FOUR)
 
 
 def _four(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _answers(spark, sf_dir).where("question is not null").where(F.size(F.array_distinct(T.long_tokens(F.col("answer")))) > C.SHORT_TRUTH)
+    a = _answers(spark, sf_dir).where("question is not null")
     return E.four_metrics(a.select("question", F.col("answer").alias("ground_truth"), "answer", F.col("ctx").alias("contexts")))
 
 
