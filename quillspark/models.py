@@ -9,7 +9,7 @@ quality that trained models would give.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -72,6 +72,30 @@ def lead_summary(text: Column, most: int = 3) -> Column:
     return F.array_join(F.slice(sentences(text), 1, most), " ")
 
 
+_built: dict[str, Callable] = {}
+
+
+def by_batches(name: str, build: Callable[[], Callable[[list[str]], list]], returns: str, size: int = 64) -> Callable[[Column], Column]:
+    """X8-X10 for models with weights: a function of a Column of text, run in Arrow batches.
+
+    ``build`` loads the model and is called once in each Python worker, under ``name``, however many tasks and queries the
+    worker serves; the model gets lists of at most ``size`` texts (null as '') and returns as many values.
+    """
+
+    @F.pandas_udf(returns)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from quillspark import models  # the worker's own module, not what travels with this function
+
+        model = models._built.get(name)
+        if model is None:
+            model = models._built[name] = build()
+        for texts in batches:
+            whole = texts.fillna("").tolist()
+            yield pd.Series([x for i in range(0, len(whole), size) for x in model(whole[i : i + size])])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Models:
     embed: Embedder = hash_embed

@@ -17,6 +17,7 @@ from quillspark import constants as C
 from quillspark.config import Profile, Profiles
 from quillspark.operators import fusion
 from quillspark.operators import graph as G
+from quillspark.operators.aliases import expand_queries
 from quillspark.operators.ranking import top_per
 from quillspark.operators.search import top_k
 from quillspark.staging import stage
@@ -87,6 +88,17 @@ def default(name: str, chunks: DataFrame | None, nodes: DataFrame | None, edges:
     return retrieve
 
 
+def with_aliases(retrieve: Retriever, aliases: DataFrame) -> Retriever:
+    """The retriever with aliases (alias, canonical) applied to its queries first, so that what is embedded and matched
+    has the canonical names too. Vectors that queries bring are of the text as it was, and are left out."""
+
+    def expanded(queries: DataFrame, k: int) -> DataFrame:
+        text = expand_queries(queries.select("qid", "text"), aliases).select("qid", F.col("expanded").alias("text"))
+        return retrieve(text, k)
+
+    return expanded
+
+
 def federated(registry: Registry, domain: str, queries: DataFrame) -> tuple[DataFrame, list[str]]:
     """(records, failed): the domain's records and its companions', tagged by signal (a source's name, where its
     retriever has not tagged them). Each source is run and staged by itself: one that fails gives no records and is

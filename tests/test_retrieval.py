@@ -1,5 +1,7 @@
 """Search, fusion, corrective retrieval, registry and labels on small tables."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,47 @@ def test_blocks_of_queries_give_what_one_gives(spark, monkeypatch):
     one = [sorted(search.top_k(q, v, 4, per, floor).collect()) for per, floor in (([], None), (["label"], 0.2))]
     monkeypatch.setattr(search, "BLOCK_VALUES", 40)
     assert [sorted(search.top_k(q, v, 4, per, floor).collect()) for per, floor in (([], None), (["label"], 0.2))] == one and len(one[0]) == 23 * 4
+
+
+def test_a_model_is_built_once_a_worker_and_fed_in_batches(spark, tmp_path):
+    from quillspark.models import by_batches
+    from quillspark.shipping import ship
+
+    ship(spark)
+    log = str(tmp_path)
+
+    def build():
+        import os
+        import uuid
+
+        open(os.path.join(log, f"built-{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+
+        def model(texts):
+            open(os.path.join(log, f"batch-{len(texts)}-{uuid.uuid4().hex}"), "w").close()
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    embed = by_batches(f"lengths {log}", build, "array<double>")
+    rows = spark.range(0, 1000, 1, 8).select("id", F.when(F.col("id") % 10 > 0, F.repeat(F.lit("x"), (F.col("id") % 7).cast("int"))).alias("t"))
+    for _ in range(3):
+        assert all(r.v == [float(len(r.t or "")), 1.0] for r in rows.withColumn("v", embed(F.col("t"))).collect())
+    made = os.listdir(log)
+    built = [x.split("-")[1] for x in made if x.startswith("built")]
+    assert len(built) == len(set(built)) <= 8 and max(int(x.split("-")[1]) for x in made if x.startswith("batch")) <= 64
+
+
+def test_aliases_come_before_retrieval(spark):
+    from quillspark.retrievers import with_aliases
+
+    m = Models()
+    chunks = spark.createDataFrame([(1, "apache kafka stores logs", "a"), (2, "cats sleep on the bus", "b")], "id int, text string, doc_id string")
+    chunks = chunks.withColumn("doc_type", F.lit("chunk")).withColumn("vector", m.embed(F.col("text")))
+    aliases = spark.createDataFrame([("the bus", "Apache Kafka")], "alias string, canonical string")
+    q = spark.createDataFrame([(1, "what does the bus do")], "qid int, text string")
+    plain, aliased = dense(chunks, m.embed, ""), with_aliases(dense(chunks, m.embed, ""), aliases)
+    score = lambda r: {x.doc_id: x.arrival for x in r(q, 2).collect()}
+    assert score(plain)["b"] < score(plain)["a"] and set(score(aliased)) == {"a", "b"}
+    seen = []
+    with_aliases(lambda queries, k: seen.append(queries.first().text) or queries, aliases)(q, 1)
+    assert seen == ["what does the bus do (Apache Kafka)"]
