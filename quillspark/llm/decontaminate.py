@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quillspark.llm.common import guard, hashed_words, slices, stage
+from quillspark.staging import forget, noted
 
 WINDOW, BLOCK_WINDOWS, BLOCK_BYTES = 13, 200_000, 1_500_000
 #: Anchors that ``match`` holds at once.
@@ -103,7 +104,7 @@ def build_index(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     terms: sorted hashes (64 bits); counts: of each (32 bits); positions: the block's words count one after another, and
     terms[0]'s positions come first, each as the difference from the one before it (32 bits). keep: columns that are
-    carried in the block (as Arrow) for an operator that returns whole documents.
+    carried in the block (as Arrow), such as an id or a hash.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,6 +316,17 @@ def item_digest(ids: list[int]) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """docs without the contaminated documents; whole rows travel with the index, so no join is needed."""
+    """docs without the contaminated documents.
+
+    A text decides, so the index carries two hashes of it, and the documents themselves stay where they are: they meet the
+    hashes of contaminated texts, which Spark sends to them while these are few. The index is dropped before that.
+    """
     plain, back = guard(docs, ("text",))
-    return back(contamination(plain, items, plain.columns, size).where("not _contaminated"))
+    text = F.col("text").cast("string")
+    marked = plain.withColumns({"_h": F.xxhash64(text), "_g": F.xxhash64(F.lit(1), text)})
+    own: list = []
+    with noted(own):
+        found = contamination(marked, items, ["_h", "_g"], size).where("_contaminated").select("_h", "_g")
+    found = stage(found.distinct(), "contaminated")
+    forget(own)
+    return back(marked.join(found, ["_h", "_g"], "left_anti"))
