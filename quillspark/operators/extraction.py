@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,14 @@ from quillspark import constants as C
 from quillspark.functions import parsing as P
 from quillspark.functions import text as T
 from quillspark.models import Models
+from quillspark.operators.matching import Needles
 from quillspark.operators.ranking import first_per
+from quillspark.shipping import ship
 from quillspark.staging import stage
 
+#: Pairs of entities in one batch.
+PAIRS = 1 << 16
+
 
 def entities(docs: DataFrame, recognise) -> DataFrame:
     """(doc_id, name, label), the first of each lower-cased name and label."""
@@ -26,18 +33,44 @@ def entities(docs: DataFrame, recognise) -> DataFrame:
 def cooccurring(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Distinct (doc_id, src, dst, rel) with src <= dst for entities named in one sentence.
 
-    A document's entities travel to its sentences as one array, and pairs are formed in it.
+    A document's entities meet its sentences in one row. Each sentence is looked through once for the beginnings of the
+    entities' names, and only names whose beginning it has are tested; pairs leave a task in batches of bounded size.
     """
+    ship(docs.sparkSession)
     names = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    s = docs.join(names, "doc_id").select(
-        "doc_id", "names", F.explode(F.split("text", r"(?<=[.!?])\s+", -1)).alias("sentence")
-    )
-    here = F.filter("names", lambda n: F.contains(F.lower("sentence"), F.lower(n)))
-    s = s.select("doc_id", here.alias("here")).where("size(here) > 1")
-    pairs = F.flatten(
-        F.transform("here", lambda a, i: F.transform(F.slice(F.col("here"), i + 2, F.size("here")), lambda b: F.struct(a.alias("src"), b.alias("dst"))))
-    )
-    return s.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*", F.lit("ASSOCIATED_WITH").alias("rel")).distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # Lower case is Spark's, as everywhere else.
+    sentences = F.transform(F.split("text", r"(?<=[.!?])\s+", -1), F.lower)
+    s = docs.join(names, "doc_id").where("text is not null").select("doc_id", "names", F.transform("names", F.lower).alias("low"), sentences.alias("sentences"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, low = batch.column(1)[i].values, batch.column(2)[i].as_py()
+                always = [j for j, x in enumerate(low) if not x]
+                sought = Needles(low, [j for j, x in enumerate(low) if x])
+                pairs, n = [], 0
+
+                def told(pairs: list[np.ndarray], names=names, row=batch.column(0).slice(i, 1), n_names=len(low)) -> Iterator[pa.RecordBatch]:
+                    code = np.unique(np.concatenate(pairs))
+                    for at in range(0, len(code), PAIRS):
+                        a, b = np.divmod(code[at : at + PAIRS], n_names)
+                        doc = row.take(pa.array(np.zeros(len(a), np.int64)))
+                        yield pa.RecordBatch.from_arrays([doc, names.take(pa.array(a)), names.take(pa.array(b))], names=["doc_id", "src", "dst"])
+
+                for sentence in batch.column(3)[i].as_py():
+                    here = np.array(sorted([*always, *sought.inside(sentence)]), np.int64)
+                    for at in range(len(here) - 1):
+                        pairs.append(here[at] * len(low) + here[at + 1 :])
+                        n += len(here) - 1 - at
+                        if n >= 16 * PAIRS:
+                            yield from told(pairs)
+                            pairs, n = [], 0
+                if pairs:
+                    yield from told(pairs)
+
+    pairs = s.mapInArrow(each, f"doc_id {kind}, src string, dst string")
+    return pairs.select("doc_id", "src", "dst", F.lit("ASSOCIATED_WITH").alias("rel")).distinct()
 
 
 def relations(answers: DataFrame, found: DataFrame, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
