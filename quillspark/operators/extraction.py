@@ -34,14 +34,16 @@ def cooccurring(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Distinct (doc_id, src, dst, rel) with src <= dst for entities named in one sentence.
 
     A document's entities meet its sentences in one row. Each sentence is looked through once for the beginnings of the
-    entities' names, and only names whose beginning it has are tested; pairs leave a task in batches of bounded size.
+    entities' names, and only names whose beginning it has are tested. A document's pairs are made distinct in its task, a
+    run of its first entities at a time, so pairs are not shuffled and a batch of them is of bounded size.
     """
     ship(docs.sparkSession)
     names = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # Lower case is Spark's, as everywhere else.
-    sentences = F.transform(F.split("text", r"(?<=[.!?])\s+", -1), F.lower)
-    s = docs.join(names, "doc_id").where("text is not null").select("doc_id", "names", F.transform("names", F.lower).alias("low"), sentences.alias("sentences"))
+    # Lower case is Spark's, as everywhere else. Rows of one id are one document.
+    texts = docs.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    sentences = F.flatten(F.transform("texts", lambda t: F.transform(F.split(t, r"(?<=[.!?])\s+", -1), F.lower)))
+    s = texts.join(names, "doc_id").select("doc_id", "names", F.transform("names", F.lower).alias("low"), sentences.alias("sentences"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,28 +51,32 @@ def cooccurring(docs: DataFrame, found: DataFrame) -> DataFrame:
                 names, low = batch.column(1)[i].values, batch.column(2)[i].as_py()
                 always = [j for j, x in enumerate(low) if not x]
                 sought = Needles(low, [j for j, x in enumerate(low) if x])
-                pairs, n = [], 0
-
-                def told(pairs: list[np.ndarray], names=names, row=batch.column(0).slice(i, 1), n_names=len(low)) -> Iterator[pa.RecordBatch]:
-                    code = np.unique(np.concatenate(pairs))
-                    for at in range(0, len(code), PAIRS):
-                        a, b = np.divmod(code[at : at + PAIRS], n_names)
-                        doc = row.take(pa.array(np.zeros(len(a), np.int64)))
-                        yield pa.RecordBatch.from_arrays([doc, names.take(pa.array(a)), names.take(pa.array(b))], names=["doc_id", "src", "dst"])
-
-                for sentence in batch.column(3)[i].as_py():
-                    here = np.array(sorted([*always, *sought.inside(sentence)]), np.int64)
-                    for at in range(len(here) - 1):
-                        pairs.append(here[at] * len(low) + here[at + 1 :])
-                        n += len(here) - 1 - at
-                        if n >= 16 * PAIRS:
-                            yield from told(pairs)
-                            pairs, n = [], 0
-                if pairs:
-                    yield from told(pairs)
-
-    pairs = s.mapInArrow(each, f"doc_id {kind}, src string, dst string")
-    return pairs.select("doc_id", "src", "dst", F.lit("ASSOCIATED_WITH").alias("rel")).distinct()
+                here = [np.array(sorted([*always, *sought.inside(x)]), np.int64) for x in batch.column(3)[i].as_py()]
+                # Of each entity what follows it in a sentence: views of the sentences' own lists.
+                begun: dict[int, list[np.ndarray]] = {}
+                for h in here:
+                    for at in range(len(h) - 1):
+                        begun.setdefault(int(h[at]), []).append(h[at + 1 :])
+                doc = batch.column(0).slice(i, 1)
+                held, n = [], 0
+                for first in sorted(begun):
+                    after = np.unique(np.concatenate(begun.pop(first)))
+                    held.append((first, after))
+                    n += len(after)
+                    if n >= PAIRS:
+                        yield _pairs(doc, names, held)
+                        held, n = [], 0
+                if held:
+                    yield _pairs(doc, names, held)
+
+    return s.mapInArrow(each, f"doc_id {kind}, src string, dst string").select("doc_id", "src", "dst", F.lit("ASSOCIATED_WITH").alias("rel"))
+
+
+def _pairs(doc: pa.Array, names: pa.Array, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """One document's pairs of the entities at these places."""
+    size = [len(x) for _, x in held]
+    a, b = np.repeat([x for x, _ in held], size), np.concatenate([x for _, x in held])
+    return pa.RecordBatch.from_arrays([doc.take(pa.array(np.zeros(len(a), np.int64))), names.take(pa.array(a)), names.take(pa.array(b))], names=["doc_id", "src", "dst"])
 
 
 def relations(answers: DataFrame, found: DataFrame, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
