@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.functions import text as T
-from quillspark.operators.ranking import top_per
+from quillspark.operators.ranking import distinct_rows, top_per
 
 
 def hubs(txns: DataFrame) -> DataFrame:
-    """Distinct (account, kind, hub) of the senders' devices and cards."""
+    """Distinct (account, kind, hub) of the senders' devices and cards; few rows are alike."""
     both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("hub")) for k in ("device", "card")])
-    return txns.select(F.col("from").alias("account"), F.explode(both).alias("h")).select("account", "h.*").where(
-        "hub is not null and hub <> ''"
-    ).distinct()
+    rows = txns.select(F.col("from").alias("account"), F.explode(both).alias("h")).select("account", "h.*").where("hub is not null and hub <> ''")
+    return distinct_rows(rows)
 
 
 def rings(accounts: DataFrame, account_hubs: DataFrame, k: int = 5) -> DataFrame:
