@@ -21,20 +21,12 @@ from quillspark.staging import unstage
 #: Characters of text that one step of a Python operator holds as Python objects.
 SLICE_CHARS = 1_000_000
 
-#: Rows and bytes of an Arrow batch, at most: what a task holds twice on either side of the pipe to Python.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
-
 #: Bytes that a rolling hash is taken of at once.
 PIECE = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends the package to the executors and lowers the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller settings stay."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(key).rstrip("b"))
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+    """Sends the package to the executors and bounds the session's Arrow batches."""
     ship(spark)
 
 
