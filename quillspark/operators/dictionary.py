@@ -5,6 +5,9 @@ and finds all its names in one pass over a text, whatever their number. A name c
 Of overlapping names the leftmost counts, and of those that begin together the longest; that is settled for a text over
 all shards, so a text's result doesn't depend on how the dictionary is dealt.
 
+An automaton's steps are tokens: a whole run of word characters, or one other character. A name that matches so stands as
+whole words, and a text costs a step for each of its tokens, not for each character.
+
 Letters are compared without case, one to one (characters that lower case makes longer stay). Offsets are code points.
 
 Defined cases: null and empty texts have no names; null and empty names are left out; of one name in several cases or
@@ -15,8 +18,10 @@ dictionary of several shards rows of one id and text are one. Very long texts ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +32,8 @@ from quillspark.staging import stage
 
 #: Bytes of names of a shard at most (an automaton has some 300 bytes of memory for each, less what names share).
 SHARD_BYTES = 1 << 20
+#: Names that a task gathers, about, before it passes them on.
+HELD = 20_000
 
 
 @lru_cache(maxsize=1 << 16)
@@ -41,12 +48,12 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(map(_low, text))
 
 
-def _word(c: str) -> bool:
-    return c.isalnum() or c == "_"
+#: Word characters are those of str.isalnum, and _.
+TOKEN = re.compile(r"\w+|\W")
 
 
 class Automaton:
-    """The goto, failure and output links of a shard's names."""
+    """The goto, failure and output links of a shard's names, over tokens."""
 
     def __init__(self, names: list[tuple[str, str]]) -> None:
         self.go: list[dict[str, int]] = [{}]
@@ -54,7 +61,7 @@ class Automaton:
         self.names = names
         for i, (name, _) in enumerate(names):
             node = 0
-            for c in name:
+            for c in TOKEN.findall(name):
                 node = self.go[node].setdefault(c, len(self.go))
                 if node == len(self.go):
                     self.go.append({})
@@ -79,19 +86,23 @@ class Automaton:
 
     def spans(self, text: str) -> Iterator[tuple[int, int, str]]:
         """(start, end, label) of every name that stands as whole words."""
-        node, go, fail = 0, self.go, self.fail
-        for at, c in enumerate(text):
-            while node and c not in go[node]:
-                node = fail[node]
-            node = go[node].get(c, 0)
+        said = TOKEN.findall(text)
+        ends = list(accumulate(map(len, said)))
+        node, go, fail, root = 0, self.go, self.fail, self.go[0]
+        for at, t in enumerate(said):
+            if not node:
+                node = root.get(t, 0)
+                if not node:
+                    continue
+            else:
+                while node and t not in go[node]:
+                    node = fail[node]
+                node = go[node].get(t, 0)
             hit = node if self.out[node] >= 0 else self.shorter[node]
-            if hit and (at + 1 == len(text) or not (_word(c) and _word(text[at + 1]))):
-                while hit:
-                    name, label = self.names[self.out[hit]]
-                    start = at + 1 - len(name)
-                    if not start or not (_word(text[start]) and _word(text[start - 1])):
-                        yield start, at + 1, label
-                    hit = self.shorter[hit]
+            while hit:
+                name, label = self.names[self.out[hit]]
+                yield ends[at] - len(name), ends[at], label
+                hit = self.shorter[hit]
 
 
 def _shards(names: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
@@ -110,12 +121,19 @@ def _shards(names: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
         yield held
 
 
-def _settled(spans: list[tuple[int, int, str]]) -> list[dict]:
+def _settled(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    upto = 0
+    for start, end, _ in spans:
+        if start < upto:
+            break
+        upto = end
+    else:  # in order, and none overlaps another
+        return spans
     out, upto = [], 0
-    for start, end, label in sorted(spans, key=lambda x: (x[0], -x[1], x[2])):
-        if start >= upto:
-            out.append({"start": start, "end": end, "label": label})
-            upto = end
+    for span in sorted(spans, key=lambda x: (x[0], -x[1], x[2])):
+        if span[0] >= upto:
+            out.append(span)
+            upto = span[1]
     return out
 
 
@@ -134,20 +152,28 @@ def dictionary_spans(docs: DataFrame, names: DataFrame, shard_bytes: int = SHARD
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value)
             for batch in batches:
+                ids, hashes, held = batch.column(0), batch.column(2), []
+                rows: list[int] = []
+
+                def made(held: list, rows: list[int], ids=ids, hashes=hashes) -> pa.RecordBatch:
+                    start, end, label, name = zip(*held, strict=True)
+                    at = pa.array(rows, pa.int32())
+                    return pa.RecordBatch.from_arrays(
+                        [ids.take(at), hashes.take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(name, pa.string()), pa.array(label, pa.string())],
+                        names=["doc_id", "hash", "start", "end", "name", "label"],
+                    )
+
                 for i in range(batch.num_rows):
                     text = batch.column(1)[i].as_py()
                     got = list(automaton.spans(folded(text))) if text else []
-                    if got:
-                        rows = [{"start": a, "end": b, "label": x} for a, b, x in got] if several else _settled(got)
-                        names_ = [text[r["start"] : r["end"]] for r in rows]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([batch.column(0)[i].as_py()] * len(rows), batch.column(0).type), pa.array([batch.column(2)[i].as_py()] * len(rows)),
-                                pa.array([r["start"] for r in rows], pa.int32()), pa.array([r["end"] for r in rows], pa.int32()),
-                                pa.array(names_, pa.string()), pa.array([r["label"] for r in rows], pa.string()),
-                            ],
-                            names=["doc_id", "hash", "start", "end", "name", "label"],
-                        )
+                    got = got if several else _settled(got)
+                    held += [(a, b, x, text[a:b]) for a, b, x in got]
+                    rows += [i] * len(got)
+                    if len(held) >= HELD:
+                        yield made(held, rows)
+                        held, rows = [], []
+                if held:
+                    yield made(held, rows)
 
         text = F.col("text").cast("string")
         rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash"))
@@ -174,7 +200,7 @@ def dictionary_spans(docs: DataFrame, names: DataFrame, shard_bytes: int = SHARD
                 said = {(x["start"], x["end"]): x["name"] for x in all_}
                 kept = _settled([(x["start"], x["end"], x["label"]) for x in all_])
                 ids += [i] * len(kept)
-                rows += [(r["start"], r["end"], said[r["start"], r["end"]], r["label"]) for r in kept]
+                rows += [(start, end, said[start, end], label) for start, end, label in kept]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.column(0).type), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]],
                 names=columns,
