@@ -1,42 +1,49 @@
-"""Main text of web pages: block structure first, nearest-URL page differencing for what structure leaves open.
+"""Main text of web pages: nearest-URL page differencing of every page, and what it leaves checked against block structure.
 
 ``blocks`` cuts a page into text blocks (lines) and says of each what the markup says: MAIN (inside article or main),
 BOILER (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element, role or names in class and
 id), or OPEN. An article or main inside an element that only its names or being a form make boilerplate is MAIN again,
 unless its own names do. Inside an article ids are anchors of its parts and say nothing, but those of reader comments; of
 headings they never do. A heading such as "Comments" makes boilerplate of the section that it begins, or else of the
-articles that follow beside it. Where a page has MAIN lines they are its text. Otherwise its OPEN lines are, less those it shares with
-its nearest pages: pages of a host are sorted by URL path, each is paired with its neighbours on both sides, their
-lines are aligned by longest common subsequence, and shared OPEN lines are deleted.
+articles that follow beside it.
+
+Pages of a host are sorted by URL path, each is aligned with its neighbours on both sides by longest common subsequence of
+lines, and the lines that it shares with them are deleted. What is left is checked against the markup: BOILER lines go
+though no neighbour has them, and MAIN lines stay though a neighbour has them too. Where a page has MAIN lines they are
+its text, otherwise the OPEN lines that differencing left are.
 
 Differencing alone isn't used because it can't give right results: boilerplate that differs from page to page stays,
 and an article that two neighbouring pages share would go (README has figures).
 
-Pairing never gathers a host: line hashes (not texts) are range-sorted by host and path into a staged table; a
-partition's first and last page are looked up for its neighbours in a table of two rows a partition.
+A host is never gathered: pages are range-sorted by host and path, and a task reads them in that order with the page before
+at hand. A partition's first and last page meet their other neighbours in a table of two rows a partition.
 
 Defined cases: null or empty html gives an empty text. A null url belongs to host '' with an empty path. Pages of one
-host with one path are ordered by page_id, then by content. A page of which all OPEN lines are shared is kept whole:
-it is a copy, not boilerplate. Pages of any length and nesting take time in proportion to their length; aligning two
-undecided pages takes time in proportion to the product of the lines that both have, and memory to their sum. Repeated rows are pages of their own. Extra columns are not read.
+host with one path are ordered by page_id, then by url and content. A page of which all OPEN lines are shared is kept whole:
+it is a copy, not boilerplate. Pages of any length and nesting take time in proportion to their length. Aligning two pages takes
+time in proportion to their lines and pairs of equal lines; where these are many more than the lines, to the product of
+the lines that both have, and memory to their sum. Repeated rows are one page, with a row each. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices, stage
+from quillspark.llm.common import SLICE_CHARS, slices, stage
 
 MAIN, OPEN, BOILER, LOOSE = 0, 1, 2, 3  # LOOSE: boilerplate in which an article may stand
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -233,138 +240,204 @@ def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return row
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> list[int]:
-    """Places in x of a longest common subsequence with y, in memory of their sum: x is halved, y parted where the two
+def _common(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
+    """Places in x and y of a longest common subsequence, in memory of their sum: x is halved, y parted where the two
     halves' lengths add up to the most."""
-    out, todo = [], [(0, len(x), 0, len(y))]
+    in_x, in_y, todo = [], [], [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
         if b - a == 0 or c == d:
             continue
         if b - a == 1:
-            if (y[c:d] == x[a]).any():
-                out.append(a)
+            if (same := y[c:d] == x[a]).any():
+                in_x.append(a), in_y.append(c + int(same.argmax()))
             continue
         mid = (a + b) // 2
         left, right = _lengths(x[a:mid], y[c:d]), _lengths(x[mid:b][::-1], y[c:d][::-1])[::-1]
         at = c + int((left + right).argmax())
         todo += [(a, mid, c, at), (mid, b, at, d)]
-    return out
+    return in_x, in_y
+
+
+def _matched(x: list[int], y: list[int]) -> tuple[list[int], list[int]] | None:
+    """Places in x and y of a longest common subsequence: the longest rising run of y's places. None where lines repeat so
+    often that there are many more pairs of equal lines than lines."""
+    places: dict[int, list[int]] = {}
+    for j in range(len(y) - 1, -1, -1):
+        places.setdefault(y[j], []).append(j)
+    if sum(len(places.get(v, ())) for v in x) > 4 * (len(x) + len(y)):
+        return None
+    ends: list[int] = []  # the least place in y where a run of each length ends
+    last: list[tuple] = []  # that run: (place in x, place in y, the run before)
+    for i, v in enumerate(x):
+        for j in places.get(v, ()):
+            k = bisect_left(ends, j)
+            run = (i, j, last[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j), last.append(run)
+            else:
+                ends[k], last[k] = j, run
+    run, in_x, in_y = last[-1] if last else None, [], []
+    while run:
+        i, j, run = run
+        in_x.append(i), in_y.append(j)
+    return in_x, in_y
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a's and of b's lines (hashes) are in a longest common subsequence of both. Equal ends are cut off first,
+    and lines that the other page lacks."""
+    in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    n = min(len(a), len(b))
+    i = int(np.append(a[:n] != b[:n], True).argmax())
+    j = int(np.append(a[len(a) - n + i :][::-1] != b[len(b) - n + i :][::-1], True).argmax())
+    in_a[:i] = in_b[:i] = True
+    in_a[len(a) - j :] = in_b[len(b) - j :] = True
+    x, y = a[i : len(a) - j].tolist(), b[i : len(b) - j].tolist()
+    both = set(x) & set(y)
+    if not both:
+        return in_a, in_b
+    at_x, at_y = [k for k, v in enumerate(x) if v in both], [k for k, v in enumerate(y) if v in both]
+    x, y = [x[k] for k in at_x], [y[k] for k in at_y]
+    found = _matched(x, y) or _common(np.array(x), np.array(y))
+    in_a[[i + at_x[k] for k in found[0]]] = True
+    in_b[[i + at_y[k] for k in found[1]]] = True
+    return in_a, in_b
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of a's lines are in a longest common subsequence with b (hashes). Equal ends are cut off first, and lines
-    that the other page lacks."""
-    out = np.zeros(len(a), bool)
-    i = 0
-    while i < len(a) and i < len(b) and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < len(a) - i and j < len(b) - i and a[len(a) - 1 - j] == b[len(b) - 1 - j]:
-        j += 1
-    out[:i] = True
-    out[len(a) - j :] = True
-    mid_a, mid_b = np.arange(i, len(a) - j), np.arange(i, len(b) - j)
-    mid_a, mid_b = mid_a[np.isin(a[mid_a], b[mid_b])], mid_b[np.isin(b[mid_b], a[mid_a])]
-    out[mid_a[_common(a[mid_a], b[mid_b])]] = True
-    return out
+    """Which of a's lines ``aligned`` finds in b."""
+    return aligned(a, b)[0]
 
 
-def _hashes(lines: list[tuple[str, int]]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in lines]
+def _hashes(lines: list[tuple[str, int]]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in lines], np.int64)
 
 
-def structured(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, lines): text where the markup says it all, else lines: (text, kind, hash) in order."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32()), ("hash", pa.int64())]))
+def checked(lines: list[tuple[str, int]], shared: list[bool]) -> str:
+    """The text of a page's lines that differencing leaves, checked against the markup.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A line that the neighbours don't share is left. The markup overrules that where it says so: boilerplate goes though
+    no neighbour has it, an article stays though a neighbour has its lines too, and beside an article open lines go."""
+    left = [k != BOILER and not s for (_, k), s in zip(lines, shared, strict=True)]
+    if any(k == MAIN for _, k in lines):
+        left = [k == MAIN for _, k in lines]
+    elif not any(left):
+        left = [k == OPEN for _, k in lines]
+    return "\n".join(t for (t, _), x in zip(lines, left, strict=True) if x)
+
+
+@dataclass
+class _Page:
+    key: tuple
+    host: str
+    lines: list[tuple[str, int]]
+    hashes: np.ndarray
+    shared: np.ndarray
+    copies: int = 1
+
+
+FIRST, LAST, ONLY = 0, 1, 2
+ROWS = "page_id long, url string, text string, copies int, block int, place int, host string, lines array<struct<text: string, kind: int>>, hashes array<bigint>, shared array<boolean>"
+
+
+def differenced(pages: DataFrame) -> DataFrame:
+    """Every page beside its nearest ones: pages are range-sorted by host and path, and each is aligned with the page before
+    and the page after it in its host.
+
+    A row has its text, or, as a partition's FIRST or LAST page, whose other neighbour is in another partition, what is
+    needed to go on: its lines, their hashes and which are shared so far. Rows of equal id, url and html are one page with
+    copies; a task holds one page and the one before it, and a batch of texts. Pages are packed before they are shuffled.
+    """
+    kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
+    names = [x.split()[0] for x in re.split(r", (?=\w+ )", ROWS)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for batch in batches:
-            for part, pages_ in slices(batch, "html"):
-                texts, open_ = [], []
-                for p in pages_:
-                    found = blocks(p.decode("utf-8", "replace")) if p else []
-                    main = [t for t, k in found if k == MAIN]
-                    if main or not any(k == OPEN for _, k in found):
-                        texts.append("\n".join(main)), open_.append(None)
-                    else:
-                        texts.append(None)
-                        open_.append([{"text": t, "kind": k, "hash": h} for (t, k), h in zip(found, _hashes(found), strict=True)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(open_, kind)],
-                    names=["page_id", "url", "text", "lines"],
-                )
+            for part, htmls in slices(batch, "html"):
+                packed = [None if x is None else codec.compress(x, asbytes=True) for x in htmls]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(x or b"") for x in htmls], pa.int64()), pa.array(packed, pa.binary())], names=[*part.schema.names[:-1], "size", "packed"])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Page, int | None]]:
+        before, now, first, codec = None, None, True, pa.Codec("zstd")
+        for batch in batches:
+            for part, packed in slices(batch, "packed"):
+                for page_id, url, host, size, html in zip(*(part.column(i).to_pylist() for i in range(4)), packed, strict=True):
+                    html = codec.decompress(html, size, asbytes=True) if size else html and b""
+                    key = page_id, url, html
+                    if now is not None and now.key == key:
+                        now.copies += 1
+                        continue
+                    found = blocks(html.decode("utf-8", "replace")) if html else []
+                    before, now = now, _Page(key, host, found, _hashes(found), np.zeros(len(found), bool))
+                    if before is None:
+                        continue
+                    if before.host == host:
+                        a, b = aligned(before.hashes, now.hashes)
+                        before.shared |= a
+                        now.shared |= b
+                    yield before, FIRST if first else None
+                    first = False
+        if now is not None:
+            yield now, ONLY if first else LAST
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId(), [], 0
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True))
+            types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), kind, pa.list_(pa.int64()), pa.list_(pa.bool_())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        for page, place in rows(batches):
+            if place is None:
+                text = checked(page.lines, page.shared.tolist())
+                held.append((*page.key[:2], text, page.copies, block, None, None, None, None, None))
+                size += len(text)
+            else:
+                lines = [{"text": t if k != BOILER else None, "kind": k} for t, k in page.lines]
+                held.append((*page.key[:2], None, page.copies, block, place, page.host, lines, page.hashes.tolist(), page.shared.tolist()))
+            if size >= SLICE_CHARS or len(held) >= 2000:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
+
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit(""))
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return base.mapInArrow(
-        each, "page_id long, url string, text string, lines array<struct<text: string, kind: int, hash: bigint>>"
-    )
-
-
-def neighbours(pages: DataFrame) -> DataFrame:
-    """pages(row, host, path, page_id, hashes) with the hashes of the pages before and after it in its host."""
-    order = ["host", "path", "page_id", "row"]
-    ranged = stage(
-        pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id()), "urls"
-    )
-    w = W.partitionBy("block").orderBy(*order)
-    near = ranged.select(
-        "*", F.lag("host").over(w).alias("host_0"), F.lag("hashes").over(w).alias("hashes_0"),
-        F.lead("host").over(w).alias("host_1"), F.lead("hashes").over(w).alias("hashes_1"),
-    )
-    # Only a block's ends miss a neighbour: two rows a block.
-    ends = ranged.groupBy("block").agg(
-        F.min_by(F.struct("host", "hashes"), F.struct(*order)).alias("first"),
-        F.max_by(F.struct("host", "hashes"), F.struct(*order)).alias("last"),
-    )
-    v = W.orderBy("block")
-    ends = ends.select("block", F.lag("last").over(v).alias("last"), F.lead("first").over(v).alias("first"))
-    near = near.join(ends, "block", "left")
-    at_first, at_last = F.col("host_0").isNull(), F.col("host_1").isNull()
-    return near.select(
-        "row",
-        "hashes",
-        *[
-            F.when(F.when(end, F.col(f"{other}.host")).otherwise(F.col(f"host_{i}")) == F.col("host"),
-                   F.when(end, F.col(f"{other}.hashes")).otherwise(F.col(f"hashes_{i}"))).alias(f"near_{i}")
-            for i, end, other in ((0, at_first, "last"), (1, at_last, "first"))
-        ],
-    )
-
-
-def shared_with_neighbours(near: DataFrame) -> DataFrame:
-    """(row, shared): which of the page's lines its neighbours share."""
+    # Equal rows have equal keys, so they meet in one partition.
+    order = ["host", "path", "page_id", "url", "digest"]
+    keyed = base.select("page_id", "url", host.alias("host"), path.alias("path"), F.xxhash64("html").alias("digest"), "html")
+    packed = keyed.mapInArrow(pack, "page_id long, url string, host string, path string, digest long, size long, packed binary")
+    return packed.repartitionByRange(*order).sortWithinPartitions(*order).select("page_id", "url", "host", "size", "packed").mapInArrow(each, ROWS)
+
+
+def across_partitions(ends: DataFrame) -> DataFrame:
+    """(page_id, url, text, copies) of the partitions' first and last pages (two rows a partition), by their neighbours in
+    other partitions."""
+    w = W.orderBy("block", "place")
+    near = [F.when(F.col("place") != other, F.when(f("host").over(w) == F.col("host"), f("hashes").over(w))) for f, other in ((F.lag, LAST), (F.lead, FIRST))]
+    met = ends.select("page_id", "url", "copies", "lines", "hashes", "shared", near[0].alias("near_0"), near[1].alias("near_1"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for own, *others in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                a = np.array(own, np.int64)
-                hit = np.zeros(len(a), bool)
-                for o in others:
-                    if o:
-                        hit |= shared_lines(a, np.array(o, np.int64))
-                out.append(hit.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.bool_()))], names=["row", "shared"])
+            texts = []
+            for lines, hashes, shared, *near in zip(*(batch.column(i).to_pylist() for i in range(3, 8)), strict=True):
+                hit = np.array(shared, bool)
+                for other in near:
+                    if other:
+                        hit |= shared_lines(np.array(hashes, np.int64), np.array(other, np.int64))
+                texts.append(checked([(x["text"], x["kind"]) for x in lines], hit.tolist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), batch.column(2)], names=["page_id", "url", "text", "copies"])
 
-    return near.mapInArrow(each, "row string, shared array<boolean>")
+    return met.mapInArrow(each, "page_id long, url string, text string, copies int")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    found = structured(pages)
-    found = stage(found, "blocks")
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit(""))
-    undecided = found.where("text is null").withColumn("row", F.sha2(F.to_json(F.struct("page_id", "url", "lines")), 256))
-    keyed = undecided.select(
-        "row", host.alias("host"), path.alias("path"), "page_id", F.transform("lines", lambda x: x["hash"]).alias("hashes")
-    ).dropDuplicates(["row"])
-    shared = shared_with_neighbours(neighbours(keyed))
-    joined = undecided.join(shared, "row", "left")
-    paired = F.zip_with("lines", "shared", lambda x, s: F.struct(x["text"].alias("text"), (x["kind"] == OPEN).alias("open"), F.coalesce(s, F.lit(False)).alias("s")))
-    own = F.filter(paired, lambda x: x["open"] & ~x["s"])
-    all_ = F.filter(paired, lambda x: x["open"])
-    text = F.array_join(F.transform(F.when(F.size(own) > 0, own).otherwise(all_), lambda x: x["text"]), "\n")
-    out = found.where("text is not null").select("page_id", "url", "text").union(joined.select("page_id", "url", text.alias("text")))
+    found = stage(differenced(pages), "pages")
+    all_ = found.where("place is null").select("page_id", "url", "text", "copies").union(across_partitions(found.where("place is not null")))
+    out = all_.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

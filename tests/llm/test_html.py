@@ -122,3 +122,30 @@ def test_teasers_and_reader_comments_go():
     assert kept("<main><article><p>a</p></article><h3>Kommentare</h3><article><p>no</p></article></main>") == ["a"]
     # An article may speak of comments, and go on.
     assert kept("<article><p>a</p><h2>Comments</h2><p>b</p><section><p>c</p><h2>Comments</h2><p>d</p></section></article>") == ["a", "b", "c", "d"]
+
+
+def test_every_page_meets_its_nearest_ones(spark):
+    page = lambda body: f"<html><body><div>Welcome</div><article><p>{body}</p></article><div>All rights</div></body></html>"
+    rows = [(i, f"http://h.org/{i:02}", page(f"Story {i}")) for i in range(12)] + [(20, "http://h.org/03", None)]
+    rows += [(5, "http://h.org/05", page("Story 5"))] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        seen = []
+        for r in H.differenced(pages).collect():
+            if r.place is not None:
+                seen += [(r.page_id, x["text"], s) for x, s in zip(r.lines, r.shared, strict=True)]
+        assert {(i, s) for i, t, s in seen if t == "Welcome"} >= ({(0, True), (11, True)} if parts == 1 else set())
+        assert not any(s for _, t, s in seen if t and t.startswith("Story"))
+        got = [(r.page_id, r.text) for r in H.extract_text(pages).collect()]
+        assert sorted(got) == sorted((r[0], f"Story {r[0]}" if r[2] else "") for r in rows)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_aligning_says_it_for_both_pages():
+    r = np.random.default_rng(3)
+    for top in (3, 8, 40):
+        for _ in range(60):
+            a, b = r.integers(0, top, r.integers(0, 40)), r.integers(0, top, r.integers(0, 40))
+            in_a, in_b = H.aligned(a, b)
+            assert a[in_a].tolist() == b[in_b].tolist() and in_a.sum() == slow_lcs(a.tolist(), b.tolist())
