@@ -124,6 +124,10 @@ def pagerank_settled(
     graphs). Nodes without edges have a closed form. Rounds end when residual and waiting pushes bound the error by the
     tolerance; RuntimeError after ``most`` rounds.
 
+    A node with one neighbour is a leaf: its rank follows from its neighbour's, so a neighbour's leaves are one link to itself
+    (which keeps the eigenvalues real and the bound) and rounds see the other nodes only. Of a pair of nodes that have
+    each other only, the larger is the leaf.
+
     A round is one join with the links and one sum by node; a node's own row travels as a link to itself, so a round
     reads the round before once. Every few rounds are staged.
     """
@@ -131,17 +135,23 @@ def pagerank_settled(
     pairs = both_ways(edges.where("src <> dst")).distinct()
     pairs = pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     pairs = stage(pairs, "pairs")
-    out = pairs.groupBy("src").agg(F.count("*").alias("out"))
-    own = out.select("src", F.col("src").alias("dst"), F.lit(None).cast("long").alias("out"))
-    links = stage(pairs.join(out, "src").select("src", "dst", "out").union(own), "links")
-    n, linked = ids.count(), own.count()
+    degrees = stage(pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"), F.min("dst").alias("other")), "degrees")
+    leaves = degrees.where("out = 1").groupBy(F.col("other").alias("id")).agg(F.count("*").alias("leaves"))
+    met = stage(degrees.join(leaves, "id", "left").withColumn("core", F.expr("out > 1 or leaves is not null and id < other")), "met")
+    core = met.where("core").select("id", "out", F.coalesce("leaves", F.lit(0)).alias("leaves"))
+    n, linked = ids.count(), degrees.count()
     lonely = n - linked
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     alone = (1 - damping) / (n - damping * lonely) if lonely else 0.0  # the rank of each node without edges
     base, small = (1 - damping) / n + damping * alone * lonely / n, tolerance * (1 - damping) / (4 * n)
-    state = links.where("out is null").select(
-        F.col("src").alias("id"), F.lit(1.0 / n).alias("x"), F.lit(1.0 / n).alias("before"), F.lit(0.0).alias("got"), F.lit(1.0 / n).alias("wait"), F.lit(0.0).alias("residual")
+    inner = pairs.join(core.select(F.col("id").alias("dst")), "dst", "left_semi").join(core.withColumnRenamed("id", "src"), "src")
+    to_self = lambda rows, weight: rows.select(F.col("id").alias("src"), F.col("id").alias("dst"), weight.alias("weight"))
+    links = inner.select("src", "dst", (1 / F.col("out")).alias("weight"))
+    links = links.union(to_self(core.where("leaves > 0"), damping * F.col("leaves") / F.col("out"))).union(to_self(core, F.lit(None).cast("double")))
+    links = stage(links, "links")
+    state = core.select(
+        "id", F.lit(1.0 / n).alias("x"), F.lit(1.0 / n).alias("before"), (F.lit(base) * (1 + damping * F.col("leaves"))).alias("got"), F.lit(1.0 / n).alias("wait"), F.lit(0.0).alias("residual")
     )
     omega, error = 1.0, float("inf") if linked else 0.0
     for k in range(most):
@@ -149,13 +159,12 @@ def pagerank_settled(
             break
         omega = 1 / (1 - damping**2 * omega / (2 if k == 1 else 4)) if k else 1.0
         sent = F.when(F.abs("wait") > small, F.col("wait")).otherwise(0.0)
-        keep = lambda c: F.max(F.when(F.col("out").isNull(), c))
-        met = state.join(links, state["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(
+        keep = lambda c: F.max(F.when(F.col("weight").isNull(), c))
+        got = state.join(links, state["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(
             keep(F.col("x")).alias("x"), keep(F.col("before")).alias("before"), keep(F.col("wait") - sent).alias("wait"),
-            (keep(F.col("got")) + damping * F.coalesce(F.sum(F.when(F.col("out").isNotNull(), sent / F.col("out"))), F.lit(0.0))).alias("got"),
+            (keep(F.col("got")) + damping * F.coalesce(F.sum(sent * F.col("weight")), F.lit(0.0))).alias("got"),
         )
-        residual = F.lit(base) + F.col("got") - F.col("x")
-        moved = met.withColumn("residual", residual).withColumn("new", omega * (F.col("residual") + F.col("x") - F.col("before")) + F.col("before"))
+        moved = got.withColumn("residual", F.col("got") - F.col("x")).withColumn("new", omega * (F.col("residual") + F.col("x") - F.col("before")) + F.col("before"))
         state = moved.select("id", F.col("new").alias("x"), F.col("x").alias("before"), "got", (F.col("wait") + F.col("new") - F.col("x")).alias("wait"), "residual", F.abs("wait").alias("held"))
         if (k + 1) % stage_every == 0 or k + 1 == most:
             state = stage(state, "rank")
@@ -163,9 +172,12 @@ def pagerank_settled(
             error = (r[0] + damping * r[1]) / (1 - damping)
     if error > tolerance:
         raise RuntimeError(f"ranks are within {error} after {most} rounds, not within {tolerance}")
-    rest = ids.join(state.select("id"), "id", "left_anti").select("id", F.lit(alone).alias("rank"))
     # The residual is that of the ranks before the last step.
-    return state.select("id", F.col("before").alias("rank")).union(rest)
+    ranks = state.select("id", F.col("before").alias("rank"))
+    sends = ranks.join(core, "id").select(F.col("id").alias("other"), (F.lit(base) + damping * F.col("rank") / F.col("out")).alias("rank"))
+    hanging = met.where("not core").select("id", "other").join(sends, "other").select("id", "rank")
+    rest = ids.join(degrees, "id", "left_anti").select("id", F.lit(alone).alias("rank"))
+    return ranks.union(hanging).union(rest)
 
 
 def prune(nodes: DataFrame, scores: DataFrame, entry: Column, n: int = C.PRUNE_TOP, keys: list[str] = ()) -> DataFrame:

@@ -120,3 +120,22 @@ def test_paths_use_no_relationship_twice(spark):
     entries = spark.createDataFrame([("a",), ("x",), ("nowhere",), ("a",), (None,)], "entry string")
     got = [(r.entry, r.id, r.hops, tuple(r.nodes), tuple(r.rels)) for r in G.paths(entries, spark.createDataFrame(edges, "src string, dst string, rel string"), 3).collect()]
     assert sorted(got) == sorted(found) and len(found) > 15
+
+
+def test_rounds_of_settled_ranks_leave_leaves_out(spark, monkeypatch):
+    """Two hubs, a ring of three, a pair and a node alone: 300 of 309 nodes have one neighbour."""
+    edges = [(f"h{i % 2}", f"leaf{i}") for i in range(300)] + [("h0", "h1"), ("h1", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("p", "q")]
+    nodes = sorted({x for e in edges for x in e} | {"solo"})
+    sizes, stage = {}, G.stage
+
+    def counting(df, tag):
+        out = stage(df, tag)
+        sizes[tag] = max(sizes.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(G, "stage", counting)
+    frames = spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string")
+    got = {x.id: x["rank"] for x in G.pagerank_settled(*frames, tolerance=1e-10).collect()}
+    want = settled(nodes, edges)
+    assert set(got) == set(want) and sum(abs(got[x] - want[x]) for x in want) < 1e-9
+    assert sizes["rank"] == 6 and sizes["links"] < 30
