@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
@@ -79,7 +78,8 @@ def entity_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def per_window(docs: DataFrame, most: int = C.LLM_WINDOW_WORDS, overlap: int = C.LLM_WINDOW_OVERLAP) -> DataFrame:
-    """Sentence windows, each with the window before it (null for the first)."""
+    """Sentence windows, each with the window before it (null for the first), taken in the row: nothing is shuffled."""
     ship(docs.sparkSession)
-    w = docs.select("doc_id", F.posexplode(T.windows_of_sentences(F.col("text"), most, overlap)).alias("idx", "window"))
-    return w.withColumn("previous", F.lag("window").over(W.partitionBy("doc_id").orderBy("idx")))
+    cut = docs.select("doc_id", T.windows_of_sentences(F.col("text"), most, overlap).alias("windows"))
+    pairs = F.transform("windows", lambda x, i: F.struct(x.alias("window"), F.when(i > 0, F.get("windows", i - 1)).alias("previous")))
+    return cut.select("doc_id", F.posexplode(pairs).alias("idx", "w")).select("doc_id", "idx", "w.window", "w.previous")

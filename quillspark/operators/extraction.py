@@ -174,14 +174,15 @@ def hybrid(
     """
     from quillspark.operators.documents import per_window
 
-    w = stage(per_window(docs, most, overlap), "windows")
+    # Summaries are made once, so the window before goes to no join.
     summary = F.when(F.col("previous").isNotNull(), models.summarise(F.col("previous")))
+    w = stage(per_window(docs, most, overlap).select("doc_id", "idx", "window", summary.alias("summary")), "windows")
     found = stage(entities_in_slices(docs, models.recognise), "entities")
 
     def related(known: DataFrame) -> tuple[DataFrame, DataFrame]:
         lists = known.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
         asked = w.join(lists, "doc_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-        answers = asked.select("doc_id", "idx", ask(T.window_prompt(F.col("window"), summary, F.array_distinct("names"), types or [])).alias("answer"))
+        answers = asked.select("doc_id", "idx", ask(T.window_prompt(F.col("window"), F.col("summary"), F.array_distinct("names"), types or [])).alias("answer"))
         return relations(stage(answers, "answers"), known, types)
 
     edges, dropped = related(found)
