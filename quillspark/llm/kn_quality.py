@@ -48,11 +48,9 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     base = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     half = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fold")), F.lit(2)).cast("int")
     base = base.withColumn("fold", half)
-    # By one plan at every size: the texts are shuffled once, unsorted, beside the trusted ids.
-    model, unknown = words.train(base.join(good.hint("shuffle_hash"), "doc_id", "left_semi"))
-    if unknown:
-        scored = words.log_perplexities(base, model, unknown, ["doc_id", "lang"])
-    else:
+    # Read once a slice; Spark sends the trusted ids to the texts, up to its own limit for that.
+    scored = words.trusted_perplexities(base, base.join(good, "doc_id", "left_semi"), ["doc_id", "lang"])
+    if scored is None:
         scored = base.select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("log_perplexity"))
     scored = scored.withColumn("length", length_class(F.col("n_symbols")))
     scored = stage(scored.join(good.withColumn("_good", F.lit(True)), "doc_id", "left"), "scored")

@@ -93,3 +93,23 @@ def test_lookup_tasks_grow_with_the_documents(spark):
     size = docs.selectExpr("sum(octet_length(text))").first()[0]
     tasks = [int(x._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1].split("], ")[1].split(",")[0].split("\n")[0].split(")")[0]) for x in (one, many)]
     assert tasks[0] == 16 and tasks[1] == 16 * (1 + size // 500)
+
+
+def test_slices_add_up_and_leave_nothing(spark, monkeypatch):
+    """Slice after slice gives the sums of one model, also of repeated rows, and no slice's n-grams stay on disk."""
+    from quillspark import staging
+
+    r = random.Random(3)
+    say = lambda: " ".join(r.choice(["cat", "dog", "sat", "mat", "кот", "the", "."]) for _ in range(r.randint(0, 12)))
+    rows = [(i, say(), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:3] + [(0, "another text", 0), (90, None, 1)], "id long, text string, fold int").repartition(3)
+    trusted = docs.where("id < 40")
+    plain = lambda df: sorted((x.id, x.n_symbols, -1 if x.log_perplexity is None else round(x.log_perplexity, 5)) for x in df.collect())
+    one = plain(M.trusted_perplexities(docs, trusted, ["id"]))
+    monkeypatch.setattr(M, "SLICED_BYTES", 300)
+    made: list = []
+    with staging.noted(made):
+        many = M.trusted_perplexities(docs, trusted, ["id"])
+    left = {path.rsplit("/", 1)[1].split("-")[0] for _, path in made if any(p == path for _, p in staging._staged)}
+    assert plain(many) == one and len(one) == 65
+    assert left == {"sums"} and sum("/values-" in path for _, path in made) > 3
