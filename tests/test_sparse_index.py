@@ -83,3 +83,41 @@ def test_term_search_in_blocks_equals_one(spark, monkeypatch):
     one = sorted(term_top_k(asked, chunks, 4, 100).collect())
     monkeypatch.setattr(search, "BLOCK_VALUES", 64)
     assert sorted(term_top_k(asked, chunks, 4, 100).collect()) == one and {r.qid for r in one} == set(range(9))
+
+
+def test_rows_below_the_bound_are_not_scored_and_ties_stay():
+    """Rows of common tokens only are left out once k better ones are known; the k best equal those of every row scored."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspark.operators import search
+
+    n, rng = 64, np.random.default_rng(4)
+    ends = np.concatenate([[0], [n], n + np.arange(1, n + 1)])
+    postings = ends, np.concatenate([np.arange(n), np.arange(n)]), np.concatenate([np.full(n, 0.1), np.full(n, 5.0)])
+    known = pa.array(["the", *(f"t{i}" for i in range(n))])
+    rows = [["the", f"t{i % n}"] for i in range(3 * n)] + [["the"] * int(rng.integers(1, 4)) for _ in range(5000)] + [["the", "t3", "t3"], ["x"], []]
+    best, every, bounds, scored = search._Best(2), search._Best(2), search._Bounds(*postings, n), 0
+    best.widen(n), every.widen(n)
+    for s in range(0, len(rows), 100):
+        part = pa.array(rows[s : s + 100], pa.list_(pa.string()))
+        at, token = search._coded(part, known)
+        may = bounds.rows(at, token, np.zeros(len(part), np.int64), best, 1e-6)
+        scored += len(may)
+        row, q, score = search._matches(at, token, *postings, len(part), n)
+        every.add(q, score, row + s)
+        own = np.isin(row, may)
+        best.add(q[own], score[own], row[own] + s)
+        best._cut(), every._cut()
+    assert all((a == b).all() for a, b in zip(best.take(), every.take(), strict=True)) and scored < 500
+
+
+def test_documents_of_a_token_are_counted_once(spark, monkeypatch):
+    from quillspark.operators import search
+
+    rows = [(1, ["a", "b", "a"]), (1, ["a"]), (2, ["a", "z"]), (None, ["a"]), (3, None), (4, [])]
+    said = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "token string")
+    for values in (8_000_000, 16):
+        monkeypatch.setattr(search, "BLOCK_VALUES", values)
+        assert {tuple(r) for r in search.document_frequencies(asked, said).collect()} == {("a", 2), ("b", 1)}
